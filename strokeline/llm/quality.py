@@ -118,7 +118,7 @@ RATIOS = {
     "dup_line_share": ("n_dup_lines", "n_lines"),
     "upper_share": ("n_upper", "n_chars"),
     "exclaims_per_word": ("n_exclaim", "n_words"),
-    "digit_share": ("n_digits", "n_chars", "n_adjacent"),
+    "digit_share": ("n_digits", "n_chars"),
     "chars_per_word": ("word_chars", "n_words"),
     "words_per_line": ("n_words", "n_lines"),
     "adjacent_share": ("n_adjacent", "n_words"),
