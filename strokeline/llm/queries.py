@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, quality
+from . import bpe, langid, quality
 from .store import written
 
 #: Where tokenizer files are looked up; another file is given by the operators' parameter.
@@ -32,9 +32,25 @@ def op9_bpe(spark: SparkSession, folder: str) -> DataFrame:
     return made.select("doc_id", "n_tokens", F.sha2("ids_le", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
+def remainder(column: str, modulus: int):
+    """crc32 of an id's decimal text, modulo `modulus`; null for a null id."""
+    return F.pmod(F.crc32(F.col(column).cast("string").cast("binary")), F.lit(modulus))
+
+
+def op10_language_id(spark: SparkSession, folder: str) -> DataFrame:
+    """The language of every document, learned from the rows whose remainder modulo 3 is not 1."""
+    docs = table(spark, folder, "documents")
+    held_out = F.coalesce(remainder("doc_id", 3) == 1, F.lit(False))
+    vocabulary = langid.sentencepiece_vocabulary(f"{TOKENIZERS}/piece_bpe_32k.model")
+    model = langid.train_languages(docs, vocabulary, where=~held_out)
+    made = langid.identify_languages(docs, model)
+    return made.select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_quality_rules": op2_quality_rules,
     "op9_bpe": op9_bpe,
+    "op10_language_id": op10_language_id,
 }
 
 ORACLES: dict[str, str] = {}
