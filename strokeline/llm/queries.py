@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, langid, quality
+from . import bpe, langid, quality, toxicity
 from .store import written
 
 #: Where tokenizer files are looked up; another file is given by the operators' parameter.
@@ -18,6 +18,11 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def remainder(column: str, modulus: int):
+    """crc32 of an id's decimal text, modulo `modulus`; null for a null id."""
+    return F.pmod(F.crc32(F.col(column).cast("string").cast("binary")), F.lit(modulus))
+
+
 def op2_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
     """Decision lists learned from `labels.quality`, applied to the statistics of all documents."""
     stats = written(quality.text_stats(table(spark, folder, "documents")), "op2-stats")
@@ -26,17 +31,21 @@ def op2_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
     return made.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
+def op6_toxicity(spark: SparkSession, folder: str) -> DataFrame:
+    """Toxicity scores of all documents, learned from the labels whose remainder modulo 5 is not 0."""
+    docs, labels = table(spark, folder, "documents"), table(spark, folder, "labels")
+    held_out = F.coalesce(remainder("doc_id", 5) == 0, F.lit(False))
+    model = toxicity.train_toxicity(docs, labels, where=~held_out)
+    made = toxicity.score_toxicity(docs, model)
+    return made.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
 def op9_bpe(spark: SparkSession, folder: str) -> DataFrame:
     """Digests of the ids and of the decoded text of every document."""
     made = bpe.bpe_round_trip(table(spark, folder, "documents"), f"{TOKENIZERS}/byte_bpe_50k.json")
     return made.select("doc_id", "n_tokens", F.sha2("ids_le", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
-def remainder(column: str, modulus: int):
-    """crc32 of an id's decimal text, modulo `modulus`; null for a null id."""
-    return F.pmod(F.crc32(F.col(column).cast("string").cast("binary")), F.lit(modulus))
-
-
 def op10_language_id(spark: SparkSession, folder: str) -> DataFrame:
     """The language of every document, learned from the rows whose remainder modulo 3 is not 1."""
     docs = table(spark, folder, "documents")
@@ -49,6 +58,7 @@ def op10_language_id(spark: SparkSession, folder: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_quality_rules": op2_quality_rules,
+    "op6_toxicity": op6_toxicity,
     "op9_bpe": op9_bpe,
     "op10_language_id": op10_language_id,
 }
