@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, langid, quality, toxicity
+from . import bpe, langid, neardup, quality, toxicity
 from .store import written
 
 #: Where tokenizer files are looked up; another file is given by the operators' parameter.
@@ -40,6 +40,11 @@ def op6_toxicity(spark: SparkSession, folder: str) -> DataFrame:
     return made.select("doc_id", held_out.alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
+def op7_near_duplicates(spark: SparkSession, folder: str) -> DataFrame:
+    """Groups of documents with 3-word shingle sets of a similarity of 0.85 or more."""
+    return neardup.near_duplicates(table(spark, folder, "documents"), shingle=3, percent=85, bands=24, rows=5)
+
+
 def op9_bpe(spark: SparkSession, folder: str) -> DataFrame:
     """Digests of the ids and of the decoded text of every document."""
     made = bpe.bpe_round_trip(table(spark, folder, "documents"), f"{TOKENIZERS}/byte_bpe_50k.json")
@@ -59,6 +64,7 @@ def op10_language_id(spark: SparkSession, folder: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_quality_rules": op2_quality_rules,
     "op6_toxicity": op6_toxicity,
+    "op7_near_duplicates": op7_near_duplicates,
     "op9_bpe": op9_bpe,
     "op10_language_id": op10_language_id,
 }
