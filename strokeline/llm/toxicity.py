@@ -28,7 +28,9 @@ STEM_LENGTHS = (4, 5, 6, 7)
 CONTEXT = 8
 LONGEST = 24
 OPENING, CLOSING = "\"“„«'‘", "\"”“»'’"
-FEATURES = ("word_hits", "stem_hits", "fuzzy_hits", "per_100_words", "quoted_share", "crowding", "kinds", "any_word")
+#: A misspelling counts as this part of the word; training rows with misspellings are too few to learn it.
+MISSPELLED = 0.8
+FEATURES = ("word_hits", "stem_hits", "per_100_words", "quoted_share", "crowding", "kinds", "any_word")
 
 
 def normalised(words: pa.Array) -> pa.Array:
@@ -148,7 +150,7 @@ def features(texts: pa.Array, lexicon: Lexicon) -> np.ndarray:
     if not len(at):
         return made
     kind, entry, row = kind_of[codes[at]], entry_of[codes[at]], rows[at]
-    weight = np.array(lexicon.weights)[entry]
+    weight = np.array(lexicon.weights)[entry] * np.where(kind == FUZZY, MISSPELLED, 1.0)
     place = np.arange(len(codes))
     opens, closes = _ends(distinct, OPENING, False)[codes], _ends(distinct, CLOSING, True)[codes]
     last_open = np.maximum.accumulate(np.where(opens, place, -1))
@@ -164,14 +166,13 @@ def features(texts: pa.Array, lexicon: Lexicon) -> np.ndarray:
     words = np.maximum(np.diff(offsets), 1)
     first = np.unique(row * (len(lexicon.terms) + 1) + entry) // (len(lexicon.terms) + 1)
     open_weight = weight * ~quoted
-    made[:, 0] = np.log1p(count(open_weight * (kind == WORD)))
+    made[:, 0] = np.log1p(count(open_weight * (kind != STEM)))
     made[:, 1] = np.log1p(count(open_weight * (kind == STEM)))
-    made[:, 2] = np.log1p(count(open_weight * (kind == FUZZY)))
-    made[:, 3] = np.log1p(100 * count(open_weight) / words)
-    made[:, 4] = count(quoted) / hits
-    made[:, 5] = np.log1p(count(crowd) / hits)
-    made[:, 6] = np.log1p(np.bincount(first, minlength=n))
-    made[:, 7] = count((kind == WORD) & ~quoted) > 0
+    made[:, 2] = np.log1p(100 * count(open_weight) / words)
+    made[:, 3] = count(quoted) / hits
+    made[:, 4] = np.log1p(count(crowd) / hits)
+    made[:, 5] = np.log1p(np.bincount(first, minlength=n))
+    made[:, 6] = count((kind != STEM) & ~quoted) > 0
     return made
 
 
@@ -232,9 +233,9 @@ def _terms(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = []
 
 
-def learn_lexicon(sample: DataFrame, toxic: int, other: int, max_terms: int = 300, min_share: float = 0.01, min_log_odds: float = 2.0) -> Lexicon:
+def learn_lexicon(sample: DataFrame, toxic: int, other: int, max_terms: int = 200, min_share: float = 0.02, min_log_odds: float = 2.5) -> Lexicon:
     """The terms that labelled texts (columns t, y) with y = 1 have far more often than the others."""
-    least = max(4, math.ceil(min_share * toxic))
+    least = max(5, math.ceil(min_share * toxic))
     counts = sample.mapInArrow(_terms, "e string, k int, p bigint, n bigint").groupBy("e", "k").agg(F.sum("p").alias("p"), F.sum("n").alias("n"))
     odds = F.log((F.col("p") + 0.5) / (toxic + 1)) - F.log((F.col("n") + 0.5) / (other + 1))
     found = counts.where(F.col("p") >= least).withColumn("w", odds).where(F.col("w") >= min_log_odds)
@@ -276,7 +277,8 @@ def train_toxicity(
     slots = 1 << 40
     share = F.create_map(*[F.lit(x) for y in there for x in (y, min(slots, int(slots * max_training_docs / there[y])))])
     marked = marked.where(F.pmod(F.xxhash64("i"), F.lit(slots)) < share[F.col("y")])
-    sample = written(df.select(df[id_col].alias("i"), df[text_col].alias("t")).join(marked, "i").select("i", "t", "y"), "toxicity-sample")
+    # the sampled labels are narrow rows bounded by max_training_docs, so the texts stay where they are
+    sample = written(df.select(df[id_col].alias("i"), df[text_col].alias("t")).join(F.broadcast(marked), "i").select("i", "t", "y"), "toxicity-sample")
     size = {r["y"]: r["c"] for r in sample.groupBy("y").agg(F.count("*").alias("c")).collect()}
     lexicon = learn_lexicon(sample, size.get(1, 0), size.get(0, 0))
     shared = spark.sparkContext.broadcast(lexicon)
