@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, langid, neardup, quality, toxicity
+from . import bpe, langid, neardup, quality, spans, toxicity
 from .store import written
 
 #: Where tokenizer files are looked up; another file is given by the operators' parameter.
@@ -31,6 +31,12 @@ def op2_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
     return made.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
+def op5_sentence_spans(spark: SparkSession, folder: str) -> DataFrame:
+    """All documents without the sentences of repeated runs."""
+    made = spans.remove_repeated_spans(table(spark, folder, "documents"))
+    return made.select("doc_id", "text", "n_sentences", "n_removed")
+
+
 def op6_toxicity(spark: SparkSession, folder: str) -> DataFrame:
     """Toxicity scores of all documents, learned from the labels whose remainder modulo 5 is not 0."""
     docs, labels = table(spark, folder, "documents"), table(spark, folder, "labels")
@@ -63,6 +69,7 @@ def op10_language_id(spark: SparkSession, folder: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_quality_rules": op2_quality_rules,
+    "op5_sentence_spans": op5_sentence_spans,
     "op6_toxicity": op6_toxicity,
     "op7_near_duplicates": op7_near_duplicates,
     "op9_bpe": op9_bpe,
