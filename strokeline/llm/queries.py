@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, langid, neardup, quality, spans, toxicity
+from . import bpe, decontaminate, langid, neardup, quality, spans, toxicity
 from .store import written
 
 #: Where tokenizer files are looked up; another file is given by the operators' parameter.
@@ -31,6 +31,11 @@ def op2_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
     return made.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
+def op4_benchmark_leaks(spark: SparkSession, folder: str) -> DataFrame:
+    """Pairs of a document and a benchmark item that it leaks, verbatim or with other numbers, names and units."""
+    return decontaminate.find_leaks(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+
+
 def op5_sentence_spans(spark: SparkSession, folder: str) -> DataFrame:
     """All documents without the sentences of repeated runs."""
     made = spans.remove_repeated_spans(table(spark, folder, "documents"))
@@ -69,6 +74,7 @@ def op10_language_id(spark: SparkSession, folder: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_quality_rules": op2_quality_rules,
+    "op4_benchmark_leaks": op4_benchmark_leaks,
     "op5_sentence_spans": op5_sentence_spans,
     "op6_toxicity": op6_toxicity,
     "op7_near_duplicates": op7_near_duplicates,
