@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, langid, neardup, quality, spans, toxicity
-from .store import written
+from . import bpe, decontaminate, langid, neardup, quality, spans, toxicity, warc
+from .store import new_path, written
 
 #: Where tokenizer files are looked up; another file is given by the operators' parameter.
 TOKENIZERS = "/opt/tokenizers"
@@ -56,6 +56,18 @@ def op7_near_duplicates(spark: SparkSession, folder: str) -> DataFrame:
     return neardup.near_duplicates(table(spark, folder, "documents"), shingle=3, percent=85, bands=24, rows=5)
 
 
+def op8_arc_to_warc(spark: SparkSession, folder: str) -> DataFrame:
+    """All pages as ARC files, converted to WARC files of responses and revisits, and read back from these."""
+    pages = table(spark, folder, "pages")
+    records = warc.convert_arcs(warc.pack_arcs(pages, "page_id", "url", "html"))
+    path = new_path(spark, "warc")
+    warc.write_warc(warc.with_revisits(records, F.col("record_key").cast("bigint"), min_bytes=0), path)
+    made = warc.read_warc(spark, path, payloads=False)
+    return made.select(
+        F.col("record_key").cast("bigint").alias("page_id"), "payload_bytes", "payload_digest", "record_type", F.col("refers_to_key").cast("bigint").alias("refers_to")
+    )
+
+
 def op9_bpe(spark: SparkSession, folder: str) -> DataFrame:
     """Digests of the ids and of the decoded text of every document."""
     made = bpe.bpe_round_trip(table(spark, folder, "documents"), f"{TOKENIZERS}/byte_bpe_50k.json")
@@ -78,6 +90,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_sentence_spans": op5_sentence_spans,
     "op6_toxicity": op6_toxicity,
     "op7_near_duplicates": op7_near_duplicates,
+    "op8_arc_to_warc": op8_arc_to_warc,
     "op9_bpe": op9_bpe,
     "op10_language_id": op10_language_id,
 }
