@@ -1,7 +1,7 @@
 """Near-duplicate groups: fast similarity sketches, banding, and verification on full shingle sets.
 
 Texts with equal sets form one node. Nodes that share a band meet in a bucket. First each node is checked against its
-bucket's smallest node, and links join nodes to components. Nodes of different components that still share a bucket are
+bucket's most frequent node, and links join nodes to components. Nodes of different components that still share a bucket are
 then checked with each other: pair by pair in small buckets, and in large ones through the rarest shingles of their
 sets - two sets as similar as asked must share one of these early enough - so that a large group of copies is resolved
 without listing its pairs. Every link is confirmed on the full sets.
@@ -122,8 +122,12 @@ def near_duplicates(
     nodes = signed.where("node is not null").groupBy("node").agg(F.min("i").alias("label"), F.any_value("keys").alias("keys"))
     nodes = written(nodes, "nodes")
     placed = nodes.select("node", F.explode("keys").alias("key"))
-    shared = placed.groupBy("key").agg(F.min("node").alias("centre"), F.count("*").alias("m")).where("m > 1")
-    buckets = written(placed.join(shared, "key"), "buckets")
+    shared = placed.groupBy("key").agg(F.count("*").alias("m")).where("m > 1")
+    met = written(placed.join(shared, "key"), "met")
+    # the node that meets most others is likely the one that the others are copies of
+    meets = met.groupBy("node").agg(F.sum("m").alias("meets"))
+    centres = met.join(meets, "node").groupBy("key").agg(F.max(F.struct("meets", "node")).alias("top")).select("key", F.col("top.node").alias("centre"))
+    buckets = written(met.join(centres, "key"), "buckets")
 
     involved = buckets.select("node").distinct().join(nodes.select("node", "label"), "node")
     sets = written(_sets(texts.join(involved, F.col("i").eqNullSafe(F.col("label"))).select("node", "t"), shingle), "sets")
@@ -151,5 +155,5 @@ def near_duplicates(
     out = signed.select("i", "n", "node").join(named, "node", "left")
     component = F.when(F.col("node").isNull(), F.col("i")).otherwise(F.col("component_id"))
     out = written(out.select(F.col("i"), F.col("n"), component.alias("c"), component.eqNullSafe(F.col("i")).alias("k")), "near-duplicates")
-    dropped(spark, signed, nodes, buckets, sets, open_members)
+    dropped(spark, signed, nodes, met, buckets, sets, open_members)
     return out.toDF(id_col, "n_shingles", "component_id", "kept")
