@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, langid, neardup, quality, spans, toxicity, warc
+from . import bpe, decontaminate, langid, neardup, quality, sharding, spans, toxicity, warc
 from .store import new_path, written
 
 #: Where tokenizer files are looked up; another file is given by the operators' parameter.
@@ -23,6 +23,12 @@ def remainder(column: str, modulus: int):
     return F.pmod(F.crc32(F.col(column).cast("string").cast("binary")), F.lit(modulus))
 
 
+def op1_kd_shards(spark: SparkSession, folder: str) -> DataFrame:
+    """All documents in 40 shards of near-equal bytes."""
+    made = sharding.shard_by_kd_tree(table(spark, folder, "documents"), shards=40)
+    return made.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
 def op2_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
     """Decision lists learned from `labels.quality`, applied to the statistics of all documents."""
     stats = written(quality.text_stats(table(spark, folder, "documents")), "op2-stats")
@@ -85,6 +91,7 @@ def op10_language_id(spark: SparkSession, folder: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_kd_shards": op1_kd_shards,
     "op2_quality_rules": op2_quality_rules,
     "op4_benchmark_leaks": op4_benchmark_leaks,
     "op5_sentence_spans": op5_sentence_spans,
