@@ -65,7 +65,7 @@ def op7_near_duplicates(spark: SparkSession, folder: str) -> DataFrame:
 def op8_arc_to_warc(spark: SparkSession, folder: str) -> DataFrame:
     """All pages as ARC files, converted to WARC files of responses and revisits, and read back from these."""
     pages = table(spark, folder, "pages")
-    records = warc.convert_arcs(warc.pack_arcs(pages, "page_id", "url", "html"))
+    records = warc.convert_arcs(written(warc.pack_arcs(pages, "page_id", "url", "html"), "arcs"))
     path = new_path(spark, "warc")
     warc.write_warc(warc.with_revisits(records, F.col("record_key").cast("bigint"), min_bytes=0), path)
     made = warc.read_warc(spark, path, payloads=False)

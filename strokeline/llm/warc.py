@@ -21,6 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .store import written
 from .text_arrow import slices
 
 #: The field lists that the version block of an ARC file states.
@@ -110,7 +111,7 @@ def pack_arcs(df: DataFrame, key: str, url: str, text: str, date: str = "2000010
     """content (binary): ARC files of both versions, in turn, that hold the rows' texts in UTF-8, a null text as an empty one."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in slices(batches, "t", 4 << 20):
+        for part in slices(batches, "t", 2 << 20):
             rows = list(zip(part.column("k").to_pylist(), part.column("u").to_pylist(), [(t or "").encode() for t in part.column("t").to_pylist()]))
             made = [arc_file(rows[v - 1 :: 2], v, date) for v in (1, 2) if rows[v - 1 :: 2]]
             yield pa.RecordBatch.from_arrays([pa.array(made, pa.binary())], ["content"])
@@ -155,6 +156,7 @@ def with_revisits(records: DataFrame, order: Column, min_bytes: int = 0) -> Data
     rows are grouped by payload; the blocks are joined to the outcome by their own identifiers.
     """
     narrow = records.select("record_id", "record_key", "payload_digest", "payload_bytes", order.alias("o")).where(F.col("payload_bytes") >= min_bytes)
+    narrow = written(narrow, "payload-digests")
     best = narrow.groupBy("payload_digest", "payload_bytes").agg(
         F.count("*").alias("n"), F.max("o").alias("top"), F.max_by(F.struct("record_id", "record_key"), F.struct("o", "record_id")).alias("of")
     )
