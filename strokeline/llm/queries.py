@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, langid, neardup, quality, sharding, spans, toxicity, warc
+from . import bpe, decontaminate, langid, lm, neardup, quality, sharding, spans, toxicity, warc
 from .store import new_path, written
 
 #: Where tokenizer files are looked up; another file is given by the operators' parameter.
@@ -37,6 +37,14 @@ def op2_quality_rules(spark: SparkSession, folder: str) -> DataFrame:
     return made.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
+def op3_backoff_scores(spark: SparkSession, folder: str) -> DataFrame:
+    """log10 probabilities of all documents, under a model of those whose remainder modulo 7 is not 2."""
+    docs = table(spark, folder, "documents")
+    made = lm.score_texts(docs, training=F.coalesce(remainder("doc_id", 7) != 2, F.lit(True)))
+    held_out = F.coalesce(remainder("doc_id", 7) == 2, F.lit(False))
+    return made.select("doc_id", held_out.alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 def op4_benchmark_leaks(spark: SparkSession, folder: str) -> DataFrame:
     """Pairs of a document and a benchmark item that it leaks, verbatim or with other numbers, names and units."""
     return decontaminate.find_leaks(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
@@ -93,6 +101,7 @@ def op10_language_id(spark: SparkSession, folder: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_kd_shards": op1_kd_shards,
     "op2_quality_rules": op2_quality_rules,
+    "op3_backoff_scores": op3_backoff_scores,
     "op4_benchmark_leaks": op4_benchmark_leaks,
     "op5_sentence_spans": op5_sentence_spans,
     "op6_toxicity": op6_toxicity,
