@@ -196,10 +196,10 @@ def bpe_decode(df: DataFrame, tokenizer_path: str, id_col: str = "doc_id", ids_c
     return df.select(df[id_col].alias("i"), df[ids_col].alias("p")).mapInArrow(run, f"i {kind}, d string").toDF(id_col, "decoded")
 
 
-def bpe_round_trip(df: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """id, n_tokens, ids_le and decoded, the text read back from the ids, in one pass over the texts.
+def bpe_round_trip(df: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_col: str = "text", carry: tuple[str, ...] = ()) -> DataFrame:
+    """id, the columns `carry`, n_tokens, ids_le and decoded, the text read back from the ids, in one pass over the texts.
 
-    A null or empty text has no tokens and decodes to the empty text.
+    A null or empty text has no tokens and decodes to the empty text. Carried columns may not have the names of the new ones.
     """
     model = _shared(df, tokenizer_path)
 
@@ -209,9 +209,13 @@ def bpe_round_trip(df: DataFrame, tokenizer_path: str, id_col: str = "doc_id", t
             packed = [ids[a:b].tobytes() for a, b in zip(offsets[:-1], offsets[1:])]
             decoded = [model.value.decode(np.frombuffer(p, dtype="<u4")).decode("utf-8", "replace") for p in packed]
             yield pa.RecordBatch.from_arrays(
-                [part.column("i"), pa.array(np.diff(offsets), pa.int64()), pa.array(packed, pa.binary()), pa.array(decoded, pa.string())], ["i", "n", "p", "d"]
+                [part.column("i"), *[part.column(x) for x in names], pa.array(np.diff(offsets), pa.int64()), pa.array(packed, pa.binary()), pa.array(decoded, pa.string())],
+                ["i", *names, "n", "p", "d"],
             )
 
+    names = [f"x{n}" for n in range(len(carry))]
+    kinds = "".join(f"{x} {df.schema[c].dataType.simpleString()}, " for x, c in zip(names, carry))
     kind = df.schema[id_col].dataType.simpleString()
-    made = df.select(df[id_col].alias("i"), df[text_col].alias("t")).mapInArrow(run, f"i {kind}, n bigint, p binary, d string")
-    return made.toDF(id_col, "n_tokens", "ids_le", "decoded")
+    chosen = df.select(df[id_col].alias("i"), df[text_col].alias("t"), *[df[c].alias(x) for x, c in zip(names, carry)])
+    made = chosen.mapInArrow(run, f"i {kind}, {kinds}n bigint, p binary, d string")
+    return made.toDF(id_col, *carry, "n_tokens", "ids_le", "decoded")

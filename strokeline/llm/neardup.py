@@ -15,7 +15,6 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
 from .components import connected_components
@@ -25,7 +24,7 @@ from .text_arrow import slices, texts_of
 
 
 def sign(df: DataFrame, shingle: int, bands: int, rows: int) -> DataFrame:
-    """i, n_shingles, node (fingerprint of the set, null for an empty one) and keys (one for each band) of columns i, t."""
+    """i, th, n (shingles), node (fingerprint of the set, null for an empty one) and keys (one for each band) of columns i, th, t."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches, "t"):
@@ -34,10 +33,10 @@ def sign(df: DataFrame, shingle: int, bands: int, rows: int) -> DataFrame:
             keys = band_keys(sketches(flat, offsets, bands * rows), bands, rows).view(np.int64)
             node = pa.array(fingerprints(flat, offsets).view(np.int64), mask=sizes == 0)
             lists = pa.ListArray.from_arrays(pa.array(np.arange(0, len(sizes) * bands + 1, bands), pa.int32()), pa.array(keys.ravel()))
-            yield pa.RecordBatch.from_arrays([part.column("i"), pa.array(sizes), node, lists], ["i", "n", "node", "keys"])
+            yield pa.RecordBatch.from_arrays([part.column("i"), part.column("th"), pa.array(sizes), node, lists], ["i", "th", "n", "node", "keys"])
 
     kind = df.schema["i"].dataType.simpleString()
-    return df.mapInArrow(run, f"i {kind}, n bigint, node bigint, keys array<bigint>")
+    return df.mapInArrow(run, f"i {kind}, th bigint, n bigint, node bigint, keys array<bigint>")
 
 
 def _sets(df: DataFrame, shingle: int) -> DataFrame:
@@ -103,21 +102,10 @@ def _through_rare_shingles(members: DataFrame, sets: DataFrame, percent: int) ->
     )
 
 
-def near_duplicates(
-    df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, percent: int = 80, bands: int = 32, rows: int = 4, small_bucket: int = 64
-) -> DataFrame:
-    """id, n_shingles, component_id (the smallest id of the row's group) and kept (boolean: it is the row's own), by row.
-
-    Rows are linked if 100 * |intersection| >= percent * |union| of their sets of `shingle`-word shingles; a text with
-    fewer words has its whole sequence as one shingle. Null, empty and blank texts have no set and are linked with
-    nothing. Rows that repeat an id are separate rows with equal ids. A row with a null id takes part in links, but
-    never gives its group an id: alone, its component_id is null and it is kept.
-
-    With `bands` of `rows` coordinates each, a pair at the very threshold is missed with the probability
-    (1 - (percent / 100) ** rows) ** bands: 8e-7 for 24 bands of 5 at 85 percent, 5e-8 for 32 of 4 at 80.
-    """
+def _grouped(df: DataFrame, id_col: str, text_col: str, shingle: int, percent: int, bands: int, rows: int, small_bucket: int) -> DataFrame:
+    """i, th (hash of the text), n, node and c (the smallest id of the row's group), by row."""
     spark = df.sparkSession
-    texts = df.select(df[id_col].alias("i"), df[text_col].alias("t"))
+    texts = df.select(df[id_col].alias("i"), F.xxhash64(df[text_col]).alias("th"), df[text_col].alias("t"))
     signed = written(sign(texts, shingle, bands, rows), "signed")
     nodes = signed.where("node is not null").groupBy("node").agg(F.min("i").alias("label"), F.any_value("keys").alias("keys"))
     nodes = written(nodes, "nodes")
@@ -152,8 +140,48 @@ def near_duplicates(
     named = nodes.select("node", "label").join(final, "node", "left")
     least = named.where("component is not null").groupBy("component").agg(F.min("label").alias("least"))
     named = named.join(least, "component", "left").select("node", F.coalesce("least", "label").alias("component_id"))
-    out = signed.select("i", "n", "node").join(named, "node", "left")
+    out = signed.select("i", "th", "n", "node").join(named, "node", "left")
     component = F.when(F.col("node").isNull(), F.col("i")).otherwise(F.col("component_id"))
-    out = written(out.select(F.col("i"), F.col("n"), component.alias("c"), component.eqNullSafe(F.col("i")).alias("k")), "near-duplicates")
+    out = written(out.select("i", "th", "n", "node", component.alias("c")), "near-duplicates")
     dropped(spark, signed, nodes, met, buckets, sets, open_members)
-    return out.toDF(id_col, "n_shingles", "component_id", "kept")
+    return out
+
+
+def near_duplicates(
+    df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, percent: int = 80, bands: int = 32, rows: int = 4, small_bucket: int = 64
+) -> DataFrame:
+    """id, n_shingles, component_id (the smallest id of the row's group) and kept (boolean: it is the row's own), by row.
+
+    Rows are linked if 100 * |intersection| >= percent * |union| of their sets of `shingle`-word shingles; a text with
+    fewer words has its whole sequence as one shingle. Null, empty and blank texts have no set and are linked with
+    nothing. Rows that repeat an id are separate rows with equal ids. A row with a null id takes part in links, but
+    never gives its group an id: alone, its component_id is null and it is kept.
+
+    With `bands` of `rows` coordinates each, a pair at the very threshold is missed with the probability
+    (1 - (percent / 100) ** rows) ** bands: 8e-7 for 24 bands of 5 at 85 percent, 5e-8 for 32 of 4 at 80.
+    """
+    found = _grouped(df, id_col, text_col, shingle, percent, bands, rows, small_bucket)
+    return found.select(F.col("i").alias(id_col), F.col("n").alias("n_shingles"), F.col("c").alias("component_id"), F.col("c").eqNullSafe(F.col("i")).alias("kept"))
+
+
+def keep_representatives(
+    df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, percent: int = 80, bands: int = 32, rows: int = 4, small_bucket: int = 64
+) -> DataFrame:
+    """The rows of `df`, all columns as they are, without near-duplicates: of each group of `near_duplicates` one row stays.
+
+    It is the row with the smallest id, of those with equal ids the one with the smallest hash of its text, and of rows
+    equal in both any one. Rows without shingles all stay; where a whole group has null ids, one row of it stays.
+    """
+    found = _grouped(df, id_col, text_col, shingle, percent, bands, rows, small_bucket)
+    first = F.min(F.struct(F.col("i").isNull().alias("no"), "i", "th")).alias("of")
+    # a group whose ids are all null is known by its set
+    linked = found.where("node is not null").groupBy("c", F.when(F.col("c").isNull(), F.col("node")).alias("own")).agg(first)
+    winners = linked.select(F.col("of.i").alias("_i"), F.col("of.th").alias("_th"), F.lit(False).alias("_all"))
+    winners = winners.union(found.where("node is null").select("i", "th", F.lit(True)).distinct())
+    names = [f"c{n}" for n in range(len(df.columns))]
+    place = {c: names[n] for n, c in enumerate(df.columns)}
+    named = df.toDF(*names)
+    keyed = named.withColumns({"_row_i": F.col(place[id_col]), "_row_th": F.xxhash64(place[text_col])})
+    joined = keyed.join(winners, F.col("_row_i").eqNullSafe(F.col("_i")) & F.col("_row_th").eqNullSafe(F.col("_th")))
+    number = F.row_number().over(Window.partitionBy("_row_i", "_row_th").orderBy(F.lit(1)))
+    return joined.withColumn("_n", number).where("_n = 1 or _all").select(*names).toDF(*df.columns)
