@@ -7,6 +7,7 @@ import math
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..config import PROFILE, Profile
 from ..functions import geometry as G
@@ -53,7 +54,7 @@ def leader_clusters(points: DataFrame, tolerance: float = PROFILE.endpoint_clust
     It isn't transitive and depends on the order, so a page is one group; a page holds a bounded number of points.
     """
     names = points.columns
-    schema = points.schema.add("cluster_id", "int")
+    schema = T.StructType([*points.schema.fields, T.StructField("cluster_id", T.IntegerType())])
 
     def run(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values(order, kind="stable").reset_index(drop=True)
