@@ -1,6 +1,6 @@
 """Registered queries of the drawing operators."""
 
-from . import spatial  # noqa: F401
+from . import control, spatial  # noqa: F401
 from .registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]
