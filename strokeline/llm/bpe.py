@@ -174,7 +174,7 @@ def bpe_encode(df: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text_
     model = _shared(df, tokenizer_path)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in slices(batches, "t", 12 << 20):
+        for part in slices(batches, "t", 8 << 20):
             ids, offsets = model.value.encode(texts_of(part, "t").to_pylist())
             packed = [ids[a:b].tobytes() for a, b in zip(offsets[:-1], offsets[1:])]
             yield pa.RecordBatch.from_arrays([part.column("i"), pa.array(np.diff(offsets), pa.int64()), pa.array(packed, pa.binary())], ["i", "n", "p"])
@@ -204,7 +204,7 @@ def bpe_round_trip(df: DataFrame, tokenizer_path: str, id_col: str = "doc_id", t
     model = _shared(df, tokenizer_path)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in slices(batches, "t", 12 << 20):
+        for part in slices(batches, "t", 8 << 20):
             ids, offsets = model.value.encode(texts_of(part, "t").to_pylist())
             packed = [ids[a:b].tobytes() for a, b in zip(offsets[:-1], offsets[1:])]
             decoded = [model.value.decode(np.frombuffer(p, dtype="<u4")).decode("utf-8", "replace") for p in packed]

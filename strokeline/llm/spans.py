@@ -23,6 +23,8 @@ from pyspark.sql import types as T
 
 from .text_arrow import bytes_of, mixed, slices, texts_of
 
+#: Several numbers are kept for each byte of a slice.
+SLICE = 2 << 20
 _SPACE = np.zeros(256, dtype=bool)
 _SPACE[[32, *range(9, 14)]] = True
 _END = np.zeros(256, dtype=bool)
@@ -137,7 +139,7 @@ def repeated_runs(df: DataFrame, buckets: int, sentences: int, words: int, longe
     """k, th and ranges (binary: pairs of sentence numbers) that go, of texts (k, th, t), by text and task."""
 
     def spread(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in slices(batches, "t"):
+        for part in slices(batches, "t", SLICE):
             found = sentences_of(texts_of(part, "t"), longest)
             first, last = found.runs(sentences, words)
             h = found.hash_of(first, last)
@@ -198,7 +200,7 @@ def remove_repeated_spans(
     marked = df.withColumns({"_k": order, "_th": F.xxhash64(df[text_col])}).toDF(*columns, "k", "th").join(gone, ["k", "th"], "left").select(*columns, "_ranges")
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in slices(batches, columns[place]):
+        for part in slices(batches, columns[place], SLICE):
             texts = texts_of(part, columns[place])
             found = sentences_of(texts, longest)
             flat, offsets = bytes_of(texts)

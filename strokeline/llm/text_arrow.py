@@ -9,7 +9,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 #: Bytes of text handled at once by a task; a single longer text forms a slice of its own.
-SLICE_BYTES = 6 << 20
+SLICE_BYTES = 4 << 20
 
 
 def slices(batches: Iterable[pa.RecordBatch], text: str, limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
