@@ -1,6 +1,6 @@
 """Registered queries of the drawing operators."""
 
-from . import control, spatial, text  # noqa: F401
+from . import control, spatial, stages, text  # noqa: F401
 from .registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]
