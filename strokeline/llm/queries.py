@@ -52,7 +52,7 @@ def op4_benchmark_leaks(spark: SparkSession, folder: str) -> DataFrame:
 
 def op5_sentence_spans(spark: SparkSession, folder: str) -> DataFrame:
     """All documents without the sentences of repeated runs."""
-    made = spans.remove_repeated_spans(table(spark, folder, "documents"))
+    made = spans.remove_repeated_spans(table(spark, folder, "documents").select("doc_id", "text"))
     return made.select("doc_id", "text", "n_sentences", "n_removed")
 
 

@@ -197,7 +197,8 @@ def remove_repeated_spans(
     gone = gone.groupBy("k", "th").agg(F.array_join(F.collect_list(F.hex("ranges")), "").alias("_ranges"))
     columns = [f"_c{n}" for n in range(len(df.columns))]
     place = df.columns.index(text_col)
-    marked = df.withColumns({"_k": order, "_th": F.xxhash64(df[text_col])}).toDF(*columns, "k", "th").join(gone, ["k", "th"], "left").select(*columns, "_ranges")
+    named = df.select(*[df[c].alias(n) for c, n in zip(df.columns, columns)], order.alias("k"), F.xxhash64(df[text_col]).alias("th"))
+    marked = named.join(gone, ["k", "th"], "left").select(*columns, "_ranges")
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches, columns[place], SLICE):
