@@ -153,7 +153,7 @@ class PairIndexBpe:
             for k, (word, _) in enumerate(marks):
                 starts[word], lengths[word] = len(ids) - len(marks) + k, 1
         ends = np.concatenate([[0], np.cumsum(lengths[codes])])
-        return ids[gathered(starts[codes], lengths[codes])].astype("<u4"), ends[np.concatenate([[0], np.cumsum(counts)])]
+        return ids[gathered(starts[codes], lengths[codes])].astype("<u4"), ends[np.concatenate([[0], np.cumsum(np.array(counts, dtype=np.int64))])]
 
     def decode(self, ids: np.ndarray) -> bytes:
         """The bytes of a sequence of ids; ids outside the vocabulary give nothing."""

@@ -72,26 +72,42 @@ def _verified(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return sized.select("a", "b", "sa", "sb").mapInArrow(run, "a bigint, b bigint")
 
 
-def _through_rare_shingles(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+def _through_rare_shingles(members: DataFrame, sets: DataFrame, percent: int, rare: int) -> DataFrame:
     """Pairs (a, b) of members (node, component) of different components that may be similar enough; none is missed.
 
-    Shingles are ordered from rare to common among the members. Similar sets share a shingle among the first
-    n - ceil(n * percent / 100) + 1 of each, and its places bound how many more they can share.
+    Shingles that at most `rare` members have come first, from rare to common, and all others follow by their hash: one
+    order for all members. Similar sets share a shingle among the first n - ceil(n * percent / 100) + 1 of each, and its
+    places bound how many more they can share.
     """
 
-    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def split(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             lists = [unpacked(x.as_py()).astype(np.int64) for x in batch.column("s")]
-            sizes = np.array([len(x) for x in lists], dtype=np.int64)
-            row = pa.array(np.repeat(np.arange(len(lists)), sizes))
-            flat = pa.array(np.concatenate(lists) if lists else np.zeros(0, np.int64))
-            yield pa.RecordBatch.from_arrays([batch.column("node").take(row), batch.column("component").take(row), pa.array(sizes).take(row), flat], ["node", "component", "n", "x"])
-
-    each = sets.join(members, "node").select("node", "component", "s").mapInArrow(run, "node bigint, component bigint, n bigint, x bigint")
-    common = each.groupBy("x").agg(F.count("*").alias("f"))
-    order = Window.partitionBy("node").orderBy("f", "x")
-    early = each.join(common, "x").withColumn("place", F.row_number().over(order) - 1)
-    early = early.where(f"f > 1 and place < n - ceil(n * {percent} / 100D) + 1").select("x", "node", "component", "n", "place")
+            row = pa.array(np.repeat(np.arange(len(lists)), [len(x) for x in lists]))
+            yield pa.RecordBatch.from_arrays([batch.column("node").take(row), pa.array(np.concatenate(lists) if lists else np.zeros(0, np.int64))], ["node", "x"])
+
+    def ranked(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            made = []
+            for data, few in zip(batch.column("s"), batch.column("few")):
+                x = unpacked(data.as_py()).astype(np.int64)
+                f = np.full(len(x), rare + 1, dtype=np.int64)
+                if few.is_valid:
+                    found = few.values
+                    f[np.searchsorted(x, found.field("x").to_numpy(zero_copy_only=False))] = found.field("f").to_numpy(zero_copy_only=False)
+                order = np.lexsort((x, f))[: len(x) + (-len(x) * percent) // 100 + 1]
+                shared = np.flatnonzero(f[order] > 1)  # one that a single member has leads to nobody, but takes its place
+                made.append((x[order][shared], shared, len(x)))
+            row = pa.array(np.repeat(np.arange(len(made)), [len(m[0]) for m in made]))
+            x, place = (np.concatenate([m[k] for m in made]) if made else np.zeros(0, np.int64) for k in (0, 1))
+            sizes = pa.array(np.array([m[2] for m in made], dtype=np.int64))
+            yield pa.RecordBatch.from_arrays([pa.array(x), batch.column("node").take(row), batch.column("component").take(row), sizes.take(row), pa.array(place)], ["x", "node", "component", "n", "place"])
+
+    own = sets.join(members, "node").select("node", "component", "s")
+    each = own.mapInArrow(split, "node bigint, x bigint")
+    few = each.join(each.groupBy("x").agg(F.count("*").alias("f")).where(F.col("f") <= rare), "x")
+    few = few.groupBy("node").agg(F.collect_list(F.struct("x", "f")).alias("few"))
+    early = own.join(few, "node", "left").mapInArrow(ranked, "x bigint, node bigint, component bigint, n bigint, place bigint")
     left, right = early.alias("l"), early.alias("r")
     needed = f"ceil((l.n + r.n) * {percent} / {100 + percent}D - 1e-9)"
     return (
@@ -132,7 +148,7 @@ def _grouped(df: DataFrame, id_col: str, text_col: str, shingle: int, percent: i
     more = [pairs.select(F.col("l.node").alias("a"), F.col("r.node").alias("b")).distinct()]
     many = open_members.where(F.col("m") > small_bucket)
     if not many.isEmpty():
-        more.append(_through_rare_shingles(many.select("node", "component").distinct(), sets, percent))
+        more.append(_through_rare_shingles(many.select("node", "component").distinct(), sets, percent, small_bucket))
     for candidates in more:
         links = links.union(written(_verified(candidates, sets, percent), "links"))
 
