@@ -67,7 +67,7 @@ _AWAY = "CASE WHEN (x-x{0})*(x-x{0})+(y-y{0})*(y-y{0})<=(x-x{1})*(x-x{1})+(y-y{1
 @query(f"""{_CROSS_SQL}, v AS (SELECT *, {_AWAY.format(1, 2)} AS sa, {_AWAY.format(3, 4)} AS sb FROM i),
 g AS (SELECT *, degrees(acos(greatest(-1.0, least(1.0, (sa*(x2-x1)*sb*(x4-x3)+sa*(y2-y1)*sb*(y4-y3))/(sqrt((x2-x1)*(x2-x1)+(y2-y1)*(y2-y1))*sqrt((x4-x3)*(x4-x3)+(y4-y3)*(y4-y3))))))) AS angle FROM v),
 h AS (SELECT document_id, a_id, b_id, angle, CASE WHEN la=lb THEN 0.45 ELSE 0.75 END AS crossing, CASE WHEN la=lb THEN CASE WHEN angle>=35.0 THEN 0.2 ELSE 0.0 END ELSE 0.05 END AS tee FROM g)
-SELECT document_id, count(*) AS hypotheses, count(*) FILTER (WHERE abs(tee-crossing)>=0.15 AND crossing>=tee) AS crossings, count(*) FILTER (WHERE abs(tee-crossing)<0.15) AS unresolved, round(avg(angle),4) AS mean_angle, round(sum(tee),4) AS tee_score FROM h GROUP BY document_id""")
+SELECT document_id, count(*) AS hypotheses, count(*) FILTER (WHERE abs(tee-crossing)>=0.15 AND crossing>=tee) AS crossings, count(*) FILTER (WHERE abs(tee-crossing)<0.15) AS unresolved, round(avg(angle),4) AS mean_angle, round(CAST(sum(tee) AS DOUBLE),4) AS tee_score FROM h GROUP BY document_id""")
 def intersection_hypotheses(spark: SparkSession, folder: str) -> DataFrame:
     """Crossing and tee scores of all interior crossings, by page."""
     made = spatial.interior_intersections(segments(spark, folder), P.intersection_proximity)
@@ -135,7 +135,7 @@ def annotation_targets(spark: SparkSession, folder: str) -> DataFrame:
     return made.select("document_id", "annotation_id", "rank", "ref_kind", "ref_id", "score", F.coalesce(F.col("score") - F.col("next") < P.target_margin, F.lit(False)).alias("ambiguous"))
 
 
-@query(f"""WITH p AS ({POINTS_SQL}), b AS ({BOXES_SQL}) SELECT p.document_id, p.id, count(*) AS symbols, CASE WHEN count(*)>0 THEN 0.2 ELSE 1.0 END AS continuity FROM p JOIN b ON p.document_id=b.document_id AND b.kind='symbol' AND p.x BETWEEN b.x-4.0 AND b.x+b.width+4.0 AND p.y BETWEEN b.y-4.0 AND b.y+b.height+4.0 GROUP BY p.document_id, p.id""")
+@query(f"""WITH p AS ({POINTS_SQL}), b AS ({BOXES_SQL}) SELECT p.document_id, p.id, count(*) AS symbols, CAST(CASE WHEN count(*)>0 THEN 0.2 ELSE 1.0 END AS DOUBLE) AS continuity FROM p JOIN b ON p.document_id=b.document_id AND b.kind='symbol' AND p.x BETWEEN b.x-4.0 AND b.x+b.width+4.0 AND p.y BETWEEN b.y-4.0 AND b.y+b.height+4.0 GROUP BY p.document_id, p.id""")
 def points_in_symbols(spark: SparkSession, folder: str) -> DataFrame:
     """Points inside the buffered boxes of symbols."""
     met = spatial.points_in_boxes(points(spark, folder), boxes(spark, folder).where("kind = 'symbol'"), P.symbol_buffer)
@@ -144,7 +144,7 @@ def points_in_symbols(spark: SparkSession, folder: str) -> DataFrame:
 
 @query(f"""WITH b AS ({BOXES_SQL}), r AS (SELECT *, width/height AS aspect, width*height AS area FROM b WHERE width*height>=24)
 SELECT id, CASE WHEN aspect>=2.2 AND width>=30 THEN 'text' WHEN aspect<=1.8 AND greatest(width,height)<=48 THEN 'symbol' WHEN aspect>=3.0 AND width>=40 AND height<=20 THEN 'dimension' WHEN aspect>=1.2 AND area<200 THEN 'arrow' WHEN aspect>=2.2 THEN 'text' ELSE 'symbol' END AS region_kind,
-CASE WHEN aspect>=2.2 AND width>=30 THEN 0.72 WHEN aspect<=1.8 AND greatest(width,height)<=48 THEN 0.68 WHEN aspect>=3.0 AND width>=40 AND height<=20 THEN 0.65 WHEN aspect>=1.2 AND area<200 THEN 0.55 WHEN aspect>=2.2 THEN 0.6 ELSE 0.5 END AS score, greatest(0.0, round(x-4,6)) AS crop_x, greatest(0.0, round(y-4,6)) AS crop_y FROM r""")
+CAST(CASE WHEN aspect>=2.2 AND width>=30 THEN 0.72 WHEN aspect<=1.8 AND greatest(width,height)<=48 THEN 0.68 WHEN aspect>=3.0 AND width>=40 AND height<=20 THEN 0.65 WHEN aspect>=1.2 AND area<200 THEN 0.55 WHEN aspect>=2.2 THEN 0.6 ELSE 0.5 END AS DOUBLE) AS score, greatest(0.0, round(x-4,6)) AS crop_x, greatest(0.0, round(y-4,6)) AS crop_y FROM r""")
 def region_kinds(spark: SparkSession, folder: str) -> DataFrame:
     """Kind and score of regions of enough area by their shape, and their padded crop."""
     aspect, w, h = F.col("width") / F.col("height"), F.col("width"), F.col("height")
@@ -218,7 +218,7 @@ o AS (SELECT *, row_number() OVER (PARTITION BY document_id ORDER BY score DESC,
 model AS (SELECT o.document_id, t.total, o.rotation, least(1.0, o.score/greatest(t.total,1.0)) AS confidence FROM o JOIN (SELECT document_id, sum(weight) AS total FROM v GROUP BY document_id) t ON o.document_id=t.document_id WHERE n=1 AND total>=20.0)"""
 
 
-@query(f"{_AXIS_SQL} SELECT document_id, round(total,4) AS total, rotation, round(confidence,5) AS confidence FROM model")
+@query(f"{_AXIS_SQL} SELECT document_id, round(total,4) AS total, CAST(rotation AS DOUBLE) AS rotation, round(confidence,5) AS confidence FROM model")
 def axis_models(spark: SparkSession, folder: str) -> DataFrame:
     """The isometric axis model of each page."""
     made = snapping.axis_models(segments(spark, folder).withColumn("status", F.lit("accepted")))
@@ -229,7 +229,7 @@ def axis_models(spark: SparkSession, folder: str) -> DataFrame:
 z AS (SELECT *, abs(angle-(rotation+90.0) % 180.0) AS a1, abs(angle-(rotation+30.0) % 180.0) AS a2, abs(angle-(rotation+150.0) % 180.0) AS a3 FROM l),
 y AS (SELECT *, least(a1,180-a1) AS d1, least(a2,180-a2) AS d2, least(a3,180-a3) AS d3 FROM z), x AS (SELECT *, least(d1,d2,d3) AS delta FROM y)
 SELECT document_id, CASE WHEN status='uncertain' THEN 'preserved_uncertain' WHEN coalesce(confidence,0.0)<0.35 THEN 'weak_axis_model' WHEN len<20.0 THEN 'low_evidence' WHEN delta>4.0 THEN 'off_axis' WHEN len*sin(radians(delta/2))>8.0 THEN 'endpoint_displacement' ELSE 'snapped_to_axis' END AS reason,
-count(*) AS n, round(sum(CASE WHEN delta>4.0 AND FALSE THEN 0 ELSE len END),3) AS length FROM x GROUP BY ALL""")
+count(*) AS n, round(sum(len),3) AS length FROM x GROUP BY ALL""")
 def snap_decisions(spark: SparkSession, folder: str) -> DataFrame:
     """How many segments of a page are snapped to its axes, and why the others aren't."""
     primitives = segments(spark, folder).withColumn("status", F.when(F.col("id") % 11 == 0, "uncertain").otherwise("accepted"))
