@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from .store import dropped, written
 from .text_arrow import coded, hashes_of, mixed, slices, texts_of, words_of
 
-BLOCK_BYTES = 4 << 20
+BLOCK_BYTES = 3 << 20
 _END, _START = np.uint64(0x2545F4914F6CDD1D), np.uint64(0x9E6C63D0876A9A47)
 _ORDER_STEP = mixed(np.arange(100, 116, dtype=np.uint64)) | np.uint64(1)
 _LOW = np.uint64((1 << 48) - 1)

@@ -24,7 +24,7 @@ from pyspark.sql import types as T
 from .text_arrow import bytes_of, mixed, slices, texts_of
 
 #: Several numbers are kept for each byte of a slice.
-SLICE = 2 << 20
+SLICE = 1 << 20
 _SPACE = np.zeros(256, dtype=bool)
 _SPACE[[32, *range(9, 14)]] = True
 _END = np.zeros(256, dtype=bool)
