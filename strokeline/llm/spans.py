@@ -175,7 +175,7 @@ def repeated_runs(df: DataFrame, buckets: int, sentences: int, words: int, longe
         packed = [both[x:y].tobytes() for x, y in zip(cuts[:-1], cuts[1:])]
         yield pa.RecordBatch.from_arrays([pa.array(k[cuts[:-1]]), pa.array(th[cuts[:-1]]), pa.array(packed, pa.binary())], ["k", "th", "ranges"])
 
-    return df.mapInArrow(spread, _ROWS).repartition(buckets, "bucket").mapInArrow(settle, "k bigint, th bigint, ranges binary")
+    return df.mapInArrow(spread, _ROWS).repartitionById(buckets, "bucket").mapInArrow(settle, "k bigint, th bigint, ranges binary")
 
 
 def remove_repeated_spans(
