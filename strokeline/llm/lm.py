@@ -197,7 +197,7 @@ def score_texts(df: DataFrame, training: Column, id_col: str = "doc_id", text_co
                     ["block", "level", "bucket", "c", "types", "tokens"],
                 )
 
-    sent = blocks.mapInArrow(spread, "bucket int, block string, level int, h binary, c binary").repartition(buckets, "bucket")
+    sent = blocks.mapInArrow(spread, "bucket int, block string, level int, h binary, c binary").repartitionById(buckets, "bucket")
     counted = written(sent.mapInArrow(settle, "block string, level int, bucket int, c binary, types bigint, tokens bigint"), "lm-counts")
     total = counted.agg(F.sum("types"), F.sum("tokens")).first()
     types, tokens = int(total[0] or 0), int(total[1] or 0)
