@@ -5,6 +5,12 @@ sentence the shortest run forwards, and up to every sentence the shortest run ba
 sentences and `words` words is hashed. Runs that occur more than once keep their first occurrence, in the order of
 (id, place); the sentences of every other occurrence are removed.
 
+Where a stretch without an end is cut depends on what stands before it, so a passage can be cut differently in each
+text. Runs of words that know nothing of sentences find it too: of the runs of `passage - step + 1` words, the one of
+the least hash among any `step` neighbours is taken. A passage of `passage` words or more has the same runs in every
+text, at most `step` words apart. A run of which the sentences' runs leave fewer than `longest` words is left to them,
+so of every other occurrence fewer than `longest + step` words stay at either end.
+
 A task combines the runs of its slice before anything is shuffled: it keeps the first occurrence of each hash and
 knows at once that the others go. So a passage that a third of all documents share costs one row for each slice.
 """
@@ -34,6 +40,8 @@ _LOWER[65:91] += 32
 _VALUE = mixed(np.arange(256, dtype=np.uint64)) | np.uint64(1)
 _P = 0xD1342543DE82EF95
 _INVERSE = pow(_P, -1, 1 << 64)
+#: Runs of words are told from runs of sentences by this number, added to their first word's; a text has fewer words.
+_WORDS = 1 << 30
 
 
 @dataclass
@@ -45,6 +53,9 @@ class Sentences:
     words: np.ndarray  # words before each sentence, and of all
     of_text: np.ndarray  # offsets of sentences by text
     hash_of: object  # (first sentences, last sentences) -> hashes of the runs
+    word_start: np.ndarray  # byte of each word
+    word_of_text: np.ndarray  # offsets of words by text
+    word_hash_of: object  # (first words, last words + 1) -> hashes of the runs
 
     def runs(self, sentences: int, words: int) -> tuple[np.ndarray, np.ndarray]:
         """(first, last + 1) of the shortest runs from and up to every sentence, without repetition."""
@@ -61,6 +72,18 @@ class Sentences:
         key = np.unique(np.concatenate([(i[ok] << 32) | last[ok], (first[back] << 32) | (i[back] + 1)]))
         return key >> 32, key & 0xFFFFFFFF
 
+    def word_runs(self, size: int, step: int) -> tuple[np.ndarray, np.ndarray]:
+        """(first words, hashes) of the runs of `size` words with the least hash among `step` neighbours of a text."""
+        n = len(self.word_start) - size + 1
+        if n < step:
+            return np.zeros(0, np.int64), np.zeros(0, np.uint64)
+        first = np.arange(n)
+        h = self.word_hash_of(first, first + size)
+        text = np.repeat(np.arange(len(self.word_of_text) - 1), np.diff(self.word_of_text))
+        at = np.flatnonzero(text[: n - step + 1] == text[size + step - 2 :])
+        least = np.unique(at + np.lib.stride_tricks.sliding_window_view(h, step)[at].argmin(axis=1))
+        return least, h[least]
+
 
 def sentences_of(texts: pa.Array, longest: int) -> Sentences:
     flat, offsets = bytes_of(texts)
@@ -100,14 +123,17 @@ def sentences_of(texts: pa.Array, longest: int) -> Sentences:
     power[0] = inverse[0] = 1
     power, inverse = np.cumprod(power, dtype=np.uint64), np.cumprod(inverse, dtype=np.uint64)
     total = np.concatenate([[np.uint64(0)], np.cumsum(value * power[:-1], dtype=np.uint64)])
-    place = np.concatenate([np.searchsorted(letters, word_start[at]), [len(letters)]]).astype(np.int64)
+    place = np.concatenate([np.searchsorted(letters, word_start), [len(letters)]]).astype(np.int64)
     words = np.concatenate([at, [n]]).astype(np.int64)
 
-    def hash_of(first: np.ndarray, last: np.ndarray) -> np.ndarray:
+    def word_hash_of(first: np.ndarray, last: np.ndarray, salt: int = _WORDS) -> np.ndarray:
         a, b = place[first], place[last]
-        return mixed(((total[b] - total[a]) * inverse[a]) ^ mixed((words[last] - words[first]).astype(np.uint64)))
+        return mixed(((total[b] - total[a]) * inverse[a]) ^ mixed((last - first + salt).astype(np.uint64)))
+
+    def hash_of(first: np.ndarray, last: np.ndarray) -> np.ndarray:
+        return word_hash_of(words[first], words[last], 0)
 
-    return Sentences(word_start[at], stop, words, of_text, hash_of)
+    return Sentences(word_start[at], stop, words, of_text, hash_of, word_start, np.searchsorted(text, np.arange(len(texts) + 1)), word_hash_of)
 
 
 def _repeats(h: np.ndarray, k: np.ndarray, th: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -135,8 +161,8 @@ def _rows(bucket: np.ndarray, gone: bool, h: np.ndarray, k: np.ndarray, th: np.n
     )
 
 
-def repeated_runs(df: DataFrame, buckets: int, sentences: int, words: int, longest: int) -> DataFrame:
-    """k, th and ranges (binary: pairs of sentence numbers) that go, of texts (k, th, t), by text and task."""
+def repeated_runs(df: DataFrame, buckets: int, sentences: int, words: int, longest: int, passage: int, step: int) -> DataFrame:
+    """k, th and range (first << 32 | last + 1: sentence numbers, or word numbers plus _WORDS) of each run that goes, of texts (k, th, t)."""
 
     def spread(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches, "t", SLICE):
@@ -144,9 +170,13 @@ def repeated_runs(df: DataFrame, buckets: int, sentences: int, words: int, longe
             first, last = found.runs(sentences, words)
             h = found.hash_of(first, last)
             row = np.searchsorted(found.of_text, first, side="right") - 1
+            a, b = first - found.of_text[row], last - found.of_text[row]
+            word, word_h = found.word_runs(passage - step + 1, step)
+            word_row = np.searchsorted(found.word_of_text, word, side="right") - 1
+            word = word - found.word_of_text[word_row] + _WORDS
+            h, row, a, b = (np.concatenate(x) for x in ((h, word_h), (row, word_row), (a, word), (b, word + passage - step + 1)))
             k = part.column("k").to_numpy(zero_copy_only=False)[row]
             th = part.column("th").to_numpy(zero_copy_only=False)[row]
-            a, b = first - found.of_text[row], last - found.of_text[row]
             kept, gone = _repeats(h, k, th, a)
             kept.sort()
             yield _rows((h[kept] % np.uint64(buckets)).astype(np.int64), False, h[kept], k[kept], th[kept], a[kept], b[kept])
@@ -168,22 +198,25 @@ def repeated_runs(df: DataFrame, buckets: int, sentences: int, words: int, longe
         k, th, a, b = (np.concatenate([x[other], y]) for x, y in ((k, k2), (th, th2), (a, a2), (b, b2)))
         if not len(k):
             return
-        order = np.lexsort((b, a, th, k))
-        k, th, a, b = k[order], th[order], a[order], b[order]
-        cuts = np.concatenate([[0], np.flatnonzero((np.diff(k) != 0) | (np.diff(th) != 0)) + 1, [len(k)]])
-        both = np.stack([a, b], axis=1).astype("<i4")
-        packed = [both[x:y].tobytes() for x, y in zip(cuts[:-1], cuts[1:])]
-        yield pa.RecordBatch.from_arrays([pa.array(k[cuts[:-1]]), pa.array(th[cuts[:-1]]), pa.array(packed, pa.binary())], ["k", "th", "ranges"])
+        yield pa.RecordBatch.from_arrays([pa.array(k.astype(np.int64)), pa.array(th.astype(np.int64)), pa.array((a.astype(np.int64) << 32) | b)], ["k", "th", "range"])
+
+    return df.mapInArrow(spread, _ROWS).repartitionById(buckets, "bucket").mapInArrow(settle, "k bigint, th bigint, range bigint")
+
 
-    return df.mapInArrow(spread, _ROWS).repartitionById(buckets, "bucket").mapInArrow(settle, "k bigint, th bigint, ranges binary")
+def _covered(pairs: np.ndarray, n: int) -> np.ndarray:
+    """Which of n places lie in one of the stretches (first, last + 1)."""
+    edge = np.zeros(n + 1, dtype=np.int64)
+    np.add.at(edge, pairs[:, 0], 1)
+    np.add.at(edge, pairs[:, 1], -1)
+    return np.cumsum(edge)[:-1] > 0
 
 
 def remove_repeated_spans(
-    df: DataFrame, id_col: str = "doc_id", text_col: str = "text", sentences: int = 2, words: int = 25, longest: int = 20, counts: bool = True, rows_per_bucket: int = 4_000
+    df: DataFrame, id_col: str = "doc_id", text_col: str = "text", sentences: int = 2, words: int = 25, longest: int = 20, counts: bool = True, rows_per_bucket: int = 4_000, passage: int = 51, step: int = 7
 ) -> DataFrame:
-    """All rows and columns of `df`, the text without the sentences of repeated runs.
+    """All rows and columns of `df`, the text without the sentences of repeated runs and without repeated runs of words.
 
-    With `counts` the columns n_sentences and n_removed (long) follow; a column of that name must not exist. A text from
+    With `counts` the columns n_sentences and n_removed (long; sentences that lose words) follow; a column of that name must not exist. A text from
     which nothing goes stays as it is, byte for byte; one that loses everything becomes empty, a null text stays null.
     Rows with equal ids and texts count as one occurrence and are treated alike. A null id comes last in the order;
     ids that aren't whole numbers are ordered by a hash.
@@ -192,9 +225,9 @@ def remove_repeated_spans(
     order = F.coalesce(df[id_col].cast("long") if whole else F.xxhash64(df[id_col]), F.lit((1 << 63) - 1))
     buckets = max(8, -(-df.count() // rows_per_bucket))
     keys = df.select(order.alias("k"), F.xxhash64(df[text_col]).alias("th"), df[text_col].alias("t"))
-    gone = repeated_runs(keys, buckets, sentences, words, longest)
+    gone = repeated_runs(keys, buckets, sentences, words, longest, passage, step)
     # a text has a bounded number of runs
-    gone = gone.groupBy("k", "th").agg(F.array_join(F.collect_list(F.hex("ranges")), "").alias("_ranges"))
+    gone = gone.groupBy("k", "th").agg(F.collect_list("range").alias("_ranges"))
     columns = [f"_c{n}" for n in range(len(df.columns))]
     place = df.columns.index(text_col)
     named = df.select(*[df[c].alias(n) for c, n in zip(df.columns, columns)], order.alias("k"), F.xxhash64(df[text_col]).alias("th"))
@@ -210,14 +243,19 @@ def remove_repeated_spans(
             ranges = part.column("_ranges")
             made = None
             for i in np.flatnonzero(pc.is_valid(ranges).to_numpy(zero_copy_only=False)).tolist():
-                pairs = np.frombuffer(bytes.fromhex(ranges[i].as_py()), dtype="<i4").reshape(-1, 2)
-                edge = np.zeros(number[i] + 1, dtype=np.int64)
-                np.add.at(edge, pairs[:, 0], 1)
-                np.add.at(edge, pairs[:, 1], -1)
-                goes = np.cumsum(edge)[:-1] > 0
-                removed[i] = goes.sum()
-                s, e = found.start[found.of_text[i] : found.of_text[i + 1]], found.stop[found.of_text[i] : found.of_text[i + 1]]
-                kept = b"".join(flat[x:y].tobytes() for x, y in zip(s[~goes].tolist(), e[~goes].tolist()))
+                packed = ranges[i].values.to_numpy(zero_copy_only=False)
+                pairs = np.stack([packed >> 32, packed & 0xFFFFFFFF], axis=1)
+                start = found.word_start[found.word_of_text[i] : found.word_of_text[i + 1]]
+                opens = np.append(found.words[found.of_text[i] : found.of_text[i + 1]] - found.word_of_text[i], len(start))
+                sentence = pairs[:, 0] < _WORDS
+                goes = _covered(opens[pairs[sentence]], len(start))
+                word_runs = pairs[~sentence] - _WORDS
+                left = np.concatenate([[0], np.cumsum(~goes)])[word_runs]
+                goes |= _covered(word_runs[left[:, 1] - left[:, 0] >= longest], len(start))
+                removed[i] = np.logical_or.reduceat(goes, opens[:-1]).sum()
+                turns = np.flatnonzero(np.diff(np.concatenate([[True], goes, [True]]))).reshape(-1, 2)  # stretches of words that stay
+                edges = np.append(start, offsets[i + 1])
+                kept = b"".join(flat[x:y].tobytes() for x, y in edges[turns].tolist())
                 made = texts.to_pylist() if made is None else made
                 made[i] = kept.decode().rstrip() if goes[-1] else kept.decode()
             column = part.column(columns[place]) if made is None else pa.array(made, part.column(columns[place]).type, mask=pc.is_null(part.column(columns[place])).to_numpy(zero_copy_only=False))

@@ -149,6 +149,48 @@ def test_spans_equal_brute_force(spark, monkeypatch):
     assert sorted(((r.doc_id, r.text, r.n_sentences, r.n_removed) for r in made), key=repr) == sorted(spans_brute(rows, 2, 25, 20), key=repr)
 
 
+def kept_of_long_repeats(rows, made, least):
+    """Of each maximal run of `least` words or more that a text shares with an earlier one: words that stay, by text. Words here don't repeat by chance."""
+    seen, out = {}, []
+    for i, text in rows:
+        words, stays = text.split(), set(made[i].split())
+        own = [tuple(words[p : p + least]) for p in range(len(words) - least + 1)]
+        shared = [g in seen for g in own] + [False]
+        begin = None
+        for p, hit in enumerate(shared):
+            if hit and begin is None:
+                begin = p
+            if not hit and begin is not None:
+                out.append((i, sum(w in stays for w in words[begin : p - 1 + least])))
+                begin = None
+        for g in own:
+            seen.setdefault(g, i)
+    return out
+
+
+def test_long_repeats_go_wherever_sentences_are_cut(spark):
+    rng = random.Random(8)
+    fresh = (f"x{n}" for n in range(10**6))
+    rows, number = [], 0
+    for ends in (0, 0, 0, 0.02, 0.05):
+        for length in (51, 52, 60, 75, 120, 300):
+            passage = [next(fresh) + ("." if rng.random() < ends else "") for _ in range(length)]
+            for _ in range(3):
+                before, after = ([next(fresh) for _ in range(rng.randint(0, 90))] for _ in range(2))
+                rows.append((number, " ".join(before + passage + after)))
+                number += 1
+    made = {r.doc_id: r for r in spans.remove_repeated_spans(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    found = kept_of_long_repeats(rows, {i: r.text for i, r in made.items()}, 51)
+    assert len(found) == 60 and max(n for _, n in found) <= 50
+    assert all(made[i].n_removed > 0 for i, _ in found)
+    for n, (i, text) in enumerate(rows):
+        if n % 3 == 0:  # first occurrences stay, and of the others what stands around the passage
+            assert made[i].text == text and made[i].n_removed == 0
+        own = [w for w in text.split() if w not in rows[n - n % 3][1].split()]
+        kept = made[i].text.split()
+        assert n % 3 == 0 or [w for w in kept if w in set(own)] == own
+
+
 def test_spans_over_odd_rows(odd, odd_rows, empty):
     made = spans.remove_repeated_spans(odd, counts=False)
     assert made.columns == odd.columns and made.count() == len(odd_rows)
