@@ -3,8 +3,8 @@
 Words become template tokens: numbers, units and names turn into typed placeholders, other words are lower-cased and
 stripped of punctuation. Windows of template tokens are matched by hash between benchmark items and texts. For a text
 and an item, the slots behind the placeholders must be consistent: equal values of the item stand for equal values of
-the text throughout; windows with a slot against the majority don't count. A text leaks an item if the windows that
-count cover enough of the item's tokens - verbatim, or with other numbers, names and units.
+the text throughout an occurrence; windows with a slot against its majority don't count. A text leaks an item if the
+windows of one occurrence that count cover enough of the item's tokens - verbatim, or with other numbers, names and units.
 """
 
 from __future__ import annotations
@@ -83,11 +83,8 @@ class Item:
     value: np.ndarray  # of its words, as in Templates
 
 
-def judged(item: Item, size: int, doc_at: np.ndarray, item_at: np.ndarray, doc_value: np.ndarray) -> tuple[float, bool]:
-    """(share of the item's words that consistent windows cover, whether a slot has another value than the item's).
-
-    doc_value[window, k] is the value of the text's word k of each window.
-    """
+def _judged_together(item: Item, size: int, doc_at: np.ndarray, item_at: np.ndarray, doc_value: np.ndarray) -> tuple[float, bool, bool]:
+    """(share, whether slots differ, whether all windows count) of windows whose slots must agree with one another."""
     width = np.arange(min(size, len(item.value)))
     own = item.value[item_at[:, None] + width]
     slot = own != 0
@@ -101,7 +98,30 @@ def judged(item: Item, size: int, doc_at: np.ndarray, item_at: np.ndarray, doc_v
     covered = np.zeros(len(item.value), dtype=bool)
     for q in np.unique(item_at[good]).tolist():
         covered[q : q + len(width)] = True
-    return float(covered.mean()) if len(covered) else 0.0, any(a != b for a, b in chosen.items())
+    return float(covered.mean()) if len(covered) else 0.0, any(a != b for a, b in chosen.items()), bool(good.all())
+
+
+def judged(item: Item, size: int, doc_at: np.ndarray, item_at: np.ndarray, doc_value: np.ndarray) -> tuple[float, bool]:
+    """(share of the item's words that consistent windows cover, whether a slot has another value than the item's), of the best occurrence.
+
+    doc_value[window, k] is the value of the text's word k of each window. An occurrence is what has one alignment (place in
+    the text less place in the item), or alignments at most half an item apart, as words may be put in; or the whole text,
+    as an item may lie about in parts. Equal shares: the one with the item's own values.
+    """
+    share, differ, whole = _judged_together(item, size, doc_at, item_at, doc_value)
+    best, align = (share, not differ), doc_at - item_at
+    if not whole or differ:
+        order = np.argsort(align, kind="stable")
+        align, doc_at, item_at, doc_value = align[order], doc_at[order], item_at[order], doc_value[order]
+        each = np.unique(align)
+        tried = {(0, len(align))}
+        for slack in (0, max(size, len(item.value) // 2)):
+            for x, y in zip(np.searchsorted(align, each).tolist(), np.searchsorted(align, each + slack, side="right").tolist()):
+                if (x, y) not in tried:
+                    tried.add((x, y))
+                    share, differ, _ = _judged_together(item, size, doc_at[x:y], item_at[x:y], doc_value[x:y])
+                    best = max(best, (share, not differ))
+    return best[0], not best[1]
 
 
 @dataclass

@@ -218,6 +218,21 @@ def test_inconsistent_slots_do_not_count():
     assert part < whole
 
 
+def test_every_copy_of_a_question_is_judged_by_itself():
+    names = ["Carol", "Dave", "Erin", "Frank", "Grace", "Heidi", "Ivan", "Judy", "Mallory", "Oscar"]
+    rng = random.Random(3)
+    for copies in (1, 2, 3, 5, 10):
+        for more in ("", " of the very ripe kind"):
+            for _ in range(20):
+                texts = []
+                for _ in range(copies):
+                    a, b = rng.sample(names, 2)
+                    x, y = rng.sample(range(2, 99), 2)
+                    texts.append(f"so {a} has {x} apples and gives {b} {y} of them. How many apples{more} does {a} have now when {b} eats {y}?")
+                assert leaks([" ".join(texts)], 0.5 if more else 0.95) == {(0, 0, True)}
+    assert leaks(["Well. Carol has 99 apples and gives Dave 7 of them. How many apples does Carol have now when Dave eats 7? And. " + BENCH[0]]) == {(0, 0, False)}
+
+
 def test_both_ways_find_the_same(spark, odd, odd_rows, empty, monkeypatch):
     bench = spark.createDataFrame(list(enumerate(BENCH)), "item_id long, text string")
     texts = [(1, "So. " + BENCH[0]), (2, "Ben has 3 apples and gives Ann 5 of them. How many apples does Ben have now when Ann eats 5?"), (3, "clean words of no matter at all here"), (4, None), (5, BENCH[1]), (5, BENCH[1])]
