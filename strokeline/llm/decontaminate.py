@@ -16,9 +16,11 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark import Broadcast
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .store import written
 from .text_arrow import coded, hashes_of, mixed, row_of, slices, texts_of, words_of
 
 NUMBER, UNIT, NAME = 1, 2, 3
@@ -34,6 +36,8 @@ UNITS = (
 _STEP = mixed(np.arange(1, 65, dtype=np.uint64)) | np.uint64(1)
 #: Up to so many benchmark windows are broadcast (16 bytes each); more are joined by a shuffle.
 BROADCAST_WINDOWS = 1_000_000
+#: Size of the set of bits that tells which windows of a text a larger benchmark may hold.
+_KNOWN_BITS = 1 << 26
 
 
 @dataclass
@@ -204,7 +208,11 @@ def find_leaks(
     texts = df.select(df[id_col].alias("i"), df[text_col].alias("t"))
     schema = f"i {kind}, item {item_kind}, coverage double, reparameterised boolean"
     if known is None:
-        return _joined_leaks(texts, benchmark.select(F.col(item_col).alias("item"), F.col(item_text_col).alias("t")), size, literals, coverage, shortest).toDF(id_col, item_col, "coverage", "reparameterised")
+        items = benchmark.select(F.col(item_col).alias("item"), F.col(item_text_col).alias("t"))
+        found = _joined_leaks(texts, items, size, literals, coverage, shortest)
+        # each row of either side gives a pair of its own
+        found = found.join(items.select("item", _text_key(F.col("t")).alias("k")), "k").join(texts.select("i", _text_key(F.col("t")).alias("d")), "d")
+        return found.select("i", "item", "coverage", "reparameterised").toDF(id_col, item_col, "coverage", "reparameterised")
     shared = df.sparkSession.sparkContext.broadcast(known)
     item_type = pa.array([x.item_id for x in known.items]).type if known.items else pa.int64()
 
@@ -218,38 +226,52 @@ def find_leaks(
     return texts.mapInArrow(run, schema).toDF(id_col, item_col, "coverage", "reparameterised")
 
 
-def _window_rows(df: DataFrame, key: str, size: int, literals: int, shortest: int) -> DataFrame:
-    """key, n (words of the text), w (window size), p, h and v (values of the window's words) of every window of texts (key, t)."""
+def _text_key(text: Column) -> Column:
+    """128 bits of a text's digest. Equal texts leak the same items and are leaked alike, so each is judged once, and every row takes part by its key."""
+    return F.substring(F.unhex(F.sha2(F.coalesce(text, F.lit("")).cast("binary"), 256)), 1, 16)
+
+
+def _window_rows(df: DataFrame, size: int, literals: int, shortest: int, known: Broadcast | None = None) -> DataFrame:
+    """k, n (words of the text), w (window size), p, h and v (values of the window's words) of every window of texts (k, t); with `known`, of those that it may hold."""
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches, "t", 1 << 20):
             made = templates(texts_of(part, "t"))
             row, lengths = row_of(made.offsets), np.diff(made.offsets)
-            for width in range(shortest, size + 1):
+            for width in sorted({size, *range(shortest, size)}):
                 h, there = made.windows(width, min(literals, width))
+                if known is not None:
+                    low = (h & np.uint64(_KNOWN_BITS - 1)).astype(np.int64)
+                    there &= (known.value[low >> 3] >> (low & 7).astype(np.uint8)) & 1 == 1
                 at = np.flatnonzero(there)
                 if not len(at):
                     continue
                 values = made.value[at[:, None] + np.arange(width)].view(np.int64)
                 lists = pa.ListArray.from_arrays(pa.array(np.arange(0, len(at) * width + 1, width), pa.int32()), pa.array(values.ravel()))
                 yield pa.RecordBatch.from_arrays(
-                    [part.column(key).take(pa.array(row[at])), pa.array(lengths[row[at]]), pa.array(np.full(len(at), width, np.int32)), pa.array(at - made.offsets[row[at]]), pa.array(h[at].view(np.int64)), lists],
-                    [key, "n", "w", "p", "h", "v"],
+                    [part.column("k").take(pa.array(row[at])), pa.array(lengths[row[at]]), pa.array(np.full(len(at), width, np.int32)), pa.array(at - made.offsets[row[at]]), pa.array(h[at].view(np.int64)), lists],
+                    ["k", "n", "w", "p", "h", "v"],
                 )
 
-    return df.mapInArrow(run, f"{key} {df.schema[key].dataType.simpleString()}, n bigint, w int, p bigint, h bigint, v array<bigint>")
+    return df.mapInArrow(run, "k binary, n bigint, w int, p bigint, h bigint, v array<bigint>")
+
+
+def _known_windows(windows: DataFrame) -> Broadcast:
+    """A bit for each value that the last bits of the windows' hashes take: of one size, whatever the benchmark's."""
+    place = F.col("h").bitwiseAND(_KNOWN_BITS - 1)
+    parts = windows.select((place / 32_768).cast("int").alias("part"), (place % 32_768).alias("bit")).groupBy("part").agg(F.bitmap_construct_agg("bit").alias("bits"))
+    known = np.zeros(_KNOWN_BITS // 8, dtype=np.uint8)
+    for part, bits in parts.toLocalIterator():
+        known[part * 4096 : part * 4096 + 4096] = np.frombuffer(bits, dtype=np.uint8)
+    return windows.sparkSession.sparkContext.broadcast(known)
 
 
 def _joined_leaks(texts: DataFrame, items: DataFrame, size: int, literals: int, coverage: float, shortest: int) -> DataFrame:
-    """As the broadcast way, for a benchmark of any size: windows meet in a shuffled join, then each pair of text and item is judged."""
-    docs = texts.select(F.struct("i", F.xxhash64("t").alias("x")).alias("d"), "t")
-    kind = texts.schema["i"].dataType.simpleString()
-    item_kind = items.schema["item"].dataType.simpleString()
-    flat = docs.select(F.col("d.i").alias("i"), F.col("d.x").alias("x"), "t")
-    left = _window_rows(flat.select(F.to_json(F.struct("i", "x")).alias("d"), "t"), "d", size, literals, shortest).select("d", "w", F.col("p").alias("dp"), "h", F.col("v").alias("dv"))
-    own = items.withColumn("t", F.coalesce("t", F.lit("")))
-    right = _window_rows(own, "item", size, literals, shortest).where(f"w = least(n, {size})").select("item", "n", "w", F.col("p").alias("ip"), "h", F.col("v").alias("iv"))
-    met = left.join(right, ["h", "w"])
+    """d and k (keys of a text and of an item's text), coverage and reparameterised of each leak of texts `t` and items `t`, for a benchmark of any size: windows meet in a shuffled join, then each pair is judged."""
+    keyed = lambda df: df.select(F.coalesce("t", F.lit("")).alias("t")).distinct().select(_text_key(F.col("t")).alias("k"), "t")
+    right = written(_window_rows(keyed(items), size, literals, shortest).where(f"w = least(n, {size})"), "benchmark-windows")
+    left = _window_rows(keyed(texts), size, literals, shortest, _known_windows(right))
+    met = left.select(F.col("k").alias("d"), "w", F.col("p").alias("dp"), "h", F.col("v").alias("dv")).join(right.select("k", "n", "w", F.col("p").alias("ip"), "h", F.col("v").alias("iv")), ["h", "w"])
 
     def judge(rows):
         import pandas as pd
@@ -260,19 +282,21 @@ def _joined_leaks(texts: DataFrame, items: DataFrame, size: int, literals: int,
             value[p : p + w] = np.asarray(v, dtype=np.int64).view(np.uint64)
         doc = np.stack([np.asarray(v, dtype=np.int64).view(np.uint64) for v in rows["dv"]])
         share, differ = judged(Item(None, value), w, rows["dp"].to_numpy(), rows["ip"].to_numpy(), doc)
-        return pd.DataFrame({"d": [rows["d"].iloc[0]], "item": [rows["item"].iloc[0]], "coverage": [share], "reparameterised": [differ]})
+        return pd.DataFrame({"d": [rows["d"].iloc[0]], "k": [rows["k"].iloc[0]], "coverage": [share], "reparameterised": [differ]})
 
     # a group is one text and one item
-    made = met.groupBy("d", "item").applyInPandas(judge, f"d string, item {item_kind}, coverage double, reparameterised boolean").where(F.col("coverage") >= coverage)
-    return made.select(F.from_json("d", f"i {kind}, x bigint")["i"].alias("i"), "item", "coverage", "reparameterised")
+    return met.groupBy("d", "k").applyInPandas(judge, "d binary, k binary, coverage double, reparameterised boolean").where(F.col("coverage") >= coverage)
 
 
 def drop_leaks(df: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", size: int = 8, literals: int = 4, coverage: float = 0.5, shortest: int = 4) -> DataFrame:
     """The rows of `df`, all columns as they are, that leak no item."""
     known = _benchmark(benchmark, item_col, item_text_col, size, literals, shortest)
     if known is None:
-        found = find_leaks(df, benchmark, id_col, text_col, item_col, item_text_col, size, literals, coverage, shortest).select(F.col(id_col).alias("_leak")).distinct()
-        return df.join(found, df[id_col].eqNullSafe(found["_leak"]), "left_anti")
+        texts, items = df.select(df[text_col].alias("t")), benchmark.select(F.col(item_text_col).alias("t"))
+        found = _joined_leaks(texts, items, size, literals, coverage, shortest).select(F.col("d").alias("_leak")).distinct()
+        named = df.toDF(*[f"c{n}" for n in range(len(df.columns))])
+        kept = named.withColumn("_d", _text_key(F.col(f"c{df.columns.index(text_col)}"))).join(found, F.col("_d") == F.col("_leak"), "left_anti")
+        return kept.drop("_d").toDF(*df.columns)
     shared, place = df.sparkSession.sparkContext.broadcast(known), df.columns.index(text_col)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

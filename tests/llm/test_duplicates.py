@@ -245,3 +245,16 @@ def test_both_ways_find_the_same(spark, odd, odd_rows, empty, monkeypatch):
     monkeypatch.setattr(decontaminate, "BROADCAST_WINDOWS", 0)
     assert sorted(set(map(tuple, decontaminate.find_leaks(docs, bench).collect()))) == sorted(set(few))
     assert sorted(r.doc_id for r in decontaminate.drop_leaks(docs, bench).collect()) == [3, 4]
+
+
+def test_both_ways_find_equal_rows(spark, monkeypatch):
+    bench = spark.createDataFrame([(1, BENCH[0]), (1, BENCH[1]), (1, BENCH[1]), (None, BENCH[0]), (None, "Seven small boats sail to the far harbour before the storm comes."), (3, "Six old owls hoot."), (4, None)], "item_id long, text string")
+    clean = "clean words of no matter at all here"
+    texts = [(1, "So. " + BENCH[0]), (1, clean), (1, "So. " + BENCH[0]), (None, clean), (None, BENCH[1]), (None, None), (2, "seven small boats sail to the far harbour before the storm comes. Six old owls hoot."), (5, BENCH[1]), (5, BENCH[1]), (6, clean)]
+    docs = spark.createDataFrame(texts, "doc_id long, text string")
+    both = []
+    for limit in (decontaminate.BROADCAST_WINDOWS, 0):
+        monkeypatch.setattr(decontaminate, "BROADCAST_WINDOWS", limit)
+        both.append([sorted(map(repr, map(tuple, df.collect()))) for df in (decontaminate.find_leaks(docs, bench), decontaminate.drop_leaks(docs, bench))])
+    assert both[0] == both[1]
+    assert len(both[0][0]) == 2 * 2 + 3 * 2 + 2 and both[0][1] == sorted(map(repr, [(1, clean), (None, clean), (None, None), (6, clean)]))
