@@ -101,3 +101,22 @@ def gathered(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     ends = np.cumsum(lengths)
     total = int(ends[-1]) if len(ends) else 0
     return np.arange(total, dtype=np.int64) + np.repeat(starts.astype(np.int64) - (ends - lengths), lengths)
+
+
+def squeezed(values: np.ndarray) -> bytes:
+    """Whole numbers from 0 on, byte planes of them compressed: small and sorted numbers take little room."""
+    if values.dtype != np.uint8:
+        values = values.astype("<u8")
+    width = values.dtype.itemsize
+    planes = np.ascontiguousarray(values.view(np.uint8).reshape(-1, width).T)
+    used = max(1, int(np.flatnonzero(planes.any(axis=1)).max(initial=0)) + 1)
+    data = planes[:used].tobytes()
+    return bytes([used]) + len(values).to_bytes(7, "little") + (pa.compress(data, codec="zstd", asbytes=True) if data else b"")
+
+
+def unsqueezed(data: bytes) -> np.ndarray:
+    used, size = data[0], int.from_bytes(data[1:8], "little")
+    made = np.zeros((size, 8), dtype=np.uint8)
+    if size:
+        made[:, :used] = np.frombuffer(pa.decompress(data[8:], decompressed_size=used * size, codec="zstd", asbytes=True), dtype=np.uint8).reshape(used, size).T
+    return made.view("<u8").ravel()

@@ -66,48 +66,74 @@ def test_quality_verdicts(spark, odd, empty):
     assert quality.quality_verdicts(quality.text_stats(empty), none).collect() == []
 
 
-def lm_brute(rows, trains, prior):
+def lm_brute(rows, trains, priors):
+    """Scores by n-gram counters: no hashes, blocks, states or arcs."""
     tokens = [re.findall(WORD, "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in t or "")) + ["\0end"] for _, t, *_ in rows]
-    one, two, states = Counter(), Counter(), Counter()
+    grams, one, starts = Counter(), Counter(), 0
     for ts, train in zip(tokens, trains):
         if train:
+            starts += 1
             one.update(ts)
-            before = ["\0start", *ts[:-1]]
-            two.update(zip(before, ts))
-            states.update(before)
+            line = ["\0start", *ts]
+            grams.update(tuple(line[n : n + k]) for k in range(2, len(priors) + 2) for n in range(len(line) - k + 1))
     n, v = sum(one.values()), len(one)
+
+    def p(history, w):
+        if not history:
+            return (one[w] + 1) / (n + v + 1)
+        prior, seen = priors[len(history) - 1], grams[history] if len(history) > 1 else starts if history == ("\0start",) else one[history[0]]
+        return (grams[(*history, w)] + prior * p(history[1:], w)) / (seen + prior)
+
     out = []
     for (i, *_), ts in zip(rows, tokens):
+        line = ["\0start", *ts]
         base = sum(math.log10((one[w] + 1) / (n + v + 1)) for w in ts)
-        score = sum(math.log10((two[h, w] + prior * (one[w] + 1) / (n + v + 1)) / (states[h] + prior)) for h, w in zip(["\0start", *ts[:-1]], ts))
+        score = sum(math.log10(p(tuple(line[max(0, k - len(priors)) : k]), line[k])) for k in range(1, len(line)))
         out.append((i, len(ts), sum(one[w] > 0 for w in ts), n, base, score))
     return out
 
 
-def test_language_model_equals_brute_force(odd, odd_rows, monkeypatch):
+@pytest.mark.parametrize("priors", [(5.0,), (5.0, 2.0), (5.0, 2.0, 0.5)])
+def test_language_model_equals_brute_force(odd, odd_rows, monkeypatch, priors):
     monkeypatch.setattr(lm, "BLOCK_BYTES", 2_000)
     trains = [i is None or zlib.crc32(str(i).encode()) % 7 != 2 for i, *_ in odd_rows]
-    made = lm.score_texts(odd, F.coalesce(remainder("doc_id", 7) != 2, F.lit(True)), prior=5.0).collect()
-    expected = lm_brute(odd_rows, trains, 5.0)
+    made = lm.score_texts(odd, F.coalesce(remainder("doc_id", 7) != 2, F.lit(True)), order=len(priors) + 1, prior=priors).collect()
+    expected = lm_brute(odd_rows, trains, priors)
     key = lambda r: (repr(r[0]), r[1], round(r[5], 6))
     for mine, right in zip(sorted(map(tuple, made), key=key), sorted(expected, key=key), strict=True):
         assert mine[:4] == right[:4] and mine[4] == pytest.approx(right[4]) and mine[5] == pytest.approx(right[5])
 
 
+def automaton_of(texts, training, order, prior):
+    tokens, offsets, hashes = lm.tokens_of(pa.array(texts))
+    block = lm.Block.of(tokens, offsets, hashes, np.array(training), order)
+    counts = [x.own.astype(np.int64) for x in block.levels]
+    return block, lm.Automaton(block, counts, int(counts[0].sum()), int((counts[0] > 0).sum()), sum(training), (prior,) * (order - 1))
+
+
 @pytest.mark.parametrize("order", [1, 2, 3])
 def test_language_model_is_normalised(order):
     rng = random.Random(1)
     texts = [" ".join(rng.choice("abc") for _ in range(rng.randint(0, 6))) for _ in range(40)]
     vocabulary = ["a", "b", "c"]
     probes = [" ".join(["a", "b", w]) for w in [*vocabulary, "new"]] + ["a b"]
-    block = lm.Block.of(pa.array(texts + probes), np.array([True] * len(texts) + [False] * len(probes)), order)
-    counts = [c.astype(np.int64) for c in block.counts]
-    machine = lm.Automaton(block, counts, int(counts[0].sum()), int((counts[0] > 0).sum()), len(texts), 3.0)
-    weights = 10 ** machine.weights()
+    block, machine = automaton_of(texts + probes, [True] * len(texts) + [False] * len(probes), order, 3.0)
+    weights = 10 ** machine.read(block.tokens, block.offsets)
     third = [weights[block.offsets[len(texts) + n] + 2] for n in range(5)]  # a, b, c, an unknown word and the end, after "a b"
     assert sum(third) == pytest.approx(1.0)
 
 
+def test_lanes_of_a_long_text_read_as_one_traversal(monkeypatch):
+    rng = random.Random(2)
+    texts = [" ".join(rng.choice("abcdefg") for _ in range(n)) for n in (0, 1, 700, 1, 33)]
+    block, machine = automaton_of(texts, [True, False, True, True, False], 3, 1.0)
+    whole = machine.read(block.tokens, block.offsets)
+    monkeypatch.setattr(lm, "_LANE", 5)
+    assert np.allclose(machine.read(block.tokens, block.offsets), whole)
+    # the failure arcs of a state lead to the state without the context's first word
+    assert machine.fail[lm.ROOT] == machine.fail[lm.START] == lm.ROOT and (machine.fail_weight[1:] <= 0).all()
+
+
 def test_language_model_of_an_empty_table(empty):
     assert lm.score_texts(empty, F.lit(True)).collect() == []
 
