@@ -139,7 +139,7 @@ def test_language_model_of_an_empty_table(empty):
 
 
 def test_forward_sums_all_segmentations():
-    vocabulary = langid.Vocabulary(["▁", "▁a", "a", "b", "ab", "ba", "▁ab", "c"], longest=3)
+    vocabulary = langid.Vocabulary(["▁", "▁a", "a", "b", "ab", "ba", "▁ab", "c"])
     p = np.random.default_rng(0).random((vocabulary.size, 2))
     place = {x: n for n, x in enumerate(vocabulary.pieces)}
 
@@ -157,9 +157,41 @@ def test_forward_sums_all_segmentations():
     assert np.allclose(counts[place["▁a"]], whole / (whole + apart)) and np.allclose(counts[place["a"]], apart / (whole + apart))
 
 
+def test_words_of_any_length_over_the_whole_vocabulary():
+    vocabulary = langid.sentencepiece_vocabulary(f"{TOKENIZERS}/piece_bpe_32k.model")
+    longest = max(map(len, vocabulary.pieces))
+    assert vocabulary.size > 30_000 and vocabulary.longest == longest > 8
+    p = np.random.default_rng(0).dirichlet(np.ones(vocabulary.size) * 0.1, size=2).T + 1e-9
+    place = {x: n for n, x in enumerate(vocabulary.pieces)}
+
+    def log_total(word, g):
+        sums = [0.0]
+        for end in range(1, len(word) + 1):
+            terms = [sums[end - n] + math.log(p[place[word[end - n : end]], g]) for n in range(1, min(longest, end) + 1) if word[end - n : end] in place]
+            if word[end - 1] not in place:
+                terms.append(sums[end - 1] + math.log(p[vocabulary.unknown, g]))
+            sums.append(max(terms) + math.log(sum(math.exp(t - max(terms)) for t in terms)))
+        return sums[-1]
+
+    texts = ["information", "international", "x" * 31, "understanding" * 4, "donaudampfschifffahrtsgesellschaft", "ab" * 300, "\U0001f600", "constitutional" * 50]
+    words = ["▁" + t for t in texts]
+    expected = np.array([[log_total(w, g) for g in (0, 1)] for w in words])
+    assert np.allclose(langid.word_log_likelihoods(pa.array(words), vocabulary, p), expected)
+    # expected counts are the slope of the likelihood: the pieces of all segmentations, weighted, make up the word
+    counts = langid.expected_counts(pa.array(words), np.ones((len(words), 2)), vocabulary, p)
+    sizes = np.array([*map(len, vocabulary.pieces), 1])
+    assert np.allclose(sizes @ counts, sum(map(len, words)))
+
+
+def test_too_many_languages_are_an_error(spark):
+    docs = spark.createDataFrame([(n, "a text", f"l{n}") for n in range(12)], "doc_id long, text string, lang string")
+    with pytest.raises(ValueError, match="more than 10"):
+        langid.train_languages(docs, langid.Vocabulary(["a"]), max_languages=10)
+
+
 def test_hash_table_of_pieces_finds_exactly_the_vocabulary():
     pieces = [f"{a}{b}{c}" for a in "abcdefgh" for b in "▁ijklmn" for c in "opqrstuv"]
-    vocabulary = langid.Vocabulary(pieces, longest=3)
+    vocabulary = langid.Vocabulary(pieces)
     points, offsets = langid._code_points(pa.array(pieces + ["zzz", "ab", "iop"]))
     value, key = langid._scrambled(points), np.zeros(len(pieces) + 3, dtype=np.uint64)
     for n in range(3):
