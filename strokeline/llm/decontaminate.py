@@ -3,7 +3,8 @@
 Words become template tokens: numbers, units and names turn into typed placeholders, other words are lower-cased and
 stripped of punctuation. Windows of template tokens are matched by hash between benchmark items and texts. For a text
 and an item, the slots behind the placeholders must be consistent: equal values of the item stand for equal values of
-the text throughout an occurrence; windows with a slot against its majority don't count. A text leaks an item if the
+the text throughout an occurrence; windows with a slot against its majority don't count. A window with too few words of
+its own to be a template is matched word by word instead. A text leaks an item if the
 windows of one occurrence that count cover enough of the item's tokens - verbatim, or with other numbers, names and units.
 """
 
@@ -47,16 +48,22 @@ class Templates:
     offsets: np.ndarray
 
     def windows(self, size: int, literals: int) -> tuple[np.ndarray, np.ndarray]:
-        """(hash of the window at each place, whether there is one): it lies in one text and has enough words of its own."""
+        """(hash of the window at each place, whether there is one, that is, whether it lies in one text).
+
+        A window with fewer than `literals` words of its own stands for itself, not for others of its form.
+        """
         n = len(self.token)
-        key = np.zeros(n, dtype=np.uint64)
+        key, own = np.zeros(n, dtype=np.uint64), np.zeros(n, dtype=np.uint64)
         plain = np.concatenate([[0], np.cumsum(self.value == 0)])
         for k in range(min(size, n)):
             key[: n - k] += self.token[k:] * _STEP[k]
+            own[: n - k] += (self.token[k:] ^ self.value[k:]) * _STEP[k]
         row = row_of(self.offsets)
         there = np.zeros(n, dtype=bool)
         if n >= size:
-            there[: n - size + 1] = (row[: n - size + 1] == row[size - 1 :]) & (plain[size:] - plain[:-size] >= literals)
+            few = plain[size:] - plain[:-size] < literals
+            key[: n - size + 1][few] = own[: n - size + 1][few] ^ _STEP[-1]
+            there[: n - size + 1] = row[: n - size + 1] == row[size - 1 :]
         return mixed(key), there
 
 
@@ -130,19 +137,24 @@ def judged(item: Item, size: int, doc_at: np.ndarray, item_at: np.ndarray, doc_v
 
 @dataclass
 class Benchmark:
-    """Windows of all items, sorted by hash; items shorter than a window count whole, by their own length."""
+    """Windows of all items, sorted by hash; items shorter than a window count whole, by their own length.
+
+    Of an item of fewer than `shortest` words only a text that is nothing else is a leak: "yes" is in too many texts.
+    """
 
     size: int
     literals: int
+    shortest: int
     items: list[Item]
     by_size: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]]  # window size: (hashes, items, places)
+    item_type: pa.DataType = pa.int64()
 
     @classmethod
     def of(cls, ids: list, texts: pa.Array, size: int, literals: int, shortest: int) -> Benchmark:
         made = templates(texts)
         items, found = [], defaultdict(list)
         lengths = np.diff(made.offsets)
-        for width in sorted({size, *[int(n) for n in lengths if shortest <= n < size]}):
+        for width in sorted({size, *[int(n) for n in lengths if 0 < n < size]}):
             key, there = made.windows(width, min(literals, width))
             for i, (a, b) in enumerate(zip(made.offsets[:-1].tolist(), made.offsets[1:].tolist())):
                 if width == min(size, b - a):
@@ -152,7 +164,7 @@ class Benchmark:
         for width, rows in found.items():
             rows.sort()
             by_size[width] = (np.array([r[0] for r in rows], dtype=np.uint64), np.array([r[1] for r in rows], dtype=np.int64), np.array([r[2] for r in rows], dtype=np.int64))
-        return cls(size, literals, items, by_size)
+        return cls(size, literals, shortest, items, by_size)
 
     def leaks(self, texts: pa.Array, coverage: float) -> list[tuple[int, int, float, bool]]:
         """(text, item, covered share, slots differ) of each leak."""
@@ -160,6 +172,8 @@ class Benchmark:
         row = row_of(made.offsets)
         for width, (hashes, item, place) in self.by_size.items():
             key, there = made.windows(width, min(self.literals, width))
+            if width < self.shortest:
+                there &= (np.diff(made.offsets) == width)[row]
             near = np.zeros(1 << 20, dtype=bool)
             near[hashes >> np.uint64(44)] = True
             at = np.flatnonzero(there & near[key >> np.uint64(44)])
@@ -192,7 +206,9 @@ def _benchmark(benchmark: DataFrame, item_col: str, text_col: str, size: int, li
         return None
     table = benchmark.select(F.col(item_col).alias("i"), F.coalesce(text_col, F.lit("")).alias("t")).orderBy("i", "t").toArrow()
     texts = pa.concat_arrays([pa.array([], pa.string()), *[c.cast(pa.string()) for c in table.column("t").chunks]])
-    return Benchmark.of(table.column("i").to_pylist(), texts, size, literals, shortest)
+    known = Benchmark.of(table.column("i").to_pylist(), texts, size, literals, shortest)
+    known.item_type = table.column("i").type
+    return known
 
 
 def find_leaks(
@@ -200,8 +216,8 @@ def find_leaks(
 ) -> DataFrame:
     """Pairs of id and item with coverage (double, of the item's words) and reparameterised (boolean), for each row that leaks an item.
 
-    Null and empty texts leak nothing, and items of fewer than `shortest` words or without `literals` words of their own
-    in any window cannot be found. Rows that repeat an id give a pair each; null ids and items stay null.
+    Null and empty texts leak nothing. Items of fewer than `shortest` words are found where they are the whole text, and
+    windows with fewer than `literals` words of their own (all numbers, say) only as they are, not as templates. Rows that repeat an id give a pair each; null ids and items stay null.
     """
     known = _benchmark(benchmark, item_col, item_text_col, size, literals, shortest)
     kind, item_kind = df.schema[id_col].dataType.simpleString(), benchmark.schema[item_col].dataType.simpleString()
@@ -214,13 +230,12 @@ def find_leaks(
         found = found.join(items.select("item", _text_key(F.col("t")).alias("k")), "k").join(texts.select("i", _text_key(F.col("t")).alias("d")), "d")
         return found.select("i", "item", "coverage", "reparameterised").toDF(id_col, item_col, "coverage", "reparameterised")
     shared = df.sparkSession.sparkContext.broadcast(known)
-    item_type = pa.array([x.item_id for x in known.items]).type if known.items else pa.int64()
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches, "t"):
             found = shared.value.leaks(texts_of(part, "t"), coverage)
             at = pa.array([f[0] for f in found], pa.int64())
-            items = pa.array([shared.value.items[f[1]].item_id for f in found], item_type)
+            items = pa.array([shared.value.items[f[1]].item_id for f in found], shared.value.item_type)
             yield pa.RecordBatch.from_arrays([part.column("i").take(at), items, pa.array([f[2] for f in found], pa.float64()), pa.array([f[3] for f in found], pa.bool_())], ["i", "item", "coverage", "reparameterised"])
 
     return texts.mapInArrow(run, schema).toDF(id_col, item_col, "coverage", "reparameterised")
@@ -238,8 +253,10 @@ def _window_rows(df: DataFrame, size: int, literals: int, shortest: int, known:
         for part in slices(batches, "t", 1 << 20):
             made = templates(texts_of(part, "t"))
             row, lengths = row_of(made.offsets), np.diff(made.offsets)
-            for width in sorted({size, *range(shortest, size)}):
+            for width in range(1, size + 1):
                 h, there = made.windows(width, min(literals, width))
+                if width < shortest:
+                    there &= (lengths == width)[row]
                 if known is not None:
                     low = (h & np.uint64(_KNOWN_BITS - 1)).astype(np.int64)
                     there &= (known.value[low >> 3] >> (low & 7).astype(np.uint8)) & 1 == 1

@@ -2,7 +2,7 @@
 
 `learn_decision_list` runs sequential covering: each rule is grown on two thirds of the training rows by adding the
 threshold condition with the best information gain, pruned on the other third, and kept if it is precise enough there;
-the rows it covers leave the training set. The list is applied as one Spark CASE expression, rule after rule.
+the rows it covers leave the training set. A rule that fails is grown again on another deal of the rows. The list is applied as one Spark CASE expression, rule after rule.
 """
 
 from __future__ import annotations
@@ -209,54 +209,69 @@ def _grow(rows: dict[str, np.ndarray], bad: np.ndarray, features: list[str], cut
     return chosen
 
 
-def _prune(conditions: list[Condition], rows: dict[str, np.ndarray], bad: np.ndarray) -> list[Condition]:
+def _pruned(conditions: list[Condition], rows: dict[str, np.ndarray], bad: np.ndarray) -> list[list[Condition]]:
+    """The beginnings of a rule, from the one that tells best on the pruning rows."""
+
     def worth(k: int) -> float:
         held = np.logical_and.reduce([c.holds(rows) for c in conditions[:k]])
         p, n = int((held & bad).sum()), int((held & ~bad).sum())
         return (p - n) / (p + n) if p + n else -1.0
 
-    return conditions[: max(range(1, len(conditions) + 1), key=lambda k: (worth(k), -k))] if conditions else []
+    return [conditions[:k] for k in sorted(range(1, len(conditions) + 1), key=lambda k: (-worth(k), k))]
 
 
 def learn_decision_list(
     rows: dict[str, np.ndarray], bad: np.ndarray, features: list[str] | None = None, min_precision: float = 0.9, min_covered: int = 4, max_rules: int = 16, cuts: int = 64, longest: int = 4
 ) -> DecisionList:
-    """Rules for `bad` rows. A rule whose precision on the pruning rows is below `min_precision` ends the list."""
+    """Rules for `bad` rows, precise to `min_precision` on all rows left and on the pruning rows.
+
+    Three deals of the rows are tried for each rule, and of each grown rule all beginnings; the list ends where none is precise enough.
+    """
     features = features or list(rows)
     rules: list[Rule] = []
     left = np.ones(len(bad), dtype=bool)
-    while len(rules) < max_rules and (left & bad).sum() >= min_covered:
+
+    def found() -> Rule | None:
         at = np.flatnonzero(left)
-        third = at % 3 == len(rules) % 3
-        grow, prune = at[~third], at[third]
-        conditions = _grow({f: rows[f][grow] for f in features}, bad[grow], features, cuts, longest)
-        conditions = _prune(conditions, {f: rows[f][prune] for f in features}, bad[prune])
-        if not conditions:
-            break
-        held = left & np.logical_and.reduce([c.holds(rows) for c in conditions])
-        p, n = int((held & bad).sum()), int(held.sum())
-        on_prune = held[prune]
-        tested = int(on_prune.sum())
-        if n < min_covered or p < min_precision * n or (tested and (bad[prune] & on_prune).sum() < min_precision * tested):
+        for deal in range(3):
+            third = at % 3 == (len(rules) + deal) % 3
+            grow, prune = at[~third], at[third]
+            grown = _grow({f: rows[f][grow] for f in features}, bad[grow], features, cuts, longest)
+            for conditions in _pruned(grown, {f: rows[f][prune] for f in features}, bad[prune]):
+                held = left & np.logical_and.reduce([c.holds(rows) for c in conditions])
+                p, n, tested = int((held & bad).sum()), int(held.sum()), int(held[prune].sum())
+                if n >= min_covered and p >= min_precision * n and (bad[prune] & held[prune]).sum() >= min_precision * tested:
+                    return Rule(tuple(conditions), n, p)
+        return None
+
+    while len(rules) < max_rules and (left & bad).sum() >= min_covered:
+        rule = found()
+        if rule is None:
             break
-        rules.append(Rule(tuple(conditions), n, p))
-        left &= ~held
+        rules.append(rule)
+        left &= ~rule.holds(rows)
     return DecisionList(tuple(rules))
 
 
+def base_failed() -> Column:
+    """Fewer than 10 words, or over 20 % of them in repeated windows."""
+    return (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))
+
+
 def train_quality(stats: DataFrame, labels: DataFrame, id_col: str = "doc_id", label_col: str = "quality", max_training_rows: int = 20_000, **settings) -> DecisionList:
-    """Learns a decision list for label 0 from labelled statistics.
+    """Learns a decision list for label 0 from labelled statistics of the rows that `base_failed` leaves to the list.
 
-    At most about `max_training_rows` labelled rows are used, chosen by a hash of the id; only their counts, not their
-    texts, come to the driver. Null labels and null ids don't train.
+    About `max_training_rows` rows are used at most, chosen by a hash of id and statistics; only their counts, not their
+    texts, come to the driver. Null labels and null ids don't train, an id with several labels has its lowest, and rows
+    alike in everything train once, however often an id is repeated.
     """
-    joined = labels.where(labels[label_col].isNotNull() & labels[id_col].isNotNull()).select(labels[id_col].alias(id_col), labels[label_col].alias("_label"))
-    there = joined.count()
+    marked = labels.where(labels[label_col].isNotNull() & labels[id_col].isNotNull()).groupBy(F.col(id_col)).agg(F.min(label_col).alias("_label"))
+    made = stats.where(~base_failed()).join(marked, id_col).select(id_col, "_label", *STATS).distinct()
+    there = made.count()
     slots = 1 << 40
     if there > max_training_rows:
-        joined = joined.where(F.pmod(F.xxhash64(F.col(id_col)), F.lit(slots)) < int(slots * max_training_rows / there))
-    made = stats.join(joined, id_col).select(id_col, "_label", *STATS, *[c.alias(n) for n, c in ratio_columns().items()])
-    table = made.toPandas().sort_values([id_col, *STATS, "_label"], kind="stable")
+        made = made.where(F.pmod(F.xxhash64(id_col, *STATS), F.lit(slots)) < int(slots * max_training_rows / there))
+    table = made.select("*", *[c.alias(n) for n, c in ratio_columns().items()]).toPandas().sort_values([id_col, *STATS, "_label"], kind="stable")
     features = [*RATIOS, "n_words", "n_symbols", "n_dup_lines", "n_repeat_words"]
     rows = {f: table[f].to_numpy(dtype=float) for f in features}
     # training rows are dealt to the grow and prune sets by place, so their order must not follow the id
@@ -266,6 +281,5 @@ def train_quality(stats: DataFrame, labels: DataFrame, id_col: str = "doc_id", l
 
 def quality_verdicts(stats: DataFrame, rules: DecisionList) -> DataFrame:
     """The statistics with base_failed (n_words < 10, or over 20 % repeated words) and kept (boolean)."""
-    base = (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words"))
-    made = stats.withColumns(ratio_columns()).withColumn("base_failed", base)
+    made = stats.withColumns(ratio_columns()).withColumn("base_failed", base_failed())
     return made.withColumn("kept", ~F.col("base_failed") & rules.kept())

@@ -37,10 +37,10 @@ def _small(rows: DataFrame, records: list[dict], schema: str) -> DataFrame:
 
 
 class KdSharder:
-    """Splits rows (`size`, `dims`: an array of doubles, `text_hash`, `row_hash`) into shards, level by level."""
+    """Splits rows (`size`, `dims`: an array of doubles, `text_hash`, `row_hash`, `node`: 1) into shards, level by level."""
 
     def __init__(self, rows: DataFrame, dimensions: int, shards: int, exact_rows: int):
-        self.rows, self.dimensions, self.exact_rows = rows.withColumn("node", F.lit(1).cast("long")), dimensions, exact_rows
+        self.rows, self.dimensions, self.exact_rows = rows, dimensions, exact_rows
         self.nodes = {1: Node(shards, 0)}
         self.open = [1] if shards > 1 else []
 
@@ -143,18 +143,21 @@ def shard_by_kd_tree(
     Give `shards`, or `target_bytes` for as many shards as leaves of that size need. A row's size is its text in UTF-8
     plus `overhead`, a null text having no bytes and the crc32 0. The dimensions are the logarithm of the size and the
     `metadata` columns, each by a hash that spreads its values; null is a value of its own. Rows of one text stay
-    together unless a cut falls into a group of copies; rows alike in everything are dealt by their ids, and repeated
-    rows by chance of their order. Slots number a shard's rows from 0 without gaps.
+    together unless a cut falls into a group of copies; rows alike in everything are dealt by their ids, and rows whose
+    ids are equal or null too by a number of their own. Slots number a shard's rows from 0 without gaps.
     """
     unit = lambda column: F.pmod(F.xxhash64(column), F.lit(1 << 20)).cast("double")
     size = (F.coalesce(F.octet_length(text_col), F.lit(0)) + overhead).cast("long")
     crc = F.coalesce(F.crc32(F.col(text_col).cast("binary")), F.lit(0)).cast("long")
+    # 32 bits of the id and 32 that tell rows alike apart; fixed by the writing that follows
+    own = F.xxhash64(F.col(id_col).cast("string"), F.lit(17)).bitwiseAND(F.lit(-1 << 32)).bitwiseOR(F.xxhash64(F.monotonically_increasing_id()).bitwiseAND(F.lit((1 << 32) - 1)))
     rows = df.select(
         df[id_col].alias("i"),
         size.alias("size"),
         crc.alias("crc"),
         F.xxhash64(text_col).alias("text_hash"),
-        F.xxhash64(F.col(id_col).cast("string"), F.lit(17)).alias("row_hash"),
+        own.alias("row_hash"),
+        F.lit(1).cast("long").alias("node"),
         F.array(*[unit(c) for c in metadata], F.floor(F.log2(size)).cast("double")).alias("dims"),
     )
     rows = written(rows, "shard-rows")

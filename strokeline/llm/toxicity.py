@@ -26,7 +26,6 @@ from .text_arrow import coded, row_of, slices, texts_of, words_of
 WORD, STEM, FUZZY = 1, 2, 3
 STEM_LENGTHS = (4, 5, 6, 7)
 CONTEXT = 8
-LONGEST = 24
 OPENING, CLOSING = "\"“„«'‘", "\"”“»'’"
 #: A misspelling counts as this part of the word; training rows with misspellings are too few to learn it.
 MISSPELLED = 0.8
@@ -56,10 +55,10 @@ class Lexicon:
     ordinary: frozenset[str] = frozenset()
 
     def __post_init__(self) -> None:
-        self.root = Node()
+        self.root, self.depth = Node(), max(map(len, self.terms), default=0)
         for i, (term, kind) in enumerate(zip(self.terms, self.kinds)):
             node, path = self.root, [self.root]
-            for ch in term[:LONGEST]:
+            for ch in term:
                 node = node.children.setdefault(ch, Node())
                 path.append(node)
             if kind == WORD:
@@ -69,23 +68,28 @@ class Lexicon:
             else:
                 node.stem = i
 
+    def __reduce__(self):
+        return Lexicon, (self.terms, self.kinds, self.weights, self.ordinary)  # the trie is built anew where it is used
+
     def matches(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-        """(kind, entry) of each distinct word, kind 0 where the lexicon has nothing near; an exact word wins over a stem, a stem over a misspelling."""
-        n = len(words)
+        """(kind, entry) of each distinct word of any length, kind 0 where the lexicon has nothing near; an exact word wins over a stem, a stem over a misspelling."""
+        n, k = len(words), self.root.reach
         kind, entry, far = np.zeros(n, dtype=np.int8), np.full(n, -1, dtype=np.int32), np.full(n, 99, dtype=np.int8)
-        cut = pc.utf8_slice_codeunits(words, 0, LONGEST + 3)
-        lengths = pc.utf8_length(cut).to_numpy(zero_copy_only=False).astype(np.int64)
-        k = self.root.reach
-        width = LONGEST + 3 + 2 * k + 2
-        letters = np.zeros((n, width), dtype=np.uint32)  # letter j of a word stands in column j + k
-        flat = np.frombuffer("".join(cut.to_pylist()).encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
-        row = np.repeat(np.arange(n), lengths)
-        letters[row, np.arange(len(flat)) - np.repeat(np.cumsum(lengths) - lengths, lengths) + k + 1] = flat
+        lengths = pc.utf8_length(words).to_numpy(zero_copy_only=False).astype(np.int64)
+        # a word that is longer than every term and its misspellings is told by its length, so no more letters are read
+        cut = pc.utf8_slice_codeunits(words, 0, self.depth + k + 1)
+        read = np.minimum(lengths, self.depth + k + 1)
+        letters = np.append(np.frombuffer("".join(cut.to_pylist()).encode("utf-32-le", "surrogatepass"), dtype=np.uint32), np.uint32(0))
+        begin = np.cumsum(read) - read
         band = np.full((n, 2 * k + 1), 9, dtype=np.int8)
         for b in range(k, 2 * k + 1):
             band[:, b] = b - k  # distance of the empty path to the word's first b - k letters
 
-        def visit(node: Node, depth: int, alive: np.ndarray, band: np.ndarray) -> None:
+        shortest = min((len(t) for t in self.terms), default=99) - k
+        start = np.flatnonzero(lengths >= max(1, shortest))
+        open_ = [(self.root, 0, start, band[start])] if len(start) and self.terms else []
+        while open_:
+            node, depth, alive, band = open_.pop()
             if node.stem >= 0:
                 hit = alive[(band[:, k] == 0) & (lengths[alive] >= depth) & (kind[alive] != WORD)]
                 kind[hit], entry[hit] = STEM, node.stem
@@ -98,29 +102,27 @@ class Lexicon:
                 hit = (d <= limit) & ((d == 0) | (kind[alive] == 0) | ((kind[alive] == FUZZY) & (d < far[alive])))
                 at = alive[hit]
                 kind[at], entry[at], far[at] = np.where(d[hit] == 0, WORD, FUZZY), node.word, d[hit]
+            # the word's letter in each column of the band, 0 beyond its ends
+            column = [letters[np.where(j <= read[alive], begin[alive] + j - 1, -1)] if (j := depth + 1 - k + b) >= 1 else None for b in range(2 * k + 1)]
+            below = []
             for ch, child in node.children.items():
                 step = np.full_like(band, 9)
                 for b in range(2 * k + 1):
                     j = depth + 1 - k + b  # the word's letters read so far in this column
-                    same = letters[alive, j + k] == ord(ch) if j >= 1 else np.zeros(len(alive), dtype=bool)
-                    best = band[:, b] + (~same).astype(np.int8) if j >= 1 else np.full(len(alive), 9, dtype=np.int8)
-                    if j == 0:
-                        best = np.full(len(alive), depth + 1, dtype=np.int8)
+                    if j < 0:
+                        continue
+                    best = band[:, b] + (column[b] != ord(ch)).astype(np.int8) if j else np.full(len(alive), min(depth + 1, 9), dtype=np.int8)
                     if b < 2 * k:
                         best = np.minimum(best, band[:, b + 1] + 1)
                     if b:
                         best = np.minimum(best, step[:, b - 1] + 1)
-                    step[:, b] = best if j >= 0 else 9
+                    step[:, b] = np.minimum(best, 9)
                 lasting = step.min(axis=1) <= child.reach
                 if child.reach == 0:
                     lasting = step[:, k] == 0
                 if lasting.any():
-                    visit(child, depth + 1, alive[lasting], step[lasting])
-
-        shortest = min((len(t) for t in self.terms), default=99) - k
-        start = np.flatnonzero(lengths >= max(1, shortest))
-        if len(start) and self.terms:
-            visit(self.root, 0, start, band[start])
+                    below.append((child, depth + 1, alive[lasting], step[lasting]))
+            open_ += reversed(below)
         if self.ordinary:
             near = np.flatnonzero(kind == FUZZY)
             for i, form in zip(near.tolist(), words.take(pa.array(near)).to_pylist()):
@@ -189,6 +191,9 @@ class ToxicityModel:
         return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
 
 
+_NOTHING_LEARNED = ToxicityModel(Lexicon([], [], []), np.zeros(len(FEATURES)), np.ones(len(FEATURES)), np.zeros(len(FEATURES)), -30.0)
+
+
 def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0, rounds: int = 25) -> tuple[np.ndarray, float]:
     """Ridge logistic regression by Newton steps: (weights, bias)."""
     design = np.hstack([x, np.ones((len(x), 1))])
@@ -233,7 +238,7 @@ def _terms(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = []
 
 
-def learn_lexicon(sample: DataFrame, toxic: int, other: int, max_terms: int = 200, min_share: float = 0.02, min_log_odds: float = 2.5) -> Lexicon:
+def learn_lexicon(sample: DataFrame, toxic: int, other: int, max_terms: int = 300, min_share: float = 0.01, min_log_odds: float = 2.0) -> Lexicon:
     """The terms that labelled texts (columns t, y) with y = 1 have far more often than the others."""
     least = max(5, math.ceil(min_share * toxic))
     counts = sample.mapInArrow(_terms, "e string, k int, p bigint, n bigint").groupBy("e", "k").agg(F.sum("p").alias("p"), F.sum("n").alias("n"))
@@ -264,7 +269,7 @@ def train_toxicity(
     """Learns lexicon and weights from the labelled rows that `where` (over `labels`) admits.
 
     Of each label about `max_training_docs` rows are used, chosen by a hash of the id: a bounded training sample. Rows
-    with a null label or id don't train. Without rows of both labels every text gets the score 0.
+    with a null label or id don't train. Without documents of both labels every text gets a score of almost 0.
     """
     spark = df.sparkSession
     marked = labels.where(labels[label_col].isNotNull() & labels[id_col].isNotNull())
@@ -273,14 +278,16 @@ def train_toxicity(
     marked = marked.select(labels[id_col].alias("i"), (labels[label_col] == 1).cast("int").alias("y"))
     there = {r["y"]: r["c"] for r in marked.groupBy("y").agg(F.count("*").alias("c")).collect()}
     if len(there) < 2:
-        return ToxicityModel(Lexicon([], [], []), np.zeros(len(FEATURES)), np.ones(len(FEATURES)), np.zeros(len(FEATURES)), -30.0)
+        return _NOTHING_LEARNED
     slots = 1 << 40
     share = F.create_map(*[F.lit(x) for y in there for x in (y, min(slots, int(slots * max_training_docs / there[y])))])
     marked = marked.where(F.pmod(F.xxhash64("i"), F.lit(slots)) < share[F.col("y")])
     # the sampled labels are narrow rows bounded by max_training_docs, so the texts stay where they are
     sample = written(df.select(df[id_col].alias("i"), df[text_col].alias("t")).join(F.broadcast(marked), "i").select("i", "t", "y"), "toxicity-sample")
     size = {r["y"]: r["c"] for r in sample.groupBy("y").agg(F.count("*").alias("c")).collect()}
-    lexicon = learn_lexicon(sample, size.get(1, 0), size.get(0, 0))
+    if len(size) < 2:
+        return _NOTHING_LEARNED
+    lexicon = learn_lexicon(sample, size[1], size[0])
     shared = spark.sparkContext.broadcast(lexicon)
 
     def near(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -290,8 +297,8 @@ def train_toxicity(
             kind, _ = shared.value.matches(distinct)
             yield pa.RecordBatch.from_arrays([distinct.take(pa.array(np.flatnonzero(kind == FUZZY)))], ["e"])
 
-    # forms near a term in harmless rows of the bounded sample
-    forms = [r["e"] for r in sample.where("y = 0").mapInArrow(near, "e string").distinct().limit(100_000).collect()]
+    # forms near a term in harmless rows: distinct words of the bounded sample, so the sample bounds them
+    forms = [r["e"] for r in sample.where("y = 0").mapInArrow(near, "e string").distinct().collect()]
     lexicon = Lexicon(lexicon.terms, lexicon.kinds, lexicon.weights, frozenset(forms))
     final = spark.sparkContext.broadcast(lexicon)
 
@@ -305,7 +312,7 @@ def train_toxicity(
     x, y = rows[list(FEATURES)].to_numpy(), rows["y"].to_numpy().astype(float)
     centre, spread = x.mean(axis=0), np.maximum(x.std(axis=0), 1e-9)
     weights, bias = logistic((x - centre) / spread, y)
-    bias += math.log(there[1] / there[0]) - math.log(max(size[1], 1) / max(size[0], 1))  # back from the sample's share of labels to the table's
+    bias += math.log(there[1] / there[0]) - math.log(size[1] / size[0])  # back from the sample's share of labels to the table's
     return ToxicityModel(lexicon, centre, spread, weights, bias)
 
 
