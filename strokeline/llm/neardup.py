@@ -15,7 +15,6 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from .components import connected_components
 from .sketch import band_keys, fingerprints, overlap, packed, shingle_sets, sketches, unpacked
@@ -123,8 +122,10 @@ def _grouped(df: DataFrame, id_col: str, text_col: str, shingle: int, percent: i
     spark = df.sparkSession
     texts = df.select(df[id_col].alias("i"), F.xxhash64(df[text_col]).alias("th"), df[text_col].alias("t"))
     signed = written(sign(texts, shingle, bands, rows), "signed")
-    nodes = signed.where("node is not null").groupBy("node").agg(F.min("i").alias("label"), F.any_value("keys").alias("keys"))
-    nodes = written(nodes, "nodes")
+    # a node is known by its least id, and its set is read from the least row: one with an id, if any has one
+    rows_alike = signed.where("node is not null").groupBy("node", "i", "th").agg(F.count("*").alias("copies"), F.any_value("keys").alias("keys"))
+    least_row = F.min(F.struct(F.col("i").isNull().alias("no"), "i", "th", "copies")).alias("row")
+    nodes = written(rows_alike.groupBy("node").agg(least_row, F.any_value("keys").alias("keys")).select("node", F.col("row.i").alias("label"), "row", "keys"), "nodes")
     placed = nodes.select("node", F.explode("keys").alias("key"))
     shared = placed.groupBy("key").agg(F.count("*").alias("m")).where("m > 1")
     met = written(placed.join(shared, "key"), "met")
@@ -133,8 +134,11 @@ def _grouped(df: DataFrame, id_col: str, text_col: str, shingle: int, percent: i
     centres = met.join(meets, "node").groupBy("key").agg(F.max(F.struct("meets", "node")).alias("top")).select("key", F.col("top.node").alias("centre"))
     buckets = written(met.join(centres, "key"), "buckets")
 
-    involved = buckets.select("node").distinct().join(nodes.select("node", "label"), "node")
-    sets = written(_sets(texts.join(involved, F.col("i").eqNullSafe(F.col("label"))).select("node", "t"), shingle), "sets")
+    involved = written(buckets.select("node").distinct().join(nodes.select("node", F.col("row.i").alias("_i"), F.col("row.th").alias("_th"), F.col("row.copies").alias("copies")), "node"), "involved")
+    found = texts.join(involved, F.col("i").eqNullSafe(F.col("_i")) & (F.col("th") == F.col("_th"))).select("node", "t", "copies")
+    if not involved.where("copies > 1").isEmpty():  # rows alike in id and text: one of them
+        found = found.where("copies = 1").union(found.where("copies > 1").groupBy("node").agg(F.first("t"), F.first("copies")))
+    sets = written(_sets(found.select("node", "t"), shingle), "sets")
     star = buckets.where("node <> centre").select(F.col("node").alias("a"), F.col("centre").alias("b")).distinct()
     links = written(_verified(star, sets, percent), "links")
     first = written(connected_components(links), "components")
@@ -159,7 +163,7 @@ def _grouped(df: DataFrame, id_col: str, text_col: str, shingle: int, percent: i
     out = signed.select("i", "th", "n", "node").join(named, "node", "left")
     component = F.when(F.col("node").isNull(), F.col("i")).otherwise(F.col("component_id"))
     out = written(out.select("i", "th", "n", "node", component.alias("c")), "near-duplicates")
-    dropped(spark, signed, nodes, met, buckets, sets, open_members)
+    dropped(spark, signed, nodes, met, buckets, involved, sets, open_members)
     return out
 
 
@@ -192,12 +196,17 @@ def keep_representatives(
     first = F.min(F.struct(F.col("i").isNull().alias("no"), "i", "th")).alias("of")
     # a group whose ids are all null is known by its set
     linked = found.where("node is not null").groupBy("c", F.when(F.col("c").isNull(), F.col("node")).alias("own")).agg(first)
-    winners = linked.select(F.col("of.i").alias("_i"), F.col("of.th").alias("_th"), F.lit(False).alias("_all"))
-    winners = winners.union(found.where("node is null").select("i", "th", F.lit(True)).distinct())
+    winners = linked.select(F.col("of.i").alias("_i"), F.col("of.th").alias("_th"))
+    copies = found.where("node is not null").groupBy(F.col("i").alias("_i"), F.col("th").alias("_th")).agg(F.count("*").alias("copies"))
+    winners = winners.alias("w").join(copies.alias("c"), F.expr("w._i <=> c._i and w._th = c._th")).select("w._i", "w._th", "copies")
+    blank = found.where("node is null").groupBy(F.col("i").alias("_i"), F.col("th").alias("_th")).agg(F.lit(0).cast("long").alias("copies"))
+    winners = written(winners.union(blank), "winners")
     names = [f"c{n}" for n in range(len(df.columns))]
     place = {c: names[n] for n, c in enumerate(df.columns)}
-    named = df.toDF(*names)
-    keyed = named.withColumns({"_row_i": F.col(place[id_col]), "_row_th": F.xxhash64(place[text_col])})
-    joined = keyed.join(winners, F.col("_row_i").eqNullSafe(F.col("_i")) & F.col("_row_th").eqNullSafe(F.col("_th")))
-    number = F.row_number().over(Window.partitionBy("_row_i", "_row_th").orderBy(F.lit(1)))
-    return joined.withColumn("_n", number).where("_n = 1 or _all").select(*names).toDF(*df.columns)
+    keyed = df.toDF(*names).withColumns({"_row_i": F.col(place[id_col]), "_row_th": F.xxhash64(place[text_col])})
+    joined = keyed.join(winners, F.col("_row_i").eqNullSafe(F.col("_i")) & (F.col("_row_th") == F.col("_th")))
+    kept = joined.where("copies < 2").select(*names)
+    if not winners.where("copies > 1").isEmpty():  # one of the rows alike, combined in the tasks
+        one = joined.where("copies > 1").groupBy("_row_i", "_row_th").agg(F.first(F.struct(*names)).alias("row"))
+        kept = kept.union(one.select("row.*"))
+    return kept.toDF(*df.columns)

@@ -74,6 +74,21 @@ def test_one_row_of_each_group_stays(spark, odd, odd_rows, empty):
     assert neardup.keep_representatives(empty).collect() == [] and neardup.near_duplicates(empty).collect() == []
 
 
+def test_many_rows_of_one_id_and_of_none(spark):
+    """Intermediate rows grow with the rows, not with the square of those that share an id."""
+    rng = random.Random(4)
+    word = lambda: f"w{rng.randrange(4000)}"
+    base = [word() for _ in range(60)]
+    rows = [(None, " ".join(base[:50] + [word() for _ in range(n % 7)])) for n in range(1500)] + [(7, " ".join(base))] * 1500 + [(None, None), (8, "")] * 50
+    rows += [(100 + n, " ".join(word() for _ in range(30))) for n in range(20)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    made = neardup.near_duplicates(docs, shingle=3, percent=85, bands=24, rows=5).collect()
+    assert len(made) == len(rows) and {r.component_id for r in made if r.doc_id == 7} == {7}
+    kept = neardup.keep_representatives(docs, shingle=3, percent=85, bands=24, rows=5).groupBy("doc_id", "text").count().collect()
+    assert sum(r["count"] for r in kept if r.doc_id == 7) == 1 and sum(r["count"] for r in kept if not r.text) == 100
+    assert sum(r["count"] for r in kept if (r.doc_id or 0) >= 100) == 20
+
+
 def test_sketches_fill_and_estimate():
     rng = np.random.default_rng(0)
     for size in (1, 3, 50, 3000):
@@ -110,9 +125,11 @@ def sentences(text, longest):
 
 
 def spans_brute(rows, k, w, longest):
+    """Each row is an occurrence of its own; rows alike in id and text come one after the other."""
     first, gone = {}, defaultdict(set)
-    order = sorted({(i is None, i, t) for i, t in rows if t is not None}, key=lambda r: (r[0], r[1] if r[1] is not None else 0))
-    for none, i, text in order:
+    order = sorted((n for n, (_, t) in enumerate(rows) if t is not None), key=lambda n: (rows[n][0] is None, rows[n][0] or 0, n))
+    for n in order:
+        text = rows[n][1]
         parts = sentences(text, longest)
         upto = [0]
         for s in parts:
@@ -121,15 +138,15 @@ def spans_brute(rows, k, w, longest):
         runs |= {(next((a for a in range(b - k, -1, -1) if upto[b] - upto[a] >= w), None), b) for b in range(1, len(parts) + 1)}
         for a, b in sorted(r for r in runs if None not in r):
             key = tuple(text[x:y].translate(LOWER) for s in parts[a:b] for x, y in s)
-            if first.setdefault(key, (none, i, text, a)) != (none, i, text, a):
-                gone[none, i, text] |= set(range(a, b))
+            if first.setdefault(key, (n, a)) != (n, a):
+                gone[n] |= set(range(a, b))
     out = []
-    for i, text in rows:
+    for n, (i, text) in enumerate(rows):
         if text is None:
             out.append((i, None, 0, 0))
             continue
-        parts, bad = sentences(text, longest), gone.get((i is None, i, text), set())
-        kept = text if not bad else "".join(text[s[0][0] : parts[n + 1][0][0] if n + 1 < len(parts) else len(text)] for n, s in enumerate(parts) if n not in bad)
+        parts, bad = sentences(text, longest), gone.get(n, set())
+        kept = text if not bad else "".join(text[s[0][0] : parts[m + 1][0][0] if m + 1 < len(parts) else len(text)] for m, s in enumerate(parts) if m not in bad)
         out.append((i, kept.rstrip() if len(parts) - 1 in bad else kept, len(parts), len(bad)))
     return out
 
@@ -145,8 +162,21 @@ def test_spans_equal_brute_force(spark, monkeypatch):
             own.insert(rng.randint(0, len(own)), rng.choice(passages))
         rows.append((n, " ".join(own)))
     rows += [rows[0], (500, rows[3][1]), (None, passages[0]), (501, None), (502, ""), (503, passages[1].upper() + " " + passages[1])]
-    made = spans.remove_repeated_spans(spark.createDataFrame(rows, "doc_id long, text string"), rows_per_bucket=10).collect()
-    assert sorted(((r.doc_id, r.text, r.n_sentences, r.n_removed) for r in made), key=repr) == sorted(spans_brute(rows, 2, 25, 20), key=repr)
+    for remembered, partitions in ((1 << 19, 4096), (40, 3)):
+        monkeypatch.setattr(spans, "_REMEMBERED", remembered)
+        monkeypatch.setattr(spans, "MAX_PARTITIONS", partitions)
+        made = spans.remove_repeated_spans(spark.createDataFrame(rows, "doc_id long, text string"), rows_per_bucket=10).collect()
+        assert sorted(((r.doc_id, r.text, r.n_sentences, r.n_removed) for r in made), key=repr) == sorted(spans_brute(rows, 2, 25, 20), key=repr)
+
+
+def test_rows_alike_lose_their_repeats(spark):
+    long_ = ". ".join(" ".join(f"w{n}x{k}" for k in range(15)) for n in range(4)) + "."
+    short = "Two short sentences. Under twenty five words."
+    rows = [(3, long_)] * 3 + [(None, "z " + long_)] * 2 + [(9, short), (9, short), (10, short)]
+    made = sorted((r.doc_id is None, r.doc_id or 0, r.text) for r in spans.remove_repeated_spans(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    assert made == [(False, 3, ""), (False, 3, ""), (False, 3, long_), (False, 9, short), (False, 9, short), (False, 10, short), (True, 0, ""), (True, 0, "z w0x0 w0x1 w0x2 w0x3 w0x4 w0x5 w0x6 w0x7 w0x8 w0x9 w0x10 w0x11 w0x12 w0x13 w0x14.")]
+    with pytest.raises(ValueError, match="n_removed"):
+        spans.remove_repeated_spans(spark.createDataFrame([(1, "a", 2)], "doc_id long, text string, n_removed long"))
 
 
 def kept_of_long_repeats(rows, made, least):
@@ -233,6 +263,13 @@ def test_every_copy_of_a_question_is_judged_by_itself():
     assert leaks(["Well. Carol has 99 apples and gives Dave 7 of them. How many apples does Carol have now when Dave eats 7? And. " + BENCH[0]]) == {(0, 0, False)}
 
 
+def test_short_and_numeric_items(spark):
+    bench = pa.array(["yes", "What is love?", "3 1 4 1 5 9 2 6 5 3 5 8 9 7 9", "12 30"])
+    made = decontaminate.Benchmark.of([0, 1, 2, 3], bench, 8, 4, 4)
+    texts = ["Yes.", "yes it is", "what is love", "they ask what is love today", "digits: 3 1 4 1 5 9 2 6 5 3 5 8 9 7 9 end", "digits: 2 7 1 8 2 8 1 8 2 8 4 5 9 0 4 end", "12 30", "13 30"]
+    assert {(r[0], r[1]) for r in made.leaks(pa.array(texts), 0.5)} == {(0, 0), (2, 1), (4, 2), (6, 3)}
+
+
 def test_both_ways_find_the_same(spark, odd, odd_rows, empty, monkeypatch):
     bench = spark.createDataFrame(list(enumerate(BENCH)), "item_id long, text string")
     texts = [(1, "So. " + BENCH[0]), (2, "Ben has 3 apples and gives Ann 5 of them. How many apples does Ben have now when Ann eats 5?"), (3, "clean words of no matter at all here"), (4, None), (5, BENCH[1]), (5, BENCH[1])]
