@@ -1,4 +1,4 @@
-"""Thresholds of the drawing profile `piping_isometric@1.0.0`, in pixels and degrees of a page."""
+"""Thresholds of the drawing profile, in pixels and degrees of a page."""
 
 from __future__ import annotations
 
@@ -7,7 +7,7 @@ from dataclasses import dataclass, field
 
 @dataclass(frozen=True)
 class Profile:
-    # geometry
+    # Fixed values, to the end of the class: geometry
     min_line_length: float = 12.0
     max_residual: float = 2.5
     min_r_squared: float = 0.92

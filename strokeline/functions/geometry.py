@@ -55,7 +55,7 @@ def line_delta(a: Column, b: Column) -> Column:
 
 
 def triad(rotation: Column) -> Column:
-    """The three axes of an isometric drawing turned by `rotation`: vertical, iso_a, iso_b."""
+    """The three axes, 60 degrees apart, turned by `rotation`; without a turn the first is vertical."""
     return F.array(*[F.pmod(rotation + F.lit(step), F.lit(180.0)) for step in (90.0, 30.0, 150.0)])
 
 

@@ -105,11 +105,24 @@ def swapped(documents: DataFrame, requests: DataFrame) -> DataFrame:
     return met.select("document_id", "request_id", F.when(F.col("request_id") == winner, "published").otherwise("conflict").alias("outcome"), F.row_number().over(w).alias("arrival"))
 
 
-def lineage(spark, revisions: DataFrame, depth: int = 64) -> DataFrame:
-    """revision_id, root and depth of each revision, by following parents level by level; a level is one join."""
-    roots = revisions.where("parent_id is null").select("revision_id", F.col("revision_id").alias("root"), F.lit(0).alias("depth"))
-    found, last = roots, roots
-    for level in range(1, depth + 1):
-        last = revisions.alias("c").join(last.select(F.col("revision_id").alias("parent_id"), "root"), "parent_id").select("revision_id", "root", F.lit(level).alias("depth"))
-        found = found.union(last)
-    return found
+def lineage(revisions: DataFrame, folder: str) -> DataFrame:
+    """revision_id, root and depth of each revision (revision_id, parent_id) that reaches one without a parent, however deep.
+
+    Each round doubles the distance over which a revision knows its ancestor, so rounds grow with the logarithm of the
+    depth; every round is written to `folder`, which all executors share. Revisions whose ancestors are unknown, or go
+    round in a circle, are left out: no round settles any of them.
+    """
+    spark = revisions.sparkSession
+    now = revisions.select("revision_id", F.coalesce("parent_id", "revision_id").alias("up"), F.col("parent_id").isNotNull().cast("int").alias("depth"), F.col("parent_id").isNull().alias("done"))
+    round_, left = 0, None
+    while True:
+        path = f"{folder}/lineage-{round_}"
+        now.write.mode("overwrite").parquet(path)
+        now, before = spark.read.parquet(path), left
+        left = now.where("not done").count()
+        if not left or left == before:
+            return now.where("done").select("revision_id", F.col("up").alias("root"), "depth")
+        above = now.select(F.col("revision_id").alias("up"), F.col("up").alias("_up"), F.col("depth").alias("_depth"), F.col("done").alias("_done"))
+        met = now.where("not done").join(above, "up").select("revision_id", F.col("_up").alias("up"), (F.col("depth") + F.col("_depth")).alias("depth"), F.col("_done").alias("done"))
+        now = now.where("done").unionByName(met)
+        round_ += 1

@@ -28,13 +28,14 @@ def node_kind(degree: Column, bend: Column, profile: Profile = PROFILE) -> Colum
 def connected_components(edges: DataFrame, nodes: DataFrame, folder: str, node: str = "id", page: str = "document_id") -> DataFrame:
     """node, page and component (smallest node id it reaches) of all nodes; edges have page, a and b.
 
-    Labels spread to neighbours and then jump to their label's label, until none changes; every round is written to
+    Labels spread to neighbours and then jump to their label's label, until none changes, whatever number of rounds that takes; every round is written to
     `folder`, which all executors share.
     """
     spark = edges.sparkSession
     both = edges.select(page, "a", "b").union(edges.select(page, F.col("b").alias("a"), F.col("a").alias("b")))
     labels = nodes.select(page, F.col(node).alias("node"), F.col(node).alias("component"))
-    for round_ in range(64):
+    round_, changing = 0, True
+    while changing:
         spread = both.join(labels.select(page, F.col("node").alias("b"), F.col("component").alias("near")), [page, "b"]).groupBy(page, "a").agg(F.min("near").alias("near"))
         lower = labels.join(spread.withColumnRenamed("a", "node"), [page, "node"], "left").select(page, "node", "component", F.least("component", F.coalesce("near", "component")).alias("low"))
         jump = lower.select(page, F.col("node").alias("low"), F.col("low").alias("lower"))
@@ -43,8 +44,8 @@ def connected_components(edges: DataFrame, nodes: DataFrame, folder: str, node:
         after.write.mode("overwrite").parquet(path)
         written = spark.read.parquet(path)
         labels = written.drop("changed")
-        if written.where("changed").isEmpty():
-            break
+        changing = not written.where("changed").isEmpty()
+        round_ += 1
     return labels
 
 

@@ -21,14 +21,13 @@ def votes(primitives: DataFrame, profile: Profile = PROFILE, page: str = "docume
 def axis_models(primitives: DataFrame, profile: Profile = PROFILE, page: str = "document_id") -> DataFrame:
     """page, total, rotation and confidence: the rotation of 360 half degrees whose axes the votes fit best, the smallest of equal ones.
 
-    Votes of one page and angle are summed first, so the rows that meet the 360 rotations are as few as the angles are.
-    Scores are rounded before they are compared: rotations 60 degrees apart are equal but for float noise.
+    Rotations 60 degrees apart fit alike, so the best of the first 120 half degrees is the smallest best one; a vote
+    counts for those within 12 degrees of it, and meets no others. Scores are rounded before they are compared.
     """
     cast = votes(primitives, profile, page)
     total = cast.groupBy(page).agg(F.sum("weight").alias("total")).where(F.col("total") >= profile.min_primitive_length)
-    # 0.5 degrees of angle would merge votes; the angle itself is the key
-    by_angle = cast.groupBy(page, "angle").agg(F.sum("weight").alias("weight"))
-    turned = by_angle.withColumn("step", F.explode(F.sequence(F.lit(0), F.lit(359)))).withColumn("rotation", F.col("step") * F.lit(0.5))
+    near = F.sequence(F.ceil((F.col("angle") - 42.0) * 2), F.floor((F.col("angle") - 18.0) * 2))
+    turned = cast.withColumn("step", F.explode(near)).withColumn("rotation", F.pmod("step", F.lit(120)) * F.lit(0.5))
     d = G.triad_delta(F.col("angle"), F.col("rotation"))
     scored = turned.groupBy(page, "rotation").agg(F.round(F.sum(F.when(d <= 12.0, F.col("weight") * (1 - d / 12.0)).otherwise(0.0)), 6).alias("score"))
     best = scored.groupBy(page).agg(F.max(F.struct(F.col("score"), (-F.col("rotation")).alias("turn"))).alias("best"))

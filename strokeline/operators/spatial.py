@@ -48,11 +48,26 @@ def segment_pairs(segments: DataFrame, cell: float, page: str = "document_id", i
     return met.where(own[0] & own[1]).select(F.col("p.s").alias("a"), F.col("q.s").alias("b"))
 
 
+def _may_cross(a: str, b: str) -> Column:
+    """Whether neither segment, made longer by 5 % at both ends, lies on one side of the other's line: a few products, before a crossing is computed."""
+
+    def apart(s: str, t: str) -> Column:
+        x0, y0 = F.col(f"{s}.x0"), F.col(f"{s}.y0")
+        dx, dy = F.col(f"{s}.x1") - x0, F.col(f"{s}.y1") - y0
+        u = dx * (F.col(f"{t}.y0") - y0) - dy * (F.col(f"{t}.x0") - x0)
+        v = dx * (F.col(f"{t}.y1") - y0) - dy * (F.col(f"{t}.x1") - x0)
+        return (1.05 * u - 0.05 * v) * (1.05 * v - 0.05 * u) > 0
+
+    return ~apart(a, b) & ~apart(b, a)
+
+
 def interior_intersections(segments: DataFrame, proximity: float, cell: float = 64.0, page: str = "document_id", ident: str = "id") -> DataFrame:
     """Crossings of segments inside both (up to 2 % beyond an end) and further than `proximity` from all four ends: a, b, x, y."""
     pairs = segment_pairs(segments, cell, page, ident, reach=proximity)
-    at = G.crossing("a", "b")
-    made = pairs.withColumns({"x": at["x"], "y": at["y"], "ta": at["ta"], "tb": at["tb"]}).where("x is not null and ta between -0.02 and 1.02 and tb between -0.02 and 1.02")
+    # the crossing is long: as the one row of an array it is computed once, not in every filter that reads it
+    at = F.explode(F.array(F.struct(*[c.alias(n) for n, c in G.crossing("a", "b").items()])))
+    made = pairs.where(_may_cross("a", "b")).select("a", "b", at.alias("_at")).select("a", "b", "_at.x", "_at.y", "_at.ta", "_at.tb")
+    made = made.where("x is not null and ta between -0.02 and 1.02 and tb between -0.02 and 1.02")
     for side in ("a", "b"):
         for end in ("0", "1"):
             made = made.where(G.squared(F.col("x"), F.col("y"), F.col(f"{side}.x{end}"), F.col(f"{side}.y{end}")) > proximity * proximity)

@@ -10,6 +10,7 @@ from ..operators import association, graph, spatial
 from ..sources.shared import new_folder
 from ..sources.tables import BOXES_SQL, POINTS_SQL, SEGMENTS_SQL, boxes, points, segments, table
 from . import spatial as pages
+from . import stages
 from .registry import ORACLES, query
 
 
@@ -18,13 +19,13 @@ def callout_relationships(spark: SparkSession, folder: str) -> DataFrame:
     return association.relationships(pages.annotation_targets(spark, folder), "callout_targets", "annotation_id", "ann_")
 
 
-@query(f"""WITH t AS (SELECT id AS text_id FROM ({BOXES_SQL}) WHERE kind='dimension'), w AS (SELECT text_id, witness_id, witness_id % 3 AS arrows FROM ({ORACLES["witness_lines"]})), m AS (SELECT t.text_id, w.witness_id, w.arrows, w.witness_id % 5=0 AS hit FROM t LEFT JOIN w USING (text_id))
+@query(f"""WITH t AS (SELECT id AS text_id FROM ({BOXES_SQL}) WHERE kind='dimension'), w AS (SELECT text_id, witness_id, witness_id % 3 AS arrows FROM ({ORACLES["witness_lines"]})), m AS (SELECT t.text_id, w.witness_id, w.arrows, hit IS NOT NULL AS hit FROM t LEFT JOIN w USING (text_id) LEFT JOIN (SELECT DISTINCT dimension_id AS hit FROM ({ORACLES["dimension_targets"]})) ON hit=witness_id)
 SELECT text_id, 'dimension.no_witness_line' AS code FROM m WHERE witness_id IS NULL UNION ALL SELECT text_id, 'dimension.missing_arrow' FROM m WHERE arrows=0 UNION ALL SELECT text_id, 'association.unresolved' FROM m WHERE witness_id IS NOT NULL AND NOT hit""")
 def dimension_reviews(spark: SparkSession, folder: str) -> DataFrame:
-    """Review codes of dimension texts; every fifth segment counts as one with a target, every third as one without arrows."""
+    """Review codes of dimension texts, whose witness lines measure what `dimension_targets` finds; a third of the lines have no arrows."""
     texts = boxes(spark, folder).where("kind = 'dimension'").select(F.col("id").alias("text_id"))
     witnesses = pages.witness_lines(spark, folder).select("text_id", "witness_id", (F.col("witness_id") % 3).alias("arrows"))
-    return association.dimension_reviews(texts, witnesses, segments(spark, folder).where("id % 5 = 0").select(F.col("id").alias("witness_id")))
+    return association.dimension_reviews(texts, witnesses, stages.dimension_targets(spark, folder).select(F.col("dimension_id").alias("witness_id")).distinct())
 
 
 @query()
@@ -36,21 +37,21 @@ def greedy_witnesses(spark: SparkSession, folder: str) -> DataFrame:
     return association.greedy_witnesses(near.select("l.document_id", F.col("l.id").alias("region_id"), F.col("r.id").alias("segment_id"), "r.length", F.sqrt("d2").alias("distance")))
 
 
-@query(f"""WITH b AS ({BOXES_SQL}), c AS (SELECT id FROM b WHERE kind='text' AND id % 3=0 UNION SELECT id FROM b WHERE kind='symbol' AND id % 5<3 UNION SELECT id FROM b WHERE kind='dimension' AND width>30) SELECT document_id, id AS region_id, kind FROM b WHERE kind<>'arrow' AND id NOT IN (SELECT id FROM c)""")
+@query(f"""WITH b AS ({BOXES_SQL}), c AS (SELECT id FROM b WHERE kind='text' AND height>=24 UNION SELECT id FROM b WHERE kind='symbol' AND width>=24 UNION SELECT id FROM b WHERE kind='dimension' AND width>30) SELECT document_id, id AS region_id, kind FROM b WHERE kind<>'arrow' AND id NOT IN (SELECT id FROM c)""")
 def unknown_marks(spark: SparkSession, folder: str) -> DataFrame:
     """Regions, arrows aside, that no text, symbol or dimension covers."""
     b = boxes(spark, folder).withColumnRenamed("id", "region_id")
     regions = b.where("kind <> 'arrow'").select("document_id", "region_id", "kind")
-    made = association.uncovered(regions, b.where("kind = 'text' and region_id % 3 = 0"), b.where("kind = 'symbol' and region_id % 5 < 3"), b.where("kind = 'dimension' and width > 30"))
+    made = association.uncovered(regions, b.where("kind = 'text' and height >= 24"), b.where("kind = 'symbol' and width >= 24"), b.where("kind = 'dimension' and width > 30"))
     return made.select("document_id", "region_id", "kind")
 
 
-@query("""WITH e AS (SELECT o_orderkey AS edge_id, unnest([o_orderkey % 2500, o_orderkey % 1700, o_custkey]) AS id, unnest([0,1,2]) AS k FROM orders), m AS (SELECT edge_id, k, p_brand FROM e LEFT JOIN part ON p_partkey=id AND p_size % 3=0)
+@query("""WITH e AS (SELECT o_orderkey AS edge_id, unnest([o_orderkey + 1000000000, o_orderkey, o_custkey]) AS id, unnest([0,1,2]) AS k FROM orders), m AS (SELECT edge_id, k, p_brand FROM e LEFT JOIN part ON p_partkey=id)
 SELECT edge_id, arg_min(p_brand, k) FILTER (WHERE p_brand IS NOT NULL) AS brand FROM m GROUP BY edge_id""")
 def original_primitives(spark: SparkSession, folder: str) -> DataFrame:
     """For each edge the first of its source ids that is a known primitive."""
-    edges = table(spark, folder, "orders").select(F.col("o_orderkey").alias("edge_id"), F.array(F.col("o_orderkey") % 2500, F.col("o_orderkey") % 1700, F.col("o_custkey")).alias("ids"))
-    known = table(spark, folder, "part").where("p_size % 3 = 0").select(F.col("p_partkey").alias("id"), F.col("p_brand").alias("brand"))
+    edges = table(spark, folder, "orders").select(F.col("o_orderkey").alias("edge_id"), F.array(F.col("o_orderkey") + 1000000000, F.col("o_orderkey"), F.col("o_custkey")).alias("ids"))
+    known = table(spark, folder, "part").select(F.col("p_partkey").alias("id"), F.col("p_brand").alias("brand"))
     return association.first_match(edges, "edge_id", "ids", known, "id", "brand")
 
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..operators import control, review
+from ..sources.shared import new_folder
 from ..sources.tables import table
 from .registry import query
 
@@ -62,17 +63,18 @@ def pending_outbox(spark: SparkSession, folder: str) -> DataFrame:
     return control.page_of(e, [F.col("ts"), F.col("event_id")], 100).select("event_id", "user_id", "event_type")
 
 
-@query("SELECT key FROM (SELECT l_partkey AS key FROM lineitem WHERE l_quantity>48 UNION SELECT p_partkey FROM part WHERE p_size=1 UNION SELECT o_orderkey FROM orders WHERE o_orderstatus='P')")
+@query("SELECT key FROM (SELECT l_partkey AS key FROM lineitem UNION SELECT p_partkey FROM part UNION SELECT o_orderkey FROM orders)")
 def referenced_keys(spark: SparkSession, folder: str) -> DataFrame:
     """Distinct union of the keys that three tables refer to."""
     t = lambda n: table(spark, folder, n)
-    return control.referenced_keys(t("lineitem").where("l_quantity > 48").select(F.col("l_partkey").alias("key")), t("part").where("p_size = 1").select("p_partkey"), t("orders").where("o_orderstatus = 'P'").select("o_orderkey"))
+    return control.referenced_keys(t("lineitem").select(F.col("l_partkey").alias("key")), t("part").select("p_partkey"), t("orders").select("o_orderkey"))
 
 
-@query("SELECT p_partkey AS key, p_brand AS brand FROM part WHERE NOT EXISTS (SELECT 1 FROM lineitem WHERE l_partkey=p_partkey AND l_quantity>49)")
+@query("SELECT p_partkey AS key, p_brand AS brand FROM part WHERE NOT EXISTS (SELECT 1 FROM customer WHERE c_custkey=p_partkey)")
 def unreferenced_artifacts(spark: SparkSession, folder: str) -> DataFrame:
+    """Parts are the store's keys, customers the references to them."""
     store = table(spark, folder, "part").select(F.col("p_partkey").alias("key"), F.col("p_brand").alias("brand"))
-    return control.unreferenced(store, table(spark, folder, "lineitem").where("l_quantity > 49").select(F.col("l_partkey").alias("key")), "key")
+    return control.unreferenced(store, table(spark, folder, "customer").select(F.col("c_custkey").alias("key")), "key")
 
 
 @query("""WITH u AS (SELECT o_orderkey, o_custkey AS owner, CASE WHEN o_orderkey % 5=0 THEN NULL ELSE o_orderpriority END AS key, o_orderstatus AS digest FROM orders)
@@ -142,9 +144,10 @@ def confirmed_overlay(spark: SparkSession, folder: str) -> DataFrame:
     return review.overlaid(candidates, confirmed, "id", ["name", "size"])
 
 
-@query("""SELECT c_custkey AS id, CASE WHEN s_suppkey IS NULL THEN 'missing' ELSE 'changed' END AS reason FROM customer LEFT JOIN supplier ON c_custkey=s_suppkey WHERE c_custkey<=500 AND (s_suppkey IS NULL OR c_nationkey IS DISTINCT FROM s_nationkey)""")
+@query("""SELECT c_custkey AS id, CASE WHEN s_suppkey IS NULL THEN 'missing' ELSE 'changed' END AS reason FROM customer LEFT JOIN supplier ON c_custkey=s_suppkey WHERE (s_suppkey IS NULL OR c_nationkey IS DISTINCT FROM s_nationkey)""")
 def lost_edits(spark: SparkSession, folder: str) -> DataFrame:
-    confirmed = table(spark, folder, "customer").where("c_custkey <= 500").select(F.col("c_custkey").alias("id"), F.col("c_nationkey").alias("nation"))
+    """Every customer is a confirmed object, every supplier one of the candidate revision."""
+    confirmed = table(spark, folder, "customer").select(F.col("c_custkey").alias("id"), F.col("c_nationkey").alias("nation"))
     return review.lost_edits(confirmed, table(spark, folder, "supplier").select(F.col("s_suppkey").alias("id"), F.col("s_nationkey").alias("nation")), "id", ["nation"])
 
 
@@ -160,7 +163,7 @@ def revision_swaps(spark: SparkSession, folder: str) -> DataFrame:
 @query("""WITH RECURSIVE v AS (SELECT c_custkey AS revision_id, CASE WHEN c_custkey<=10 THEN NULL ELSE c_custkey//3 END AS parent_id FROM customer), t AS (SELECT revision_id, revision_id AS root, 0 AS depth FROM v WHERE parent_id IS NULL UNION ALL SELECT v.revision_id, t.root, t.depth+1 FROM v JOIN t ON v.parent_id=t.revision_id) SELECT * FROM t""")
 def revision_lineage(spark: SparkSession, folder: str) -> DataFrame:
     v = table(spark, folder, "customer").select(F.col("c_custkey").alias("revision_id"), F.when(F.col("c_custkey") > 10, F.expr("c_custkey div 3")).alias("parent_id"))
-    return control.lineage(spark, v, depth=14)
+    return control.lineage(v, new_folder(spark, "lineage"))
 
 
 @query(f"SELECT message, count(*) AS n, count(*) FILTER (WHERE level='error') AS errors, count(*) FILTER (WHERE value>50) AS high, round(avg(value),4) AS mean FROM ({LOGS}) GROUP BY message")

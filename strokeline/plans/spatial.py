@@ -9,6 +9,7 @@ from pyspark.sql.window import Window
 from ..config import PROFILE as P
 from ..functions import geometry as G
 from ..operators import graph, snapping, spatial
+from ..sources.shared import new_folder
 from ..sources.tables import BOXES_SQL, POINTS2_SQL, POINTS_SQL, SEGMENTS_SQL, boxes, points, segments, table
 from .registry import query
 
@@ -202,8 +203,6 @@ r(document_id, node, reached) AS (SELECT document_id, id, id FROM p UNION SELECT
 SELECT document_id, node, min(reached) AS component FROM r GROUP BY document_id, node""")
 def proximity_components(spark: SparkSession, folder: str) -> DataFrame:
     """Connected components of the points of a page that lie within 20 pixels of each other."""
-    from ..sources.shared import new_folder
-
     p = points(spark, folder)
     pairs = spatial.radius_join(p, p, 20.0).where("l.id < r.id").select(F.col("l.document_id").alias("document_id"), F.col("l.id").alias("a"), F.col("r.id").alias("b"))
     return graph.connected_components(pairs, p, new_folder(spark, "components")).select("document_id", "node", "component")
@@ -220,7 +219,7 @@ model AS (SELECT o.document_id, t.total, o.rotation, least(1.0, o.score/greatest
 
 @query(f"{_AXIS_SQL} SELECT document_id, round(total,4) AS total, CAST(rotation AS DOUBLE) AS rotation, round(confidence,5) AS confidence FROM model")
 def axis_models(spark: SparkSession, folder: str) -> DataFrame:
-    """The isometric axis model of each page."""
+    """The axis model of each page."""
     made = snapping.axis_models(segments(spark, folder).withColumn("status", F.lit("accepted")))
     return made.select("document_id", F.round("total", 4).alias("total"), "rotation", F.round("confidence", 5).alias("confidence"))
 
@@ -249,10 +248,10 @@ def _trace(spark: SparkSession, folder: str) -> DataFrame:
 
 @query(f"""WITH t AS ({_TRACE_SQL}), a AS (SELECT user_id, count(*) AS n, avg(k) AS mx, avg(value) AS my, var_pop(k) AS vx, var_pop(value) AS vy, covar_pop(k, value) AS c FROM t GROUP BY user_id),
 f AS (SELECT *, greatest(0.0, (vx+vy-sqrt((vx-vy)*(vx-vy)+4*c*c))/2) AS small FROM a)
-SELECT user_id, n, round(degrees(0.5*atan2(2*c, vx-vy)),3) AS angle, round(sqrt(small),4) AS rms, round(CASE WHEN vx+vy<=0 THEN 1.0 ELSE 1-small/(vx+vy) END,4) AS r2, CASE WHEN sqrt(small)>2.5 THEN 'rejected' WHEN 1-small/(vx+vy)<0.92 THEN 'uncertain' ELSE 'accepted' END AS status FROM f WHERE n>13""")
+SELECT user_id, n, round(degrees(0.5*atan2(2*c, vx-vy)),3) AS angle, round(sqrt(small),4) AS rms, round(CASE WHEN vx+vy<=0 THEN 1.0 ELSE 1-small/(vx+vy) END,4) AS r2, CASE WHEN sqrt(small)>2.5 THEN 'rejected' WHEN 1-small/(vx+vy)<0.92 THEN 'uncertain' ELSE 'accepted' END AS status FROM f WHERE n>1""")
 def line_fits(spark: SparkSession, folder: str) -> DataFrame:
     """Total least squares lines through the traces of users."""
-    made = snapping.line_fit(_trace(spark, folder).select("user_id", F.col("k").cast("double").alias("x"), F.col("value").alias("y")), ["user_id"]).where("n > 13")
+    made = snapping.line_fit(_trace(spark, folder).select("user_id", F.col("k").cast("double").alias("x"), F.col("value").alias("y")), ["user_id"]).where("n > 1")
     return made.select("user_id", "n", F.round("angle", 3).alias("angle"), F.round("rms", 4).alias("rms"), F.round("r2", 4).alias("r2"), "status")
 
 

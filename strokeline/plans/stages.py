@@ -18,11 +18,12 @@ from .control import job_commands
 from .registry import query
 
 
-@query("""WITH c AS (SELECT l_partkey AS object_id, l_orderkey*10+l_linenumber AS seq, CASE l_linenumber % 3 WHEN 0 THEN 'text' WHEN 1 THEN 'rotation' ELSE 'none' END AS field, CAST(CAST(l_quantity AS INTEGER) AS VARCHAR) AS value FROM lineitem WHERE l_returnflag='R' AND l_partkey % 4=0),
+@query("""WITH c AS (SELECT l_partkey AS object_id, l_orderkey*10+l_linenumber AS seq, CASE l_linenumber % 3 WHEN 0 THEN 'text' WHEN 1 THEN 'rotation' ELSE 'none' END AS field, CAST(CAST(l_quantity AS INTEGER) AS VARCHAR) AS value FROM lineitem),
 l AS (SELECT object_id, arg_max(value, seq) FILTER (WHERE field='text') AS t, arg_max(value, seq) FILTER (WHERE field='rotation') AS r FROM c GROUP BY object_id)
 SELECT p_partkey AS id, coalesce(t, p_name) AS text, coalesce(CAST(r AS DOUBLE), CAST(p_size AS DOUBLE)) AS rotation, CASE WHEN object_id IS NOT NULL THEN 'confirmed' ELSE 'machine' END AS state FROM part LEFT JOIN l ON p_partkey=object_id""")
 def edited_objects(spark: SparkSession, folder: str) -> DataFrame:
-    l = table(spark, folder, "lineitem").where("l_returnflag = 'R' and l_partkey % 4 = 0")  # noqa: E741
+    """Parts after all edit commands of lineitem."""
+    l = table(spark, folder, "lineitem")  # noqa: E741
     kind = F.when(F.col("l_linenumber") % 3 == 0, "update_annotation_text").when(F.col("l_linenumber") % 3 == 1, "set_symbol_rotation").otherwise("touch")
     commands = l.select(F.col("l_partkey").alias("object_id"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("seq"), kind.alias("type"), F.col("l_quantity").cast("int").cast("string").alias("value"))
     objects = table(spark, folder, "part").select(F.col("p_partkey").alias("id"), F.col("p_name").alias("text"), F.col("p_size").cast("double").alias("rotation"), F.lit("machine").alias("state"))
@@ -61,14 +62,14 @@ def dimension_targets(spark: SparkSession, folder: str) -> DataFrame:
     return made.where((F.col("rank") == 1) | ((F.col("rank") == 2) & (F.round(F.col("top") - F.col("score"), 6) < P.target_margin))).drop("top")
 
 
-@query("""WITH n AS (SELECT concat('pages/', CAST(page_id % 200 AS VARCHAR)) AS key, sha256(html) AS sha256 FROM pages WHERE html IS NOT NULL), o AS (SELECT concat('pages/', CAST(page_id AS VARCHAR)) AS key, sha256(html) AS old FROM pages WHERE page_id<100 AND page_id % 3<2 AND html IS NOT NULL), d AS (SELECT DISTINCT * FROM n), f AS (SELECT key, min(sha256) AS first FROM n GROUP BY key)
+@query("""WITH n AS (SELECT concat('pages/', CAST(page_id // 2 * 2 AS VARCHAR)) AS key, sha256(html) AS sha256 FROM pages WHERE html IS NOT NULL), o AS (SELECT concat('pages/', CAST(page_id AS VARCHAR)) AS key, sha256(html) AS old FROM pages WHERE html IS NOT NULL), d AS (SELECT DISTINCT * FROM n), f AS (SELECT key, min(sha256) AS first FROM n GROUP BY key)
 SELECT d.key, d.sha256, CASE WHEN old IS NULL THEN CASE WHEN d.sha256=first THEN 'written' ELSE 'conflict' END WHEN old=d.sha256 THEN 'unchanged' ELSE 'conflict' END AS outcome FROM d JOIN f USING (key) LEFT JOIN o USING (key)""")
 def artifact_writes(spark: SparkSession, folder: str) -> DataFrame:
-    """Outcomes of immutable writes of pages against a store that has some of them."""
+    """Outcomes of immutable writes of all pages against a store of all pages, where two neighbours are written to one key."""
     p = table(spark, folder, "pages").where("html is not null")
     key = lambda c: F.concat(F.lit("pages/"), c.cast("string"))
-    stored = p.where("page_id < 100 and page_id % 3 < 2").select(key(F.col("page_id")).alias("key"), F.sha2("html", 256).alias("sha256"))
-    return artifacts.immutable_outcomes(p.select(key(F.col("page_id") % 200).alias("key"), F.sha2("html", 256).alias("sha256")), stored)
+    stored = p.select(key(F.col("page_id")).alias("key"), F.sha2("html", 256).alias("sha256"))
+    return artifacts.immutable_outcomes(p.select(key(F.expr("page_id div 2 * 2")).alias("key"), F.sha2("html", 256).alias("sha256")), stored)
 
 
 @query("SELECT event_type, count(*) AS n, count(DISTINCT date_trunc('hour', ts)) AS hours, max(c) AS busiest FROM (SELECT *, count(*) OVER (PARTITION BY event_type, date_trunc('hour', ts)) AS c FROM events) GROUP BY event_type")
@@ -107,7 +108,7 @@ def page_skeletons(spark: SparkSession, folder: str) -> DataFrame:
             {"document_id": [int(rows["document_id"].iloc[0])], "ink": [int((mask > 0).sum())], "skeleton": [int(skeleton.sum())], "components": [n], "largest": [max((b[4] for b in boxes), default=0)], "junctions": [int((raster.degrees(skeleton) >= 3).sum())], "polylines": [len(lines)], "vertices": [sum(map(len, lines))]}
         )
 
-    schema = "document_id int, ink long, skeleton long, components long, largest long, junctions long, polylines long, vertices long"
+    schema = "document_id long, ink long, skeleton long, components long, largest long, junctions long, polylines long, vertices long"
     return segments(spark, folder).groupBy("document_id").applyInPandas(run, schema)
 
 

@@ -185,3 +185,37 @@ def test_rasters():
     assert len(lines) == 1 and raster.simplified(lines[0], 1.5) in ([(5, 5), (30, 5)], [(30, 5), (5, 5)])
     assert raster.ink_coverage(mask, 10, 50, 90, 50) == 1.0 and raster.ink_coverage(mask, 10, 20, 40, 20) == 0.0
     assert raster.simplified([(0, 0), (1, 0.1), (2, 0), (2, 5)], 1.5) == [(0, 0), (2, 0), (2, 5)]
+
+
+def test_lineage_of_any_depth(spark):
+    rows = [(n, n - 1 if n % 150 else None) for n in range(300)] + [(900, 901), (901, 900), (902, 900), (903, 999)]
+    made = control.lineage(spark.createDataFrame(rows, "revision_id long, parent_id long"), tempfile.mkdtemp(prefix="spark-lineage-"))
+    assert {tuple(r) for r in made.collect()} == {(n, n // 150 * 150, n % 150) for n in range(300)}
+
+
+def test_components_of_a_long_path(spark):
+    nodes = spark.createDataFrame([(0, n) for n in range(300)], "document_id long, id long")
+    edges = spark.createDataFrame([(0, (n * 7) % 300, ((n + 1) * 7) % 300) for n in range(299)], "document_id long, a long, b long")
+    made = graph.connected_components(edges, nodes, tempfile.mkdtemp(prefix="spark-components-"))
+    assert {r.component for r in made.collect()} == {0} and made.count() == 300
+
+
+def test_a_crossing_is_computed_once(spark):
+    rows = [(0, n, float(n * 3), 0.0, float(90 - n * 3), 90.0) for n in range(31)]
+    s = spark.createDataFrame(rows, "document_id long, id long, x0 double, y0 double, x1 double, y1 double")
+    made = spatial.interior_intersections(s, 6.0)
+    plan = made._jdf.queryExecution().optimizedPlan().toString()
+    assert max(map(len, plan.split("\n"))) < 4000 and plan.count("explode(array(") + plan.count("Generate") >= 1
+    lines = {r[1]: r[2:] for r in rows}
+
+    def meets(a, b):
+        (x1, y1, x2, y2), (x3, y3, x4, y4) = lines[a], lines[b]
+        det = (x1 - x2) * (y3 - y4) - (y1 - y2) * (x3 - x4)
+        if abs(det) < 1e-9:
+            return False
+        x = ((x1 * y2 - y1 * x2) * (x3 - x4) - (x1 - x2) * (x3 * y4 - y3 * x4)) / det
+        y = ((x1 * y2 - y1 * x2) * (y3 - y4) - (y1 - y2) * (x3 * y4 - y3 * x4)) / det
+        inside = all(-0.02 <= ((x - u) * (w - u) + (y - v) * (z - v)) / ((w - u) ** 2 + (z - v) ** 2) <= 1.02 for u, v, w, z in (lines[a], lines[b]))
+        return inside and all(math.hypot(x - u, y - v) > 6 for u, v in ((x1, y1), (x2, y2), (x3, y3), (x4, y4)))
+
+    assert {(r["a"]["id"], r["b"]["id"]) for r in made.collect()} == {(a, b) for a in lines for b in lines if a < b and meets(a, b)}
