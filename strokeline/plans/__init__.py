@@ -1,6 +1,6 @@
 """Registered queries of the drawing operators."""
 
-from . import assembly, control, spatial, stages, text  # noqa: F401
+from . import assembly, control, ranking, records, spatial, stages, text  # noqa: F401
 from .registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]
