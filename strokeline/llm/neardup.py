@@ -135,7 +135,7 @@ def _grouped(df: DataFrame, id_col: str, text_col: str, shingle: int, percent: i
     buckets = written(met.join(centres, "key"), "buckets")
 
     involved = written(buckets.select("node").distinct().join(nodes.select("node", F.col("row.i").alias("_i"), F.col("row.th").alias("_th"), F.col("row.copies").alias("copies")), "node"), "involved")
-    found = texts.join(involved, F.col("i").eqNullSafe(F.col("_i")) & (F.col("th") == F.col("_th"))).select("node", "t", "copies")
+    found = texts.join(involved.hint("merge"), F.col("i").eqNullSafe(F.col("_i")) & (F.col("th") == F.col("_th"))).select("node", "t", "copies")
     if not involved.where("copies > 1").isEmpty():  # rows alike in id and text: one of them
         found = found.where("copies = 1").union(found.where("copies > 1").groupBy("node").agg(F.first("t"), F.first("copies")))
     sets = written(_sets(found.select("node", "t"), shingle), "sets")
@@ -204,7 +204,7 @@ def keep_representatives(
     names = [f"c{n}" for n in range(len(df.columns))]
     place = {c: names[n] for n, c in enumerate(df.columns)}
     keyed = df.toDF(*names).withColumns({"_row_i": F.col(place[id_col]), "_row_th": F.xxhash64(place[text_col])})
-    joined = keyed.join(winners, F.col("_row_i").eqNullSafe(F.col("_i")) & (F.col("_row_th") == F.col("_th")))
+    joined = keyed.join(winners.hint("merge"), F.col("_row_i").eqNullSafe(F.col("_i")) & (F.col("_row_th") == F.col("_th")))
     kept = joined.where("copies < 2").select(*names)
     if not winners.where("copies > 1").isEmpty():  # one of the rows alike, combined in the tasks
         one = joined.where("copies > 1").groupBy("_row_i", "_row_th").agg(F.first(F.struct(*names)).alias("row"))
