@@ -38,6 +38,11 @@ class PairIndexBpe:
         model, alphabet = spec["model"], byte_alphabet()
         if model["type"] != "BPE" or (spec["pre_tokenizer"] or {}).get("type") != "ByteLevel" or spec["normalizer"]:
             raise ValueError("only byte-level BPE without a normaliser is supported")
+        split = spec["pre_tokenizer"]
+        if split.get("add_prefix_space") or not split.get("use_regex", True) or any(model.get(k) for k in ("ignore_merges", "dropout", "continuing_subword_prefix", "end_of_word_suffix")):
+            raise ValueError("prefix spaces, other splits of words, and variants of the merges are not supported")
+        if any(t.get(k) for t in spec.get("added_tokens", []) for k in ("lstrip", "rstrip", "single_word")):
+            raise ValueError("added tokens that take spaces, or match whole words only, are not supported")
         self.special = {t["content"]: t["id"] for t in spec.get("added_tokens", [])}
         vocab = model["vocab"]
         raw = {i: bytes(alphabet[ch] for ch in token) for token, i in vocab.items()}

@@ -2,16 +2,18 @@
 
 from __future__ import annotations
 
+import os
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import bpe, decontaminate, langid, lm, neardup, quality, sharding, spans, toxicity, warc
 from .store import new_path, written
 
-#: Where tokenizer files are looked up; another file is given by the operators' parameter.
-TOKENIZERS = "/opt/tokenizers"
+#: Where the tokenizer files of the queries are; another file is given by the operators' parameter.
+TOKENIZERS = os.path.dirname(public_tokenizers.path("byte_bpe_50k.json"))
 
 
 def table(spark: SparkSession, folder: str, name: str) -> DataFrame:

@@ -9,8 +9,10 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir; only where it is unset, as in tests, a new local one."""
+    """The folder of spark.checkpoint.dir; only where it is unset in a local session, as in tests, a new local one."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
+    if not folder and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     if not folder:
         folder = getattr(spark, "_strokeline_folder", None) or tempfile.mkdtemp(prefix="spark-strokeline-")
         spark._strokeline_folder = folder

@@ -62,12 +62,17 @@ def arc_file(rows: Iterable[tuple[object, str | None, bytes]], version: int, dat
     return b"".join(out)
 
 
-def arc_records(content: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
-    """(header fields, block) of each record after the version block; a file that breaks off ends with its last whole record."""
+def arc_records(content: bytes, rejected: list[tuple[int, str, str]]) -> Iterator[tuple[dict[str, str], bytes]]:
+    """(header fields, block) of each record after the version block; (byte, reason, header line) of what can't be read goes to `rejected`.
+
+    A record whose header line has too few fields is passed over by its length. Where a length is missing or goes beyond
+    the file's end, and where the version block is missing or unknown, the rest of the file is lost.
+    """
     at, fields = 0, None
     while at < len(content):
-        end = content.find(b"\n", at)
+        begin, end = at, content.find(b"\n", at)
         if end < 0:
+            rejected.append((begin, "broken off", content[begin : begin + 200].decode("utf-8", "replace")))
             return
         line = content[at:end].decode("utf-8", "replace").rstrip("\r")
         at = end + 1
@@ -75,23 +80,30 @@ def arc_records(content: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
             continue
         parts = line.split(" ")
         if not parts[-1].isdigit():
-            raise ValueError(f"not an ARC header line: {line[:80]!r}")
+            rejected.append((begin, "no header line", line[:200]))
+            return
         block = content[at : at + int(parts[-1])]
         if len(block) < int(parts[-1]):
+            rejected.append((begin, "broken off", line[:200]))
             return
         at += len(block)
         if fields is None:
             if not parts[0].startswith("filedesc:"):
-                raise ValueError("an ARC file begins with its version block")
+                rejected.append((begin, "no version block", line[:200]))
+                return
             stated = block.decode("utf-8", "replace").split("\n")
             version = stated[0].split(" ")[0]
             if not version.isdigit() or int(version) not in ARC_FIELDS:
-                raise ValueError(f"unknown ARC version {version!r}")
+                rejected.append((begin, "unknown version", line[:200]))
+                return
             fields = (stated[1] if len(stated) > 1 and stated[1] else ARC_FIELDS[int(version)]).split(" ")
             continue
+        if len(parts) < len(fields):
+            rejected.append((begin, "too few fields", line[:200]))
+            continue
         if len(parts) > len(fields):  # a content type may hold spaces
             extra = len(parts) - len(fields)
-            k = fields.index("Content-type")
+            k = fields.index("Content-type") if "Content-type" in fields else 0
             parts[k : k + extra + 1] = [" ".join(parts[k : k + extra + 1])]
         yield dict(zip(fields, parts)), block
 
@@ -126,14 +138,15 @@ def convert_arcs(files: DataFrame, content: str = "content") -> DataFrame:
     """The records of ARC files (a binary column), with what a WARC record of each needs (CONVERTED).
 
     record_key is the value of X-Record-Key, where the block is an HTTP response that has it, and null elsewhere. Equal
-    records of equal fields get the same identifier. A date that isn't 14 digits is filled up from the right.
+    records of equal fields get the same identifier. A date that isn't 14 digits is filled up from the right. What can't
+    be read is left out here; `rejected_arc_records` lists it.
     """
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for data in batch.column("content"):
                 rows = []
-                for head, block in arc_records(data.as_py() or b""):
+                for head, block in arc_records(data.as_py() or b"", []):
                     body, http = _http(block)
                     payload = digest_of(memoryview(block)[body:])
                     d = (head["Archive-date"] + "00000101000000"[len(head["Archive-date"]) :])[:14]
@@ -148,26 +161,42 @@ def convert_arcs(files: DataFrame, content: str = "content") -> DataFrame:
     return files.select(F.col(content).alias("content")).mapInArrow(run, CONVERTED)
 
 
+def rejected_arc_records(files: DataFrame, content: str = "content") -> DataFrame:
+    """file_sha1, byte, reason and line (200 characters) of everything in ARC files that `convert_arcs` leaves out."""
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for data in batch.column("content"):
+                found: list[tuple[int, str, str]] = []
+                for _ in arc_records(data.as_py() or b"", found):
+                    pass
+                name = hashlib.sha1(data.as_py() or b"").hexdigest()
+                columns = [pa.array([name] * len(found), pa.string()), pa.array([f[0] for f in found], pa.int64()), *[pa.array([f[k] for f in found], pa.string()) for k in (1, 2)]]
+                yield pa.RecordBatch.from_arrays(columns, ["file_sha1", "byte", "reason", "line"])
+
+    return files.select(F.col(content).alias("content")).mapInArrow(run, "file_sha1 string, byte bigint, reason string, line string")
+
+
 def with_revisits(records: DataFrame, order: Column, min_bytes: int = 0) -> DataFrame:
-    """record_type, refers_to_id and refers_to_key for converted records.
+    """record_type, refers_to_id, refers_to_key, refers_to_uri and refers_to_date for converted records.
 
     Of records with equal payloads of `min_bytes` at least, the one with the largest `order` is the response and the
     others revisit it; records that tie for it are all responses, and a null `order` is below all others. Only narrow
     rows are grouped by payload; the blocks are joined to the outcome by their own identifiers.
     """
-    narrow = records.select("record_id", "record_key", "payload_digest", "payload_bytes", order.alias("o")).where(F.col("payload_bytes") >= min_bytes)
+    narrow = records.select("record_id", "record_key", "target_uri", "warc_date", "payload_digest", "payload_bytes", order.alias("o")).where(F.col("payload_bytes") >= min_bytes)
     narrow = written(narrow, "payload-digests")
     best = narrow.groupBy("payload_digest", "payload_bytes").agg(
-        F.count("*").alias("n"), F.max("o").alias("top"), F.max_by(F.struct("record_id", "record_key"), F.struct("o", "record_id")).alias("of")
+        F.count("*").alias("n"), F.max("o").alias("top"), F.max_by(F.struct("record_id", "record_key", "target_uri", "warc_date"), F.struct("o", "record_id")).alias("of")
     )
     best = best.where("n > 1")
     lower = narrow.join(best, ["payload_digest", "payload_bytes"]).where(~F.col("o").eqNullSafe(F.col("top")))
-    lower = lower.select("record_id", F.col("of.record_id").alias("refers_to_id"), F.col("of.record_key").alias("refers_to_key")).distinct()
+    lower = lower.select("record_id", F.col("of.record_id").alias("refers_to_id"), F.col("of.record_key").alias("refers_to_key"), F.col("of.target_uri").alias("refers_to_uri"), F.col("of.warc_date").alias("refers_to_date")).distinct()
     return records.join(lower, "record_id", "left").withColumn("record_type", F.when(F.col("refers_to_id").isNull(), "response").otherwise("revisit"))
 
 
 def write_warc(records: DataFrame, path: str, records_per_file: int = 2_000) -> None:
-    """Writes converted records with record_type, refers_to_id and refers_to_key as compressed WARC 1.1 files.
+    """Writes converted records with what `with_revisits` adds as compressed WARC 1.1 files.
 
     A revisit holds the head of its response only, and states the digest and length of the payload that it doesn't repeat.
     """
@@ -184,7 +213,7 @@ def write_warc(records: DataFrame, path: str, records_per_file: int = 2_000) ->
         field("WARC-Payload-Digest", F.concat(F.lit("sha1:"), F.col("payload_digest"))),
         field("X-Payload-Length", F.col("payload_bytes").cast("string")),
         F.coalesce(field("X-Record-Key", F.col("record_key")), F.lit("")),
-        F.when(revisit, F.concat(field("WARC-Profile", F.lit("http://netpreserve.org/warc/1.1/revisit/identical-payload-digest")), field("WARC-Refers-To", F.concat(F.lit("<"), F.col("refers_to_id"), F.lit(">"))))).otherwise(F.lit("")),
+        F.when(revisit, F.concat(field("WARC-Profile", F.lit("http://netpreserve.org/warc/1.1/revisit/identical-payload-digest")), field("WARC-Refers-To", F.concat(F.lit("<"), F.col("refers_to_id"), F.lit(">"))), field("WARC-Refers-To-Target-URI", F.col("refers_to_uri")), field("WARC-Refers-To-Date", F.col("refers_to_date")))).otherwise(F.lit("")),
         F.when(revisit, F.coalesce(field("X-Refers-To-Key", F.col("refers_to_key")), F.lit(""))).otherwise(F.lit("")),
         field("Content-Type", F.when(F.col("http"), F.lit("application/http; msgtype=response")).otherwise(F.col("content_type"))),
         field("Content-Length", F.length(block).cast("string")),
@@ -215,9 +244,11 @@ READ = "record_id string, record_type string, record_key string, target_uri stri
 
 
 def read_warc(spark: SparkSession, path: str, payloads: bool = True) -> DataFrame:
-    """The records of WARC files, compressed or not (READ); payload is null for revisits, and everywhere without `payloads`.
+    """The records of WARC files of any origin, compressed or not (READ); payload is null for revisits, and everywhere without `payloads`.
 
-    The payload of every response is held against its digest and length; a mismatch is an error.
+    The payload of an HTTP message is its body, of any other record its block. What a record states of its payload, a
+    SHA-1 digest in base32 and a length, is held against the payload; a mismatch is an error. What it doesn't state is
+    computed; of a revisit it stays null, as do a missing URI and date.
     """
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -228,15 +259,18 @@ def read_warc(spark: SparkSession, path: str, payloads: bool = True) -> DataFram
                     content = gzip.decompress(content)
                 rows = []
                 for head, block in warc_records(content):
-                    kind, digest, size = head["warc-type"], head["warc-payload-digest"].removeprefix("sha1:"), int(head["x-payload-length"])
-                    payload = None
-                    if kind == "response":
+                    kind, stated, size = head.get("warc-type"), head.get("warc-payload-digest", ""), head.get("x-payload-length")
+                    digest, payload = stated.removeprefix("sha1:") or None, None
+                    size = None if size is None else int(size)
+                    if kind != "revisit":
                         payload = memoryview(block)[_http(block)[0] :]
-                        if len(payload) != size or digest_of(payload) != digest:
-                            raise ValueError(f"the payload of {head['warc-record-id']} differs from its digest")
-                    ids = [None if x is None else x.strip("<>") for x in (head["warc-record-id"], head.get("warc-refers-to"))]
+                        own = digest_of(payload)
+                        if (size is not None and len(payload) != size) or (stated.startswith("sha1:") and len(digest) == 32 and own != digest.upper()):
+                            raise ValueError(f"the payload of {head.get('warc-record-id')} differs from its digest")
+                        size, digest = len(payload), own if digest is None else digest
+                    ids = [None if x is None else x.strip("<>") for x in (head.get("warc-record-id"), head.get("warc-refers-to"))]
                     kept = bytes(payload) if payloads and payload is not None else None
-                    rows.append((ids[0], kind, head.get("x-record-key"), head["warc-target-uri"], head["warc-date"], kept, size, digest, ids[1], head.get("x-refers-to-key")))
+                    rows.append((ids[0], kind, head.get("x-record-key"), head.get("warc-target-uri"), head.get("warc-date"), kept, size, digest, ids[1], head.get("x-refers-to-key")))
                 columns = list(zip(*rows)) if rows else [()] * 10
                 kinds = [pa.string()] * 5 + [pa.binary(), pa.int64(), pa.string(), pa.string(), pa.string()]
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], [x.split(" ")[0] for x in READ.split(", ")])

@@ -44,16 +44,41 @@ def test_no_pages(spark):
 def test_arc_versions(version):
     bodies = [b"", b"one\n\ntwo", b"\xff\xfe"]
     data = warc.arc_file([(n, f"http://h/{n}", b) for n, b in enumerate(bodies)], version, "19970102030405")
-    found = list(warc.arc_records(data))
+    rejected = []
+    found = list(warc.arc_records(data, rejected))
+    assert not rejected
     assert [h["URL"] for h, _ in found] == [f"http://h/{n}" for n in range(3)] and all(h["Archive-date"] == "19970102030405" for h, _ in found)
     assert [block[warc._http(block)[0] :] for _, block in found] == bodies
-    assert len(list(warc.arc_records(data[:-3]))) == 2  # a file that breaks off
+    assert len(list(warc.arc_records(data[:-3], rejected))) == 2 and [r[1] for r in rejected] == ["broken off"]
 
 
 def test_foreign_arc_headers():
     about = b"1 0 InternetArchive\nURL IP-address Archive-date Content-type Archive-length\n"
     data = b"filedesc://f.arc 0.0.0.0 19960923142103 text/plain %d\n" % len(about) + about + b"\nhttp://x/ 1.2.3.4 19961104142103 text/html; charset=x 5\nhello\n"
-    (head, block), = warc.arc_records(data)
+    (head, block), = warc.arc_records(data, [])
     assert block == b"hello" and head["Content-type"] == "text/html; charset=x"
-    with pytest.raises(ValueError):
-        list(warc.arc_records(b"no archive at all\n"))
+
+
+def test_what_cannot_be_read_is_rejected(spark):
+    about = b"1 0 InternetArchive\nURL IP-address Archive-date Content-type Archive-length\n"
+    first = b"filedesc://f.arc 0.0.0.0 19960923142103 text/plain %d\n" % len(about) + about
+    files = [
+        first + b"\nhttp://x/ text/html 5\nhello\nhttp://y/ 1.2.3.4 19961104 text/html 5\nworld\n",
+        b"no archive at all\n", b"", first.replace(b"1 0 I", b"9 0 I"), first + b"\nhttp://z/ 1.2.3.4 19961104142103 text/html many\nhello\n",
+    ]
+    df = spark.createDataFrame([(bytearray(f),) for f in files], "content binary")
+    made = warc.convert_arcs(df).collect()
+    assert [(r.target_uri, bytes(r.block), r.warc_date) for r in made] == [("http://y/", b"world", "1996-11-04T00:00:00Z")]
+    assert sorted(r.reason for r in warc.rejected_arc_records(df).collect()) == ["no header line", "no header line", "too few fields", "unknown version"]
+
+
+def test_foreign_warc(spark):
+    record = lambda kind, block, *more: b"\r\n".join([b"WARC/1.0", b"WARC-Type: " + kind, b"WARC-Record-ID: <urn:x>", *more, b"Content-Length: %d" % len(block), b"", b""]) + block + b"\r\n\r\n"
+    data = record(b"warcinfo", b"software: x\r\n") + record(b"request", b"GET / HTTP/1.1\r\nHost: h\r\n\r\n", b"WARC-Target-URI: http://h/") + record(b"response", b"HTTP/1.1 200 OK\r\nA: b\r\n\r\nbody", b"WARC-Target-URI: http://h/", b"WARC-Date: 2020-01-01T00:00:00Z") + record(b"revisit", b"", b"WARC-Refers-To: <urn:y>")
+    path = tempfile.mkdtemp(prefix="spark-warc-") + "/f.warc"
+    with open(path, "wb") as file:
+        file.write(data)
+    made = {r.record_type: r for r in warc.read_warc(spark, path).collect()}
+    assert set(made) == {"warcinfo", "request", "response", "revisit"} and bytes(made["response"].payload) == b"body" and bytes(made["warcinfo"].payload) == b"software: x\r\n"
+    assert made["response"].payload_digest == base64.b32encode(hashlib.sha1(b"body").digest()).decode() and made["response"].payload_bytes == 4
+    assert made["revisit"].payload is None and made["revisit"].payload_bytes is None and made["revisit"].refers_to_id == "urn:y" and made["warcinfo"].target_uri is None
