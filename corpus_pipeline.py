@@ -33,7 +33,10 @@ def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     """Documents without sentences of repeated runs; n_chars is counted anew, and a document of which nothing is left goes."""
     ship_package(spark)
     made = spans.remove_repeated_spans(docs, counts=False)
-    return made.where("text is null or text <> ''").withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)).select(*docs.columns)
+    made = made.where("text is null or text <> ''")
+    if "n_chars" in docs.columns:
+        made = made.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
+    return made.select(*docs.columns)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -45,8 +48,11 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 def bpe_coding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents with their number of tokens and the digests of their ids and of the text decoded from these."""
     ship_package(spark)
-    made = bpe.bpe_round_trip(docs, f"{TOKENIZERS}/byte_bpe_50k.json", carry=("text", "lang", "source", "n_chars"))
-    return made.select("doc_id", "text", "lang", "source", "n_chars", "n_tokens", F.sha2("ids_le", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+    # a column of the documents with the name of a new one gives way to it
+    others = [c for c in docs.columns if c not in ("doc_id", "n_tokens", "ids_sha256", "decoded_sha256")]
+    named = {c: f"_{n}" for n, c in enumerate(others)}
+    made = bpe.bpe_round_trip(docs.select("doc_id", *[F.col(c).alias(n) for c, n in named.items()]), f"{TOKENIZERS}/byte_bpe_50k.json", text_col=named["text"], carry=tuple(named.values()))
+    return made.select("doc_id", *[F.col(n).alias(c) for c, n in named.items()], "n_tokens", F.sha2("ids_le", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
