@@ -113,4 +113,19 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_language_id": op10_language_id,
 }
 
-ORACLES: dict[str, str] = {}
+_UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+_BASE32 = _UPPER + "234567"
+#: Four base32 digits of each five hexadecimal ones.
+_DIGITS = " || ".join(f"substr('{_BASE32}', ((CAST(concat('0x', substr(h, {5 * g + 1}, 5)) AS BIGINT) >> {shift}) & 31) + 1, 1)" for g in range(8) for shift in (15, 10, 5, 0))
+
+#: SQL of the queries that SQL can express exactly; tests hold the others against brute force.
+ORACLES: dict[str, str] = {
+    "op7_near_duplicates": rf"""WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+s AS (SELECT doc_id, list_distinct(CASE WHEN len(w)=0 THEN [] WHEN len(w)<3 THEN [array_to_string(w, ' ')] ELSE list_transform(range(1, len(w)-1), lambda i: concat(w[i], ' ', w[i+1], ' ', w[i+2])) END) AS s FROM w),
+e AS (SELECT doc_id, unnest(s) AS x FROM s), c AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS n FROM e a JOIN e b ON a.x=b.x AND a.doc_id<b.doc_id GROUP BY ALL),
+l AS (SELECT a, b FROM c JOIN s p ON p.doc_id=a JOIN s q ON q.doc_id=b WHERE 100*n >= 85*(len(p.s)+len(q.s)-n)), g AS (SELECT a, b FROM l UNION ALL SELECT b, a FROM l),
+r(doc_id, reached) AS (SELECT doc_id, doc_id FROM documents UNION SELECT r.doc_id, g.b FROM r JOIN g ON r.reached=g.a), m AS (SELECT doc_id, min(reached) AS component_id FROM r GROUP BY doc_id)
+SELECT doc_id, CAST(len(s) AS BIGINT) AS n_shingles, component_id, doc_id=component_id AS kept FROM s JOIN m USING (doc_id)""",
+    "op8_arc_to_warc": f"""WITH p AS (SELECT page_id, coalesce(html, '') AS t FROM pages), d AS (SELECT page_id, t, sha1(t) AS h, max(page_id) OVER (PARTITION BY t) AS top FROM p)
+SELECT page_id, CAST(strlen(t) AS BIGINT) AS payload_bytes, {_DIGITS} AS payload_digest, CASE WHEN page_id=top THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id<top THEN top END AS refers_to FROM d""",
+}
