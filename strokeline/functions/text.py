@@ -128,3 +128,26 @@ def bare_etag(value: Column) -> Column:
 def safe_key(key: Column) -> Column:
     """Whether an artifact key is relative and has no parent step."""
     return ~key.startswith("/") & ~F.array_contains(F.split(key, "/"), "..") & (key != "")
+
+
+def canonical_json(text: Column) -> Column:
+    """JSON with sorted keys, no spaces and no minus zero; null for what isn't JSON, holds NaN, or repeats a key of an object."""
+    return F.to_json(F.try_parse_json(text))
+
+
+def issue_path(*segments: Column) -> Column:
+    """Path of a value in a document: names with dots between, numbers in brackets."""
+    made = segments[0].cast("string")
+    for s in segments[1:]:
+        s = s.cast("string")
+        made = F.concat(made, F.when(s.rlike(r"^\d+$"), F.concat(F.lit("["), s, F.lit("]"))).otherwise(F.concat(F.lit("."), s)))
+    return made
+
+
+def supported_version(version: Column, major: int = 1) -> Column:
+    """Whether a version of two whole numbers has the major one; false for anything else."""
+    return F.coalesce(F.regexp_extract(version, r"^(\d+)\.\d+$", 1) == str(major), F.lit(False))
+
+
+def review_id(*parts: Column) -> Column:
+    return F.concat(F.lit("rev_"), F.substring(F.sha2(F.concat_ws("|", *parts), 256), 1, 12))

@@ -34,3 +34,36 @@ def moved_junctions(junctions: DataFrame, pipes: DataFrame, moves: DataFrame) ->
         met = out.join(last.select(F.col("junction_id").alias(node), F.col("to").alias("_to")), node, "left")
         out = met.select(*[F.coalesce(F.col(f"_to.{c[0]}"), F.col(c)).alias(c) if c in (f"x{k}", f"y{k}") else F.col(c) for c in pipes.columns])
     return junctions, out
+
+
+def connected_pipes(pipes: DataFrame, junctions: DataFrame, commands: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(pipes, new junctions, rejected commands) after commands (pipe_id, end: start or end, seq, node_id) on ends of pipes.
+
+    A node connects the end and moves it there, null disconnects it where it lies, onto a new junction whose id follows
+    from pipe, end and seq. Of commands on one end the last counts; pipes and nodes that don't exist are rejected.
+    """
+    at = junctions.select(F.col("id").alias("node_id"), F.struct("x", "y").alias("_at"))
+    met = commands.join(pipes.select(F.col("id").alias("pipe_id"), F.lit(True).alias("_pipe")), "pipe_id", "left").join(at, "node_id", "left")
+    wrong = F.col("_pipe").isNull() | (F.col("node_id").isNotNull() & F.col("_at").isNull())
+    new = F.concat_ws("-", F.lit("cut"), F.col("pipe_id").cast("string"), "end", F.col("seq").cast("string"))
+    good = met.where(~wrong).withColumn("_node", F.coalesce(F.col("node_id").cast("string"), new))
+    last = good.groupBy("pipe_id", "end").agg(F.max_by(F.struct(F.col("_node").alias("node"), F.col("node_id").isNull().alias("cut")), "seq").alias("to"), F.max_by("_at", F.when(F.col("_at").isNotNull(), F.col("seq"))).alias("_xy"))
+    out = pipes.withColumn("_cuts", F.array().cast("array<struct<id:string,x:double,y:double>>"))
+    names = [f.name for f in pipes.schema]
+    for k, end in ((0, "start"), (1, "end")):
+        own = last.where(F.col("end") == end).select(F.col("pipe_id").alias("id"), "to", "_xy")
+        out = out.join(own, "id", "left")
+        edited = F.col("to").isNotNull()
+        out = out.withColumns({f"{end}_node": F.coalesce("to.node", f"{end}_node"), f"x{k}": F.coalesce("_xy.x", f"x{k}"), f"y{k}": F.coalesce("_xy.y", f"y{k}"), "state": F.when(edited, "confirmed").otherwise(F.col("state"))})
+        cut = F.array(F.struct(F.col("to.node").alias("id"), F.col(f"x{k}").alias("x"), F.col(f"y{k}").alias("y")))
+        out = out.withColumn("_cuts", F.when(F.col("to.cut"), F.concat("_cuts", cut)).otherwise(F.col("_cuts"))).drop("to", "_xy")
+    created = out.select(F.explode("_cuts").alias("c")).select("c.id", "c.x", "c.y")
+    return out.select(*names), created, met.where(wrong).select("pipe_id", "end", "seq", "node_id")
+
+
+def last_values(rows: DataFrame, commands: DataFrame, key: list[str], values: list[str]) -> DataFrame:
+    """Rows whose `values` take those of the last command (key, seq, values), null included; `edited` tells which."""
+    last = commands.groupBy(*key).agg(F.max_by(F.struct(*values), "seq").alias("_to"))
+    met = rows.join(last, key, "left")
+    edited = F.col("_to").isNotNull()
+    return met.select(*[F.when(edited, F.col(f"_to.{c}")).otherwise(F.col(c)).alias(c) if c in values else F.col(c) for c in rows.columns], edited.alias("edited"))

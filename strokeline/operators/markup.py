@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import number, xml_attribute
+from ..functions.text import number, xml_attribute, xml_text
 
 #: Elements that a drawing may hold.
 ELEMENTS = ("svg", "metadata", "defs", "symbol", "marker", "g", "line", "polyline", "polygon", "circle", "rect", "path", "use", "text", "title")
@@ -41,3 +43,51 @@ def drawings(lines: DataFrame, page: str, order: str, line: str) -> DataFrame:
     """page and svg: the lines of each page in order, as one document. A page has a bounded number of objects."""
     body = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(order, line))), lambda x: x[line]), "\n")
     return lines.groupBy(page).agg(F.concat(F.lit('<svg xmlns="http://www.w3.org/2000/svg">\n'), body, F.lit("\n</svg>\n")).alias("svg"))
+
+
+#: The groups of a drawing, from below to above. Fixed values.
+GROUPS = ("pipes", "connections", "symbols", "dimensions", "callouts", "annotations", "unresolved")
+
+
+def _tag(name: str, attributes: dict[str, Column], content: Column | None = None) -> Column:
+    parts = [F.concat(F.lit(f' {n}="'), v, F.lit('"')) for n, v in attributes.items()]
+    return F.concat(F.lit(f"<{name}"), *parts, *([F.lit("/>")] if content is None else [F.lit(">"), content, F.lit(f"</{name}>")]))
+
+
+def scene_lines(objects: DataFrame, dots: int = 3) -> DataFrame:
+    """document_id, group, ord, key and line of everything that a scene (rows of `scene.OBJECT`) shows.
+
+    Junctions of `dots` pipes or more get a dot, unknown ones and unknown marks a ring, and a callout leads from an
+    annotation to the junction, or the middle of the pipe, that it points to.
+    """
+    name, x, y = xml_attribute(F.col("id")), number(F.col("x")), number(F.col("y"))
+    at = {"x": x, "y": y}
+    place = F.struct(F.coalesce((F.col("x") + F.col("x1")) / 2, F.col("x")).alias("x"), F.coalesce((F.col("y") + F.col("y1")) / 2, F.col("y")).alias("y"))
+    ends = objects.where("type = 'pipe_segment'").select("document_id", F.explode(F.array("start_id", "end_id")).alias("id"))
+    degree = ends.groupBy("document_id", "id").agg(F.count("*").alias("degree"))
+    targets = objects.select("document_id", F.col("id").alias("target_id"), place.alias("to"))
+    shown = {
+        "pipes": (objects.where("type = 'pipe_segment'"), _tag("line", {"id": F.concat(F.lit("pipe-"), name), "x1": x, "y1": y, "x2": number(F.col("x1")), "y2": number(F.col("y1"))})),
+        "connections": (objects.where("type = 'junction'").join(degree.where(F.col("degree") >= dots), ["document_id", "id"]), _tag("circle", {"cx": x, "cy": y, "r": F.lit("3")})),
+        "symbols": (objects.where("type = 'symbol'"), _tag("use", {"id": F.concat(F.lit("symbol-"), name), "href": F.concat(F.lit("#sym-"), xml_attribute(F.col("label"))), "transform": F.concat(F.lit("translate("), x, F.lit(" "), y, F.lit(")"))})),
+        "dimensions": (objects.where("type = 'dimension'"), _tag("text", {"id": F.concat(F.lit("dimension-"), name), **at}, xml_text(F.col("label")))),
+        "callouts": (objects.where("type = 'annotation'").join(targets, ["document_id", "target_id"]), _tag("line", {"x1": x, "y1": y, "x2": number(F.col("to.x")), "y2": number(F.col("to.y"))})),
+        "annotations": (objects.where("type = 'annotation'"), _tag("text", {"id": F.concat(F.lit("text-"), name), **at}, xml_text(F.col("label")))),
+        "unresolved": (objects.where("type = 'unknown_mark' or type = 'junction' and label = 'unknown'"), _tag("circle", {"id": F.concat(F.lit("unknown-"), name), "cx": x, "cy": y, "r": F.lit("6"), "fill": F.lit("none")})),
+    }
+    made = [rows.select("document_id", F.lit(group).alias("group"), F.lit(GROUPS.index(group)).alias("ord"), F.col("id").alias("key"), line.alias("line")) for group, (rows, line) in shown.items()]
+    return functools.reduce(lambda a, b: a.union(b), made)
+
+
+def symbol_definitions(objects: DataFrame) -> DataFrame:
+    """document_id and the ids of the symbols it shows, sorted and once each."""
+    return objects.where("type = 'symbol'").groupBy("document_id").agg(F.array_sort(F.collect_set("label")).alias("symbols"))
+
+
+def drawn_scene(lines: DataFrame, definitions: DataFrame) -> DataFrame:
+    """document_id and svg: definitions, then every group, empty ones too, with its lines by key. A page has a bounded number of objects."""
+    body = lambda g: F.array_join(F.transform(F.array_sort(F.filter("_all", lambda s: s["group"] == g)), lambda s: F.concat(s["line"], F.lit("\n"))), "")
+    every = lines.groupBy("document_id").agg(F.collect_list(F.struct("group", "key", "line")).alias("_all")).join(definitions, "document_id", "left")
+    defs = F.array_join(F.transform(F.coalesce("symbols", F.array().cast("array<string>")), lambda s: F.concat(F.lit('<symbol id="sym-'), xml_attribute(s), F.lit('"/>\n'))), "")
+    groups = [F.concat(F.lit(f'<g id="{g}">\n'), body(g), F.lit("</g>\n")) for g in GROUPS]
+    return every.select("document_id", F.concat(F.lit('<svg xmlns="http://www.w3.org/2000/svg">\n<defs>\n'), defs, F.lit("</defs>\n"), *groups, F.lit("</svg>\n")).alias("svg"))

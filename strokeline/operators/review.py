@@ -45,3 +45,39 @@ def lost_edits(confirmed: DataFrame, candidates: DataFrame, key: str, columns: l
     made = confirmed.select(key, F.struct(*columns).alias("_a")).join(other, key, "left")
     reason = F.when(F.col("_there").isNull(), "missing").when(~F.col("_a").eqNullSafe(F.col("_b")), "changed")
     return made.select(key, reason.alias("reason")).where("reason is not null")
+
+
+#: State of an item after each answer.
+ANSWERS = {"confirm": "confirmed", "correct": "corrected", "acknowledge_unknown": "acknowledged_unknown"}
+
+
+def answered(items: DataFrame, objects: DataFrame, answers: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(items, objects) after answers (key, seq, action, text): the last answer gives an item (key, object_id, state) its state; a confirmed or corrected object (id, state, score, text) is confirmed without a score, and a correction gives it its text."""
+    last = answers.where(F.col("action").isin(*ANSWERS)).groupBy("key").agg(F.max_by(F.struct("action", "text"), "seq").alias("_a"))
+    met = items.join(last, "key", "left")
+    state = F.coalesce(*[F.when(F.col("_a.action") == a, F.lit(s)) for a, s in ANSWERS.items()], F.col("state"))
+    hit = met.where(F.col("_a.action").isin("confirm", "correct")).groupBy(F.col("object_id").alias("id")).agg(F.max(F.when(F.col("_a.action") == "correct", F.col("_a.text"))).alias("_text"), F.lit(True).alias("_hit"))
+    own = objects.join(hit, "id", "left")
+    changed = {"state": F.when(F.col("_hit"), "confirmed").otherwise(F.col("state")), "score": F.when(F.col("_hit").isNull(), F.col("score")), "text": F.coalesce("_text", "text")}
+    return met.withColumn("state", state).drop("_a"), own.select(*[changed.get(c, F.col(c)).alias(c) for c in objects.columns])
+
+
+def carried(items: DataFrame, keys: DataFrame, key: str = "key") -> DataFrame:
+    """Items that the next revision takes over: those of blocking states, and those whose key is asked for."""
+    asked = keys.select(key, F.lit(True).alias("_asked")).distinct()
+    return items.join(asked, key, "left").where(F.col("state").isin(*BLOCKING_STATES) | F.col("_asked")).drop("_asked")
+
+
+def reopened(items: DataFrame, affected: DataFrame, kept: DataFrame, key: str = "key") -> DataFrame:
+    """Items of affected objects (object_id) are open again, except those of the kept keys."""
+    hit = affected.select("object_id", F.lit(True).alias("_hit")).distinct()
+    stays = kept.select(key, F.lit(True).alias("_stays")).distinct()
+    met = items.join(hit, "object_id", "left").join(stays, key, "left")
+    return met.withColumn("state", F.when(F.col("_hit") & F.col("_stays").isNull(), "open").otherwise(F.col("state"))).drop("_hit", "_stays")
+
+
+def promoted(documents: DataFrame, candidates: DataFrame) -> DataFrame:
+    """Documents (document_id, current) after candidates (document_id, revision_id, parent_id, author, ready): one whose parent is still current, and that is ready, becomes current; of several the smallest id."""
+    met = candidates.where("ready").join(documents, "document_id").where(F.col("parent_id").eqNullSafe(F.col("current")))
+    best = met.groupBy("document_id").agg(F.min("revision_id").alias("_new"))
+    return documents.join(best, "document_id", "left").select("document_id", F.coalesce("_new", "current").alias("current"), F.col("_new").isNotNull().alias("promoted"))

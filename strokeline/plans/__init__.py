@@ -1,6 +1,6 @@
 """Registered queries of the drawing operators."""
 
-from . import assembly, control, integrity, ranking, records, scene, spatial, stages, text  # noqa: F401
+from . import assembly, control, edits, integrity, ranking, records, scene, spatial, stages, text  # noqa: F401
 from .registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..config import PROFILE as P
 from ..operators import review, scene
+from ..sources.shared import stored
 from ..sources.tables import BOXES_SQL, POINTS_SQL, SEGMENTS_SQL, boxes, points, segments
 from .registry import query
 
@@ -43,8 +44,8 @@ def assembled(spark: SparkSession, folder: str) -> DataFrame:
     # color_9 is no layer of any document, so its objects go to the first one
     known = scene.layers(nodes.select("document_id", F.when(F.col("layer") != "color_9", F.col("layer")).alias("layer")))
     regions = boxes(spark, folder).select("document_id", "id", "kind", (F.col("x") + F.col("width") / 2).alias("x"), (F.col("y") + F.col("height") / 2).alias("y"))
-    junctions = scene.junctions(scene.with_known_layer(nodes, known))
-    pipes = scene.pipes(scene.with_known_layer(edges, known), junctions)
+    junctions = stored(scene.junctions(scene.with_known_layer(nodes, known)), "junctions")
+    pipes = stored(scene.pipes(scene.with_known_layer(edges, known), junctions), "pipes")
     symbol = F.expr("CASE id % 5 WHEN 0 THEN 'ball_valve' WHEN 1 THEN 'flange' WHEN 2 THEN 'unknown' WHEN 3 THEN 'riser' END")
     candidates = regions.where("kind = 'symbol'").select("document_id", "id", "x", "y", symbol.alias("symbol_id"), F.when(F.col("id") % 7 == 0, "low_margin").otherwise("proposed").alias("status"), (0.5 + F.col("id") % 9 / 10.0).alias("combined"))
     symbols, marks = scene.symbols(candidates)
@@ -57,7 +58,7 @@ def assembled(spark: SparkSession, folder: str) -> DataFrame:
     targets = texts.select("document_id", "id", F.explode(ranked).alias("t")).select("document_id", "id", "t.rank", "t.score", F.concat(F.lit("node_"), (F.col("id") + F.col("t.rank")).cast("string")).alias("target_ref"))
     annotations = scene.annotations(texts, targets, measured, junctions, P.target_margin)
     unknown = scene.unknown_marks(regions, measured, read, candidates)
-    objects = scene.assembled(junctions, pipes, symbols, marks, dimensions, annotations, unknown)
+    objects = stored(scene.assembled(junctions, pipes, symbols, marks, dimensions, annotations, unknown), "scene")
     return objects.unionByName(scene.relationships(objects))
 
 
