@@ -136,7 +136,7 @@ def shard_by_kd_tree(
     metadata: tuple[str, ...] = ("source", "lang"),
     overhead: int = 16,
     rows_per_block: int = 10_000,
-    exact_rows: int = 20_000,
+    exact_rows: int = 1_000,
 ) -> DataFrame:
     """id, size, text_crc32, shard and slot of every row: shards of near-equal bytes.
 
