@@ -31,6 +31,7 @@ BLOCK_BYTES = 4 << 20
 #: At most so many partitions take part in counting, however large the corpus; more buckets than these share them.
 MAX_PARTITIONS = 4096
 _MAX_BUCKETS = 1 << 16
+BLOCKS_PER_PARTITION = 4
 _END, _START = np.uint64(0x2545F4914F6CDD1D), np.uint64(0x9E6C63D0876A9A47)
 _ORDER_STEP = mixed(np.arange(100, 116, dtype=np.uint64)) | np.uint64(1)
 #: A lane of the traversal reads so many tokens.
@@ -207,7 +208,8 @@ def score_texts(df: DataFrame, training: Column, id_col: str = "doc_id", text_co
 
     # written once: a block's number and rows stay the same for all that follows
     blocks = written(rows.mapInArrow(cut, f"block bigint, i array<{kind}>, n bigint, t binary, l binary, w binary, h binary"), "lm-blocks")
-    every = int(blocks.agg(F.sum("n")).first()[0] or 0)
+    about = blocks.agg(F.sum("n"), F.count("*")).first()
+    every, number_of_blocks = int(about[0] or 0), int(about[1])
     fine = min(_MAX_BUCKETS, max(64, 1 << max(0, (every >> 20).bit_length())))
     partitions = min(fine, MAX_PARTITIONS)
     dropped_bits = np.uint64(64 - min(64, max(40, every.bit_length() + 20)))
@@ -270,7 +272,9 @@ def score_texts(df: DataFrame, training: Column, id_col: str = "doc_id", text_co
     counted = written(sent.mapInArrow(settle, "block bigint, level int, bucket int, c binary, types bigint, tokens bigint, starts bigint"), "lm-counts")
     types, tokens, starts = (int(x or 0) for x in counted.agg(F.sum("types"), F.sum("tokens"), F.sum("starts")).first())
     # a block has a bounded number of n-grams
-    own = counted.groupBy("block").agg(F.collect_list(F.struct("level", "bucket", "c")).alias("found"))
+    # some blocks for each partition, whatever the session's number of them
+    shares = min(MAX_PARTITIONS, max(8, -(-number_of_blocks // BLOCKS_PER_PARTITION)))
+    own = counted.repartition(shares, "block").groupBy("block").agg(F.collect_list(F.struct("level", "bucket", "c")).alias("found"))
 
     def score(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -292,7 +296,7 @@ def score_texts(df: DataFrame, training: Column, id_col: str = "doc_id", text_co
                     [batch.column("i").slice(k, 1).flatten(), pa.array(np.diff(made.offsets)), pa.array(summed[0]), pa.array(np.full(n, tokens, np.int64)), pa.array(summed[1]), pa.array(summed[2])], ["i", "n", "k", "w", "b", "s"]
                 )
 
-    met = blocks.join(own, "block").drop("n")
+    met = blocks.repartition(shares, "block").join(own, "block").drop("n")
     scored = written(met.mapInArrow(score, f"i {kind}, n bigint, k bigint, w bigint, b double, s double"), "lm-scores")
     dropped(df.sparkSession, blocks, counted)
     return scored.toDF(id_col, "n_tokens", "n_known", "train_tokens", "base_score", "score")
