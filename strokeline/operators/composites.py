@@ -110,3 +110,29 @@ def capped(rows: DataFrame, by: list[str], order: list[str], limit: int) -> tupl
     """(the first `limit` rows of each group, the groups that have more): the cap is a stated property of the output, and what it cuts is reported."""
     ranked = rows.withColumn("_n", F.row_number().over(Window.partitionBy(*by).orderBy(*order)))
     return ranked.where(F.col("_n") <= limit).drop("_n"), ranked.groupBy(*by).agg(F.max("_n").alias("rows")).where(F.col("rows") > limit)
+
+
+def segments_of_edges(edges: DataFrame, segments: DataFrame) -> DataFrame:
+    """edge_id and segment_id of edges (id, primitive_ids): the segment (id, primitive_ids) of the same id, else the first by id that shares a primitive, else null."""
+    own = edges.select(F.col("id").alias("edge_id"), "primitive_ids").join(segments.select(F.col("id").alias("edge_id"), F.col("id").alias("_own")), "edge_id", "left")
+    named = segments.select(F.col("id").alias("_other"), F.explode("primitive_ids").alias("_p"))
+    shared = own.where("_own is null").select("edge_id", F.explode("primitive_ids").alias("_p")).join(named, "_p").groupBy("edge_id").agg(F.min("_other").alias("_other"))
+    return own.join(shared, "edge_id", "left").select("edge_id", F.coalesce("_own", "_other").alias("segment_id"))
+
+
+def residuals(samples: DataFrame, segments: DataFrame, key: str) -> DataFrame:
+    """key, n and rms: the root of the mean squared distance of samples (key, x, y) to their segment (key, x0 to y1)."""
+    d = G.point_segment_distance(F.col("x"), F.col("y"), F.col("x0"), F.col("y0"), F.col("x1"), F.col("y1"))
+    return samples.join(segments, key).withColumn("_d", d).groupBy(key).agg(F.count("*").alias("n"), F.sqrt(F.avg(F.col("_d") * F.col("_d"))).alias("rms"))
+
+
+def strided(samples: DataFrame, key: str, order: str, at_most: int = 10) -> DataFrame:
+    """Every so-manieth sample of each key, from the first, so that about `at_most` remain: a step of their number divided by it, 1 at least."""
+    w = Window.partitionBy(key)
+    made = samples.withColumns({"_k": F.row_number().over(w.orderBy(order)) - 1, "_n": F.count("*").over(w)})
+    return made.where(F.pmod("_k", F.greatest(F.floor(F.col("_n") / at_most), F.lit(1))) == 0).drop("_k", "_n")
+
+
+def layer_names(colours: DataFrame, by: str = "document_id") -> DataFrame:
+    """Colours (by, l, a, b) with the name of their layer: color_0 and so on, in the order of l, a, b."""
+    return colours.withColumn("layer", F.format_string("color_%d", F.row_number().over(Window.partitionBy(by).orderBy("l", "a", "b")) - 1))

@@ -91,3 +91,25 @@ def drawn_scene(lines: DataFrame, definitions: DataFrame) -> DataFrame:
     defs = F.array_join(F.transform(F.coalesce("symbols", F.array().cast("array<string>")), lambda s: F.concat(F.lit('<symbol id="sym-'), xml_attribute(s), F.lit('"/>\n'))), "")
     groups = [F.concat(F.lit(f'<g id="{g}">\n'), body(g), F.lit("</g>\n")) for g in GROUPS]
     return every.select("document_id", F.concat(F.lit('<svg xmlns="http://www.w3.org/2000/svg">\n<defs>\n'), defs, F.lit("</defs>\n"), *groups, F.lit("</svg>\n")).alias("svg"))
+
+
+#: Elements of a trace and the attributes that each may have. Fixed values.
+TRACE = {"svg": ("xmlns", "width", "height", "viewBox"), "g": ("id", "fill", "stroke", "stroke-width"), "path": ("d", "fill", "stroke", "stroke-width"), "title": ()}
+
+
+def trace_problems(documents: DataFrame, ident: str, text: str) -> DataFrame:
+    """ident, code and detail of traces (ident, text, width, height): declarations, elements and attributes that aren't allowed, and path points further outside the page than 5 % of its side and 4 pixels."""
+    found = elements(documents, ident, text)
+    allowed = F.coalesce(*[F.when(F.col("name") == n, F.array(*[F.lit(a) for a in attributes]).cast("array<string>")) for n, attributes in TRACE.items()])
+    row = lambda rows, code, detail: rows.select(ident, F.lit(code).alias("code"), detail.cast("string").alias("detail"))
+    names = F.regexp_extract_all("attributes", F.lit(r'([a-zA-Z][a-zA-Z-]*)="'), 1)
+    extra = found.where(allowed.isNotNull()).select(ident, F.explode(F.array_except(names, allowed)).alias("detail"))
+    numbers = F.regexp_extract_all(F.regexp_extract("attributes", r' d="([^"]*)"', 1), F.lit(r"(-?\d+(?:\.\d+)?)"), 1)
+    points = found.where("name = 'path'").select(ident, F.posexplode(numbers).alias("at", "value")).join(documents.select(ident, "width", "height"), ident)
+    side = F.when(F.col("at") % 2 == 0, F.col("width")).otherwise(F.col("height"))
+    value = F.col("value").cast("double")
+    outside = points.where((value < -(0.05 * side + 4)) | (value > 1.05 * side + 4))
+    made = row(documents.where(F.contains(F.col(text), F.lit("<!DOCTYPE")) | F.contains(F.col(text), F.lit("<!ENTITY"))), "declaration", F.lit(None))
+    for part in (row(found.where(allowed.isNull()), "forbidden_element", F.col("name")), row(extra, "forbidden_attribute", F.col("detail")), row(outside, "outside_page", F.col("value"))):
+        made = made.unionByName(part)
+    return made

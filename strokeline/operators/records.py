@@ -14,6 +14,7 @@ from pyspark.sql.window import Window
 
 from ..config import PROFILE, Profile
 from ..functions.text import uuid5
+from . import control
 
 #: The key of every artifact. Fixed values.
 ARTIFACT_KEYS = {
@@ -144,3 +145,44 @@ def exports_of(revisions: DataFrame, exports: DataFrame, traces: DataFrame) -> D
     met = revisions.join(exports.select("revision_id", "kind", F.col("key").alias("_own")), ["revision_id", "kind"], "left").join(traces.select("document_id", F.col("key").alias("_trace")), "document_id", "left")
     source = F.when(F.col("_own").isNotNull(), "export").when(F.col("_trace").isNotNull(), "trace")
     return met.select("revision_id", "kind", F.coalesce("_own", "_trace").alias("key"), source.alias("source"))
+
+
+def retried(jobs: DataFrame, requests: DataFrame, at: Column) -> DataFrame:
+    """Jobs of the requests that failed or were canceled begin anew: queued, no attempts, no request to stop, updated now; others stay."""
+    met = jobs.join(requests.select("job_id", F.lit(True).alias("_again")).distinct(), "job_id", "left")
+    again = F.col("_again") & F.col("state").isin("failed", "canceled")
+    new = {"state": F.lit("queued"), "attempt": F.lit(0), "cancel_requested": F.lit(False), "updated_at": at}
+    return met.withColumns({c: F.when(again, v).otherwise(F.col(c)) for c, v in new.items() if c in jobs.columns}).drop("_again")
+
+
+def stage_logs(runs: DataFrame) -> DataFrame:
+    """Log lines (job_id, at, level, message) of stage runs (job_id, stage, started_at, finished_at, warnings): one when a stage begins, one when it ends, one for each warning; `at` in ISO 8601."""
+    line = lambda at, level, message: F.struct(at.alias("at"), F.lit(level).alias("level"), message.alias("message"))
+    each = F.concat(
+        F.array(line(F.col("started_at"), "info", F.concat("stage", F.lit(" started")))),
+        F.when(F.col("finished_at").isNotNull(), F.array(line(F.col("finished_at"), "info", F.concat("stage", F.lit(" finished"))))).otherwise(F.array().cast("array<struct<at:timestamp_ntz,level:string,message:string>>")),
+        F.transform("warnings", lambda w: line(F.coalesce("finished_at", "started_at"), "warning", F.concat(F.col("stage"), F.lit(": "), w))),
+    )
+    made = runs.select("job_id", F.explode(each).alias("l"))
+    return made.select("job_id", F.date_format("l.at", "yyyy-MM-dd'T'HH:mm:ss'Z'").alias("at"), "l.level", "l.message")
+
+
+def published_revisions(intents: DataFrame, written: DataFrame) -> DataFrame:
+    """Outcome of publications: an intent (revision_id, key, sha256: one row for each artifact) is published once all its artifacts are written (key, sha256) with the digests it states; else incomplete, or damaged."""
+    met = intents.join(written.select("key", F.col("sha256").alias("_is")), "key", "left")
+    state = F.when(F.bool_or(F.col("_is").isNotNull() & (F.col("_is") != F.col("sha256"))), "damaged").when(F.bool_or(F.col("_is").isNull()), "incomplete").otherwise("published")
+    return met.groupBy("revision_id").agg(state.alias("outcome"), F.count("*").alias("artifacts"), F.count("_is").alias("written"))
+
+
+def run_once(jobs: DataFrame, outbox: DataFrame, now: Column, batch: int = PROFILE.outbox_batch) -> tuple[DataFrame, DataFrame]:
+    """(jobs, outbox) after one round of a worker: leases that ran out are recovered, the oldest pending events are dispatched, and the queued jobs among these are claimed.
+
+    The batch is a fixed number of narrow rows; a claim counts an attempt and takes a lease.
+    """
+    back = control.recovered(jobs, now).drop("error_code")
+    first = outbox.where("published_at is null").orderBy("created_at", "event_id").limit(batch).select(F.col("event_id").alias("job_id"), F.lit(True).alias("_sent"))
+    met = back.join(first, "job_id", "left")
+    claims = F.col("_sent") & (F.col("state") == "queued")
+    until = now + F.expr(f"interval {PROFILE.lease_seconds} seconds")
+    new = {"attempt": F.when(claims, F.col("attempt") + 1).otherwise(F.col("attempt")), "lease_expires_at": F.when(claims, until).otherwise(F.col("lease_expires_at")), "state": F.when(claims, "running").otherwise(F.col("state"))}
+    return met.withColumns(new).drop("_sent"), published(outbox, first.select(F.col("job_id").alias("event_id")), now)

@@ -141,3 +141,27 @@ def planned_reviews(made: DataFrame, **stages: DataFrame) -> DataFrame:
 def machine_reviews(made: DataFrame, below: float) -> DataFrame:
     """A review item for each machine object whose score is below a threshold."""
     return made.where(F.col("score") < below).select("document_id", F.concat(F.lit("machine:"), "id").alias("issue_key"), F.concat(F.lit("machine."), "type").alias("issue_type"), F.col("id").alias("object_id"), "score")
+
+
+#: The points that objects of each kind have.
+POINT_FIELDS = {"junction": ("position",), "pipe_segment": ("primitive.start", "primitive.end"), "symbol": ("position",), "annotation": ("anchor",), "dimension": ("witness.start", "witness.end")}
+
+
+def point_paths(made: DataFrame) -> DataFrame:
+    """document_id, id and path of every point of an object; kinds without points have none."""
+    paths = F.coalesce(*[F.when(F.col("type") == kind, F.array(*[F.lit(p) for p in fields])) for kind, fields in POINT_FIELDS.items()])
+    return made.select("document_id", "id", F.explode(paths).alias("path"))
+
+
+def export_metadata(made: DataFrame, version: str) -> DataFrame:
+    """document_id and metadata: JSON of what an export states - version, objects, and how many of them are unresolved."""
+    open_ = (F.col("type") == "unknown_mark") | ((F.col("type") == "junction") & (F.col("label") == "unknown"))
+    counted = made.groupBy("document_id").agg(F.count("*").alias("objects"), F.count_if(open_).alias("unresolved"))
+    return counted.select("document_id", F.to_json(F.struct(F.lit(version).alias("version"), "objects", "unresolved")).alias("metadata"))
+
+
+def attachment_problems(attached: DataFrame, limits: DataFrame) -> DataFrame:
+    """Symbols (id, symbol_id, node_id, kind, edges: of the node, null where nothing is attached) whose node isn't of a kind (kinds) or degree (low, high) that the library's limits (symbol_id) allow."""
+    met = attached.where("node_id is not null").join(limits, "symbol_id")
+    code = F.when(F.col("kinds").isNotNull() & ~F.array_contains("kinds", F.col("kind")), "node_kind").when(F.col("edges") < F.col("low"), "too_few_edges").when(F.col("edges") > F.col("high"), "too_many_edges")
+    return met.withColumn("code", code).where("code is not null").select("id", "symbol_id", "node_id", "code")
