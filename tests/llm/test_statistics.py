@@ -1,4 +1,5 @@
 import math
+import pickle
 import random
 import re
 import zlib
@@ -306,3 +307,77 @@ def test_shards_of_a_hot_text_and_by_target(spark, empty):
     assert len(sizes) == 8 and max(sizes.values()) - min(sizes.values()) <= 2 * 60
     assert len({r.shard for r in sharding.shard_by_kd_tree(docs, target_bytes=10_000).collect()}) == -(-sum(sizes.values()) // 10_000)
     assert sharding.shard_by_kd_tree(empty, shards=4).collect() == []
+
+
+@pytest.mark.parametrize("exact", [1_000, 0])
+def test_cuts_equal_a_brute_force_tree(spark, monkeypatch, exact):
+    rng = random.Random(9)
+    rows = [(n, "x" * int(rng.paretovariate(0.7) * 20) if n % 9 else "copy of one text", rng.choice("abcdd"), rng.choice(["en", "de", None])) for n in range(900)]
+    rows += [(None, "copy of one text", "a", "en")] * 40 + [(7, "y", "b", None)] * 25
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, lang string")
+    seen, kept = [], sharding.written
+
+    def spy(df, name):
+        made = kept(df, name)
+        if not seen:
+            seen.extend(made.collect())
+        return made
+
+    monkeypatch.setattr(sharding, "written", spy)
+    made = sharding.shard_by_kd_tree(docs, shards=13, exact_rows=exact).collect()
+    extents = lambda part: [(min(r.dims[d] for r in part), max(r.dims[d] for r in part)) for d in range(3)]
+    whole = [(high - low) or 1.0 for low, high in extents(seen)]
+    found = Counter()
+
+    def grow(part, shards, first):
+        if shards == 1:
+            found.update((r.i, r.size, r.crc, first) for r in part)
+            return
+        spread = extents(part)
+        d = max(range(3), key=lambda k: (spread[k][1] - spread[k][0]) / whole[k])
+        low, width = spread[d][0], spread[d][1] - spread[d][0]
+        scale = 65535 / width if width else 0.0
+        key = lambda r: ((math.floor((r.dims[d] - low) * scale) << 32) | (r.text_hash & 0xFFFFFFFF), (r.row_hash % (1 << 64)) >> 8)
+        part = sorted(part, key=key)
+        goal, upto, cut = sum(r.size for r in part) * (shards // 2) / shards, 0, 0
+        while upto + part[cut].size <= goal:
+            upto += part[cut].size
+            cut += 1
+        cut += upto + part[cut].size - goal < goal - upto
+        grow(part[:cut], shards // 2, first)
+        grow(part[cut:], shards - shards // 2, first + shards // 2)
+
+    grow(seen, 13, 0)
+    assert found == Counter((r.doc_id, r.size, r.text_crc32, r.shard) for r in made)
+
+
+def test_rows_alike_are_dealt_one_by_one(spark):
+    alike = spark.createDataFrame([(None, "same text", "a", "en")] * 800, "doc_id long, text string, source string, lang string")
+    made = sharding.shard_by_kd_tree(alike, shards=8).collect()
+    assert set(Counter(r.shard for r in made).values()) == {100}
+    assert all(sorted(r.slot for r in made if r.shard == k) == list(range(100)) for k in range(8))
+
+
+def test_long_terms_match_themselves_and_their_misspellings():
+    for n in (24, 25, 26, 27, 40, 300):
+        term = ("abcdefghijklmnopqrstuvwxyz" * 12)[:n]
+        lexicon = toxicity.Lexicon([term], [toxicity.WORD], [1.0])
+        words = [term, term[:-1], term[1:], term[:5] + "z" + term[5:], term + "zzz", term[: n // 2], term[: n // 2] + "0" * 3 + term[n // 2 :]]
+        assert lexicon.matches(pa.array(words))[0].tolist() == [toxicity.WORD, *[toxicity.FUZZY] * 3, 0, 0, 0]
+        assert pickle.loads(pickle.dumps(lexicon)).matches(pa.array(words))[0].tolist() == lexicon.matches(pa.array(words))[0].tolist()
+
+
+def test_labels_without_documents_teach_nothing(spark):
+    docs = spark.createDataFrame([(1, "some text")], "doc_id long, text string")
+    labels = spark.createDataFrame([(5, 0), (6, 1)], "doc_id long, toxic int")
+    model = toxicity.train_toxicity(docs, labels)
+    assert toxicity.score_toxicity(docs, model).first().score < 0.01
+
+
+def test_a_repeated_id_trains_once(spark):
+    good = [(n, " ".join(f"w{(n * 7 + k) % 997}" for k in range(60))) for n in range(60)]
+    junk = [(1000 + n, " ".join(f"%%{n}$${k}" for k in range(60))) for n in range(60)]
+    docs = spark.createDataFrame(good + junk + [junk[0]] * 500, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, 1) for i, _ in good] + [(i, 0) for i, _ in junk] + [(1000, 0)] * 50, "doc_id long, quality int")
+    rules = quality.train_quality(quality.text_stats(docs), labels)
+    assert rules.rules and sum(r.covered for r in rules.rules) == 60
