@@ -186,3 +186,15 @@ def run_once(jobs: DataFrame, outbox: DataFrame, now: Column, batch: int = PROFI
     until = now + F.expr(f"interval {PROFILE.lease_seconds} seconds")
     new = {"attempt": F.when(claims, F.col("attempt") + 1).otherwise(F.col("attempt")), "lease_expires_at": F.when(claims, until).otherwise(F.col("lease_expires_at")), "state": F.when(claims, "running").otherwise(F.col("state"))}
     return met.withColumns(new).drop("_sent"), published(outbox, first.select(F.col("job_id").alias("event_id")), now)
+
+
+def looked_up(rows: DataFrame, wanted: DataFrame, keys: list[str], values: list[str]) -> DataFrame:
+    """Wanted keys (request_id and the keys) with the values of their row and `found`; a key that is null, or that no row has, finds nothing."""
+    return wanted.join(rows.select(*keys, *values, F.lit(True).alias("_there")), keys, "left").select("request_id", *values, F.coalesce("_there", F.lit(False)).alias("found"))
+
+
+def change_events(before: DataFrame, after: DataFrame, key: str, columns: list[str]) -> DataFrame:
+    """An event for each row that a step added or changed: key, old and new as JSON (old null for a new row)."""
+    old = before.select(key, F.to_json(F.struct(*columns)).alias("old"))
+    new = after.select(key, F.to_json(F.struct(*columns)).alias("new"))
+    return new.join(old, key, "left").where(~F.col("old").eqNullSafe(F.col("new"))).select(key, "old", "new")

@@ -165,3 +165,26 @@ def document_details(spark: SparkSession, folder: str) -> DataFrame:
     c = table(spark, folder, "customer").join(table(spark, folder, "nation"), F.col("c_nationkey") == F.col("n_nationkey"))
     made = c.select(F.col("c_custkey").alias("document_id"), F.col("c_name").alias("name"), F.col("n_name").alias("owner"))
     return made.join(count, "document_id", "left").join(newest, "document_id", "left").fillna(0, ["jobs"])
+
+
+@query("""SELECT 'document' AS kind, o_orderkey AS request_id, c_name AS value, c_custkey IS NOT NULL AS found FROM orders LEFT JOIN customer ON c_custkey=o_custkey*2 UNION ALL SELECT 'upload', p_partkey, c_name, c_custkey IS NOT NULL FROM part LEFT JOIN customer ON c_nationkey=p_size AND c_custkey=p_partkey UNION ALL SELECT 'item', p_partkey, l_returnflag, l_orderkey IS NOT NULL FROM part LEFT JOIN (SELECT DISTINCT l_orderkey, l_linenumber, arg_max(l_returnflag, l_partkey*100000+l_suppkey*100+l_quantity) OVER (PARTITION BY l_orderkey, l_linenumber) AS l_returnflag FROM lineitem) l ON l_orderkey=p_partkey AND l_linenumber=p_size % 4+1""")
+def looked_up_rows(spark: SparkSession, folder: str) -> DataFrame:
+    """Documents by id, uploads by owner and key, and review items by revision and number."""
+    c, p, l = (table(spark, folder, n) for n in ("customer", "part", "lineitem"))  # noqa: E741
+    rows = c.select(F.col("c_custkey").alias("document_id"), F.col("c_nationkey").alias("owner"), F.col("c_name").alias("value"))
+    documents = records.looked_up(rows, table(spark, folder, "orders").select(F.col("o_orderkey").alias("request_id"), (F.col("o_custkey") * 2).alias("document_id")), ["document_id"], ["value"])
+    uploads = records.looked_up(rows, p.select(F.col("p_partkey").alias("request_id"), F.col("p_size").alias("owner"), F.col("p_partkey").alias("document_id")), ["owner", "document_id"], ["value"])
+    flag = F.max_by("l_returnflag", F.col("l_partkey") * 100000 + F.col("l_suppkey") * 100 + F.col("l_quantity"))
+    own = l.groupBy(F.col("l_orderkey").alias("revision_id"), F.col("l_linenumber").alias("number")).agg(flag.alias("value"))
+    items = records.looked_up(own, p.select(F.col("p_partkey").alias("request_id"), F.col("p_partkey").alias("revision_id"), (F.col("p_size") % 4 + 1).alias("number")), ["revision_id", "number"], ["value"])
+    named = lambda kind, rows: rows.select(F.lit(kind).alias("kind"), "request_id", "value", "found")
+    return named("document", documents).union(named("upload", uploads)).union(named("item", items))
+
+
+@query(f"""WITH l AS (SELECT DISTINCT l_orderkey AS job_id FROM lineitem WHERE l_returnflag='R'), j AS (SELECT job_id, attempt, state, CASE WHEN l.job_id IS NOT NULL AND state='running' THEN greatest(attempt-1,0) ELSE attempt END AS a, CASE WHEN l.job_id IS NOT NULL AND state='running' THEN 'queued' ELSE state END AS s FROM {_J} LEFT JOIN l USING (job_id))
+SELECT job_id, concat('{{"state":"', state, '","attempt":', attempt, '}}') AS old, concat('{{"state":"', s, '","attempt":', a, '}}') AS new FROM j WHERE state<>s OR attempt<>a""")
+def change_events(spark: SparkSession, folder: str) -> DataFrame:
+    """What requeueing changed, as events with the old and the new values."""
+    before = _jobs(spark, folder)
+    after = records.requeued(before, table(spark, folder, "lineitem").where("l_returnflag = 'R'").select(F.col("l_orderkey").alias("job_id")))
+    return records.change_events(before, after, "job_id", ["state", "attempt"])
