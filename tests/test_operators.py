@@ -189,14 +189,14 @@ def test_rasters():
 
 def test_lineage_of_any_depth(spark):
     rows = [(n, n - 1 if n % 150 else None) for n in range(300)] + [(900, 901), (901, 900), (902, 900), (903, 999)]
-    made = control.lineage(spark.createDataFrame(rows, "revision_id long, parent_id long"), tempfile.mkdtemp(prefix="spark-lineage-"))
+    made = control.lineage(spark.createDataFrame(rows, "revision_id long, parent_id long"), new_folder(spark, "lineage"))
     assert {tuple(r) for r in made.collect()} == {(n, n // 150 * 150, n % 150) for n in range(300)}
 
 
 def test_components_of_a_long_path(spark):
     nodes = spark.createDataFrame([(0, n) for n in range(300)], "document_id long, id long")
     edges = spark.createDataFrame([(0, (n * 7) % 300, ((n + 1) * 7) % 300) for n in range(299)], "document_id long, a long, b long")
-    made = graph.connected_components(edges, nodes, tempfile.mkdtemp(prefix="spark-components-"))
+    made = graph.connected_components(edges, nodes, new_folder(spark, "components"))
     assert {r.component for r in made.collect()} == {0} and made.count() == 300
 
 
