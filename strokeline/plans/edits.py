@@ -153,7 +153,7 @@ def issue_paths(spark: SparkSession, folder: str) -> DataFrame:
     return table(spark, folder, "lineitem").select((F.col("l_orderkey") * 10 + n).alias("id"), path.alias("path"), X.supported_version(version).alias("supported"), X.review_id(F.lit("dimension.missing_arrow"), F.col("l_orderkey").cast("string"), n.cast("string")).alias("review_id"))
 
 
-@query(f"{_SCENE_SQL} SELECT document_id, list_sort(list(DISTINCT label)) AS symbols FROM o WHERE type='symbol' GROUP BY document_id")
+@query(f"{_SCENE_SQL} SELECT document_id, string_agg(DISTINCT label, ',' ORDER BY label) AS symbols FROM o WHERE type='symbol' GROUP BY document_id")
 def used_symbols(spark: SparkSession, folder: str) -> DataFrame:
     """Symbols that each scene needs definitions of."""
-    return markup.symbol_definitions(assembled_scene(spark, folder))
+    return markup.symbol_definitions(assembled_scene(spark, folder)).withColumn("symbols", F.array_join("symbols", ","))

@@ -15,7 +15,7 @@ from .registry import query
 SIZE = 8.0
 
 
-@query("""WITH p AS (SELECT p_partkey AS id, p_size % 9 AS o, 100.0+p_size AS w, 60.0+p_partkey % 40 AS h, 10.0+p_size AS x, 5.0+p_partkey % 7 AS y FROM part)
+@query("""WITH p AS (SELECT p_partkey AS id, p_size % 9 AS o, CAST(100+p_size AS DOUBLE) AS w, CAST(60+p_partkey % 40 AS DOUBLE) AS h, CAST(10+p_size AS DOUBLE) AS x, CAST(5+p_partkey % 7 AS DOUBLE) AS y FROM part)
 SELECT id, o AS orientation, CASE WHEN o IN (2,3) THEN w-x WHEN o IN (5,8) THEN y WHEN o IN (6,7) THEN h-y ELSE x END AS x, CASE WHEN o IN (3,4) THEN h-y WHEN o IN (5,6) THEN x WHEN o IN (7,8) THEN w-x ELSE y END AS y, CASE WHEN o BETWEEN 5 AND 8 THEN h ELSE w END AS width, CASE WHEN o BETWEEN 5 AND 8 THEN w ELSE h END AS height FROM p""")
 def oriented_points(spark: SparkSession, folder: str) -> DataFrame:
     """Points of stored images on display, for every orientation."""
