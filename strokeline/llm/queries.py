@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, decontaminate, langid, lm, neardup, quality, sharding, spans, toxicity, warc
+from . import bpe, decontaminate, dialogue, heavylight, infill, langid, lm, neardup, quality, sharding, spans, toxicity, warc
 from .store import new_path, written
 
 #: Where the tokenizer files of the queries are; another file is given by the operators' parameter.
@@ -100,6 +100,26 @@ def op10_language_id(spark: SparkSession, folder: str) -> DataFrame:
     return made.select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
 
 
+def op11_fill_in_middle(spark: SparkSession, folder: str) -> DataFrame:
+    """Digests of every document with its parts in another order, and of the text rebuilt from that."""
+    made = infill.fill_in_middle(table(spark, folder, "documents"), seed="1", plain_percent=10, spm_percent=20)
+    back = infill.restored(F.col("output"), F.col("form"))
+    digests = (F.sha2("output", 256).alias("output_sha256"), F.sha2(back, 256).alias("restored_sha256"))
+    return made.select("doc_id", "n", "form", "prefix_chars", "middle_chars", *digests)
+
+
+def op12_similarity_join(spark: SparkSession, folder: str) -> DataFrame:
+    """Components of documents with 4-word shingle sets of a similarity of 0.85 or more; every link is found."""
+    return heavylight.similar_texts(table(spark, folder, "documents"), shingle=4, percent=85)
+
+
+def op13_conversation_repair(spark: SparkSession, folder: str) -> DataFrame:
+    """Faults and cheapest repair of all conversations, damaged by a hash of their turns."""
+    turns = table(spark, folder, "conversations")
+    made = dialogue.repair_conversations(dialogue.damage_conversations(turns))
+    return dialogue.for_all(turns.select("conv_id").distinct(), made)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_kd_shards": op1_kd_shards,
     "op2_quality_rules": op2_quality_rules,
@@ -111,6 +131,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_arc_to_warc": op8_arc_to_warc,
     "op9_bpe": op9_bpe,
     "op10_language_id": op10_language_id,
+    "op11_fill_in_middle": op11_fill_in_middle,
+    "op12_similarity_join": op12_similarity_join,
+    "op13_conversation_repair": op13_conversation_repair,
 }
 
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -118,14 +141,26 @@ _BASE32 = _UPPER + "234567"
 #: Four base32 digits of each five hexadecimal ones.
 _DIGITS = " || ".join(f"substr('{_BASE32}', ((CAST(concat('0x', substr(h, {5 * g + 1}, 5)) AS BIGINT) >> {shift}) & 31) + 1, 1)" for g in range(8) for shift in (15, 10, 5, 0))
 
-#: SQL of the queries that SQL can express exactly; tests hold the others against brute force.
-ORACLES: dict[str, str] = {
-    "op7_near_duplicates": rf"""WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}'), '[^\x20\x09-\x0D]+') AS w FROM documents),
-s AS (SELECT doc_id, list_distinct(CASE WHEN len(w)=0 THEN [] WHEN len(w)<3 THEN [array_to_string(w, ' ')] ELSE list_transform(range(1, len(w)-1), lambda i: concat(w[i], ' ', w[i+1], ' ', w[i+2])) END) AS s FROM w),
+def _components(size: int, more: str) -> str:
+    """SQL of documents linked by sets of `size`-word shingles with a similarity of 0.85 or more."""
+    return rf"""WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+s AS (SELECT doc_id, list_distinct(CASE WHEN len(w)=0 THEN [] WHEN len(w)<{size} THEN [array_to_string(w, ' ')] ELSE list_transform(range(1, len(w)-{size}+2), lambda i: array_to_string(w[i:i+{size}-1], ' ')) END) AS s FROM w),
 e AS (SELECT doc_id, unnest(s) AS x FROM s), c AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS n FROM e a JOIN e b ON a.x=b.x AND a.doc_id<b.doc_id GROUP BY ALL),
 l AS (SELECT a, b FROM c JOIN s p ON p.doc_id=a JOIN s q ON q.doc_id=b WHERE 100*n >= 85*(len(p.s)+len(q.s)-n)), g AS (SELECT a, b FROM l UNION ALL SELECT b, a FROM l),
 r(doc_id, reached) AS (SELECT doc_id, doc_id FROM documents UNION SELECT r.doc_id, g.b FROM r JOIN g ON r.reached=g.a), m AS (SELECT doc_id, min(reached) AS component_id FROM r GROUP BY doc_id)
-SELECT doc_id, CAST(len(s) AS BIGINT) AS n_shingles, component_id, doc_id=component_id AS kept FROM s JOIN m USING (doc_id)""",
+SELECT doc_id, CAST(len(s) AS BIGINT) AS n_shingles, component_id{more} FROM s JOIN m USING (doc_id)"""
+
+
+#: SQL of the queries that SQL can express exactly; tests hold the others against brute force.
+ORACLES: dict[str, str] = {
+    "op7_near_duplicates": _components(3, ", doc_id=component_id AS kept"),
+    "op11_fill_in_middle": """WITH d AS (SELECT doc_id, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[A-Za-z]+|[^A-Za-z]') AS w, sha256('1:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS h FROM documents),
+u AS (SELECT doc_id, t, w, CAST(len(w) AS BIGINT) AS n, CAST('0x' || substr(h, 1, 8) AS BIGINT) % (len(w)+1) AS c1, CAST('0x' || substr(h, 9, 8) AS BIGINT) % (len(w)+1) AS c2,
+  CASE WHEN t='' OR contains(t, '<P>') OR contains(t, '<S>') OR contains(t, '<M>') OR CAST('0x' || substr(h, 17, 8) AS BIGINT) % 100 >= 90 THEN 'plain' WHEN CAST('0x' || substr(h, 25, 8) AS BIGINT) % 100 < 20 THEN 'spm' ELSE 'psm' END AS form FROM d),
+c AS (SELECT doc_id, t, n, form, array_to_string(w[1:least(c1, c2)], '') AS p, array_to_string(w[least(c1, c2)+1:greatest(c1, c2)], '') AS m, array_to_string(w[greatest(c1, c2)+1:], '') AS s FROM u)
+SELECT doc_id, n, form, CASE WHEN form<>'plain' THEN CAST(length(p) AS BIGINT) END AS prefix_chars, CASE WHEN form<>'plain' THEN CAST(length(m) AS BIGINT) END AS middle_chars,
+  sha256(CASE form WHEN 'plain' THEN t WHEN 'psm' THEN '<P>' || p || '<S>' || s || '<M>' || m ELSE '<S>' || s || '<P>' || p || '<M>' || m END) AS output_sha256, sha256(t) AS restored_sha256 FROM c""",
+    "op12_similarity_join": _components(4, ""),
     "op8_arc_to_warc": f"""WITH p AS (SELECT page_id, coalesce(html, '') AS t FROM pages), d AS (SELECT page_id, t, sha1(t) AS h, max(page_id) OVER (PARTITION BY t) AS top FROM p)
 SELECT page_id, CAST(strlen(t) AS BIGINT) AS payload_bytes, {_DIGITS} AS payload_digest, CASE WHEN page_id=top THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id<top THEN top END AS refers_to FROM d""",
 }
