@@ -141,6 +141,13 @@ _BASE32 = _UPPER + "234567"
 #: Four base32 digits of each five hexadecimal ones.
 _DIGITS = " || ".join(f"substr('{_BASE32}', ((CAST(concat('0x', substr(h, {5 * g + 1}, 5)) AS BIGINT) >> {shift}) & 31) + 1, 1)" for g in range(8) for shift in (15, 10, 5, 0))
 
+#: CRC-32 of a text of ASCII characters, bit by bit.
+_CRC32 = "xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split({}, ''), lambda x: ord(x)::BIGINT)), lambda a, b: list_reduce([xor(a, b), 0, 0, 0, 0, 0, 0, 0, 0], lambda x, y: xor(x >> 1, (x & 1)*3988292384))), 4294967295)"
+#: The best ways from each state where up to two turns may be put in first.
+_INSERTED = """list_transform([1,2,3,4], lambda q: list_min([{0}[q], struct_pack(c := {0}[[3,3,4,3][q]].c+3, a := 'I' || {0}[[3,3,4,3][q]].a, l := ['user','user','assistant','user'][q] || ':' || CASE WHEN {0}[[3,3,4,3][q]].l='' THEN '' ELSE chr(10) || {0}[[3,3,4,3][q]].l END),
+  struct_pack(c := {0}[[4,4,3,4][q]].c+6, a := 'II' || {0}[[4,4,3,4][q]].a, l := ['user','user','assistant','user'][q] || ':' || chr(10) || ['assistant','assistant','user','assistant'][q] || ':' || CASE WHEN {0}[[4,4,3,4][q]].l='' THEN '' ELSE chr(10) || {0}[[4,4,3,4][q]].l END)]))"""
+
+
 def _components(size: int, more: str) -> str:
     """SQL of documents linked by sets of `size`-word shingles with a similarity of 0.85 or more."""
     return rf"""WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}'), '[^\x20\x09-\x0D]+') AS w FROM documents),
@@ -161,6 +168,19 @@ c AS (SELECT doc_id, t, n, form, array_to_string(w[1:least(c1, c2)], '') AS p, a
 SELECT doc_id, n, form, CASE WHEN form<>'plain' THEN CAST(length(p) AS BIGINT) END AS prefix_chars, CASE WHEN form<>'plain' THEN CAST(length(m) AS BIGINT) END AS middle_chars,
   sha256(CASE form WHEN 'plain' THEN t WHEN 'psm' THEN '<P>' || p || '<S>' || s || '<M>' || m ELSE '<S>' || s || '<P>' || p || '<M>' || m END) AS output_sha256, sha256(t) AS restored_sha256 FROM c""",
     "op12_similarity_join": _components(4, ""),
+    "op13_conversation_repair": rf"""WITH RECURSIVE m AS (SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text, {_CRC32.format("coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' ')")} % 20 AS kind FROM conversations),
+d AS (SELECT conv_id, turn, CASE WHEN kind=4 THEN 'user' ELSE role END AS role, CASE kind WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text FROM m, (SELECT unnest([1, 2]) AS copy) WHERE kind<>0 AND (copy=1 OR kind=3)),
+o AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS k, rtrim(text, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) AS solid, left(role, 1) AS i FROM d),
+f AS (SELECT *, CASE WHEN solid='' THEN 'b' WHEN row_number() OVER (PARTITION BY conv_id, role, text ORDER BY k)>1 THEN 'd' WHEN right(solid, 1) NOT IN ('.', '!', '?') THEN 't' ELSE '' END AS fault, lag(i) OVER (PARTITION BY conv_id ORDER BY k) || i AS pair, CASE i WHEN 's' THEN [2,0,0,0] WHEN 'u' THEN [3,3,0,3] WHEN 'a' THEN [0,0,4,0] ELSE [0,0,0,0] END AS t FROM o),
+w(conv_id, k, z) AS (SELECT conv_id, max(k)+1, [struct_pack(c := 0, a := '', l := ''), struct_pack(c := 1000000000, a := '', l := ''), struct_pack(c := 1000000000, a := '', l := ''), struct_pack(c := 0, a := '', l := '')] FROM f GROUP BY conv_id
+  UNION ALL SELECT conv_id, k, list_transform([1,2,3,4], lambda q: list_min([struct_pack(c := b[q].c+4, a := 'D' || b[q].a, l := b[q].l),
+    struct_pack(c := CASE WHEN fault IN ('b', 'd') OR t[q]=0 THEN 1000000000 ELSE b[t[q]].c+more END, a := coalesce('K' || b[t[q]].a, ''), l := coalesce(role || ':' || text || CASE WHEN b[t[q]].l='' THEN '' ELSE chr(10) || b[t[q]].l END, '')),
+    struct_pack(c := CASE WHEN fault IN ('b', 'd') THEN 1000000000 ELSE b[n[q]].c+3+more END, a := 'R' || b[n[q]].a, l := r[q] || ':' || text || CASE WHEN b[n[q]].l='' THEN '' ELSE chr(10) || b[n[q]].l END)])) FROM (
+    SELECT f.conv_id, f.k, f.role, f.text, f.fault, f.t, CASE WHEN f.fault='t' THEN 3 ELSE 0 END AS more, [3,3,4,3] AS n, ['user','user','assistant','user'] AS r, {_INSERTED.format("w.z")} AS b FROM w JOIN f ON f.conv_id IS NOT DISTINCT FROM w.conv_id AND f.k=w.k-1)),
+e AS (SELECT conv_id, {_INSERTED.format("z")}[1] AS best FROM w WHERE k=1),
+s AS (SELECT conv_id, coalesce(max(turn)-min(turn)+1-count(DISTINCT turn), 0) AS gaps, count(*) FILTER (WHERE fault='b') AS blank, count(*) FILTER (WHERE fault='d') AS duplicate, count(*) FILTER (WHERE fault='t') AS truncated, count(*) FILTER (WHERE pair NOT IN ('su', 'ua', 'au')) AS illegal FROM f GROUP BY conv_id)
+SELECT c.conv_id, CAST(coalesce(gaps, 0) AS BIGINT) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal, CAST(coalesce(best.c, 0) AS BIGINT) AS cost, coalesce(best.a, '') AS audit, sha256(coalesce(best.l, '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) c LEFT JOIN s ON s.conv_id IS NOT DISTINCT FROM c.conv_id LEFT JOIN e ON e.conv_id IS NOT DISTINCT FROM c.conv_id""",
     "op8_arc_to_warc": f"""WITH p AS (SELECT page_id, coalesce(html, '') AS t FROM pages), d AS (SELECT page_id, t, sha1(t) AS h, max(page_id) OVER (PARTITION BY t) AS top FROM p)
 SELECT page_id, CAST(strlen(t) AS BIGINT) AS payload_bytes, {_DIGITS} AS payload_digest, CASE WHEN page_id=top THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id<top THEN top END AS refers_to FROM d""",
 }
