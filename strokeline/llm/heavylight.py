@@ -213,6 +213,7 @@ def similar_texts(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     final = connected_components(links)
     named = nodes.select("f1", "f2", "node", F.col("row.i").alias("label")).join(final.hint("merge"), "node", "left")
     least = named.where("component is not null").groupBy("component").agg(F.min("label").alias("least"))
+    named = named.withColumn("component", F.coalesce("component", "node"))  # a node without links is no component's name, and meets nothing
     named = named.join(least.hint("merge"), "component", "left").select("f1", "f2", F.coalesce("least", "label").alias("c"))
     out = signed.select("i", "n", F.when(F.col("n") > 0, F.col("f1")).alias("f1"), "f2").join(named.hint("merge"), ["f1", "f2"], "left")
     component = F.when(F.col("n") == 0, F.col("i")).otherwise(F.col("c"))
