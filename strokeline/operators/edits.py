@@ -67,3 +67,58 @@ def last_values(rows: DataFrame, commands: DataFrame, key: list[str], values: li
     met = rows.join(last, key, "left")
     edited = F.col("_to").isNotNull()
     return met.select(*[F.when(edited, F.col(f"_to.{c}")).otherwise(F.col(c)).alias(c) if c in values else F.col(c) for c in rows.columns], edited.alias("edited"))
+
+
+#: Commands on one object: the type of object that each is for, and what it sets. Fixed values.
+COMMANDS = {
+    "update_annotation_text": ("annotation", ("text",)), "move_annotation": ("annotation", ("x", "y")), "set_symbol_type": ("symbol", ("symbol_id",)),
+    "set_symbol_rotation": ("symbol", ("rotation",)), "move_junction": ("junction", ("x", "y")), "set_dimension_text": ("dimension", ("display_text",)),
+}
+#: Each field's place in a command.
+_SOURCES = {"text": "value", "symbol_id": "value", "display_text": "value", "rotation": "number", "x": "x", "y": "y"}
+
+
+def command_problems(objects: DataFrame, commands: DataFrame, page: str = "document_id") -> DataFrame:
+    """Commands (page, object_id, seq, type, value, number, x, y) that can't be applied, with problem: unknown_command, unknown_object, wrong_type or bad_value."""
+    wanted = F.coalesce(*[F.when(F.col("type") == kind, F.lit(target)) for kind, (target, _) in COMMANDS.items()])
+    known = objects.select(page, F.col("id").alias("object_id"), F.col("type").alias("_own"))
+    met = commands.join(known, [page, "object_id"], "left").withColumn("_wanted", wanted)
+    no = lambda c: F.col(c).isNull() | F.isnan(c) | (F.abs(F.col(c)) == float("inf"))
+    moves = F.col("type").isin("move_annotation", "move_junction")
+    texts = F.col("type").isin("update_annotation_text", "set_symbol_type", "set_dimension_text")
+    bad = (moves & (no("x") | no("y"))) | ((F.col("type") == "set_symbol_rotation") & no("number")) | (texts & F.col("value").isNull())
+    problem = (
+        F.when(F.col("_wanted").isNull(), "unknown_command").when(F.col("_own").isNull(), "unknown_object")
+        .when(F.col("_own") != F.col("_wanted"), "wrong_type").when(bad, "bad_value")
+    )
+    return met.select(page, "object_id", "seq", "type", problem.alias("problem")).where("problem is not null")
+
+
+def edited_scenes(objects: DataFrame, commands: DataFrame, page: str = "document_id") -> tuple[DataFrame, DataFrame]:
+    """(objects, problems) after the commands of each document in order of seq, all of them or - if one can't be applied - none.
+
+    Of commands that set one field of an object the last counts. Edited objects are confirmed and keep their score. objects has
+    edited, whether a command met it; the ends of pipes follow their junctions by `moved_junctions`.
+    """
+    problems = command_problems(objects, commands, page)
+    good = commands.join(problems.select(page).distinct(), page, "left_anti")
+    setters = {}
+    for kind, (_, names) in COMMANDS.items():
+        for name in names:
+            setters.setdefault(name, []).append(kind)
+    sums = [F.max_by(F.when(F.col("type").isin(*kinds), F.col(_SOURCES[name])), F.when(F.col("type").isin(*kinds), F.col("seq"))).alias(f"_{name}") for name, kinds in setters.items()]
+    last = good.groupBy(page, F.col("object_id").alias("id")).agg(*sums, F.lit(True).alias("_edited"))
+    met = objects.join(last, [page, "id"], "left")
+    values = {name: F.coalesce(F.col(f"_{name}").cast(objects.schema[name].dataType), F.col(name)) for name in setters}
+    edited = F.coalesce("_edited", F.lit(False))
+    made = met.withColumns(values).withColumn("state", F.when(edited, "confirmed").otherwise(F.col("state")))
+    return made.select(*objects.columns, edited.alias("edited")), problems
+
+
+def scene_problems(objects: DataFrame, page: str = "document_id") -> DataFrame:
+    """page, id and problem of objects that no edit may leave behind: not_finite or outside for places, blank for texts and symbols without a type."""
+    no = lambda c: F.isnan(c) | (F.abs(F.col(c)) == float("inf"))
+    outside = (F.col("x") < 0) | (F.col("y") < 0) | (F.col("x") > F.col("page_width")) | (F.col("y") > F.col("page_height"))
+    blank = ((F.col("type") == "annotation") & (F.trim("text") == "")) | ((F.col("type") == "symbol") & (F.trim("symbol_id") == ""))
+    problem = F.when(no("x") | no("y") | no("rotation"), "not_finite").when(outside, "outside").when(blank, "blank")
+    return objects.select(page, "id", problem.alias("problem")).where("problem is not null")
