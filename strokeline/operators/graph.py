@@ -11,6 +11,7 @@ from pyspark.sql import types as T
 
 from ..config import PROFILE, Profile
 from ..functions import geometry as G
+from ..sources.shared import removed
 
 
 def endpoints(edges: DataFrame, carry: list[str]) -> DataFrame:
@@ -26,27 +27,35 @@ def node_kind(degree: Column, bend: Column, profile: Profile = PROFILE) -> Colum
 
 
 def connected_components(edges: DataFrame, nodes: DataFrame, folder: str, node: str = "id", page: str = "document_id") -> DataFrame:
-    """node, page and component (smallest node id it reaches) of all nodes; edges have page, a and b.
+    """page, node and component (smallest node id it reaches) of all nodes; edges have page, a and b.
 
-    Labels spread to neighbours and then jump to their label's label, until none changes, whatever number of rounds that takes; every round is written to
-    `folder`, which all executors share.
+    Alternating stars: in a round every node hands its larger neighbours, then its smaller ones, to its smallest neighbour, until
+    every edge leads to a component's smallest node. Rounds grow with the logarithm of a component's size, whatever its
+    shape; each is written to `folder`, which all executors share, and takes the place of the one before.
     """
     spark = edges.sparkSession
-    both = edges.select(page, "a", "b").union(edges.select(page, F.col("b").alias("a"), F.col("a").alias("b")))
-    labels = nodes.select(page, F.col(node).alias("node"), F.col(node).alias("component"))
-    round_, changing = 0, True
-    while changing:
-        spread = both.join(labels.select(page, F.col("node").alias("b"), F.col("component").alias("near")), [page, "b"]).groupBy(page, "a").agg(F.min("near").alias("near"))
-        lower = labels.join(spread.withColumnRenamed("a", "node"), [page, "node"], "left").select(page, "node", "component", F.least("component", F.coalesce("near", "component")).alias("low"))
-        jump = lower.select(page, F.col("node").alias("low"), F.col("low").alias("lower"))
-        after = lower.join(jump, [page, "low"], "left").select(page, "node", F.coalesce("lower", "low").alias("component"), (F.coalesce("lower", "low") != F.col("component")).alias("changed"))
-        path = f"{folder}/components-{round_}"
-        after.write.mode("overwrite").parquet(path)
-        written = spark.read.parquet(path)
-        labels = written.drop("changed")
-        changing = not written.where("changed").isEmpty()
-        round_ += 1
-    return labels
+
+    def kept(df: DataFrame, number: int) -> tuple[DataFrame, tuple]:
+        path = f"{folder}/stars-{number}"
+        df.write.mode("overwrite").parquet(path)
+        made = spark.read.schema(df.schema).parquet(path)
+        return made, tuple(made.agg(F.count("*"), F.sum(F.xxhash64(page, "u", "v").cast("decimal(38,0)"))).first())
+
+    number, (now, state) = 0, kept(edges.select(page, F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct(), 0)
+    while state[0]:
+        both = now.union(now.select(page, F.col("v").alias("u"), F.col("u").alias("v")))
+        least = both.groupBy(page, "u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
+        large = both.join(least, [page, "u"]).where("v > u").select(page, F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        least = large.groupBy(page, "u").agg(F.min("v").alias("m"))
+        small = large.join(least, [page, "u"]).where("v <> m").select(page, F.col("v").alias("u"), F.col("m").alias("v")).union(least.select(page, "u", F.col("m").alias("v")))
+        number += 1
+        before, (now, state) = state, kept(small.distinct(), number)
+        removed(spark, f"{folder}/stars-{number - 1}")
+        if state == before:
+            break
+    found = now.select(page, F.col("u").alias("node"), F.col("v").alias("component"))
+    every = nodes.select(page, F.col(node).alias("node"))
+    return every.join(found, [page, "node"], "left").select(page, "node", F.coalesce("component", "node").alias("component"))
 
 
 def leader_clusters(points: DataFrame, tolerance: float = PROFILE.endpoint_cluster_tolerance, page: str = "document_id", order: str = "ord") -> DataFrame:

@@ -90,11 +90,11 @@ def connection_dots(spark: SparkSession, folder: str) -> DataFrame:
     return lines.groupBy("document_id").agg(F.count("*").alias("dots"), F.sha2(body, 256).alias("digest"))
 
 
-@query("""SELECT l_orderkey*10+l_linenumber AS id, coalesce(CASE WHEN s_suppkey IS NOT NULL THEN concat('dimension:', s_name) END, CASE WHEN c_custkey IS NOT NULL THEN concat('annotation:', c_name) END, CASE WHEN p_partkey IS NOT NULL THEN concat('text:', p_name) END) AS source FROM lineitem LEFT JOIN supplier ON s_suppkey=l_partkey LEFT JOIN customer ON c_custkey=l_partkey AND c_nationkey<10 LEFT JOIN part ON p_partkey=l_partkey AND p_size<25 WHERE s_suppkey IS NOT NULL OR c_custkey IS NOT NULL OR p_partkey IS NOT NULL""")
+@query("""SELECT l_orderkey*10+l_linenumber AS id, coalesce(CASE WHEN s_suppkey IS NOT NULL THEN concat('dimension:', s_name) END, CASE WHEN c_custkey IS NOT NULL THEN concat('annotation:', c_name) END, CASE WHEN p_partkey IS NOT NULL THEN concat('text:', p_name) END) AS source FROM lineitem LEFT JOIN supplier ON s_suppkey=l_partkey LEFT JOIN customer ON c_custkey=l_partkey LEFT JOIN part ON p_partkey=l_partkey WHERE s_suppkey IS NOT NULL OR c_custkey IS NOT NULL OR p_partkey IS NOT NULL""")
 def relationship_sources(spark: SparkSession, folder: str) -> DataFrame:
     """The object each relationship starts from: a dimension, else an annotation, else a text; unresolved ones are dropped."""
     l = table(spark, folder, "lineitem").select((F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("id"), F.col("l_partkey").alias("key"))  # noqa: E741
-    kinds = [("dimension", table(spark, folder, "supplier").select(F.col("s_suppkey").alias("key"), F.col("s_name").alias("v"))), ("annotation", table(spark, folder, "customer").where("c_nationkey < 10").select(F.col("c_custkey").alias("key"), F.col("c_name").alias("v"))), ("text", table(spark, folder, "part").where("p_size < 25").select(F.col("p_partkey").alias("key"), F.col("p_name").alias("v")))]
+    kinds = [("dimension", table(spark, folder, "supplier").select(F.col("s_suppkey").alias("key"), F.col("s_name").alias("v"))), ("annotation", table(spark, folder, "customer").select(F.col("c_custkey").alias("key"), F.col("c_name").alias("v"))), ("text", table(spark, folder, "part").select(F.col("p_partkey").alias("key"), F.col("p_name").alias("v")))]
     for kind, names in kinds:
         l = l.join(names.select("key", F.concat(F.lit(f"{kind}:"), "v").alias(kind)), "key", "left")  # noqa: E741
     return l.select("id", F.coalesce(*[k for k, _ in kinds]).alias("source")).where("source is not null")

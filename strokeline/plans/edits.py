@@ -60,11 +60,11 @@ def moved_annotations(spark: SparkSession, folder: str) -> DataFrame:
     return made.withColumns({"x": F.round("x", 5), "y": F.round("y", 5)})
 
 
-@query("""WITH c AS (SELECT s_nationkey AS layer, arg_max(concat('#', lpad(CAST(s_suppkey AS VARCHAR), 6, '0')), s_suppkey) AS color FROM supplier WHERE s_acctbal>0 GROUP BY s_nationkey) SELECT n_nationkey AS layer, coalesce(color, '#000000') AS color, color IS NOT NULL AS edited FROM nation LEFT JOIN c ON layer=n_nationkey""")
+@query("""WITH c AS (SELECT s_nationkey AS layer, arg_max(concat('#', lpad(CAST(s_suppkey AS VARCHAR), 6, '0')), s_suppkey) AS color FROM supplier GROUP BY s_nationkey) SELECT n_nationkey AS layer, coalesce(color, '#000000') AS color, color IS NOT NULL AS edited FROM nation LEFT JOIN c ON layer=n_nationkey""")
 def layer_colors(spark: SparkSession, folder: str) -> DataFrame:
     """Layers after their colours were set."""
     layers = table(spark, folder, "nation").select(F.col("n_nationkey").alias("layer"), F.lit("#000000").alias("color"))
-    commands = table(spark, folder, "supplier").where("s_acctbal > 0").select(F.col("s_nationkey").alias("layer"), F.col("s_suppkey").alias("seq"), F.concat(F.lit("#"), F.lpad(F.col("s_suppkey").cast("string"), 6, "0")).alias("color"))
+    commands = table(spark, folder, "supplier").select(F.col("s_nationkey").alias("layer"), F.col("s_suppkey").alias("seq"), F.concat(F.lit("#"), F.lpad(F.col("s_suppkey").cast("string"), 6, "0")).alias("color"))
     return edits.last_values(layers, commands, ["layer"], ["color"])
 
 

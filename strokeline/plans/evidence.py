@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..config import PROFILE as P
 from ..functions import geometry as G
-from ..operators import evidence, graph
+from ..operators import evidence, graph, pixels
 from ..sources.shared import new_folder, stored
 from ..sources.tables import BOXES_SQL, POINTS_SQL, SEGMENTS_SQL, boxes, points, segments, table
 from .registry import query
@@ -56,15 +56,14 @@ def ink_degrees(spark: SparkSession, folder: str) -> DataFrame:
     return made.groupBy("document_id").agg(F.count("*").alias("ink"), F.count_if(F.col("degree") >= 3).alias("junctions"), F.count_if(F.col("degree") <= 1).alias("ends"), F.max("degree").alias("most"))
 
 
-@query(f"""WITH RECURSIVE s AS (SELECT * FROM ({SEGMENTS_SQL}) WHERE {_LENGTH}<60.0), i AS (SELECT DISTINCT document_id, {_AT} FROM ({_WALK.format(f'ceil(2*{_LENGTH}/8.0)', 'SELECT * FROM s')})), n AS (SELECT *, px*1000000+py AS node FROM i), e AS (SELECT a.document_id, a.node AS a, b.node AS b FROM n a JOIN n b ON a.document_id=b.document_id AND abs(a.px-b.px)<=1 AND abs(a.py-b.py)<=1 AND a.node<>b.node),
-r(document_id, node, reached) AS (SELECT document_id, node, node FROM n UNION SELECT r.document_id, r.node, e.b FROM r JOIN e ON r.document_id=e.document_id AND r.reached=e.a), c AS (SELECT document_id, node, min(reached) AS component FROM r GROUP BY document_id, node)
+@query(f"""WITH RECURSIVE i AS ({INK_SQL}), n AS (SELECT *, px*1000000+py AS node FROM i), e AS (SELECT a.document_id, a.node AS a, b.node AS b FROM n a, (SELECT unnest([-1,0,1]) AS dx) x, (SELECT unnest([-1,0,1]) AS dy) y, n b WHERE a.document_id=b.document_id AND b.px=a.px+dx AND b.py=a.py+dy AND a.node<>b.node),
+c(document_id, node, component) USING KEY (document_id, node) AS (SELECT document_id, node, node FROM n UNION (SELECT u.document_id, u.node, min(v.component) FROM c v JOIN e ON e.document_id=v.document_id AND e.b=v.node JOIN recurring.c u ON u.document_id=e.document_id AND u.node=e.a WHERE v.component<u.component GROUP BY u.document_id, u.node))
 SELECT document_id, component, count(*) AS area, min(px) AS x, min(py) AS y, max(px)-min(px)+1 AS width, max(py)-min(py)+1 AS height FROM c JOIN n USING (document_id, node) GROUP BY document_id, component""")
 def ink_components(spark: SparkSession, folder: str) -> DataFrame:
-    """Connected components of the ink of short strokes, with area and box."""
-    short = segments(spark, folder).where(G.distance(F.col("x0"), F.col("y0"), F.col("x1"), F.col("y1")) < 60.0)
-    ink = stored(evidence.ink_pixels(short, SIZE), "ink")
-    numbered = ink.select("document_id", evidence.pixel_number(F.col("px"), F.col("py")).alias("id"))
-    return evidence.component_boxes(ink, graph.connected_components(evidence.pixel_links(ink), numbered, new_folder(spark, "ink-components")))
+    """Connected components of every page's ink, with area and box, by way of its runs."""
+    runs = stored(pixels.runs_of(evidence.ink_pixels(segments(spark, folder), SIZE)), "runs")
+    numbered = runs.select("document_id", evidence.pixel_number(F.col("x0"), F.col("py")).alias("id"))
+    return evidence.run_boxes(runs, graph.connected_components(evidence.run_links(runs), numbered, new_folder(spark, "ink-components")))
 
 
 @query(f"""WITH i AS ({INK_SQL}), g AS (SELECT document_id, id, x1 AS x0, y1 AS y0, x0+30.0 AS x1, y0-20.0 AS y1 FROM ({SEGMENTS_SQL})), w AS (SELECT document_id, id, {_AT} FROM ({_WALK.format(f'floor({_LENGTH}/3.0)', 'SELECT * FROM g')}))

@@ -44,10 +44,14 @@ def parsed_dimensions(spark: SparkSession, folder: str) -> DataFrame:
     return made.select("id", "d.status", F.round("d.value", 6).alias("value"), "d.unit")
 
 
-@query(r"""SELECT page_id, nullif(substr(regexp_replace(string_split(url,'/')[-1],'[\x00-\x1f\x7f]','','g'),1,255),'') AS filename, NOT starts_with(url,'/') AND NOT list_contains(string_split(url,'/'),'..') AND url<>'' AS safe FROM pages WHERE NOT contains(url, '\')""")
+@query(r"""WITH n AS (SELECT page_id, CASE page_id % 4 WHEN 1 THEN replace(url, '/', '\') WHEN 2 THEN concat('up/../', url) WHEN 3 THEN concat(url, chr(7), '/') ELSE url END AS name FROM pages)
+SELECT page_id, nullif(substr(regexp_replace(string_split(replace(name, '\', '/'), '/')[-1], '[\x00-\x1f\x7f]', '', 'g'), 1, 255), '') AS filename, NOT starts_with(name, '/') AND NOT list_contains(string_split(name, '/'), '..') AND name<>'' AS safe FROM n""")
 def upload_names(spark: SparkSession, folder: str) -> DataFrame:
-    p = table(spark, folder, "pages").where(~F.col("url").contains("\\"))
-    return p.select("page_id", X.sanitized_filename(F.col("url")).alias("filename"), X.safe_key(F.col("url")).alias("safe"))
+    """File names of uploads named by pages' addresses, some with backslashes, parent steps or control characters."""
+    u = F.col("url")
+    name = F.when(F.col("page_id") % 4 == 1, F.replace(u, F.lit("/"), F.lit("\\"))).when(F.col("page_id") % 4 == 2, F.concat(F.lit("up/../"), u)).when(F.col("page_id") % 4 == 3, F.concat(u, F.lit("\x07/"))).otherwise(u)
+    p = table(spark, folder, "pages").select("page_id", name.alias("name"))
+    return p.select("page_id", X.sanitized_filename(F.col("name")).alias("filename"), X.safe_key(F.col("name")).alias("safe"))
 
 
 @query("""SELECT l_orderkey*10+l_linenumber AS id, concat('rel_', substr(sha256(concat('measures|', CAST(l_partkey AS VARCHAR), '|topology_edge|', CAST(l_suppkey AS VARCHAR))),1,12)) AS relationship_id FROM lineitem""")
@@ -76,10 +80,11 @@ def drawn_numbers(spark: SparkSession, folder: str) -> DataFrame:
     return l.select((F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("id"), X.number(F.col("l_extendedprice") / 8.0 + 0.0001).alias("number"), F.substring(X.rgb_hex(F.col("l_quantity"), F.lit(0), F.lit(0)), 1, 3).alias("red"))
 
 
-@query(r"""SELECT doc_id, sha256(regexp_replace(regexp_replace(concat('```json', chr(10), text, chr(10), '```'), '^\s*```(?:json)?\s*', ''), '\s*```\s*$', '')) AS body, coalesce(nullif(trim(CASE WHEN doc_id % 3=0 THEN lang ELSE ' ' END),''), nullif(substr(trim(text),1,80),''), 'drawing') AS location FROM documents WHERE text=regexp_replace(regexp_replace(text,'^\s+',''),'\s+$','')""")
+@query(r"""SELECT doc_id, sha256(regexp_replace(regexp_replace('```json' || chr(10) || text || chr(10) || '```', '^[ \t\n\x0B\f\r]*```(?:json)?[ \t\n\x0B\f\r]*', ''), '[ \t\n\x0B\f\r]*```[ \t\n\x0B\f\r]*$', '')) AS body,
+coalesce(nullif(trim(CASE WHEN doc_id % 3=0 THEN lang ELSE ' ' END, ' '), ''), nullif(substr(trim(text, ' '), 1, 80), ''), 'drawing') AS location FROM documents""")
 def provider_texts(spark: SparkSession, folder: str) -> DataFrame:
     """Texts of providers without their fences, and locations filled from the reading."""
-    d = table(spark, folder, "documents").where(F.col("text") == F.regexp_replace(F.regexp_replace("text", r"^\s+", ""), r"\s+$", ""))
+    d = table(spark, folder, "documents")
     fenced = F.concat(F.lit("```json\n"), "text", F.lit("\n```"))
     return d.select("doc_id", F.sha2(X.without_fences(fenced), 256).alias("body"), X.filled_location(F.when(F.col("doc_id") % 3 == 0, F.col("lang")).otherwise(" "), F.col("text")).alias("location"))
 
