@@ -238,22 +238,27 @@ def _terms(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = []
 
 
-def learn_lexicon(sample: DataFrame, toxic: int, other: int, max_terms: int = 300, min_share: float = 0.01, min_log_odds: float = 2.0) -> Lexicon:
-    """The terms that labelled texts (columns t, y) with y = 1 have far more often than the others."""
+def learn_lexicon(sample: DataFrame, toxic: int, other: int, min_share: float = 0.01, min_log_odds: float = 2.0) -> Lexicon:
+    """The terms that labelled texts (columns t, y) with y = 1 have far more often than the others.
+
+    A term must be in a share of the sample's toxic rows, so there are at most as many as the sample's words divided by that share of its rows.
+    """
     least = max(5, math.ceil(min_share * toxic))
     counts = sample.mapInArrow(_terms, "e string, k int, p bigint, n bigint").groupBy("e", "k").agg(F.sum("p").alias("p"), F.sum("n").alias("n"))
     odds = F.log((F.col("p") + 0.5) / (toxic + 1)) - F.log((F.col("n") + 0.5) / (other + 1))
-    found = counts.where(F.col("p") >= least).withColumn("w", odds).where(F.col("w") >= min_log_odds)
-    # each toxic row has a bounded number of terms and a term needs a share of the rows, so the list stays short; the best max_terms * 20 suffice
-    rows = found.orderBy(F.desc("w"), F.desc("p"), "k", F.desc(F.length("e")), "e").limit(max_terms * 20).collect()
+    rows = counts.where(F.col("p") >= least).withColumn("w", odds).where(F.col("w") >= min_log_odds).collect()
     chosen: list = []
-    for r in rows:
-        wider = any(c["k"] == STEM and r["e"].startswith(c["e"]) for c in chosen)
-        same = r["k"] == STEM and any(c["e"].startswith(r["e"]) and r["p"] <= 1.1 * c["p"] for c in chosen)
+    stems: set[str] = set()
+    most: dict[str, int] = {}  # of each beginning, the rows of the most frequent chosen term that begins so
+    for r in sorted(rows, key=lambda r: (-r["w"], -r["p"], r["k"], -len(r["e"]), r["e"])):
+        starts = [r["e"][:size] for size in STEM_LENGTHS if size <= len(r["e"])]
+        wider = any(s in stems for s in starts)
+        same = r["k"] == STEM and r["p"] <= 1.1 * most.get(r["e"], -1)
         if not wider and not same:
             chosen.append(r)
-        if len(chosen) == max_terms:
-            break
+            stems |= {r["e"]} if r["k"] == STEM else set()
+            for s in starts:
+                most[s] = max(most.get(s, 0), r["p"])
     return Lexicon([r["e"] for r in chosen], [r["k"] for r in chosen], [float(r["w"]) for r in chosen])
 
 
@@ -269,13 +274,14 @@ def train_toxicity(
     """Learns lexicon and weights from the labelled rows that `where` (over `labels`) admits.
 
     Of each label about `max_training_docs` rows are used, chosen by a hash of the id: a bounded training sample. Rows
-    with a null label or id don't train. Without documents of both labels every text gets a score of almost 0.
+    with a null label or id don't train, nor do ids with labels of both kinds; an id that is labelled more than once alike counts once. Without documents of both labels every text gets a score of almost 0.
     """
     spark = df.sparkSession
     marked = labels.where(labels[label_col].isNotNull() & labels[id_col].isNotNull())
     if where is not None:
         marked = marked.where(where)
     marked = marked.select(labels[id_col].alias("i"), (labels[label_col] == 1).cast("int").alias("y"))
+    marked = marked.groupBy("i").agg(F.min("y").alias("y"), F.max("y").alias("_y")).where("y = _y").drop("_y")
     there = {r["y"]: r["c"] for r in marked.groupBy("y").agg(F.count("*").alias("c")).collect()}
     if len(there) < 2:
         return _NOTHING_LEARNED

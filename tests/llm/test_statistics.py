@@ -381,3 +381,25 @@ def test_a_repeated_id_trains_once(spark):
     labels = spark.createDataFrame([(i, 1) for i, _ in good] + [(i, 0) for i, _ in junk] + [(1000, 0)] * 50, "doc_id long, quality int")
     rules = quality.train_quality(quality.text_stats(docs), labels)
     assert rules.rules and sum(r.covered for r in rules.rules) == 60
+
+
+def test_lexicons_have_no_limit(spark):
+    """Seven hundred planted terms are all learned; repeated labels count once, and labels of both kinds don't train."""
+    from strokeline.llm import toxicity
+
+    rng = random.Random(21)
+    spell = lambda n: "".join(chr(97 + n // 26**k % 26) for k in range(3)) + "qxz" + "".join(chr(97 + n // 26**k % 26) for k in range(3))
+    terms = [spell(n) for n in range(700)]
+    rows = []
+    for n in range(400):
+        planted = terms[n // 2 * 70 % 700 :][:70] if n % 2 else []
+        rows.append((n, " ".join([*planted, *(f"word{rng.randint(0, 40)}" for _ in range(30))]), n % 2))
+    sample = spark.createDataFrame([(t, y) for _, t, y in rows], "t string, y int")
+    lexicon = toxicity.learn_lexicon(sample, 200, 200)
+    covered = [t for t in terms if any(t == e or (k == toxicity.STEM and t.startswith(e)) for e, k in zip(lexicon.terms, lexicon.kinds))]
+    assert covered == terms and len(lexicon.terms) > 300
+    docs = spark.createDataFrame([(i, t) for i, t, _ in rows], "doc_id long, text string")
+    labels = [(i, y) for i, _, y in rows]
+    plain = toxicity.train_toxicity(docs, spark.createDataFrame(labels, "doc_id long, toxic int"))
+    more = toxicity.train_toxicity(docs.union(spark.createDataFrame([(900, "odd one")], docs.schema)), spark.createDataFrame(labels + labels[:50] * 3 + [(900, 0), (900, 1)], "doc_id long, toxic int"))
+    assert plain.lexicon.terms == more.lexicon.terms and plain.bias == pytest.approx(more.bias)
