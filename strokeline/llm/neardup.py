@@ -81,7 +81,7 @@ def _through_rare_shingles(members: DataFrame, sets: DataFrame, percent: int, ra
 
     def split(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            lists = [unpacked(x.as_py()).astype(np.int64) for x in batch.column("s")]
+            lists = [unpacked(x.as_py()).view(np.int64) for x in batch.column("s")]
             row = pa.array(np.repeat(np.arange(len(lists)), [len(x) for x in lists]))
             yield pa.RecordBatch.from_arrays([batch.column("node").take(row), pa.array(np.concatenate(lists) if lists else np.zeros(0, np.int64))], ["node", "x"])
 
@@ -89,14 +89,14 @@ def _through_rare_shingles(members: DataFrame, sets: DataFrame, percent: int, ra
         for batch in batches:
             made = []
             for data, few in zip(batch.column("s"), batch.column("few")):
-                x = unpacked(data.as_py()).astype(np.int64)
+                x = unpacked(data.as_py())
                 f = np.full(len(x), rare + 1, dtype=np.int64)
                 if few.is_valid:
                     found = few.values
-                    f[np.searchsorted(x, found.field("x").to_numpy(zero_copy_only=False))] = found.field("f").to_numpy(zero_copy_only=False)
+                    f[np.searchsorted(x, found.field("x").to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64))] = found.field("f").to_numpy(zero_copy_only=False)
                 order = np.lexsort((x, f))[: len(x) + (-len(x) * percent) // 100 + 1]
                 shared = np.flatnonzero(f[order] > 1)  # one that a single member has leads to nobody, but takes its place
-                made.append((x[order][shared], shared, len(x)))
+                made.append((x[order][shared].view(np.int64), shared, len(x)))
             row = pa.array(np.repeat(np.arange(len(made)), [len(m[0]) for m in made]))
             x, place = (np.concatenate([m[k] for m in made]) if made else np.zeros(0, np.int64) for k in (0, 1))
             sizes = pa.array(np.array([m[2] for m in made], dtype=np.int64))

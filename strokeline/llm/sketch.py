@@ -104,14 +104,12 @@ def band_keys(made: np.ndarray, bands: int, rows: int) -> np.ndarray:
 
 
 def packed(flat: np.ndarray) -> bytes:
-    """Shingle hashes in 6 bytes each: two sets of a few thousand shingles confuse one with a chance below 1e-7."""
-    return (flat >> np.uint64(16)).astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6].tobytes()
+    """Shingle hashes, whole and in order, as bytes."""
+    return flat.astype("<u8").tobytes()
 
 
 def unpacked(data: bytes) -> np.ndarray:
-    raw = np.zeros((len(data) // 6, 8), dtype=np.uint8)
-    raw[:, :6] = np.frombuffer(data, dtype=np.uint8).reshape(-1, 6)
-    return raw.view("<u8").ravel()
+    return np.frombuffer(data, dtype="<u8")
 
 
 def overlap(a: bytes, b: bytes) -> tuple[int, int]:
