@@ -44,16 +44,21 @@ _THINS = {first: "".join("01"[_thins(code, first)] for code in range(256)) for f
 
 def thinned(ink: DataFrame, page: str = "document_id") -> DataFrame:
     """The skeleton of ink: two alternating passes that look up what goes by a pixel's code, until a few rounds take nothing away."""
-    now = ink.select(page, "px", "py")
+    # a pixel that stays tells its code, one that goes takes its bit from the codes around it: a pass shuffles little more than the ink
+    lost = F.array(*[F.struct(F.lit(-i).alias("i"), F.lit(-j).alias("j"), F.lit(-(1 << n)).cast("long").alias("bit")) for n, (i, j) in enumerate(RING)])
+    same = F.array(F.struct(F.lit(0).alias("i"), F.lit(0).alias("j"), (F.col("code") + _INK).alias("bit")))
+    now = stored(neighbour_codes(ink, page), "thinned")
     left = now.count()
     while True:
         for first in (True, False) * ROUNDS_A_JOB:
             goes = F.substring(F.lit(_THINS[first]), (F.col("code") + 1).cast("int"), F.lit(1)) == "1"
-            now = neighbour_codes(now, page).where(~goes).drop("code")
+            each = now.select(page, "px", "py", F.explode(F.when(goes, lost).otherwise(same)).alias("s"))
+            each = each.select(page, (F.col("px") + F.col("s.i")).alias("px"), (F.col("py") + F.col("s.j")).alias("py"), "s.bit")
+            now = each.groupBy(page, "px", "py").agg((F.sum("bit") - _INK).alias("code")).where("code >= 0")
         now = stored(now, "thinned")
         before, left = left, now.count()
         if left == before:
-            return now
+            return now.drop("code")
 
 
 def pruned(skeleton: DataFrame, rounds: int, page: str = "document_id") -> DataFrame:

@@ -10,8 +10,9 @@ from pyspark.sql.window import Window
 from ..config import PROFILE as P
 from ..functions import geometry as G
 from ..functions import raster
-from ..operators import edits, spatial
+from ..operators import edits, evidence, graph, lines, pixels, spatial
 from ..sources import artifacts
+from ..sources.shared import new_folder, stored
 from ..sources.tables import POINTS_SQL, SEGMENTS_SQL, points, segments, table
 from ..streaming import jobs as streams
 from .control import job_commands
@@ -92,24 +93,42 @@ def streamed_jobs(spark: SparkSession, folder: str) -> DataFrame:
     return rows.groupBy("job_id").agg(F.max_by(F.struct("state", "attempt", "events"), "batch").alias("s")).select("job_id", "s.state", "s.attempt", "s.events")
 
 
+FRAME = 256
+
+
+def framed_ink(spark: SparkSession, folder: str) -> DataFrame:
+    """document_id, px, py: every page's segments at half their size, in a frame of 256 pixels with the origin in its middle."""
+    at = {c: (F.col(c) + FRAME) / 2 for c in ("x0", "y0", "x1", "y1")}
+    s = segments(spark, folder).select("document_id", *[v.alias(c) for c, v in at.items()])
+    n = F.floor(F.greatest(F.abs(F.col("x1") - F.col("x0")), F.abs(F.col("y1") - F.col("y0")))).cast("int") + 1
+    walked = s.withColumn("n", n).withColumn("k", F.explode(F.sequence(F.lit(0), F.col("n"))))
+    along = lambda c: F.rint(F.when(F.col("k") == F.col("n"), F.col(f"{c}1")).otherwise(F.col(f"{c}0") + F.col("k") * ((F.col(f"{c}1") - F.col(f"{c}0")) / F.col("n")))).cast("long")
+    made = walked.select("document_id", along("x").alias("px"), along("y").alias("py"))
+    return made.where(f"px >= 0 and px < {FRAME} and py >= 0 and py < {FRAME}").distinct()
+
+
 @query()
 def page_skeletons(spark: SparkSession, folder: str) -> DataFrame:
-    """Raster figures of each page: its segments drawn, thinned, traced and labelled; a page is one group of bounded size."""
-
-    def run(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values("id")
-        mask = raster.drawn([((r.x0 + 256) / 2, (r.y0 + 256) / 2, (r.x1 + 256) / 2, (r.y1 + 256) / 2) for r in rows.itertuples()], 256)
-        again = raster.decode_png(raster.encode_png(mask))
-        skeleton = raster.thinned(raster.closed(again))
-        label, n = raster.labelled(skeleton)
-        lines = [raster.simplified(line, 1.5) for line in raster.traced(skeleton)]
-        boxes = raster.component_boxes(label, n)
-        return pd.DataFrame(
-            {"document_id": [int(rows["document_id"].iloc[0])], "ink": [int((mask > 0).sum())], "skeleton": [int(skeleton.sum())], "components": [n], "largest": [max((b[4] for b in boxes), default=0)], "junctions": [int((raster.degrees(skeleton) >= 3).sum())], "polylines": [len(lines)], "vertices": [sum(map(len, lines))]}
-        )
-
-    schema = "document_id long, ink long, skeleton long, components long, largest long, junctions long, polylines long, vertices long"
-    return segments(spark, folder).groupBy("document_id").applyInPandas(run, schema)
+    """Figures of each page's ink: its segments drawn, closed, thinned, traced and labelled, all as tables of pixels."""
+    frame = f"px >= 0 and px < {FRAME} and py >= 0 and py < {FRAME}"
+    ink = stored(framed_ink(spark, folder), "ink")
+    skeleton = stored(pixels.thinned(pixels.eroded(pixels.dilated(ink, 1).where(frame), 1)), "skeleton")
+    runs = stored(pixels.runs_of(skeleton), "runs")
+    numbered = runs.select("document_id", evidence.pixel_number(F.col("x0"), F.col("py")).alias("id"))
+    boxes = evidence.run_boxes(runs, graph.connected_components(evidence.run_links(runs), numbered, new_folder(spark, "skeletons")))
+    traced = stored(pixels.traced(skeleton), "lines")
+    left = lines.simplified(traced.withColumnsRenamed({"px": "x", "py": "y"}), 1.5)
+    page = "document_id"
+    parts = [
+        ink.groupBy(page).agg(F.count("*").alias("ink")), skeleton.groupBy(page).agg(F.count("*").alias("skeleton")),
+        boxes.groupBy(page).agg(F.count("*").alias("components"), F.max("area").alias("largest")),
+        evidence.pixel_degrees(skeleton).groupBy(page).agg(F.count_if(F.col("degree") >= 3).alias("junctions")),
+        traced.groupBy(page).agg(F.count_distinct("line").alias("polylines")), left.groupBy(page).agg(F.count("*").alias("vertices")),
+    ]
+    made = segments(spark, folder).select(page).distinct()
+    for part in parts:
+        made = made.join(part, page, "left")
+    return made.fillna(0)
 
 
 @query()

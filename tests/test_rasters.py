@@ -248,6 +248,25 @@ def test_skeleton_queries(spark):
         assert sorted(traced[page]) == sorted((len(w), w[0] == w[-1]) for w in walked(pruned[page]))
 
 
+def test_page_figures_equal_images(spark):
+    from strokeline.sources.tables import segments
+
+    folder, drawn = "/root/testdata/sf0.001", {}
+    for r in segments(spark, folder).collect():
+        drawn.setdefault(r.document_id, []).append(tuple((v + 256) / 2 for v in (r.x0, r.y0, r.x1, r.y1)))
+    rows = {r.document_id: r for r in plans.QUERIES["page_skeletons"](spark, folder).collect()}
+    assert set(rows) == set(drawn)
+    for page, shapes in drawn.items():
+        mask = raster.drawn(shapes, 256)
+        skeleton = raster.thinned(raster.closed(mask))
+        label, n = raster.labelled(skeleton)
+        traced = walked(points(skeleton))
+        r = rows[page]
+        assert (r.ink, r.skeleton, r.components) == (int((mask > 0).sum()), int(skeleton.sum()), n)
+        assert r.largest == max(b[4] for b in raster.component_boxes(label, n)) and r.junctions == int((raster.degrees(skeleton) >= 3).sum())
+        assert r.polylines == len(traced) and 2 * len(traced) <= r.vertices <= sum(map(len, traced))
+
+
 # --- markup, profiles, payloads, edits
 
 
