@@ -5,8 +5,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..sources.shared import stored
-
 
 def key_state(text: Column, key: str) -> Column:
     """malformed, not_an_object, missing, null or present, for a key of a JSON object; a null text is malformed."""
@@ -61,8 +59,3 @@ def non_finite(values: DataFrame) -> DataFrame:
     beyond = (F.col("kind") == "number") & (F.abs(F.try_to_number("value", F.lit("9" * 38)).cast("double")) == float("inf"))
     named = (F.col("kind") == "string") & F.lower(F.trim("value")).isin("nan", "infinity", "-infinity", "inf", "-inf")
     return values.where(beyond | named)
-
-
-def keep(values: DataFrame, name: str) -> DataFrame:
-    """The rows of a walk, written once, where several checks read them."""
-    return stored(values, name)

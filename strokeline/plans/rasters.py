@@ -145,7 +145,27 @@ def lab_colours(spark: SparkSession, folder: str) -> DataFrame:
     return lab_pixels(spark, folder)
 
 
-@query()
+_NEAR = "list_transform({0}, lambda s: (l-s.l)*(l-s.l)+(a-s.a)*(a-s.a)+(b-s.b)*(b-s.b))"
+_CUBE = "CASE WHEN {0}>6.0/29.0 THEN {0}*{0}*{0} ELSE ({0}-16.0/116.0)/7.787 END"
+_BYTE = "CAST(least(floor(255.0*CASE WHEN {0}<=0.0031308 THEN 12.92*{0} ELSE 1.055*pow({0}, 1.0/2.4)-0.055 END+0.5), 255) AS BIGINT)"
+_LAYERS_SQL = f"""WITH RECURSIVE t AS (SELECT *, sqrt((a-128.0)*(a-128.0)+(b-128.0)*(b-128.0))<22.0 AS black FROM ({_LAB_SQL})), c AS (SELECT document_id, l, a, b, count(*) AS n FROM t WHERE NOT black GROUP BY ALL),
+k AS (SELECT *, row_number() OVER (PARTITION BY document_id ORDER BY l, a, b) AS rank, count(*) OVER (PARTITION BY document_id) AS m, sum(n) OVER (PARTITION BY document_id) AS px FROM c),
+e AS (SELECT *, unnest(range(0, k)) AS j FROM (SELECT *, CAST(least(4, greatest(2, px // 40), m) AS BIGINT) AS k FROM k WHERE px>=40 AND m>=2)),
+r(document_id, it, z, go) AS (SELECT document_id, 0, list(struct_pack(l := CAST(l AS DOUBLE), a := CAST(a AS DOUBLE), b := CAST(b AS DOUBLE)) ORDER BY j), true FROM e WHERE rank=(2*j+1)*m // (2*k)+1 GROUP BY document_id
+  UNION ALL SELECT document_id, it+1, y, list_max(list_transform(range(1, len(z)+1), lambda i: (z[i].l-y[i].l)*(z[i].l-y[i].l)+(z[i].a-y[i].a)*(z[i].a-y[i].a)+(z[i].b-y[i].b)*(z[i].b-y[i].b)))>1.0 FROM (
+    SELECT document_id, it, z, list_transform(range(1, len(z)+1), lambda i: coalesce(list_filter(g, lambda x: x.p=i)[1].v, z[i])) AS y FROM (
+      SELECT document_id, it, any_value(z) AS z, list(struct_pack(p := p, v := v)) AS g FROM (
+        SELECT document_id, it, p, any_value(z) AS z, struct_pack(l := CAST(sum(l*n) AS DOUBLE)/CAST(sum(n) AS DOUBLE), a := CAST(sum(a*n) AS DOUBLE)/CAST(sum(n) AS DOUBLE), b := CAST(sum(b*n) AS DOUBLE)/CAST(sum(n) AS DOUBLE)) AS v FROM (
+          SELECT r.document_id, it, z, l, a, b, n, list_position({_NEAR.format('z')}, list_min({_NEAR.format('z')})) AS p FROM r JOIN c ON c.document_id=r.document_id WHERE go AND it<20) GROUP BY document_id, it, p) GROUP BY document_id, it))),
+f AS (SELECT document_id, arg_max(z, it) AS z FROM r GROUP BY document_id), h AS (SELECT t.*, z, CASE WHEN NOT black AND z IS NOT NULL THEN list_position({_NEAR.format('z')}, list_min({_NEAR.format('z')})) END AS p FROM t LEFT JOIN f USING (document_id)),
+u AS (SELECT document_id, p, count(*) AS px, any_value(z)[p] AS v FROM h WHERE p IS NOT NULL GROUP BY document_id, p), o AS (SELECT *, row_number() OVER (PARTITION BY document_id ORDER BY v.l, v.a, v.b) AS rank FROM u WHERE px>=40),
+y AS (SELECT h.document_id, CASE WHEN black THEN 'black' WHEN rank IS NULL THEN 'unclassified' ELSE concat('color_', rank) END AS layer, count(*) AS pixels, avg(l) AS l, avg(a) AS a, avg(b) AS b FROM h LEFT JOIN o ON o.document_id=h.document_id AND o.p=h.p GROUP BY ALL),
+q AS (SELECT *, (l*100.0/255.0+16.0)/116.0 AS fy FROM y), x AS (SELECT *, 0.950456*{_CUBE.format('(fy+(a-128.0)/500.0)')} AS x, {_CUBE.format('fy')} AS y, 1.088754*{_CUBE.format('(fy-(b-128.0)/200.0)')} AS z FROM q),
+g AS (SELECT document_id, layer, pixels, greatest(3.240479*x-1.537150*y-0.498535*z, 0) AS r, greatest(-0.969256*x+1.875991*y+0.041556*z, 0) AS g, greatest(0.055648*x-0.204043*y+1.057311*z, 0) AS b FROM x)
+SELECT document_id, layer, pixels, {_BYTE.format('r')} AS r, {_BYTE.format('g')} AS g, {_BYTE.format('b')} AS b FROM g"""
+
+
+@query(_LAYERS_SQL)
 def colour_layers(spark: SparkSession, folder: str) -> DataFrame:
     """Layers of every page's coloured pixels by k-means, with pixels and mean colour."""
     made = colours.layers(stored(lab_pixels(spark, folder), "lab"))
