@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..config import PROFILE
 from ..operators import edits, nesting, payloads, profiles, snapping
 from ..sources.shared import stored
-from ..sources.tables import SEGMENTS_SQL, segments, table
+from ..sources.tables import segments, table
 from .registry import query
 from .spatial import _AXIS_SQL
 
