@@ -3,8 +3,9 @@
 Words become template tokens: numbers, units and names turn into typed placeholders, other words are lower-cased and
 stripped of punctuation. Windows of template tokens are matched by hash between benchmark items and texts. For a text
 and an item, the slots behind the placeholders must be consistent: equal values of the item stand for equal values of
-the text throughout an occurrence; windows with a slot against its majority don't count. A window with too few words of
-its own to be a template is matched word by word instead. A text leaks an item if the
+the text throughout an occurrence; windows with a slot against its majority don't count, and where a name stands for two
+names, only windows with the item's own values do. A capitalised word that opens a sentence may be a name or not: windows
+take it both ways. A window with too few words of its own to be a template is matched word by word instead. A text leaks an item if the
 windows of one occurrence that count cover enough of the item's tokens - verbatim, or with other numbers, names and units.
 """
 
@@ -44,8 +45,30 @@ _KNOWN_BITS = 1 << 26
 @dataclass
 class Templates:
     token: np.ndarray  # hash of the template token, by word
-    value: np.ndarray  # hash of the word behind a placeholder, 0 for other words
+    value: np.ndarray  # hash of the word behind a placeholder, the last two bits its type; 0 for other words
     offsets: np.ndarray
+    named: tuple[np.ndarray, np.ndarray]  # token and value, where capitalised words that open a sentence are names
+
+    def values(self, at: np.ndarray, named: np.ndarray, size: int) -> np.ndarray:
+        """Values of the `size` words from each place on, in the reading that `named` tells for it."""
+        places = at[:, None] + np.arange(size)
+        return np.where(named[:, None], self.named[1][places], self.value[places])
+
+    def readings(self, size: int, literals: int) -> Iterator[tuple[bool, np.ndarray, np.ndarray]]:
+        """(whether opening words are names, hashes, whether there is a window at each place), a window without such words once only."""
+        key, there = self.windows(size, literals)
+        yield False, key, there.copy()
+        n = len(self.token)
+        opening = np.concatenate([[0], np.cumsum(self.named[1] != self.value)])
+        plain = np.concatenate([[0], np.cumsum(self.named[1] == 0)])
+        if n >= size and opening[-1]:
+            both = np.zeros(n, dtype=bool)
+            both[: n - size + 1] = (opening[size:] > opening[:-size]) & (plain[size:] - plain[:-size] >= literals)
+            at = np.flatnonzero(both & there)
+            key = np.zeros(n, dtype=np.uint64)
+            for k in range(size):
+                key[at] += self.named[0][at + k] * _STEP[k]
+            yield True, mixed(key), both & there
 
     def windows(self, size: int, literals: int) -> tuple[np.ndarray, np.ndarray]:
         """(hash of the window at each place, whether there is one, that is, whether it lies in one text).
@@ -84,53 +107,49 @@ def templates(texts: pa.Array) -> Templates:
     after_number[1:] = number[codes[:-1]]
     # a unit is a unit only after a number: "a", "in" or "second" are ordinary words elsewhere
     kind = np.where(number[codes], NUMBER, np.where(unit[codes] & after_number, UNIT, np.where(capital[codes] & ~opens, NAME, 0)))
-    token = np.where(kind == 0, word[codes], mixed(kind.astype(np.uint64)))
-    return Templates(token, np.where(kind == 0, np.uint64(0), word[codes] | np.uint64(1)), offsets)
-
-
-@dataclass
-class Item:
-    item_id: object
-    value: np.ndarray  # of its words, as in Templates
+    named = np.where((kind == 0) & capital[codes], NAME, kind)
+    made = [(np.where(k == 0, word[codes], mixed(k.astype(np.uint64))), np.where(k == 0, np.uint64(0), word[codes] & ~np.uint64(3) | k.astype(np.uint64))) for k in (kind, named)]
+    return Templates(*made[0], offsets, made[1])
 
 
-def _judged_together(item: Item, size: int, doc_at: np.ndarray, item_at: np.ndarray, doc_value: np.ndarray) -> tuple[float, bool, bool]:
+def _judged_together(length: int, own: np.ndarray, doc_at: np.ndarray, item_at: np.ndarray, doc_value: np.ndarray) -> tuple[float, bool, bool]:
     """(share, whether slots differ, whether all windows count) of windows whose slots must agree with one another."""
-    width = np.arange(min(size, len(item.value)))
-    own = item.value[item_at[:, None] + width]
+    width = np.arange(own.shape[1])
     slot = own != 0
     votes: dict[int, Counter] = defaultdict(Counter)
     place = (doc_at[:, None] + width)[slot]
     for p, a, b in sorted(set(zip(place.tolist(), own[slot].tolist(), doc_value[slot].tolist()))):
         votes[a][b] += 1
     chosen = {a: max(c.items(), key=lambda x: (x[1], x[0] == a, -x[0]))[0] for a, c in votes.items()}
+    if any(len(c) > 1 and a & 3 == NAME for a, c in votes.items()):  # equal numbers may be so by chance, equal names aren't
+        chosen = {a: a for a in chosen}
     expected = np.array([chosen.get(a, 0) for a in own.ravel().tolist()], dtype=np.uint64).reshape(own.shape)
     good = (~slot | (expected == doc_value)).all(axis=1)
-    covered = np.zeros(len(item.value), dtype=bool)
+    covered = np.zeros(length, dtype=bool)
     for q in np.unique(item_at[good]).tolist():
         covered[q : q + len(width)] = True
-    return float(covered.mean()) if len(covered) else 0.0, any(a != b for a, b in chosen.items()), bool(good.all())
+    return float(covered.mean()) if length else 0.0, any(a != b for a, b in chosen.items()), bool(good.all())
 
 
-def judged(item: Item, size: int, doc_at: np.ndarray, item_at: np.ndarray, doc_value: np.ndarray) -> tuple[float, bool]:
-    """(share of the item's words that consistent windows cover, whether a slot has another value than the item's), of the best occurrence.
+def judged(length: int, own: np.ndarray, doc_at: np.ndarray, item_at: np.ndarray, doc_value: np.ndarray) -> tuple[float, bool]:
+    """(share of an item's words that consistent windows cover, whether a slot has another value than the item's), of the best occurrence.
 
-    doc_value[window, k] is the value of the text's word k of each window. An occurrence is what has one alignment (place in
-    the text less place in the item), or alignments at most half an item apart, as words may be put in; or the whole text,
-    as an item may lie about in parts. Equal shares: the one with the item's own values.
+    own[window, k] and doc_value[window, k] are the values of word k of each window in the item and in the text. An occurrence
+    is what has one alignment (place in the text less place in the item), or alignments at most half an item apart, as words
+    may be put in; or the whole text, as an item may lie about in parts. Equal shares: the one with the item's own values.
     """
-    share, differ, whole = _judged_together(item, size, doc_at, item_at, doc_value)
+    share, differ, whole = _judged_together(length, own, doc_at, item_at, doc_value)
     best, align = (share, not differ), doc_at - item_at
     if not whole or differ:
         order = np.argsort(align, kind="stable")
-        align, doc_at, item_at, doc_value = align[order], doc_at[order], item_at[order], doc_value[order]
+        align, own, doc_at, item_at, doc_value = align[order], own[order], doc_at[order], item_at[order], doc_value[order]
         each = np.unique(align)
         tried = {(0, len(align))}
-        for slack in (0, max(size, len(item.value) // 2)):
+        for slack in (0, max(own.shape[1], length // 2)):
             for x, y in zip(np.searchsorted(align, each).tolist(), np.searchsorted(align, each + slack, side="right").tolist()):
                 if (x, y) not in tried:
                     tried.add((x, y))
-                    share, differ, _ = _judged_together(item, size, doc_at[x:y], item_at[x:y], doc_value[x:y])
+                    share, differ, _ = _judged_together(length, own[x:y], doc_at[x:y], item_at[x:y], doc_value[x:y])
                     best = max(best, (share, not differ))
     return best[0], not best[1]
 
@@ -145,57 +164,56 @@ class Benchmark:
     size: int
     literals: int
     shortest: int
-    items: list[Item]
-    by_size: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]]  # window size: (hashes, items, places)
+    item_ids: list
+    made: Templates
+    by_size: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]  # window size: (hashes, items, places, whether opening words are names)
     item_type: pa.DataType = pa.int64()
 
     @classmethod
     def of(cls, ids: list, texts: pa.Array, size: int, literals: int, shortest: int) -> Benchmark:
-        made = templates(texts)
-        items, found = [], defaultdict(list)
-        lengths = np.diff(made.offsets)
+        made, by_size = templates(texts), {}
+        row, lengths = row_of(made.offsets), np.diff(made.offsets)
         for width in sorted({size, *[int(n) for n in lengths if 0 < n < size]}):
-            key, there = made.windows(width, min(literals, width))
-            for i, (a, b) in enumerate(zip(made.offsets[:-1].tolist(), made.offsets[1:].tolist())):
-                if width == min(size, b - a):
-                    found[width] += [(int(key[p]), i, p - a) for p in range(a, b - width + 1) if there[p]]
-        items = [Item(x, made.value[a:b]) for x, a, b in zip(ids, made.offsets[:-1], made.offsets[1:])]
-        by_size = {}
-        for width, rows in found.items():
-            rows.sort()
-            by_size[width] = (np.array([r[0] for r in rows], dtype=np.uint64), np.array([r[1] for r in rows], dtype=np.int64), np.array([r[2] for r in rows], dtype=np.int64))
-        return cls(size, literals, shortest, items, by_size)
+            parts = []
+            for named, key, there in made.readings(width, min(literals, width)):
+                at = np.flatnonzero(there & (np.minimum(lengths, size) == width)[row])
+                parts.append((key[at], row[at], at - made.offsets[row[at]], np.full(len(at), named)))
+            hashes, item, place, named = (np.concatenate(x) for x in zip(*parts))
+            order = np.lexsort((named, place, item, hashes))
+            by_size[width] = (hashes[order], item[order], place[order], named[order])
+        return cls(size, literals, shortest, list(ids), made, by_size)
 
     def leaks(self, texts: pa.Array, coverage: float) -> list[tuple[int, int, float, bool]]:
         """(text, item, covered share, slots differ) of each leak."""
         made, hits = templates(texts), []
         row = row_of(made.offsets)
-        for width, (hashes, item, place) in self.by_size.items():
-            key, there = made.windows(width, min(self.literals, width))
-            if width < self.shortest:
-                there &= (np.diff(made.offsets) == width)[row]
+        for width, (hashes, item, place, own_named) in self.by_size.items():
             near = np.zeros(1 << 20, dtype=bool)
             near[hashes >> np.uint64(44)] = True
-            at = np.flatnonzero(there & near[key >> np.uint64(44)])
-            low, high = np.searchsorted(hashes, key[at], side="left"), np.searchsorted(hashes, key[at], side="right")
-            n = high - low
-            at, low = np.repeat(at, n), np.repeat(low, n)
-            pick = low + np.arange(len(at)) - np.repeat(np.cumsum(n) - n, n)
-            hits.append((at, item[pick], place[pick], np.full(len(at), width)))
+            for named, key, there in made.readings(width, min(self.literals, width)):
+                if width < self.shortest:
+                    there &= (np.diff(made.offsets) == width)[row]
+                at = np.flatnonzero(there & near[key >> np.uint64(44)])
+                low, high = np.searchsorted(hashes, key[at], side="left"), np.searchsorted(hashes, key[at], side="right")
+                n = high - low
+                at, low = np.repeat(at, n), np.repeat(low, n)
+                pick = low + np.arange(len(at)) - np.repeat(np.cumsum(n) - n, n)
+                hits.append((at, item[pick], place[pick], np.full(len(at), width), np.full(len(at), named), own_named[pick]))
         if not hits:
             return []
-        at, item, place, width = (np.concatenate(x) for x in zip(*hits))
-        pair = row[at] * len(self.items) + item
+        at, item, place, width, named, own_named = (np.concatenate(x) for x in zip(*hits))
+        pair = row[at] * len(self.item_ids) + item
         order = np.argsort(pair, kind="stable")
         cuts = np.concatenate([[0], np.flatnonzero(np.diff(pair[order])) + 1, [len(order)]]) if len(order) else [0]
         found = []
         for x, y in zip(cuts[:-1], cuts[1:]):
             part = order[x:y]
-            k = self.items[item[part[0]]]
-            values = made.value[at[part][:, None] + np.arange(width[part[0]])]
-            share, differ = judged(k, int(width[part[0]]), at[part], place[part], values)
+            k, size = int(item[part[0]]), int(width[part[0]])
+            start, stop = self.made.offsets[k : k + 2].tolist()
+            own = self.made.values(start + place[part], own_named[part], size)
+            share, differ = judged(stop - start, own, at[part], place[part], made.values(at[part], named[part], size))
             if share >= coverage:
-                found.append((int(row[at[part[0]]]), int(item[part[0]]), share, differ))
+                found.append((int(row[at[part[0]]]), k, share, differ))
         return found
 
 
@@ -235,7 +253,7 @@ def find_leaks(
         for part in slices(batches, "t"):
             found = shared.value.leaks(texts_of(part, "t"), coverage)
             at = pa.array([f[0] for f in found], pa.int64())
-            items = pa.array([shared.value.items[f[1]].item_id for f in found], shared.value.item_type)
+            items = pa.array([shared.value.item_ids[f[1]] for f in found], shared.value.item_type)
             yield pa.RecordBatch.from_arrays([part.column("i").take(at), items, pa.array([f[2] for f in found], pa.float64()), pa.array([f[3] for f in found], pa.bool_())], ["i", "item", "coverage", "reparameterised"])
 
     return texts.mapInArrow(run, schema).toDF(id_col, item_col, "coverage", "reparameterised")
@@ -254,21 +272,21 @@ def _window_rows(df: DataFrame, size: int, literals: int, shortest: int, known:
             made = templates(texts_of(part, "t"))
             row, lengths = row_of(made.offsets), np.diff(made.offsets)
             for width in range(1, size + 1):
-                h, there = made.windows(width, min(literals, width))
-                if width < shortest:
-                    there &= (lengths == width)[row]
-                if known is not None:
-                    low = (h & np.uint64(_KNOWN_BITS - 1)).astype(np.int64)
-                    there &= (known.value[low >> 3] >> (low & 7).astype(np.uint8)) & 1 == 1
-                at = np.flatnonzero(there)
-                if not len(at):
-                    continue
-                values = made.value[at[:, None] + np.arange(width)].view(np.int64)
-                lists = pa.ListArray.from_arrays(pa.array(np.arange(0, len(at) * width + 1, width), pa.int32()), pa.array(values.ravel()))
-                yield pa.RecordBatch.from_arrays(
-                    [part.column("k").take(pa.array(row[at])), pa.array(lengths[row[at]]), pa.array(np.full(len(at), width, np.int32)), pa.array(at - made.offsets[row[at]]), pa.array(h[at].view(np.int64)), lists],
-                    ["k", "n", "w", "p", "h", "v"],
-                )
+                for named, h, there in made.readings(width, min(literals, width)):
+                    if width < shortest:
+                        there &= (lengths == width)[row]
+                    if known is not None:
+                        low = (h & np.uint64(_KNOWN_BITS - 1)).astype(np.int64)
+                        there &= (known.value[low >> 3] >> (low & 7).astype(np.uint8)) & 1 == 1
+                    at = np.flatnonzero(there)
+                    if not len(at):
+                        continue
+                    values = made.values(at, np.full(len(at), named), width).view(np.int64)
+                    lists = pa.ListArray.from_arrays(pa.array(np.arange(0, len(at) * width + 1, width), pa.int32()), pa.array(values.ravel()))
+                    yield pa.RecordBatch.from_arrays(
+                        [part.column("k").take(pa.array(row[at])), pa.array(lengths[row[at]]), pa.array(np.full(len(at), width, np.int32)), pa.array(at - made.offsets[row[at]]), pa.array(h[at].view(np.int64)), lists],
+                        ["k", "n", "w", "p", "h", "v"],
+                    )
 
     return df.mapInArrow(run, "k binary, n bigint, w int, p bigint, h bigint, v array<bigint>")
 
@@ -293,12 +311,8 @@ def _joined_leaks(texts: DataFrame, items: DataFrame, size: int, literals: int,
     def judge(rows):
         import pandas as pd
 
-        n, w = int(rows["n"].iloc[0]), int(rows["w"].iloc[0])
-        value = np.zeros(n, dtype=np.uint64)
-        for p, v in zip(rows["ip"], rows["iv"]):
-            value[p : p + w] = np.asarray(v, dtype=np.int64).view(np.uint64)
-        doc = np.stack([np.asarray(v, dtype=np.int64).view(np.uint64) for v in rows["dv"]])
-        share, differ = judged(Item(None, value), w, rows["dp"].to_numpy(), rows["ip"].to_numpy(), doc)
+        own, doc = (np.stack([np.asarray(v, dtype=np.int64).view(np.uint64) for v in rows[side]]) for side in ("iv", "dv"))
+        share, differ = judged(int(rows["n"].iloc[0]), own, rows["dp"].to_numpy(), rows["ip"].to_numpy(), doc)
         return pd.DataFrame({"d": [rows["d"].iloc[0]], "k": [rows["k"].iloc[0]], "coverage": [share], "reparameterised": [differ]})
 
     # a group is one text and one item

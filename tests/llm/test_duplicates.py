@@ -263,6 +263,44 @@ def test_every_copy_of_a_question_is_judged_by_itself():
     assert leaks(["Well. Carol has 99 apples and gives Dave 7 of them. How many apples does Carol have now when Dave eats 7? And. " + BENCH[0]]) == {(0, 0, False)}
 
 
+def test_a_name_that_opens_a_sentence_is_a_slot():
+    bench = ["Alice has 12 apples and gives Bob 5 of them today. How many red apples does Alice keep?"]
+    found = lambda text: [r[1:] for r in decontaminate.Benchmark.of([1], pa.array(bench), 8, 4, 4).leaks(pa.array([text]), 0.5)]
+    assert found("Carol has 31 apples and gives Dave 7 of them today. How many red apples does Erin keep?") == []
+    assert found("Carol has 31 apples and gives Dave 7 of them today. How many red apples does Carol keep?") == [(0, 1.0, True)]
+    assert found("First, Carol has 31 apples and gives Dave 7 of them today. How many red apples does Carol keep?") == [(0, 1.0, True)]
+    assert found(bench[0]) == [(0, 1.0, False)]
+    assert found("alice " + bench[0].split(" ", 1)[1].lower().replace("alice", "Alice").replace("bob", "Bob")) == [(0, 1.0, False)]
+
+
+def reparameterised_items(count, seed):
+    """(items, texts that ask each with other numbers, names and units, texts that put a third person at the end), each item with words of its own order."""
+    rng = random.Random(seed)
+    names = ["Carol", "Dave", "Erin", "Frank", "Grace", "Heidi", "Ivan", "Judy", "Mallory", "Oscar", "Peggy", "Rupert", "Sybil", "Trent"]
+    words = ["".join(rng.choice("bdfgklmnprstv") + rng.choice("aeiou") for _ in range(3)) for _ in range(300)]
+    units = ["kg", "km", "hours", "litres", "meters"]
+    items, asked, broken = [], [], []
+    for _ in range(count):
+        w = rng.sample(words, 14)
+        left = rng.sample(names, len(names))  # an item's own names would make half of it verbatim
+        for out in (items, asked, broken):
+            x, y, z = rng.sample(range(2, 900), 3)
+            a, b, c = (left.pop() for _ in range(3))
+            start = f"{a} {w[0]} {x} {w[1]} {w[2]} {y} {rng.choice(units)} {w[3]} {b} {w[4]} {w[5]} {w[6]}. How {w[7]} {w[8]} {w[9]}"
+            out.append(f"{start} {c if out is broken else a} {w[10]} {w[11]} {w[12]} {z} {w[13]}?")
+    return items, asked, broken
+
+
+def test_recall_of_reparameterised_questions():
+    items, asked, broken = reparameterised_items(200, 5)
+    known = decontaminate.Benchmark.of(list(range(200)), pa.array(items), 8, 4, 4)
+    around = "Some words stand before it here. {} And some stand behind it."
+    hits = {(r[0], r[1]) for r in known.leaks(pa.array([around.format(t) for t in asked]), 0.5)}
+    assert sum((n, n) in hits for n in range(200)) >= 180
+    assert hits <= {(n, n) for n in range(200)}
+    assert known.leaks(pa.array([around.format(t) for t in broken]), 0.5) == []
+
+
 def test_short_and_numeric_items(spark):
     bench = pa.array(["yes", "What is love?", "3 1 4 1 5 9 2 6 5 3 5 8 9 7 9", "12 30"])
     made = decontaminate.Benchmark.of([0, 1, 2, 3], bench, 8, 4, 4)
