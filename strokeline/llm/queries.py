@@ -77,8 +77,8 @@ def op8_arc_to_warc(spark: SparkSession, folder: str) -> DataFrame:
     pages = table(spark, folder, "pages")
     records = warc.convert_arcs(written(warc.pack_arcs(pages, "page_id", "url", "html"), "arcs"))
     path = new_path(spark, "warc")
-    warc.write_warc(warc.with_revisits(records, F.col("record_key").cast("bigint"), min_bytes=0), path)
-    made = warc.read_warc(spark, path, payloads=False)
+    warc.write_warc(warc.with_revisits(records, F.col("record_key").cast("bigint"), min_bytes=0), path, software="strokeline")
+    made = warc.read_warc(spark, path, payloads=False).where("record_type <> 'warcinfo'")
     return made.select(
         F.col("record_key").cast("bigint").alias("page_id"), "payload_bytes", "payload_digest", "record_type", F.col("refers_to_key").cast("bigint").alias("refers_to")
     )

@@ -5,8 +5,9 @@ declares, and a line break; the first record, `filedesc:`, states the version an
 WARC record of each: an identifier derived from the record's fields, a timestamp from the 14-digit date, a type, and
 SHA-1 digests in base32. Records whose payloads are equal become revisits of one response.
 
-WARC files are written by Spark's text writer - a record's end, two line breaks, is its line separator - compressed and
-with a bounded number of records each, and read back whole, file by file, by their declared lengths.
+A record is a gzip member of its own. Files are bounded by bytes: tasks pack members until a file is full, and Spark's
+text writer writes each pack, one value, to a file; its line separator is an empty member. Files are read as a stream,
+record by record, by the declared lengths, and rows leave in batches of bounded bytes.
 """
 
 from __future__ import annotations
@@ -14,8 +15,11 @@ from __future__ import annotations
 import base64
 import gzip
 import hashlib
+import io
 import uuid
+import zlib
 from collections.abc import Iterable, Iterator
+from typing import BinaryIO
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -29,7 +33,11 @@ ARC_FIELDS = {
     1: "URL IP-address Archive-date Content-type Archive-length",
     2: "URL IP-address Archive-date Content-type Result-code Checksum Location Offset Filename Archive-length",
 }
-RECORD_END = "\r\n\r\n"
+RECORD_END = b"\r\n\r\n"
+#: A gzip member that holds nothing.
+EMPTY_MEMBER = bytes.fromhex("1f8b08000000000000ff") + b"\x03\x00" + bytes(8)
+#: Bytes of blocks or payloads after which a batch of records is passed on; a longer one is passed on with those before it.
+BATCH_BYTES = 2 << 20
 
 
 def digest_of(data: bytes) -> str:
@@ -119,6 +127,22 @@ def _http(block: bytes) -> tuple[int, dict[str, str]]:
     return end + 4, {name.strip().lower(): value.strip() for name, _, value in fields}
 
 
+def _batches(rows: Iterable[tuple[int, tuple]], columns: str) -> Iterator[pa.RecordBatch]:
+    """Record batches of (bytes, row), cut after BATCH_BYTES or 1,000 rows; `columns` is the rows' schema as Spark reads it."""
+    kinds = {"string": pa.string(), "binary": pa.binary(), "boolean": pa.bool_(), "int": pa.int32(), "long": pa.int64()}
+    names, types = zip(*(c.split(" ") for c in columns.split(", ")))
+    made = lambda: pa.RecordBatch.from_arrays([pa.array(c, kinds[k]) for c, k in zip(zip(*held), types)], list(names))
+    held, size = [], 0
+    for n, row in rows:
+        held.append(row)
+        size += n
+        if size >= BATCH_BYTES or len(held) >= 1_000:
+            yield made()
+            held, size = [], 0
+    if held:
+        yield made()
+
+
 def pack_arcs(df: DataFrame, key: str, url: str, text: str, date: str = "20000101000000") -> DataFrame:
     """content (binary): ARC files of both versions, in turn, that hold the rows' texts in UTF-8, a null text as an empty one."""
 
@@ -142,21 +166,19 @@ def convert_arcs(files: DataFrame, content: str = "content") -> DataFrame:
     be read is left out here; `rejected_arc_records` lists it.
     """
 
+    def converted(batches: Iterable[pa.RecordBatch]) -> Iterator[tuple[int, tuple]]:
+        for data in (d for batch in batches for d in batch.column("content")):
+            for head, block in arc_records(data.as_py() or b"", []):
+                body, http = _http(block)
+                payload = digest_of(memoryview(block)[body:])
+                d = (head["Archive-date"] + "00000101000000"[len(head["Archive-date"]) :])[:14]
+                date = f"{d[:4]}-{d[4:6]}-{d[6:8]}T{d[8:10]}:{d[10:12]}:{d[12:14]}Z"
+                key = http.get("x-record-key")
+                name = uuid.uuid5(uuid.NAMESPACE_URL, "\0".join((head["URL"], date, payload, key or "")))
+                yield len(block), (f"urn:uuid:{name}", key, head["URL"], date, head["Content-type"], body > 0, block, body, len(block) - body, payload)
+
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for data in batch.column("content"):
-                rows = []
-                for head, block in arc_records(data.as_py() or b"", []):
-                    body, http = _http(block)
-                    payload = digest_of(memoryview(block)[body:])
-                    d = (head["Archive-date"] + "00000101000000"[len(head["Archive-date"]) :])[:14]
-                    date = f"{d[:4]}-{d[4:6]}-{d[6:8]}T{d[8:10]}:{d[10:12]}:{d[12:14]}Z"
-                    key = http.get("x-record-key")
-                    name = uuid.uuid5(uuid.NAMESPACE_URL, "\0".join((head["URL"], date, payload, key or "")))
-                    rows.append((f"urn:uuid:{name}", key, head["URL"], date, head["Content-type"], body > 0, block, body, len(block) - body, payload))
-                columns = list(zip(*rows)) if rows else [()] * 10
-                kinds = [pa.string()] * 5 + [pa.bool_(), pa.binary(), pa.int32(), pa.int64(), pa.string()]
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], [x.split(" ")[0] for x in CONVERTED.split(", ")])
+        yield from _batches(converted(batches), CONVERTED)
 
     return files.select(F.col(content).alias("content")).mapInArrow(run, CONVERTED)
 
@@ -195,14 +217,39 @@ def with_revisits(records: DataFrame, order: Column, min_bytes: int = 0) -> Data
     return records.join(lower, "record_id", "left").withColumn("record_type", F.when(F.col("refers_to_id").isNull(), "response").otherwise("revisit"))
 
 
-def write_warc(records: DataFrame, path: str, records_per_file: int = 2_000) -> None:
-    """Writes converted records with what `with_revisits` adds as compressed WARC 1.1 files.
-
-    A revisit holds the head of its response only, and states the digest and length of the payload that it doesn't repeat.
+def warc_member(head: bytes, block: bytes) -> bytes:
+    """A WARC record as a gzip member: the header fields `head`, those that tell of the block, and the block."""
+    about = f"WARC-Block-Digest: sha1:{digest_of(block)}\r\nContent-Length: {len(block)}\r\n\r\n"
+    packer = zlib.compressobj(6, zlib.DEFLATED, 31)
+    return b"".join((packer.compress(head + about.encode()), packer.compress(block), packer.compress(RECORD_END), packer.flush()))
+
+
+def packed(records: Iterable[tuple[str, str, bytes, bytes]], records_per_file: int, file_bytes: int, software: str | None) -> Iterator[bytes]:
+    """Contents of WARC files with the records (identifier, date, header fields, block), in order; with `software`, each opens with a warcinfo record."""
+    held, size, n = [], 0, 0
+    for name, date, head, block in records:
+        if not n and software is not None:
+            own = uuid.uuid5(uuid.NAMESPACE_URL, f"warcinfo\0{name}")
+            info = f"WARC/1.1\r\nWARC-Type: warcinfo\r\nWARC-Record-ID: <urn:uuid:{own}>\r\nWARC-Date: {date}\r\nContent-Type: application/warc-fields\r\n"
+            held.append(warc_member(info.encode(), f"software: {software}\r\nformat: WARC File Format 1.1\r\n".encode()))
+        held.append(warc_member(head, block))
+        size, n = size + len(head) + len(block), n + 1
+        if size >= file_bytes or n >= records_per_file:
+            yield b"".join(held)
+            held, size, n = [], 0, 0
+    if n:
+        yield b"".join(held)
+
+
+def write_warc(records: DataFrame, path: str, records_per_file: int = 1_000_000, file_bytes: int = 64 << 20, software: str | None = None) -> None:
+    """Writes converted records with what `with_revisits` adds as WARC 1.1 files, each record a gzip member.
+
+    A file is closed after `records_per_file` records or `file_bytes` bytes before compression; only a record that is
+    longer by itself makes a longer one. A revisit holds the head of its response only, and states the digest and length of
+    the payload that it doesn't repeat. With `software`, each file opens with a warcinfo record. Without records there are none.
     """
     field = lambda name, value: F.concat(F.lit(name + ": "), value, F.lit("\r\n"))
     revisit = F.col("record_type") == "revisit"
-    # a binary that is no UTF-8 keeps its bytes in this cast; the text writer writes them as they are
     block = F.when(revisit, F.expr("substring(block, 1, payload_start)")).otherwise(F.col("block"))
     head = F.concat(
         F.lit("WARC/1.1\r\n"),
@@ -216,63 +263,82 @@ def write_warc(records: DataFrame, path: str, records_per_file: int = 2_000) ->
         F.when(revisit, F.concat(field("WARC-Profile", F.lit("http://netpreserve.org/warc/1.1/revisit/identical-payload-digest")), field("WARC-Refers-To", F.concat(F.lit("<"), F.col("refers_to_id"), F.lit(">"))), field("WARC-Refers-To-Target-URI", F.col("refers_to_uri")), field("WARC-Refers-To-Date", F.col("refers_to_date")))).otherwise(F.lit("")),
         F.when(revisit, F.coalesce(field("X-Refers-To-Key", F.col("refers_to_key")), F.lit(""))).otherwise(F.lit("")),
         field("Content-Type", F.when(F.col("http"), F.lit("application/http; msgtype=response")).otherwise(F.col("content_type"))),
-        field("Content-Length", F.length(block).cast("string")),
-        F.lit("\r\n"),
     )
-    made = records.select(F.concat(head, block.cast("string")).alias("value"))
-    made.write.option("lineSep", RECORD_END).option("compression", "gzip").option("maxRecordsPerFile", records_per_file).text(path)
 
+    def rows(batches: Iterable[pa.RecordBatch]) -> Iterator[tuple[str, str, bytes, bytes]]:
+        for batch in batches:
+            for row in zip(*batch.columns):
+                name, date, head, block = (x.as_py() for x in row)
+                yield name, date, head.encode(), block
 
-def warc_records(content: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
-    """(header fields in lower case, block) of each record of an uncompressed WARC file."""
-    at = 0
-    while at < len(content):
-        if content[at : at + 5] != b"WARC/":
-            raise ValueError(f"no WARC record at byte {at}")
-        end = content.find(b"\r\n\r\n", at)
-        lines = content[at:end].decode("utf-8", "replace").split("\r\n")[1:]
-        head = {name.strip().lower(): value.strip() for name, _, value in (line.partition(":") for line in lines)}
-        start = end + 4
-        stop = start + int(head["content-length"])
-        if content[stop : stop + 4] != b"\r\n\r\n":
-            raise ValueError(f"the record at byte {at} doesn't have its declared length")
-        yield head, content[start:stop]
-        at = stop + 4
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for content in packed(rows(batches), records_per_file, file_bytes, software):
+            yield pa.RecordBatch.from_arrays([pa.array([content], pa.binary())], ["value"])
+
+    made = records.select("record_id", "warc_date", head.alias("head"), block.alias("block")).mapInArrow(run, "value binary")
+    # a binary that is no UTF-8 keeps its bytes in this cast, and the text writer writes them as they are
+    made = made.select(F.col("value").cast("string").alias("value"))
+    made.write.option("encoding", "ISO-8859-1").option("lineSep", EMPTY_MEMBER.decode("latin-1")).option("maxRecordsPerFile", 1).text(path)
+
+
+def warc_stream(content: pa.Buffer) -> BinaryIO:
+    """A WARC file's content as a stream, unpacked member by member if it is compressed."""
+    file = pa.BufferReader(content)
+    return gzip.GzipFile(fileobj=file) if content.size > 1 and content[:2].to_pybytes() == b"\x1f\x8b" else io.BufferedReader(file)
+
+
+def warc_records(file: BinaryIO) -> Iterator[tuple[dict[str, str], bytes]]:
+    """(header fields in lower case, block) of each record of a WARC stream, which is read one record at a time."""
+    while line := file.readline():
+        if not line.startswith(b"WARC/"):
+            raise ValueError(f"no WARC record where {line[:60]!r} stands")
+        lines = iter(file.readline, b"\r\n")
+        head = {}
+        for line in lines:
+            if not line:
+                raise ValueError("a record is broken off in its header")
+            name, _, value = line.decode("utf-8", "replace").partition(":")
+            head[name.strip().lower()] = value.strip()
+        size = int(head["content-length"])
+        block = file.read(size)
+        if len(block) < size or file.read(4) != RECORD_END:
+            raise ValueError(f"{head.get('warc-record-id')} doesn't have its declared length")
+        yield head, block
 
 
 READ = "record_id string, record_type string, record_key string, target_uri string, warc_date string, payload binary, payload_bytes long, payload_digest string, refers_to_id string, refers_to_key string"
 
 
+def _read(contents: Iterable[pa.Buffer], payloads: bool) -> Iterator[tuple[int, tuple]]:
+    """(bytes, row of READ) of each record of WARC files."""
+    for head, block in (record for content in contents for record in warc_records(warc_stream(content))):
+        kind, stated, size = head.get("warc-type"), head.get("warc-payload-digest", ""), head.get("x-payload-length")
+        digest, payload, whole = stated.removeprefix("sha1:") or None, None, head.get("warc-block-digest", "")
+        size = None if size is None else int(size)
+        if whole.startswith("sha1:") and len(whole) == 37 and digest_of(block) != whole[5:].upper():
+            raise ValueError(f"the block of {head.get('warc-record-id')} differs from its digest")
+        if kind != "revisit":
+            payload = memoryview(block)[_http(block)[0] :]
+            own = digest_of(payload)
+            if (size is not None and len(payload) != size) or (stated.startswith("sha1:") and len(digest) == 32 and own != digest.upper()):
+                raise ValueError(f"the payload of {head.get('warc-record-id')} differs from its digest")
+            size, digest = len(payload), own if digest is None else digest
+        ids = [None if x is None else x.strip("<>") for x in (head.get("warc-record-id"), head.get("warc-refers-to"))]
+        kept = bytes(payload) if payloads and payload is not None else None
+        yield len(kept or b""), (ids[0], kind, head.get("x-record-key"), head.get("warc-target-uri"), head.get("warc-date"), kept, size, digest, ids[1], head.get("x-refers-to-key"))
+
+
 def read_warc(spark: SparkSession, path: str, payloads: bool = True) -> DataFrame:
     """The records of WARC files of any origin, compressed or not (READ); payload is null for revisits, and everywhere without `payloads`.
 
-    The payload of an HTTP message is its body, of any other record its block. What a record states of its payload, a
-    SHA-1 digest in base32 and a length, is held against the payload; a mismatch is an error. What it doesn't state is
-    computed; of a revisit it stays null, as do a missing URI and date.
+    The payload of an HTTP message is its body, of any other record its block. What a record states of its block and
+    payload, SHA-1 digests in base32 and a length, is held against them; a mismatch is an error. What it doesn't state is
+    computed; of a revisit it stays null, as do a missing URI and date. A task holds a file as it is stored, which Spark
+    bounds to 2 GB, and one record of it unpacked.
     """
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for data in batch.column("content"):
-                content = data.as_py()
-                if content[:2] == b"\x1f\x8b":
-                    content = gzip.decompress(content)
-                rows = []
-                for head, block in warc_records(content):
-                    kind, stated, size = head.get("warc-type"), head.get("warc-payload-digest", ""), head.get("x-payload-length")
-                    digest, payload = stated.removeprefix("sha1:") or None, None
-                    size = None if size is None else int(size)
-                    if kind != "revisit":
-                        payload = memoryview(block)[_http(block)[0] :]
-                        own = digest_of(payload)
-                        if (size is not None and len(payload) != size) or (stated.startswith("sha1:") and len(digest) == 32 and own != digest.upper()):
-                            raise ValueError(f"the payload of {head.get('warc-record-id')} differs from its digest")
-                        size, digest = len(payload), own if digest is None else digest
-                    ids = [None if x is None else x.strip("<>") for x in (head.get("warc-record-id"), head.get("warc-refers-to"))]
-                    kept = bytes(payload) if payloads and payload is not None else None
-                    rows.append((ids[0], kind, head.get("x-record-key"), head.get("warc-target-uri"), head.get("warc-date"), kept, size, digest, ids[1], head.get("x-refers-to-key")))
-                columns = list(zip(*rows)) if rows else [()] * 10
-                kinds = [pa.string()] * 5 + [pa.binary(), pa.int64(), pa.string(), pa.string(), pa.string()]
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], [x.split(" ")[0] for x in READ.split(", ")])
+        contents = (data.as_buffer() for batch in batches for data in batch.column("content"))
+        yield from _batches(_read(contents, payloads), READ)
 
     return spark.read.format("binaryFile").load(path).select("content").mapInArrow(run, READ)

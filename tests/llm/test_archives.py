@@ -1,7 +1,13 @@
 import base64
+import gzip
 import hashlib
+import pathlib
+import random
 import tempfile
+import tracemalloc
+import zlib
 
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -82,3 +88,53 @@ def test_foreign_warc(spark):
     assert set(made) == {"warcinfo", "request", "response", "revisit"} and bytes(made["response"].payload) == b"body" and bytes(made["warcinfo"].payload) == b"software: x\r\n"
     assert made["response"].payload_digest == base64.b32encode(hashlib.sha1(b"body").digest()).decode() and made["response"].payload_bytes == 4
     assert made["revisit"].payload is None and made["revisit"].payload_bytes is None and made["revisit"].refers_to_id == "urn:y" and made["warcinfo"].target_uri is None
+
+
+def members_of(data):
+    """The content of each gzip member."""
+    found = []
+    while data:
+        one = zlib.decompressobj(31)
+        found.append(one.decompress(data))
+        data = one.unused_data
+    return found
+
+
+def test_a_record_is_a_member_and_files_are_bounded_by_bytes(spark):
+    rows = [(n, f"http://h/{n}", f"{n} " * 5_000) for n in range(40)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string").coalesce(1)
+    records = warc.with_revisits(warc.convert_arcs(warc.pack_arcs(pages, "page_id", "url", "html")), F.col("record_key").cast("bigint"))
+    path = tempfile.mkdtemp(prefix="spark-warc-") + "/w"
+    warc.write_warc(records.coalesce(1), path, file_bytes=100_000, software="a test")
+    files = [f.read_bytes() for f in sorted(pathlib.Path(path).glob("part-*"))]
+    assert len(files) >= 4 and all(len(gzip.decompress(f)) < 100_000 + 20_000 for f in files)
+    for file in files:
+        first, *records, last = members_of(file)
+        assert b"WARC-Type: warcinfo" in first and b"software: a test" in first and last == b""
+        assert records and all(m.startswith(b"WARC/1.1\r\n") and m.endswith(b"\r\n\r\n") and m.count(b"WARC/1.1") == 1 for m in records)
+    made = warc.read_warc(spark, path).collect()
+    assert sorted((int(r.record_key), bytes(r.payload).decode()) for r in made if r.record_type == "response") == sorted((n, t) for n, _, t in rows)
+    assert sum(r.record_type == "warcinfo" for r in made) == len(files)
+
+
+def test_a_block_must_match_its_digest():
+    head = b"WARC/1.1\r\nWARC-Type: resource\r\nWARC-Record-ID: <urn:x>\r\n"
+    good = gzip.decompress(warc.warc_member(head, b"hello"))
+    assert [r[1][5] for r in warc._read([pa.py_buffer(good)], True)] == [b"hello"]
+    for bad in (good.replace(b"hello", b"hallo"), good.replace(b"Length: 5", b"Length: 4"), good[:-6], good[:40], b"x" + good):
+        with pytest.raises(ValueError):
+            list(warc._read([pa.py_buffer(bad)], True))
+
+
+def test_a_long_page_among_many_is_read_in_a_stream():
+    noise = random.Random(1).randbytes(50 << 20)
+    rows = ((f"urn:{n}", "2000-01-01T00:00:00Z", b"WARC/1.1\r\nWARC-Type: resource\r\n", noise if n == 1_000 else noise[n : n + 20_000]) for n in range(2_000))
+    content, = warc.packed(rows, 1_000_000, 1 << 40, None)
+    tracemalloc.start()
+    total = count = most = 0
+    for batch in warc._batches(warc._read([pa.py_buffer(content)], True), warc.READ):
+        total, count, most = total + batch.nbytes, count + batch.num_rows, max(most, batch.nbytes)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert count == 2_000 and total > (50 << 20) + 1_999 * 20_000 and most < 55 << 20
+    assert peak < 200 << 20
