@@ -86,8 +86,10 @@ def xml_attribute(text: Column) -> Column:
 
 
 def number(value: Column) -> Column:
-    """Three decimals at most, without trailing zeros; minus zero is 0."""
-    fixed = F.regexp_replace(F.regexp_replace(F.format_string("%.3f", value), r"0+$", ""), r"\.$", "")
+    """Three decimals at most, without trailing zeros; minus zero is 0, and what lies between two of them, as 0.0625, goes to the even one."""
+    between = (value * 16 == F.floor(value * 16)) & (F.abs(value) < 1e12)
+    even = F.bround(F.when(between, value).cast("decimal(20,4)"), 3).cast("string")
+    fixed = F.regexp_replace(F.regexp_replace(F.coalesce(even, F.format_string("%.3f", value)), r"0+$", ""), r"\.$", "")
     return F.when(fixed == "-0", F.lit("0")).otherwise(fixed)
 
 

@@ -1,7 +1,11 @@
 """Drawings against documents written out by hand."""
 
+import math
+
 import pytest
+from pyspark.sql import functions as F
 
+from strokeline.functions.text import number
 from strokeline.operators import drawing
 
 SCHEMAS = {
@@ -139,3 +143,14 @@ def test_outlines_are_mapped_onto_the_page(spark, matrix, points):
     t = tables(spark, pages=[(1, 100, 80, "1.0", "r1", matrix)], outlines=[(1, "u", 0, [(1.0, 2.0), (3.0, 2.0), (3.0, 500.0)])])
     made = [[(p.x, p.y) for p in r.points] for r in drawing.page_outlines(t["outlines"], t["pages"], "document_id").collect()]
     assert made == ([points] if points else [])
+
+
+def test_numbers_have_three_decimals(spark):
+    values = [0.0, -0.0, 1.0, 1000.0, -0.0001, 0.0625, 0.1875, 0.3125, -0.0625, -7.4375, 2.5, 12.125, 1e13 + 0.0625, 123456.78949, -3.00051, 1e15]
+
+    def plain(v):
+        text = f"{v:.3f}".rstrip("0").rstrip(".")
+        return "0" if text == "-0" else text
+
+    made = {r.v: r.s for r in spark.createDataFrame([(v,) for v in values if math.isfinite(v)], "v double").select("v", number(F.col("v")).alias("s")).collect()}
+    assert made == {v: plain(v) for v in values}
