@@ -6,19 +6,21 @@ restart neither loses nor repeats an event.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from ..config import PROFILE
+from ..operators.control import folded_jobs
 from ..sources.shared import new_folder
 
 
+#: Keeps states in files of the executors, not on their heaps.
+_STORE = "spark.sql.streaming.stateStore.providerClass"
+_FILES = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
+
+
 def step(state: str, attempt: int, command: str) -> tuple[str, int]:
-    """The job's state and attempt after a command; commands that don't fit the state change nothing."""
+    """The rule that jobs are folded by, for one command: the job's state and attempt after a command; commands that don't fit the state change nothing."""
     if command == "enqueue" and state == "new":
         return "queued", attempt
     if command == "claim" and state == "queued":
@@ -35,20 +37,11 @@ def step(state: str, attempt: int, command: str) -> tuple[str, int]:
 
 
 def job_states(commands: DataFrame) -> DataFrame:
-    """A stream of job_id, state, attempt and events, updated with every batch of commands (job_id, ts, event_id, command)."""
+    """A stream of job_id, state, attempt and events, updated with every batch of commands (job_id, ts, event_id, command).
 
-    def update(key: tuple[str], parts: Iterator[pd.DataFrame], kept: GroupState) -> Iterator[pd.DataFrame]:
-        state, attempt, events = kept.get if kept.exists else ("new", 0, 0)
-        rows = pd.concat(list(parts)).sort_values(["ts", "event_id"], kind="stable")
-        for command in rows["command"]:
-            state, attempt = step(state, attempt, command)
-        events += len(rows)
-        kept.update((state, attempt, events))
-        yield pd.DataFrame({"job_id": [key[0]], "state": [state], "attempt": [attempt], "events": [events]})
-
-    return commands.groupBy("job_id").applyInPandasWithState(
-        update, "job_id string, state string, attempt int, events int", "state string, attempt int, events int", "update", GroupStateTimeout.NoTimeout
-    )
+    What is kept for a job are its commands, a bounded number, so that one that comes late takes its place in their order.
+    """
+    return folded_jobs(commands)
 
 
 def read_stream(spark: SparkSession, path: str, schema, files_per_batch: int = 100) -> DataFrame:
@@ -66,7 +59,13 @@ def drained(stream: DataFrame, mode: str, name: str) -> DataFrame:
     def save(batch: DataFrame, number: int) -> None:
         batch.write.mode("overwrite").parquet(f"{folder}/out/batch={number}")
 
-    query = stream.writeStream.outputMode(mode).foreachBatch(save).option("checkpointLocation", f"{folder}/progress").trigger(availableNow=True).start()
+    writer = stream.writeStream.outputMode(mode).foreachBatch(save).option("checkpointLocation", f"{folder}/progress").trigger(availableNow=True)
+    before = spark.conf.get(_STORE, None)
+    spark.conf.set(_STORE, _FILES)
+    try:
+        query = writer.start()  # a query takes the session's settings as they are when it starts
+    finally:
+        spark.conf.unset(_STORE) if before is None else spark.conf.set(_STORE, before)
     query.awaitTermination()
     return spark.read.parquet(f"{folder}/out")
 
