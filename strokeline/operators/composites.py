@@ -115,7 +115,7 @@ def capped(rows: DataFrame, by: list[str], order: list[str], limit: int) -> tupl
 def segments_of_edges(edges: DataFrame, segments: DataFrame) -> DataFrame:
     """edge_id and segment_id of edges (id, primitive_ids): the segment (id, primitive_ids) of the same id, else the first by id that shares a primitive, else null."""
     own = edges.select(F.col("id").alias("edge_id"), "primitive_ids").join(segments.select(F.col("id").alias("edge_id"), F.col("id").alias("_own")), "edge_id", "left")
-    named = segments.select(F.col("id").alias("_other"), F.explode("primitive_ids").alias("_p"))
+    named = segments.select("id", F.explode("primitive_ids").alias("_p")).groupBy("_p").agg(F.min("id").alias("_other"))  # one row for each primitive: no edge meets more than it names
     shared = own.where("_own is null").select("edge_id", F.explode("primitive_ids").alias("_p")).join(named, "_p").groupBy("edge_id").agg(F.min("_other").alias("_other"))
     return own.join(shared, "edge_id", "left").select("edge_id", F.coalesce("_own", "_other").alias("segment_id"))
 
