@@ -16,6 +16,8 @@ from ..functions import geometry as G
 #: Which candidates a relationship may start from, and what it may point to.
 SOURCES = {"measures": "dimension", "annotates": "annotation", "callout_targets": "annotation"}
 MEASURED = "topology_edge"
+#: Parts that the problems of one kind are dealt into; each part's first ones are compared at the end.
+BUCKETS = 1024
 
 
 def finding(rows: DataFrame, code: str, owner: Column, detail: Column) -> DataFrame:
@@ -26,6 +28,11 @@ def report(*parts: DataFrame) -> DataFrame:
     return functools.reduce(lambda a, b: a.unionByName(b), parts)
 
 
+def spread(rows: DataFrame, *keys: str) -> DataFrame:
+    """Rows dealt by keys over all shuffle partitions. Adaptive execution doesn't merge a number that is asked for, so a task sorts no more than its part."""
+    return rows.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
+
+
 def missing(references: DataFrame, there: DataFrame, code: str, key: list[str], owner: str = "owner") -> DataFrame:
     """References (owner and the key columns) that aren't there; null ones refer to nothing and are no fault."""
     given = references.where(functools.reduce(lambda a, b: a & b, [F.col(k).isNotNull() for k in key]))
@@ -85,11 +92,13 @@ def association_problems(dimensions: DataFrame, annotations: DataFrame, relation
 
 
 def first_problems(found: DataFrame, by: str, limit: int) -> DataFrame:
-    """`by`, the number of problems (owner, code, detail) and the first `limit` of them in one line."""
-    w = Window.partitionBy(by).orderBy("owner", "code", "detail")
-    ranked = found.withColumns({"_n": F.row_number().over(w), "_line": F.concat_ws(" ", "code", "owner", "detail")})
-    lines = F.array_sort(F.collect_list(F.when(F.col("_n") <= limit, F.struct("_n", "_line"))))
-    return ranked.groupBy(by).agg(F.count("*").alias("problems"), F.array_join(F.transform(lines, lambda x: x["_line"]), "; ").alias("message"))
+    """`by`, the number of problems (owner, code, detail) and the first `limit` of them in one line. A kind of problem is never one group of rows."""
+    dealt = spread(found.withColumn("_b", F.pmod(F.xxhash64("owner", "code", "detail"), F.lit(BUCKETS))), by, "_b")
+    w = Window.partitionBy(by, "_b").orderBy("owner", "code", "detail")
+    one = F.struct("owner", "code", "detail")
+    ranked = dealt.withColumn("_n", F.row_number().over(w)).groupBy(by, "_b").agg(F.count("*").alias("_c"), F.collect_list(F.when(F.col("_n") <= limit, one)).alias("_f"))
+    both = ranked.groupBy(by).agg(F.sum("_c").alias("problems"), F.slice(F.array_sort(F.flatten(F.collect_list("_f"))), 1, limit).alias("_f"))
+    return both.select(by, "problems", F.array_join(F.transform("_f", lambda x: F.concat_ws(" ", x["code"], x["owner"], x["detail"])), "; ").alias("message"))
 
 
 def rejected_attachments(references: DataFrame, junctions: DataFrame) -> DataFrame:
