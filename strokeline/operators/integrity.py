@@ -34,9 +34,13 @@ def spread(rows: DataFrame, *keys: str) -> DataFrame:
 
 
 def missing(references: DataFrame, there: DataFrame, code: str, key: list[str], owner: str = "owner") -> DataFrame:
-    """References (owner and the key columns) that aren't there; null ones refer to nothing and are no fault."""
+    """References (owner and the key columns) that aren't there; null ones refer to nothing and are no fault.
+
+    The ids of a partition, distinct and so never hot, are hashed; references stream past them and aren't sorted, however many are to one id.
+    """
     given = references.where(functools.reduce(lambda a, b: a & b, [F.col(k).isNotNull() for k in key]))
-    return finding(given.join(there.select(*key).distinct(), key, "left_anti"), code, F.col(owner), F.concat_ws(":", *[F.col(k).cast("string") for k in key]))
+    ids = spread(there.select(*key), *key).distinct().hint("shuffle_hash")
+    return finding(spread(given, *key).join(ids, key, "left_anti"), code, F.col(owner), F.concat_ws(":", *[F.col(k).cast("string") for k in key]))
 
 
 def topology_problems(nodes: DataFrame, edges: DataFrame, hypotheses: DataFrame) -> DataFrame:
@@ -45,8 +49,9 @@ def topology_problems(nodes: DataFrame, edges: DataFrame, hypotheses: DataFrame)
     node_ids, edge_ids = nodes.select(F.col("id").alias("ref")), edges.select(F.col("id").alias("ref"))
     ends = [missing(edges.select(F.col("id").alias("owner"), F.col(c).alias("ref")), node_ids, f"missing_{c}", ["ref"]) for c in ("start_node", "end_node")]
     members = [missing(hypotheses.select(F.col("id").alias("owner"), F.explode(c).alias("ref")), ids, f"missing_{c[:4]}_of_alternative", ["ref"]) for c, ids in (("node_ids", node_ids), ("edge_ids", edge_ids))]
-    known = hypotheses.select("id", F.col("alternative_id").alias("ref"))
-    advice = hypotheses.select("id", F.col("recommended").alias("ref")).distinct().where("ref is not null").join(known, ["id", "ref"], "left_anti")
+    known = spread(hypotheses.select("id", F.col("alternative_id").alias("ref")), "id", "ref")
+    given = hypotheses.select("id", F.col("recommended").alias("ref")).where("ref is not null")
+    advice = spread(given.distinct(), "id", "ref").join(known, ["id", "ref"], "left_anti")
     return report(
         finding(repeated, "duplicate_edge", F.col("id"), F.col("_n")), *ends, finding(edges.where("start_node = end_node"), "self_loop", F.col("id"), F.col("start_node")), *members,
         finding(advice, "unknown_recommendation", F.col("id"), F.col("ref")),
