@@ -16,12 +16,13 @@ def simplified(vertices: DataFrame, epsilon: float, keys: tuple[str, ...] = ("do
     One round takes the farthest vertex of every open stretch of every polyline, first by order where several are as far;
     where it is further than `epsilon` from the line through the stretch's ends - from the point, where they coincide - it stays and parts the stretch. A
     polyline is never one group: the farthest vertex is a maximum that tasks combine, and rounds are as many as stretches nest.
+    Nothing is broadcast: there are as many stretches as there are polylines, at least.
     """
     at = F.struct(F.col(order).cast("long").alias("p"), F.col("x").cast("double").alias("x"), F.col("y").cast("double").alias("y"))
     rows = vertices.select(*keys, at.alias("v"))
     ends = rows.groupBy(*keys).agg(F.min("v").alias("a"), F.max("v").alias("b"))
     kept = [ends.select(*keys, F.explode(F.array_distinct(F.array("a", "b"))).alias("v"))]
-    open_ = stored(rows.join(ends, list(keys)).where("v.p > a.p and v.p < b.p"), "stretches")
+    open_ = stored(rows.join(ends.hint("merge"), list(keys)).where("v.p > a.p and v.p < b.p"), "stretches")
     while True:
         length = F.sqrt((F.col("b.x") - F.col("a.x")) * (F.col("b.x") - F.col("a.x")) + (F.col("b.y") - F.col("a.y")) * (F.col("b.y") - F.col("a.y")))
         dx, dy = F.col("v.x") - F.col("a.x"), F.col("v.y") - F.col("a.y")
@@ -29,7 +30,7 @@ def simplified(vertices: DataFrame, epsilon: float, keys: tuple[str, ...] = ("do
         far = F.when(length > 0, cross / F.nullif(length, F.lit(0.0))).otherwise(F.sqrt(dx * dx + dy * dy))
         split = open_.groupBy(*keys, F.col("a.p").alias("_from")).agg(F.max(F.struct(far.alias("d"), (-F.col("v.p")).alias("n"), F.col("v").alias("v"))).alias("far"))
         split = split.where(F.col("far.d") > epsilon).select(*keys, "_from", F.col("far.v").alias("s"))
-        parted = stored(open_.withColumn("_from", F.col("a.p")).join(split, [*keys, "_from"]).drop("_from"), "stretches")
+        parted = stored(open_.withColumn("_from", F.col("a.p")).join(split.hint("merge"), [*keys, "_from"]).drop("_from"), "stretches")
         if parted.isEmpty():
             return functools.reduce(DataFrame.union, kept).select(*keys, F.col("v.p").alias(order), "v.x", "v.y")
         kept.append(parted.where("v.p = s.p").select(*keys, "v"))
