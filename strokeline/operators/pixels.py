@@ -6,6 +6,10 @@ many steps - thinning, following a line - goes in rounds over all pages at once,
 
 from __future__ import annotations
 
+from collections.abc import Iterable, Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -28,37 +32,70 @@ def neighbour_codes(ink: DataFrame, page: str = "document_id") -> DataFrame:
     return coded.where(F.col("code") >= _INK).withColumn("code", F.col("code") - _INK)
 
 
-def _thins(code: int, first: bool) -> bool:
-    """Whether Guo and Hall's rule takes a pixel with these neighbours away in the first or the second half of a round."""
-    n, ne, e, se, s, sw, w, nw = (bool(code >> k & 1) for k in range(8))
-    changes = (not n and (ne or e)) + (not e and (se or s)) + (not s and (sw or w)) + (not w and (nw or n))
-    pairs = min((nw or n) + (ne or e) + (se or s) + (sw or w), (n or ne) + (e or se) + (s or sw) + (w or nw))
-    stays = ((s or sw or not nw) and w) if first else ((n or ne or not se) and e)
-    return changes == 1 and 2 <= pairs <= 3 and not stays
-
-
-#: Rounds that one job goes before the ink is written.
-ROUNDS_A_JOB = 2
-_THINS = {first: "".join("01"[_thins(code, first)] for code in range(256)) for first in (True, False)}
+#: Pixels along the side of a tile: with the eight tiles around it a tile knows what eight passes, four rounds, make of it.
+TILE, ROUNDS_A_JOB = 8, 4
+
+
+def tiles_of(ink: DataFrame, page: str = "document_id") -> DataFrame:
+    """page, tx, ty and bits: ink by squares of eight pixels, bit 8 * row + column. Combined in the tasks, so that far fewer rows are shuffled."""
+    bit = F.expr(f"shiftleft(1L, cast(pmod(py, {TILE}) * {TILE} + pmod(px, {TILE}) as int))")
+    return ink.groupBy(page, F.floor(F.col("px") / TILE).alias("tx"), F.floor(F.col("py") / TILE).alias("ty")).agg(F.bit_or(bit).alias("bits"))
+
+
+def pixels_of(tiles: DataFrame, page: str = "document_id") -> DataFrame:
+    """page, px, py of tiles."""
+    each = tiles.select(page, "tx", "ty", F.explode(F.expr("filter(sequence(0, 63), b -> shiftright(bits, b) & 1L = 1L)")).alias("b"))
+    return each.select(page, (F.col("tx") * TILE + F.col("b") % TILE).alias("px"), (F.col("ty") * TILE + F.floor(F.col("b") / TILE)).alias("py"))
+
+
+def _pass(a: np.ndarray, first: bool) -> np.ndarray:
+    """Rows of 24 bits (tile, row) after half a round of Guo and Hall's rule; what lies outside isn't ink."""
+    up, down = np.zeros_like(a), np.zeros_like(a)
+    up[:, 1:], down[:, :-1] = a[:, :-1], a[:, 1:]
+    n, ne, nw, s, se, sw, e, w = up, up >> 1, up << 1, down, down >> 1, down << 1, a >> 1, a << 1
+    exactly, more = np.zeros_like(a), np.zeros_like(a)  # changes: one, and more than one
+    for c in (~n & (ne | e), ~e & (se | s), ~s & (sw | w), ~w & (nw | n)):
+        more |= exactly & c
+        exactly |= c
+    twice, whole = ~np.zeros_like(a), ~np.zeros_like(a)  # both counts of pairs: at least two, and four
+    for pairs in ((nw | n, ne | e, se | s, sw | w), (n | ne, e | se, s | sw, w | nw)):
+        one, two, four = np.zeros_like(a), np.zeros_like(a), ~np.zeros_like(a)
+        for p in pairs:
+            two |= one & p
+            one |= p
+            four &= p
+        twice &= two
+        whole &= four
+    stays = (s | sw | ~nw) & w if first else (n | ne | ~se) & e
+    return a & ~(exactly & ~more & twice & ~whole & ~stays) & np.uint32(0xFFFFFF)
+
+
+def _thinned_tiles(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Tiles (page, tx, ty, w0 to w8: those around, by row) after some rounds, and whether the last one took anything away."""
+    for part in batches:
+        words = np.stack([part.column(k).fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64) for k in range(3, 12)], 1)
+        square = np.ascontiguousarray(words, "<i8").view(np.uint8).reshape(-1, 3, 3, TILE).transpose(0, 1, 3, 2).reshape(-1, 3 * TILE, 3).astype(np.uint32)
+        now = square[:, :, 0] | square[:, :, 1] << 8 | square[:, :, 2] << 16
+        inner = lambda a: (a[:, TILE : 2 * TILE] >> 8 & 255).astype(np.uint8)
+        for _ in range(ROUNDS_A_JOB):
+            before, now = now, _pass(_pass(now, True), False)
+        bits = np.ascontiguousarray(inner(now)).view("<i8").reshape(-1)
+        yield pa.RecordBatch.from_arrays([*part.columns[:3], pa.array(bits), pa.array((inner(now) != inner(before)).any(1))], ["page", "tx", "ty", "bits", "changed"])
 
 
 def thinned(ink: DataFrame, page: str = "document_id") -> DataFrame:
-    """The skeleton of ink: two alternating passes that look up what goes by a pixel's code, until a few rounds take nothing away."""
-    # a pixel that stays tells its code, one that goes takes its bit from the codes around it: a pass shuffles little more than the ink
-    lost = F.array(*[F.struct(F.lit(-i).alias("i"), F.lit(-j).alias("j"), F.lit(-(1 << n)).cast("long").alias("bit")) for n, (i, j) in enumerate(RING)])
-    same = F.array(F.struct(F.lit(0).alias("i"), F.lit(0).alias("j"), (F.col("code") + _INK).alias("bit")))
-    now = stored(neighbour_codes(ink, page), "thinned")
-    left = now.count()
+    """The skeleton of ink: two alternating passes of Guo and Hall's rule over tiles, until a round takes nothing away. A job goes four rounds on what a tile and those around it hold."""
+    kind = ink.schema[page].dataType.simpleString()
+    now = tiles_of(ink.select(page, "px", "py"), page)
+    around = [F.struct(F.lit(-i).alias("i"), F.lit(-j).alias("j"), F.lit(3 * (j + 1) + i + 1).alias("k")) for j in (-1, 0, 1) for i in (-1, 0, 1)]
     while True:
-        for first in (True, False) * ROUNDS_A_JOB:
-            goes = F.substring(F.lit(_THINS[first]), (F.col("code") + 1).cast("int"), F.lit(1)) == "1"
-            each = now.select(page, "px", "py", F.explode(F.when(goes, lost).otherwise(same)).alias("s"))
-            each = each.select(page, (F.col("px") + F.col("s.i")).alias("px"), (F.col("py") + F.col("s.j")).alias("py"), "s.bit")
-            now = each.groupBy(page, "px", "py").agg((F.sum("bit") - _INK).alias("code")).where("code >= 0")
-        now = stored(now, "thinned")
-        before, left = left, now.count()
-        if left == before:
-            return now.drop("code")
+        each = now.select(page, "tx", "ty", "bits", F.explode(F.array(*around)).alias("s"))
+        each = each.select(F.col(page).alias("page"), (F.col("tx") + F.col("s.i")).alias("tx"), (F.col("ty") + F.col("s.j")).alias("ty"), "s.k", "bits")
+        met = each.groupBy("page", "tx", "ty").agg(*[F.bit_or(F.when(F.col("k") == k, F.col("bits"))).alias(f"w{k}") for k in range(9)]).where("w4 is not null")
+        made = stored(met.mapInArrow(_thinned_tiles, f"page {kind}, tx bigint, ty bigint, bits bigint, changed boolean"), "thinned")
+        now = made.where("bits <> 0").withColumnRenamed("page", page)
+        if made.where("changed").isEmpty():
+            return pixels_of(now, page)
 
 
 def pruned(skeleton: DataFrame, rounds: int, page: str = "document_id") -> DataFrame:
