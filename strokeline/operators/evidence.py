@@ -65,12 +65,17 @@ def fitted(value: Column, upper: Column) -> Column:
     return F.least(F.greatest(F.round(value, 6), F.lit(0.0)), upper.cast("double")) + F.lit(0.0)
 
 
-def ink_pixels(segments: DataFrame, size: float, page: str = "document_id") -> DataFrame:
-    """page, px, py: the distinct pixels, `size` wide, that segments (page, x0 to y1) touch at steps of half a pixel."""
+def walked_pixels(segments: DataFrame, size: float, page: str = "document_id") -> DataFrame:
+    """page, px, py: the pixels, `size` wide, that segments (page, x0 to y1) touch at steps of half a pixel, as often as they do."""
     steps = F.greatest(F.ceil(2 * F.hypot(F.col("x1") - F.col("x0"), F.col("y1") - F.col("y0")) / size).cast("int"), F.lit(1))
     walked = segments.withColumn("_n", steps).withColumn("_k", F.explode(F.sequence(F.lit(0), F.col("_n"))))
     at = lambda c: F.floor((F.col(f"{c}0") + (F.col(f"{c}1") - F.col(f"{c}0")) * F.col("_k") / F.col("_n")) / size).cast("long")
-    return walked.select(page, at("x").alias("px"), at("y").alias("py")).distinct()
+    return walked.select(page, at("x").alias("px"), at("y").alias("py"))
+
+
+def ink_pixels(segments: DataFrame, size: float, page: str = "document_id") -> DataFrame:
+    """page, px, py: the distinct pixels, `size` wide, that segments (page, x0 to y1) touch at steps of half a pixel."""
+    return walked_pixels(segments, size, page).distinct()
 
 
 def pixel_degrees(ink: DataFrame, page: str = "document_id") -> DataFrame:

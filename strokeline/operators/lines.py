@@ -3,7 +3,10 @@
 from __future__ import annotations
 
 import functools
+from collections.abc import Iterable, Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -36,3 +39,39 @@ def simplified(vertices: DataFrame, epsilon: float, keys: tuple[str, ...] = ("do
         kept.append(parted.where("v.p = s.p").select(*keys, "v"))
         before = F.col("v.p") < F.col("s.p")
         open_ = parted.where("v.p <> s.p").select(*keys, "v", F.when(before, F.col("a")).otherwise(F.col("s")).alias("a"), F.when(before, F.col("s")).otherwise(F.col("b")).alias("b"))
+
+
+def _kept(x: np.ndarray, y: np.ndarray, offsets: np.ndarray, epsilon: float) -> np.ndarray:
+    """Which vertices of polylines, one after the other, Douglas and Peucker's rule keeps; all open stretches go through a round at once."""
+    keep = np.zeros(len(x), bool)
+    a, b = offsets[:-1], offsets[1:] - 1
+    keep[a] = keep[b] = True
+    while len(a := a[longer := b - a > 1]):
+        b = b[longer]
+        size = b - a - 1
+        first = np.concatenate([[0], np.cumsum(size)[:-1]])
+        own = np.repeat(np.arange(len(a)), size)
+        at = np.arange(len(own)) - first[own] + a[own] + 1
+        bx, by, dx, dy = (x[b] - x[a])[own], (y[b] - y[a])[own], x[at] - x[a][own], y[at] - y[a][own]
+        length = np.sqrt(bx * bx + by * by)
+        far = np.where(length > 0, np.abs(bx * dy - by * dx) / np.where(length > 0, length, 1.0), np.sqrt(dx * dx + dy * dy))
+        top = np.maximum.reduceat(far, first)
+        split = np.minimum.reduceat(np.where(far == top[own], at, len(x)), first)[top > epsilon]
+        keep[split] = True
+        a, b = a[top > epsilon], b[top > epsilon]
+        a, b = np.concatenate([a, split]), np.concatenate([split, b])
+    return keep
+
+
+def left_of_pieces(pieces: DataFrame, epsilon: float, page: str = "document_id") -> DataFrame:
+    """page, line and vertices, the number that simplification leaves of polylines (page, line, xs, ys: arrays) that each stand in one row."""
+    kinds = [f"{c} {pieces.schema[c].dataType.simpleString()}" for c in (page, "line")]
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in batches:
+            x, y = (part.column(k).flatten().to_numpy().astype(float) for k in (2, 3))
+            offsets = np.concatenate([[0], np.cumsum(part.column(2).value_lengths().to_numpy())]).astype(np.int64)
+            total = np.concatenate([[0], np.cumsum(_kept(x, y, offsets, epsilon))])
+            yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(total[offsets[1:]] - total[offsets[:-1]])], [page, "line", "vertices"])
+
+    return pieces.select(page, "line", "xs", "ys").mapInArrow(run, f"{', '.join(kinds)}, vertices bigint")

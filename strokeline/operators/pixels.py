@@ -15,25 +15,17 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..sources.shared import stored
-from .evidence import pixel_number
 
 #: Offsets (x, y) of the eight neighbours, from north clockwise; neighbour n is bit n of a pixel's code.
 RING = ((0, -1), (1, -1), (1, 0), (1, 1), (0, 1), (-1, 1), (-1, 0), (-1, -1))
-_INK = 256
-
-
-def neighbour_codes(ink: DataFrame, page: str = "document_id") -> DataFrame:
-    """page, px, py and code of ink pixels: the sum of 2 ** n over the neighbours n that are ink. One grouping, combined in the tasks."""
-    told = [F.struct(F.lit(0).alias("i"), F.lit(0).alias("j"), F.lit(_INK).alias("bit"))]
-    told += [F.struct(F.lit(-i).alias("i"), F.lit(-j).alias("j"), F.lit(1 << n).alias("bit")) for n, (i, j) in enumerate(RING)]
-    each = ink.select(page, "px", "py", F.explode(F.array(*told)).alias("s"))
-    each = each.select(page, (F.col("px") + F.col("s.i")).alias("px"), (F.col("py") + F.col("s.j")).alias("py"), "s.bit")
-    coded = each.groupBy(page, "px", "py").agg(F.sum("bit").alias("code"))
-    return coded.where(F.col("code") >= _INK).withColumn("code", F.col("code") - _INK)
-
-
 #: Pixels along the side of a tile: with the eight tiles around it a tile knows what eight passes, four rounds, make of it.
 TILE, ROUNDS_A_JOB = 8, 4
+#: Tiles along the side of a block. A tile is sent once to each block that it is in or touches, 1.6 on average, and there to the tiles around it.
+BLOCK = 8
+#: Whether the neighbour has the greater number.
+_AFTER = np.array([(i, j) > (0, 0) for i, j in RING])
+_BITS = np.array([n.bit_count() for n in range(256)], np.uint8)
+_PLACE = np.array([max(n.bit_length() - 1, 0) for n in range(256)], np.uint8)
 
 
 def tiles_of(ink: DataFrame, page: str = "document_id") -> DataFrame:
@@ -50,9 +42,7 @@ def pixels_of(tiles: DataFrame, page: str = "document_id") -> DataFrame:
 
 def _pass(a: np.ndarray, first: bool) -> np.ndarray:
     """Rows of 24 bits (tile, row) after half a round of Guo and Hall's rule; what lies outside isn't ink."""
-    up, down = np.zeros_like(a), np.zeros_like(a)
-    up[:, 1:], down[:, :-1] = a[:, :-1], a[:, 1:]
-    n, ne, nw, s, se, sw, e, w = up, up >> 1, up << 1, down, down >> 1, down << 1, a >> 1, a << 1
+    n, ne, e, se, s, sw, w, nw = _shifted(a)
     exactly, more = np.zeros_like(a), np.zeros_like(a)  # changes: one, and more than one
     for c in (~n & (ne | e), ~e & (se | s), ~s & (sw | w), ~w & (nw | n)):
         more |= exactly & c
@@ -70,102 +60,240 @@ def _pass(a: np.ndarray, first: bool) -> np.ndarray:
     return a & ~(exactly & ~more & twice & ~whole & ~stays) & np.uint32(0xFFFFFF)
 
 
-def _thinned_tiles(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Tiles (page, tx, ty, w0 to w8: those around, by row) after some rounds, and whether the last one took anything away."""
-    for part in batches:
-        words = np.stack([part.column(k).fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64) for k in range(3, 12)], 1)
-        square = np.ascontiguousarray(words, "<i8").view(np.uint8).reshape(-1, 3, 3, TILE).transpose(0, 1, 3, 2).reshape(-1, 3 * TILE, 3).astype(np.uint32)
-        now = square[:, :, 0] | square[:, :, 1] << 8 | square[:, :, 2] << 16
-        inner = lambda a: (a[:, TILE : 2 * TILE] >> 8 & 255).astype(np.uint8)
-        for _ in range(ROUNDS_A_JOB):
-            before, now = now, _pass(_pass(now, True), False)
-        bits = np.ascontiguousarray(inner(now)).view("<i8").reshape(-1)
-        yield pa.RecordBatch.from_arrays([*part.columns[:3], pa.array(bits), pa.array((inner(now) != inner(before)).any(1))], ["page", "tx", "ty", "bits", "changed"])
+def _around(tiles: DataFrame, page: str, grown: bool = False) -> DataFrame:
+    """page, tx, ty and w0 to w8, the bits of a tile and of those around it, by row. `grown`: also of tiles without ink beside some."""
+    near = lambda c: F.explode(F.sequence(F.floor((F.col(c) - 1) / BLOCK), F.floor((F.col(c) + 1) / BLOCK)))
+    sent = tiles.select(F.col(page).alias("page"), "tx", "ty", "bits", near("tx").alias("bx")).withColumn("by", near("ty")).repartition("page", "bx", "by")
+    around = [F.struct(F.lit(-i).alias("i"), F.lit(-j).alias("j"), F.lit(3 * (j + 1) + i + 1).alias("k")) for j in (-1, 0, 1) for i in (-1, 0, 1)]
+    each = sent.select("page", "bx", "by", "tx", "ty", "bits", F.explode(F.array(*around)).alias("s"))
+    each = each.select("page", "bx", "by", (F.col("tx") + F.col("s.i")).alias("tx"), (F.col("ty") + F.col("s.j")).alias("ty"), "s.k", "bits")
+    each = each.where(f"floor(tx / {BLOCK}) = bx and floor(ty / {BLOCK}) = by")
+    met = each.groupBy("page", "bx", "by", "tx", "ty").agg(*[F.bit_or(F.when(F.col("k") == k, F.col("bits"))).alias(f"w{k}") for k in range(9)])
+    return (met if grown else met.where("w4 is not null")).drop("bx", "by")
 
 
-def thinned(ink: DataFrame, page: str = "document_id") -> DataFrame:
-    """The skeleton of ink: two alternating passes of Guo and Hall's rule over tiles, until a round takes nothing away. A job goes four rounds on what a tile and those around it hold."""
-    kind = ink.schema[page].dataType.simpleString()
-    now = tiles_of(ink.select(page, "px", "py"), page)
-    around = [F.struct(F.lit(-i).alias("i"), F.lit(-j).alias("j"), F.lit(3 * (j + 1) + i + 1).alias("k")) for j in (-1, 0, 1) for i in (-1, 0, 1)]
+def _squares(part: pa.RecordBatch) -> np.ndarray:
+    """Rows of 24 bits (tile, row) of each tile and those around it."""
+    words = np.stack([part.column(k).fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64) for k in range(3, 12)], 1)
+    square = np.ascontiguousarray(words, "<i8").view(np.uint8).reshape(-1, 3, 3, TILE).transpose(0, 1, 3, 2).reshape(-1, 3 * TILE, 3).astype(np.uint32)
+    return square[:, :, 0] | square[:, :, 1] << 8 | square[:, :, 2] << 16
+
+
+def _inner(a: np.ndarray) -> np.ndarray:
+    """The bits of the tiles in the middle."""
+    return np.ascontiguousarray((a[:, TILE : 2 * TILE] >> 8 & 255).astype(np.uint8)).view("<i8").reshape(-1)
+
+
+def _shifted(a: np.ndarray) -> list[np.ndarray]:
+    """Whether each neighbour, in the order of RING, is ink."""
+    up, down = np.zeros_like(a), np.zeros_like(a)
+    up[:, 1:], down[:, :-1] = a[:, :-1], a[:, 1:]
+    return [up, up >> 1, a >> 1, down >> 1, down, down << 1, a << 1, up << 1]
+
+
+def _widened(a: np.ndarray) -> np.ndarray:
+    return np.bitwise_or.reduce([a, *_shifted(a)]) & np.uint32(0xFFFFFF)
+
+
+def _framed(a: np.ndarray, part: pa.RecordBatch, frame: int) -> np.ndarray:
+    """What lies in columns and rows 0 to `frame`, without the last."""
+    inside = [(at >= 0) & (at < frame) for k in (1, 2) for at in [part.column(k).to_numpy()[:, None] * TILE - TILE + np.arange(3 * TILE)]]
+    columns = (inside[0] << np.arange(3 * TILE)).sum(1).astype(np.uint32)
+    return np.where(inside[1], a & columns[:, None], np.uint32(0))
+
+
+def thinned_tiles(tiles: DataFrame, page: str = "document_id", widen: bool = False, close: int = 0) -> DataFrame:
+    """Tiles of the skeleton of ink: two alternating passes of Guo and Hall's rule, until a round takes nothing away. A job goes four rounds on what a tile and those around it hold.
+
+    The first job may widen the ink by a pixel on all sides, or close it by one within a frame of `close` pixels, and then goes three rounds.
+    """
+    kind = tiles.schema[page].dataType.simpleString()
+    now, first = tiles, widen or close > 0
+
+    def run(first: bool):
+        def thin(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for part in batches:
+                now = _squares(part)
+                if first:
+                    now = _widened(now)
+                if first and close:
+                    now = _framed(now, part, close)
+                    now = np.bitwise_and.reduce([now, *_shifted(now)])
+                for _ in range(ROUNDS_A_JOB - first):
+                    before, now = now, _pass(_pass(now, True), False)
+                bits = _inner(now)
+                yield pa.RecordBatch.from_arrays([*part.columns[:3], pa.array(bits), pa.array(bits != _inner(before))], ["page", "tx", "ty", "bits", "changed"])
+
+        return thin
+
     while True:
-        each = now.select(page, "tx", "ty", "bits", F.explode(F.array(*around)).alias("s"))
-        each = each.select(F.col(page).alias("page"), (F.col("tx") + F.col("s.i")).alias("tx"), (F.col("ty") + F.col("s.j")).alias("ty"), "s.k", "bits")
-        met = each.groupBy("page", "tx", "ty").agg(*[F.bit_or(F.when(F.col("k") == k, F.col("bits"))).alias(f"w{k}") for k in range(9)]).where("w4 is not null")
-        made = stored(met.mapInArrow(_thinned_tiles, f"page {kind}, tx bigint, ty bigint, bits bigint, changed boolean"), "thinned")
-        now = made.where("bits <> 0").withColumnRenamed("page", page)
+        made = _around(now, page, first).mapInArrow(run(first), f"page {kind}, tx bigint, ty bigint, bits bigint, changed boolean")
+        made = stored(made.where("bits <> 0 or changed") if first else made, "thinned")
+        now, first = made.where("bits <> 0").withColumnRenamed("page", page), False
         if made.where("changed").isEmpty():
-            return pixels_of(now, page)
+            return now.drop("changed")
+
+
+def thinned(ink: DataFrame, page: str = "document_id") -> DataFrame:
+    """The skeleton of ink, thinned by tiles."""
+    return pixels_of(thinned_tiles(tiles_of(ink.select(page, "px", "py"), page), page), page)
+
+
+def pruned_tiles(tiles: DataFrame, rounds: int, page: str = "document_id") -> DataFrame:
+    """Tiles of a skeleton after `rounds` times taking off the ends of its branches. A round looks two pixels around, so a job goes four."""
+    kind = tiles.schema[page].dataType.simpleString()
+
+    def run(rounds: int):
+        def prune(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for part in batches:
+                now = _squares(part)
+                for _ in range(rounds):
+                    one, more = np.zeros_like(now), np.zeros_like(now)
+                    for beside in _shifted(now):
+                        more |= one & beside
+                        one |= beside
+                    end = now & one & ~more
+                    # of two pixels alone the second, by row and column, stays: the other is north of it or to its left
+                    n, ne, _, _, _, _, w, nw = _shifted(end)
+                    now = now & ~(end & ~(n | ne | w | nw))
+                yield pa.RecordBatch.from_arrays([*part.columns[:3], pa.array(_inner(now))], ["page", "tx", "ty", "bits"])
+
+        return prune
+
+    for done in range(0, rounds, ROUNDS_A_JOB):
+        made = _around(tiles, page).mapInArrow(run(min(ROUNDS_A_JOB, rounds - done)), f"page {kind}, tx bigint, ty bigint, bits bigint")
+        tiles = stored(made.where("bits <> 0").withColumnRenamed("page", page), "pruned")
+    return tiles
 
 
 def pruned(skeleton: DataFrame, rounds: int, page: str = "document_id") -> DataFrame:
     """The skeleton after `rounds` times taking off the ends of its branches. Of two pixels alone the first, by row and column, goes; a single one stays."""
-    now = skeleton.select(page, "px", "py")
-    for _ in range(rounds):
-        coded = stored(neighbour_codes(now, page), "pruned")
-        towards = F.bit_count(F.col("code") - 1)  # the place of the only bit
-        step = lambda k: F.element_at(F.array(*[F.lit(o[k]) for o in RING]), (towards + 1).cast("int"))
-        ends = coded.where(F.bit_count("code") == 1).select(page, "px", "py", (F.col("px") + step(0)).alias("nx"), (F.col("py") + step(1)).alias("ny"))
-        if ends.isEmpty():
-            break
-        others = ends.select(page, F.col("px").alias("nx"), F.col("py").alias("ny"), F.lit(True).alias("end"))
-        goes = ends.join(others, [page, "nx", "ny"], "left").where("end is null or ny > py or (ny = py and nx > px)")
-        now = coded.drop("code").join(goes.select(page, "px", "py"), [page, "px", "py"], "left_anti")
-    return now
-
-
-def _ranked(darts: DataFrame, page: str) -> DataFrame:
-    """Darts with `end`, the last dart on their way, and `steps` to it, by doubling pointers; next is null at a way's end.
-
-    What goes round for ever keeps its next dart, and `low`, the least tail on its way, is then the ring's least.
+    return pixels_of(pruned_tiles(tiles_of(skeleton.select(page, "px", "py"), page), rounds, page), page)
+
+
+def _codes(now: np.ndarray) -> np.ndarray:
+    """[tile, row, column] of the tile and one pixel around it: the sum of 2 ** n over the neighbours n that are ink, 0 where there is no ink."""
+    ink = (now[:, 6:18, None] >> np.arange(6, 18, dtype=np.uint32) & 1).astype(np.uint8)
+    made = np.zeros((len(ink), 10, 10), np.uint8)
+    for n, (i, j) in enumerate(RING):
+        made |= ink[:, 1 + j : 11 + j, 1 + i : 11 + i] << n
+    return made * ink[:, 1:11, 1:11]
+
+
+def tile_degrees(tiles: DataFrame, page: str = "document_id") -> DataFrame:
+    """page, px, py of the ink of tiles, and degree, the number of its eight neighbours that are ink too."""
+    kind = tiles.schema[page].dataType.simpleString()
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in batches:
+            now = _squares(part)
+            t, r, c = np.nonzero(now[:, 8:16, None] >> np.arange(8, 16, dtype=np.uint32) & 1)
+            tx, ty = (part.column(k).to_numpy() * TILE for k in (1, 2))
+            degree = _BITS[_codes(now)[t, r + 1, c + 1]].astype(np.int64)
+            yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(t)), pa.array(tx[t] + c), pa.array(ty[t] + r), pa.array(degree)], ["page", "px", "py", "degree"])
+
+    return _around(tiles, page).mapInArrow(run, f"page {kind}, px bigint, py bigint, degree bigint").withColumnRenamed("page", page)
+
+
+def _chains(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Darts of tiles as chains: within a tile, up to a pixel that hasn't two neighbours or has a lesser number than both, by doubling pointers over all tiles of a batch."""
+    step = np.array(RING)
+    for part in batches:
+        code = _codes(_squares(part))
+        t, r, c, d = np.nonzero(code[:, 1:9, 1:9, None] >> np.arange(8, dtype=np.uint8) & 1)
+        number = np.zeros((len(code), TILE, TILE, 8), np.int64)
+        number[t, r, c, d] = np.arange(len(t))
+        hr, hc, back = r + step[d, 1], c + step[d, 0], (d + 4) % 8
+        there = code[t, hr + 1, hc + 1]
+        through, on = _BITS[there] == 2, _PLACE[there & ~(1 << back)]
+        goes = through & (hr >= 0) & (hr < TILE) & (hc >= 0) & (hc < TILE) & ~(_AFTER[back] & _AFTER[on])
+        end, steps = np.arange(len(t)), goes.astype(np.int64)
+        end[goes] = number[t[goes], hr[goes], hc[goes], on[goes]]
+        while True:
+            after = end[end]
+            if (after == end).all():
+                break
+            steps, end = steps + steps[end], after
+        order = np.lexsort((-steps, end))
+        last = np.flatnonzero(steps[order] == 0)
+        first = np.concatenate([[0], last[:-1] + 1]).astype(np.int64)[: len(last)]
+        n = last - first + 1
+        tx, ty = (part.column(k).to_numpy() for k in (1, 2))
+        tail = (tx[t] * TILE + c) * 1_000_000 + ty[t] * TILE + r
+        head = (tx[t] * TILE + hc) * 1_000_000 + ty[t] * TILE + hr
+        a, z = order[first], order[last]
+        offsets = pa.array(np.concatenate([[0], np.cumsum(n + 1)]), pa.int32())
+        lists = []
+        for at, to in ((c, hc), (r, hr)):
+            flat = np.insert(at[order], last + 1, to[z]).astype(np.int8)
+            lists.append(pa.ListArray.from_arrays(offsets, pa.array(flat)))
+        following = pa.array(head[z] * 8 + on[z], mask=~through[z])
+        starts = _BITS[code[t[a], r[a] + 1, c[a] + 1]] != 2
+        low = np.minimum.reduceat(tail[order], first) if len(first) else tail
+        columns = [part.column(0).take(pa.array(t[a])), pa.array(tx[t[a]]), pa.array(ty[t[a]]), pa.array(tail[a] * 8 + d[a]), following, pa.array(head[z]), pa.array(head[z] * 8 + back[z]), pa.array(low), pa.array(n), pa.array(starts), *lists]
+        yield pa.RecordBatch.from_arrays(columns, ["page", "tx", "ty", "chain", "next", "head", "reverse", "low", "n", "starts", "xs", "ys"])
+
+
+def _ranked(chains: DataFrame, page: str) -> DataFrame:
+    """Chains with `end`, the last chain on their way, and `steps`, the darts up to its end, by doubling pointers; next is null at a way's end.
+
+    What goes round for ever keeps its next chain, and `low`, the least tail on its way, is then the ring's least.
     """
-    now = darts.select(page, "dart", "next", F.when(F.col("next").isNull(), F.col("dart")).alias("end"), F.when(F.col("next").isNull(), 0).otherwise(1).cast("long").alias("steps"), F.col("tail").alias("low"))
-    now, before = stored(now, "darts"), None
+    now = chains.select(page, "chain", "next", F.when(F.col("next").isNull(), F.col("chain")).alias("end"), F.col("n").alias("steps"), "low")
+    now, before = stored(now, "chains"), None
     while True:
         state = tuple(now.where("next is not null").agg(F.count("*"), F.sum(F.col("low").cast("decimal(38,0)"))).first())
         if not state[0] or state == before:
             return now
         before = state
-        ahead = now.select(page, F.col("dart").alias("next"), F.col("next").alias("next2"), F.col("end").alias("end2"), F.col("steps").alias("steps2"), F.col("low").alias("low2"))
-        moved = now.where("next is not null").join(ahead, [page, "next"]).select(page, "dart", F.col("next2").alias("next"), F.col("end2").alias("end"), (F.col("steps") + F.col("steps2")).alias("steps"), F.least("low", "low2").alias("low"))
-        now = stored(moved.union(now.where("next is null")), "darts")
+        ahead = now.select(page, F.col("chain").alias("next"), F.col("next").alias("next2"), F.col("end").alias("end2"), F.col("steps").alias("steps2"), F.col("low").alias("low2"))
+        moved = now.where("next is not null").join(ahead.hint("merge"), [page, "next"]).select(page, "chain", F.col("next2").alias("next"), F.col("end2").alias("end"), (F.col("steps") + F.col("steps2")).alias("steps"), F.least("low", "low2").alias("low"))
+        now = stored(moved.union(now.where("next is null")), "chains")
 
 
-def traced(skeleton: DataFrame, page: str = "document_id") -> DataFrame:
-    """page, line, pos, px, py: polylines along a skeleton between pixels that haven't two neighbours.
+def traced_pieces(tiles: DataFrame, page: str = "document_id") -> DataFrame:
+    """page, line, pos, n, whole, final, tx, ty, xs, ys: polylines along a skeleton as pieces within tiles.
+
+    A piece has n steps and n + 1 points, from `pos` on, in columns xs and rows ys of its tile; the last point is the first one of
+    the next piece, save on the `final` piece. A `whole` piece is its line's only one.
 
     Every pair of neighbouring pixels is in one polyline, once. A dart goes from a pixel to a neighbour; behind a pixel of two neighbours
-    it goes on to the other one. The place of a dart is found by doubling pointers, so a line of n pixels takes log2(n) joins. A closed
-    ring begins and ends at its least pixel, by column and row. Of the two directions that from the lesser dart is taken. A
-    pixel without neighbours is on no line.
+    it goes on to the other one. Tiles make chains of darts; most are whole lines. The place of the others on their line is found by doubling
+    pointers, so a line of n chains takes log2(n) joins. A closed ring begins and ends at its least pixel, by column and row, where
+    a chain ends too. Of the two directions that from the lesser dart is taken. A pixel without neighbours is on no line.
     """
-    coded = neighbour_codes(skeleton, page).select(page, "px", "py", pixel_number(F.col("px"), F.col("py")).alias("node"), "code")
-    coded = stored(coded, "codes")
-    ways = F.array(*[F.struct(F.lit(n).alias("d"), F.lit(i).alias("i"), F.lit(j).alias("j")) for n, (i, j) in enumerate(RING)])
-    out = coded.select(page, "px", "py", F.col("node").alias("tail"), "code", F.explode(ways).alias("w")).where("(code >> w.d) & 1 = 1")
-    out = out.select(page, "px", "py", "tail", "w", pixel_number(F.col("px") + F.col("w.i"), F.col("py") + F.col("w.j")).alias("head"))
-    behind = coded.select(page, F.col("node").alias("head"), F.col("code").alias("there"))
-    back = F.pmod(F.col("w.d") + 4, F.lit(8))
-    on = F.bit_count(F.col("there") - F.expr("1L << ((w.d + 4) % 8)") - 1)  # the place of the bit that is left
-    darts = out.join(behind, [page, "head"]).select(
-        page, "px", "py", F.col("w.i").alias("i"), F.col("w.j").alias("j"), "tail", "head", (F.col("tail") * 8 + F.col("w.d")).alias("dart"),
-        (F.col("head") * 8 + back).alias("reverse"), F.when(F.bit_count("there") == 2, F.col("head") * 8 + on).alias("next"),
-    )
-    darts = stored(darts, "darts")
-    ranks = _ranked(darts, page)
-    ends = ranks.where("next is null").select(page, "dart", "end", "steps")
-    rings = stored(darts.join(ranks.where("next is not null").select(page, "dart", "low"), [page, "dart"]), "rings")
+    kind = tiles.schema[page].dataType.simpleString()
+    schema = f"page {kind}, tx bigint, ty bigint, chain bigint, next bigint, head bigint, reverse bigint, low bigint, n bigint, starts boolean, xs array<tinyint>, ys array<tinyint>"
+    made = _around(tiles, page).mapInArrow(_chains, schema).withColumnRenamed("page", page)
+    chains = stored(made.where("not starts or next is not null or chain < reverse"), "chains")
+    told = [page, "line", "pos", "n", "whole", "final", "tx", "ty", "xs", "ys"]
+    whole = chains.where("starts and next is null").withColumnsRenamed({"chain": "line"}).withColumns({"pos": F.lit(0).cast("long"), "whole": F.lit(True), "final": F.lit(True)})
+    parts = chains.where("not (starts and next is null)")
+    ranks = _ranked(parts, page)
+    ends = ranks.where("next is null").select(page, "chain", "end", "steps")
+    rings = ranks.where("next is not null").select(page, "chain", F.col("low").alias("least"))
     if not rings.isEmpty():  # cut open at the least pixel
-        again = _ranked(rings.withColumn("next", F.when(F.col("head") != F.col("low"), F.col("next"))), page)
-        ends = ends.union(again.select(page, "dart", "end", "steps"))
-    ends = stored(ends, "ends")
-    whole = ends.groupBy(page, "end").agg(F.max_by("dart", "steps").alias("line"), F.max("steps").alias("length"))
-    last = darts.select(page, F.col("dart").alias("end"), "reverse")
-    whole = whole.join(last, [page, "end"]).where("line < reverse").drop("reverse")
-    placed = ends.join(whole, [page, "end"]).select(page, "dart", "line", (F.col("length") - F.col("steps")).alias("pos"), (F.col("steps") == 0).alias("final"))
-    points = darts.select(page, "dart", "px", "py", "i", "j").join(placed, [page, "dart"])
-    tails = points.select(page, "line", "pos", "px", "py")
-    return tails.union(points.where("final").select(page, "line", F.col("pos") + 1, F.col("px") + F.col("i"), F.col("py") + F.col("j")))
+        rings = stored(parts.join(rings.hint("merge"), [page, "chain"]), "rings")
+        again = _ranked(rings.withColumn("next", F.when(F.col("head") != F.col("least"), F.col("next"))), page)
+        ends = ends.union(again.select(page, "chain", "end", "steps"))
+    lines = ends.groupBy(page, "end").agg(F.max_by("chain", "steps").alias("line"), F.max("steps").alias("length"))
+    last = parts.select(page, F.col("chain").alias("end"), "reverse")
+    lines = stored(lines.join(last.hint("merge"), [page, "end"]).where("line < reverse").drop("reverse"), "ends")
+    placed = ends.join(lines.hint("merge"), [page, "end"]).select(page, "chain", "line", (F.col("length") - F.col("steps")).alias("pos"), (F.col("chain") == F.col("end")).alias("final"))
+    joined = parts.join(placed.hint("merge"), [page, "chain"]).withColumn("whole", F.lit(False))
+    return whole.select(*told).union(joined.select(*told))
+
+
+def vertices_of(pieces: DataFrame, page: str = "document_id") -> DataFrame:
+    """page, line, pos, px, py of pieces of polylines."""
+    points = F.arrays_zip(F.when(F.col("final"), F.col("xs")).otherwise(F.expr("slice(xs, 1, cast(n as int))")).alias("xs"), F.when(F.col("final"), F.col("ys")).otherwise(F.expr("slice(ys, 1, cast(n as int))")).alias("ys"))
+    each = pieces.select(page, "line", "pos", "tx", "ty", F.posexplode(points).alias("k", "p"))
+    return each.select(page, "line", (F.col("pos") + F.col("k")).alias("pos"), (F.col("tx") * TILE + F.col("p.xs")).alias("px"), (F.col("ty") * TILE + F.col("p.ys")).alias("py"))
+
+
+def traced(skeleton: DataFrame, page: str = "document_id") -> DataFrame:
+    """page, line, pos, px, py: polylines along a skeleton between pixels that haven't two neighbours."""
+    return vertices_of(traced_pieces(tiles_of(skeleton.select(page, "px", "py"), page), page), page)
 
 
 def dilated(ink: DataFrame, radius: int, page: str = "document_id") -> DataFrame:

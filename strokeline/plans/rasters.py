@@ -25,30 +25,37 @@ def ink(spark: SparkSession, folder: str) -> DataFrame:
     return stored(pixels.dilated(evidence.ink_pixels(segments(spark, folder), SIZE), 1), "ink")
 
 
-def skeleton(spark: SparkSession, folder: str) -> DataFrame:
-    return stored(pixels.pruned(pixels.thinned(ink(spark, folder)), 2), "skeleton")
+def _thin(spark: SparkSession, folder: str) -> DataFrame:
+    """Tiles of the skeleton of every page's ink."""
+    return pixels.thinned_tiles(pixels.tiles_of(evidence.walked_pixels(segments(spark, folder), SIZE)), widen=True)
 
 
 @query()
 def thinned_strokes(spark: SparkSession, folder: str) -> DataFrame:
     """The skeleton of every page's ink, and what each of its pixels touches."""
-    made = evidence.pixel_degrees(pixels.thinned(ink(spark, folder)))
-    return made.select("document_id", "px", "py", "degree")
+    return pixels.tile_degrees(_thin(spark, folder)).select("document_id", "px", "py", "degree")
 
 
 @query()
 def pruned_skeletons(spark: SparkSession, folder: str) -> DataFrame:
     """The skeleton of every page's ink without its shortest branches."""
-    return skeleton(spark, folder)
+    return pixels.pixels_of(pixels.pruned_tiles(_thin(spark, folder), 2))
+
+
+def left_of_lines(pieces: DataFrame, epsilon: float) -> DataFrame:
+    """document_id, line and vertices: how many simplification leaves. Lines within a tile are rows of their own; the others go through rounds."""
+    whole = lines.left_of_pieces(pieces.where("whole"), epsilon)
+    longer = pixels.vertices_of(pieces.where("not whole")).withColumnsRenamed({"px": "x", "py": "y"})
+    return whole.union(lines.simplified(longer, epsilon).groupBy("document_id", "line").agg(F.count("*").alias("vertices")))
 
 
 @query()
 def skeleton_lines(spark: SparkSession, folder: str) -> DataFrame:
     """The polylines of every page's skeleton: points, whether it is closed, and the vertices that simplification leaves."""
-    made = stored(pixels.traced(skeleton(spark, folder)), "lines")
-    left = lines.simplified(made.withColumnsRenamed({"px": "x", "py": "y"}), 1.5).groupBy("document_id", "line").agg(F.count("*").alias("vertices"))
-    ends = made.groupBy("document_id", "line").agg(F.count("*").alias("points"), (F.min_by(F.struct("px", "py"), "pos") == F.max_by(F.struct("px", "py"), "pos")).alias("closed"))
-    return ends.join(left, ["document_id", "line"])
+    made = stored(pixels.traced_pieces(pixels.pruned_tiles(_thin(spark, folder), 2)), "lines")
+    at = lambda k: F.struct((F.col("tx") * pixels.TILE + F.element_at("xs", k)).alias("px"), (F.col("ty") * pixels.TILE + F.element_at("ys", k)).alias("py"))
+    ends = made.groupBy("document_id", "line").agg((F.sum("n") + 1).alias("points"), (F.min_by(at(1), "pos") == F.max_by(at(-1), "pos")).alias("closed"))
+    return ends.join(left_of_lines(made, 1.5).hint("merge"), ["document_id", "line"])
 
 
 @query(f"""WITH RECURSIVE t AS (SELECT user_id, k, CAST(k AS DOUBLE) AS x, value AS y FROM ({_TRACE_SQL})), e AS (SELECT user_id, min(k) AS a, max(k) AS b FROM t GROUP BY user_id),
