@@ -195,6 +195,49 @@ def tile_degrees(tiles: DataFrame, page: str = "document_id") -> DataFrame:
     return _around(tiles, page).mapInArrow(run, f"page {kind}, px bigint, py bigint, degree bigint").withColumnRenamed("page", page)
 
 
+def tile_components(tiles: DataFrame, page: str = "document_id") -> DataFrame:
+    """page, node, area, junctions and links: connected ink within each tile, known by the number of its first pixel, and what it touches in the tiles around it, each pair once.
+
+    area counts pixels, junctions those with at least three neighbours.
+    """
+    kind = tiles.schema[page].dataType.simpleString()
+    far = np.int16(9 * TILE * TILE)
+    edge = np.arange(3 * TILE)
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in batches:
+            now = _squares(part)
+            ink = (now[:, :, None] >> np.arange(3 * TILE, dtype=np.uint32) & 1).astype(bool)
+            label = np.where(ink, np.arange(9 * TILE * TILE, dtype=np.int16).reshape(3 * TILE, 3 * TILE), far)
+            while True:  # the least place of all that is connected within each of the nine tiles
+                before = label
+                for axis in (1, 2):
+                    ahead, behind = np.roll(label, -1, axis), np.roll(label, 1, axis)
+                    at = lambda k: (slice(None), edge % TILE == k) if axis == 1 else (slice(None), slice(None), edge % TILE == k)  # noqa: E731, B023
+                    ahead[at(TILE - 1)], behind[at(0)] = far, far
+                    label = np.minimum(label, np.minimum(ahead, behind))
+                label = np.where(ink, label, far)
+                if (label == before).all():
+                    break
+            tx, ty = (part.column(k).to_numpy() * TILE - TILE for k in (1, 2))
+            number = lambda t, place: (tx[t] + place % (3 * TILE)) * 1_000_000 + ty[t] + place // (3 * TILE)
+            t, r, c = np.nonzero(ink[:, TILE : 2 * TILE, TILE : 2 * TILE])
+            own = label[t, r + TILE, c + TILE].astype(np.int64)
+            key, of = np.unique(t * int(far) + own, return_inverse=True)
+            area = np.bincount(of, minlength=len(key))
+            junctions = np.bincount(of, _BITS[_codes(now)[t, r + 1, c + 1]] >= 3, len(key)).astype(np.int64)
+            pairs = []
+            for i, j in ((1, 0), (1, 1), (0, 1), (-1, 1)):
+                other = label[t, r + TILE + j, c + TILE + i].astype(np.int64)
+                crosses = (other < far) & ((c + i < 0) | (c + i >= TILE) | (r + j >= TILE))
+                pairs.append(np.stack([of[crosses], other[crosses]], 1))
+            links = np.unique(np.concatenate(pairs), axis=0)
+            lists = pa.ListArray.from_arrays(pa.array(np.searchsorted(links[:, 0], np.arange(len(key) + 1)), pa.int32()), pa.array(number(key[links[:, 0]] // far, links[:, 1])))
+            yield pa.RecordBatch.from_arrays([part.column(0).take(pa.array(key // far)), pa.array(number(key // far, key % far)), pa.array(area), pa.array(junctions), lists], ["page", "node", "area", "junctions", "links"])
+
+    return _around(tiles, page).mapInArrow(run, f"page {kind}, node bigint, area bigint, junctions bigint, links array<bigint>").withColumnRenamed("page", page)
+
+
 def _chains(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Darts of tiles as chains: within a tile, up to a pixel that hasn't two neighbours or has a lesser number than both, by doubling pointers over all tiles of a batch."""
     step = np.array(RING)

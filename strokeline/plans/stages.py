@@ -10,12 +10,13 @@ from pyspark.sql.window import Window
 from ..config import PROFILE as P
 from ..functions import geometry as G
 from ..functions import raster
-from ..operators import edits, evidence, graph, lines, pixels, spatial
+from ..operators import edits, graph, pixels, spatial
 from ..sources import artifacts
 from ..sources.shared import new_folder, stored
 from ..sources.tables import POINTS_SQL, SEGMENTS_SQL, points, segments, table
 from ..streaming import jobs as streams
 from .control import job_commands
+from .rasters import left_of_lines
 from .registry import query
 
 
@@ -96,34 +97,34 @@ def streamed_jobs(spark: SparkSession, folder: str) -> DataFrame:
 FRAME = 256
 
 
-def framed_ink(spark: SparkSession, folder: str) -> DataFrame:
-    """document_id, px, py: every page's segments at half their size, in a frame of 256 pixels with the origin in its middle."""
+def framed_walk(spark: SparkSession, folder: str) -> DataFrame:
+    """document_id, px, py: every page's segments at half their size, in a frame of 256 pixels with the origin in its middle; a pixel as often as it is touched."""
     at = {c: (F.col(c) + FRAME) / 2 for c in ("x0", "y0", "x1", "y1")}
     s = segments(spark, folder).select("document_id", *[v.alias(c) for c, v in at.items()])
     n = F.floor(F.greatest(F.abs(F.col("x1") - F.col("x0")), F.abs(F.col("y1") - F.col("y0")))).cast("int") + 1
     walked = s.withColumn("n", n).withColumn("k", F.explode(F.sequence(F.lit(0), F.col("n"))))
     along = lambda c: F.rint(F.when(F.col("k") == F.col("n"), F.col(f"{c}1")).otherwise(F.col(f"{c}0") + F.col("k") * ((F.col(f"{c}1") - F.col(f"{c}0")) / F.col("n")))).cast("long")
     made = walked.select("document_id", along("x").alias("px"), along("y").alias("py"))
-    return made.where(f"px >= 0 and px < {FRAME} and py >= 0 and py < {FRAME}").distinct()
+    return made.where(f"px >= 0 and px < {FRAME} and py >= 0 and py < {FRAME}")
 
 
 @query()
 def page_skeletons(spark: SparkSession, folder: str) -> DataFrame:
-    """Figures of each page's ink: its segments drawn, closed, thinned, traced and labelled, all as tables of pixels."""
-    frame = f"px >= 0 and px < {FRAME} and py >= 0 and py < {FRAME}"
-    ink = stored(framed_ink(spark, folder), "ink")
-    skeleton = stored(pixels.thinned(pixels.eroded(pixels.dilated(ink, 1).where(frame), 1)), "skeleton")
-    runs = stored(pixels.runs_of(skeleton), "runs")
-    numbered = runs.select("document_id", evidence.pixel_number(F.col("x0"), F.col("py")).alias("id"))
-    boxes = evidence.run_boxes(runs, graph.connected_components(evidence.run_links(runs), numbered, new_folder(spark, "skeletons")))
-    traced = stored(pixels.traced(skeleton), "lines")
-    left = lines.simplified(traced.withColumnsRenamed({"px": "x", "py": "y"}), 1.5)
+    """Figures of each page's ink: its segments drawn, closed, thinned, traced and labelled, all as tables of tiles."""
     page = "document_id"
+    ink = stored(pixels.tiles_of(framed_walk(spark, folder)), "ink")
+    skeleton = pixels.thinned_tiles(ink, close=FRAME)
+    labelled = stored(pixels.tile_components(skeleton), "labelled")
+    links = labelled.select(page, F.col("node").alias("a"), F.explode("links").alias("b"))
+    components = graph.connected_components(links, labelled, new_folder(spark, "skeletons"), "node")
+    areas = labelled.select(page, "node", "area").join(components.hint("merge"), [page, "node"]).groupBy(page, "component").agg(F.sum("area").alias("area"))
+    traced = stored(pixels.traced_pieces(skeleton), "lines")
     parts = [
-        ink.groupBy(page).agg(F.count("*").alias("ink")), skeleton.groupBy(page).agg(F.count("*").alias("skeleton")),
-        boxes.groupBy(page).agg(F.count("*").alias("components"), F.max("area").alias("largest")),
-        evidence.pixel_degrees(skeleton).groupBy(page).agg(F.count_if(F.col("degree") >= 3).alias("junctions")),
-        traced.groupBy(page).agg(F.count_distinct("line").alias("polylines")), left.groupBy(page).agg(F.count("*").alias("vertices")),
+        ink.groupBy(page).agg(F.sum(F.bit_count("bits")).alias("ink")),
+        labelled.groupBy(page).agg(F.sum("area").alias("skeleton")),
+        areas.groupBy(page).agg(F.count("*").alias("components"), F.max("area").alias("largest")),
+        labelled.groupBy(page).agg(F.sum("junctions").alias("junctions")),
+        traced.groupBy(page).agg(F.count_if("final").alias("polylines")), left_of_lines(traced, 1.5).groupBy(page).agg(F.sum("vertices").alias("vertices")),
     ]
     made = segments(spark, folder).select(page).distinct()
     for part in parts:
