@@ -2,16 +2,18 @@
 
 Two sets with 100 * |intersection| >= percent * |union| miss at most n - need of each other's elements, where need is
 percent of the own size n, rounded up. Hence, in any order of elements that is the same for all sets, they share k
-elements among the first n - need + k of each. Sets go through four steps, all of them exact:
+elements among the first n - need + k of each. Sets go through five steps, all of them exact:
 
 1. Texts with equal sets are one node. Of every node's elements the first ones by hash are counted; a node of which too
    few are in other nodes' heads as well is linked with nobody.
 2. All elements of the nodes that are left are counted; a node with fewer than `need` shared elements is linked with nobody.
    From now on elements are ordered from rare to common.
-3. Small sets emit every subset of two elements of their head; two small sets that are similar emit a common one. Large
+3. Nodes that share one of four min-hashes are linked where they are similar, which finds most of every group of near copies with a few
+   rows for each node. What a head shares with heads of other components only is looked at further.
+4. Small sets emit every subset of two elements of their head; two small sets that are similar emit a common one. Large
    sets scan the inverted lists of the elements of their head, in which small sets of fitting sizes stand too. The boundary is
    the size at which subsets of all sets below it and lists of all sets from it on cost least together.
-4. What meets at a subset or in a list is a group. Its members are compared with one of them, links join nodes to
+5. What meets at a subset or in a list is a group. Its members are compared with one of them, links join nodes to
    components, and only members of different components are compared further, those outside a group's largest
    component with all others. A large group of near copies takes as many comparisons as it has members.
 """
@@ -24,6 +26,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from .components import connected_components
 from .sketch import fingerprints, shingle_sets
@@ -87,7 +90,9 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
 
 #: The elements of a set's head that stand in the inverted lists.
-_LISTED = "slice(early, 1, cast(n - need + 1 - alone as int))"
+_LISTED = "filter(early, e -> e.pos <= n - need + 1 - alone)"
+#: Min-hashes by which near copies are linked first.
+HASHES = 4
 
 
 def _boundary(prefixes: DataFrame, percent: int) -> int:
@@ -106,46 +111,40 @@ def _boundary(prefixes: DataFrame, percent: int) -> int:
 
 
 def _members(prefixes: DataFrame, percent: int, boundary: int) -> DataFrame:
-    """kind, key, node, n, rest (elements after the key's last) and large: who meets at which subset or in which list."""
+    """kind, key, node, n, rest (elements after the key's last), large and component: who meets at which subset or in which list."""
     light = F.expr(f"need >= {SUBSET} and n < {boundary}")
     tiny = (SUBSET - 1) * 100 // percent  # sets too small for subsets use lists
-    xs, q = "transform(early, e -> e.x)", "size(early)"
-    pairs = f"flatten(transform(sequence(1, {q} - 1), i -> transform(sequence(i + 1, {q}), j -> named_struct('key', xxhash64(xs[i - 1], xs[j - 1]), 'rest', n - alone - j))))"
-    small = prefixes.where(light & F.expr(f"{q} > 1")).withColumn("xs", F.expr(xs))
-    subsets = small.select(F.lit(0).alias("kind"), "node", "n", F.lit(False).alias("large"), F.explode(F.expr(pairs)).alias("at"))
+    q = "size(early)"
+    pairs = f"flatten(transform(sequence(1, {q} - 1), i -> transform(sequence(i + 1, {q}), j -> named_struct('key', xxhash64(early[i - 1].x, early[j - 1].x), 'rest', n - alone - early[j - 1].pos))))"
+    small = prefixes.where(light & F.expr(f"{q} > 1"))
+    subsets = small.select(F.lit(0).alias("kind"), "node", "n", "component", F.lit(False).alias("large"), F.explode(F.expr(pairs)).alias("at"))
     listed = prefixes.where(f"100 * n >= {percent} * {boundary}D or {percent} * n <= {100 * tiny}")
-    entries = F.expr(f"transform({_LISTED}, (e, j) -> named_struct('key', e.x, 'rest', n - alone - j - 1))")
-    lists = listed.select(F.lit(1).alias("kind"), "node", "n", (~light).alias("large"), F.explode(entries).alias("at"))
-    return subsets.union(lists).select("kind", "at.key", "node", "n", "at.rest", "large")
+    entries = F.expr(f"transform({_LISTED}, e -> named_struct('key', e.x, 'rest', n - alone - e.pos))")
+    lists = listed.select(F.lit(1).alias("kind"), "node", "n", "component", (~light).alias("large"), F.explode(entries).alias("at"))
+    return subsets.union(lists).select("kind", "at.key", "node", "n", "at.rest", "large", "component")
 
 
 def _centred(groups: DataFrame, rank: Column) -> DataFrame:
-    """kind, key, centre and nc: the member of the highest rank of each group."""
-    return groups.groupBy("kind", "key").agg(F.max(F.struct(rank.alias("rank"), "node", "n")).alias("top")).select("kind", "key", F.col("top.node").alias("centre"), F.col("top.n").alias("nc"))
+    """kind, key, centre, nc and cc (its component): the member of the highest rank of each group."""
+    top = groups.groupBy("kind", "key").agg(F.max(F.struct(rank.alias("rank"), "node", "n", "component")).alias("top"))
+    return top.select("kind", "key", F.col("top.node").alias("centre"), F.col("top.n").alias("nc"), F.col("top.component").alias("cc"))
 
 
 def _open_groups(met: DataFrame, links: DataFrame) -> DataFrame:
     """The members of groups in which several components meet; main is whether a member is of its group's largest one."""
     found = connected_components(links)
-    placed = met.drop("component", "main", "m", "others").join(found.hint("merge"), "node", "left").withColumn("component", F.coalesce("component", "node"))
+    placed = met.drop("component", "main", "m", "others", "rank").join(found.hint("merge"), "node", "left").withColumn("component", F.coalesce("component", "node"))
     sizes = placed.groupBy("kind", "key", "component").agg(F.count("*").alias("k"))
     top = sizes.groupBy("kind", "key").agg(F.max(F.struct("k", "component")).alias("top"), F.sum("k").alias("m"))
     top = top.where("top.k < m").select("kind", "key", F.col("top.component").alias("_main"), "m", (F.col("m") - F.col("top.k")).alias("others"))
     return placed.join(top.hint("merge"), ["kind", "key"]).select("kind", "key", "node", "n", "rest", "large", "component", (F.col("component") == F.col("_main")).alias("main"), "m", "others")
 
 
-def _links(prefixes: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Links (a, b) that connect all nodes that are connected by links of similar sets; not every such link is listed."""
-    members = written(_members(prefixes, percent, _boundary(prefixes, percent)), "members")
-    groups = members.groupBy("kind", "key").agg(F.count("*").alias("m"), F.max("large").alias("any_large")).where("m > 1 and (kind = 0 or any_large)")
-    met = written(members.join(groups.hint("merge").drop("any_large"), ["kind", "key"]), "met")
-    dropped(members.sparkSession, members)
-    # the member that meets most others is likely the one that the others are copies of
-    meets = met.groupBy("node").agg(F.sum("m").alias("meets"))
-    centres = _centred(met.join(meets.hint("merge"), "node"), F.col("meets"))
-    links, cost, turn = None, None, 0
+def _starred(met: DataFrame, centres: DataFrame, links: DataFrame | None, sets: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
+    """Links between members of groups and the groups' centres, in rounds, and the groups in which several components are left; `met` is taken away."""
+    cost, turn = None, 0
     while True:
-        star = met.join(centres.hint("merge"), ["kind", "key"]).where(f"node <> centre and {_alike(percent, 'n', 'nc')}")
+        star = met.select("kind", "key", "node", "n", "component").join(centres.hint("merge"), ["kind", "key"]).where(f"component <> cc and {_alike(percent, 'n', 'nc')}")
         star = star.select(F.least("node", "centre").alias("a"), F.greatest("node", "centre").alias("b")).distinct()
         made = written(_confirmed(star, sets, percent), "links")
         links = made if links is None else links.union(made)
@@ -156,9 +155,47 @@ def _links(prefixes: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
         rows, now = each.agg(F.coalesce(F.sum("m"), F.lit(0)), F.coalesce(F.sum(F.col("m") * F.col("others").cast("double")), F.lit(0.0))).first()
         # further rounds while comparing all that is left would cost much more than another round, and rounds help
         if now <= 8 * rows or (cost is not None and now > 0.9 * cost):
-            break
+            return links, met
         cost = now
         centres = _centred(met.where(F.col("main") == F.lit(turn % 2 == 1)), F.xxhash64("node", F.lit(turn)))
+
+
+def _near_copies(prefixes: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Links of nodes that share a min-hash. The first centre of a group is a node whose elements are in most others, which is likely the one that they are copies of."""
+    each = prefixes.select("node", "n", F.lit(0).cast("bigint").alias("rest"), F.lit(False).alias("large"), "rank", F.posexplode("mins").alias("kind", "key")).withColumn("component", F.col("node"))
+    groups = each.groupBy("kind", "key").agg(F.count("*").alias("m")).where("m > 1")
+    met = written(each.join(groups.hint("merge").drop("m"), ["kind", "key"]), "met")
+    links, met = _starred(met, _centred(met, F.col("rank")), None, sets, percent)
+    dropped(met.sparkSession, met)
+    return links
+
+
+def _shared_heads(prefixes: DataFrame, links: DataFrame) -> DataFrame:
+    """Prefixes with component, their heads without the elements that only heads of one component have; each element keeps its place `pos` in the head."""
+    found = connected_components(links)
+    placed = prefixes.drop("mins", "rank").join(found.hint("merge"), "node", "left").withColumn("component", F.coalesce("component", "node"))
+    # nodes of a component stand together, so that their elements combine before they are shuffled
+    placed = written(placed.repartition("component"), "placed")
+    each = placed.select("component", F.explode("early.x").alias("x"))
+    shared = each.groupBy("x").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select("x")
+    heads = placed.select("node", F.posexplode("early").alias("at", "e")).select("node", F.col("e.x").alias("x"), F.col("e.f").alias("f"), (F.col("at") + 1).cast("bigint").alias("pos"))
+    left = heads.join(shared.hint("merge"), "x").groupBy("node").agg(F.sort_array(F.collect_list(F.struct("pos", "f", "x"))).alias("early"))
+    made = written(placed.drop("early").join(left.hint("merge"), "node"), "heads")
+    dropped(prefixes.sparkSession, placed)
+    return made
+
+
+def _links(prefixes: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Links (a, b) that connect all nodes that are connected by links of similar sets; not every such link is listed."""
+    links = _near_copies(prefixes, sets, percent)
+    heads = _shared_heads(prefixes, links)
+    members = written(_members(heads, percent, _boundary(heads, percent)), "members")
+    groups = members.groupBy("kind", "key").agg(F.count("*").alias("m"), F.max("large").alias("any_large"), F.min("component").alias("low"), F.max("component").alias("high"))
+    groups = groups.where("low < high and (kind = 0 or any_large)").select("kind", "key", "m")
+    met = written(members.join(groups.hint("merge"), ["kind", "key"]), "met")
+    dropped(members.sparkSession, members, heads)
+    meets = met.groupBy("node").agg(F.sum("m").alias("meets"))
+    links, met = _starred(met, _centred(met.join(meets.hint("merge"), "node"), F.col("meets")), links, sets, percent)
     others, everyone = met.where("not main").alias("l"), met.alias("r")
     needed = f"ceil((l.n + r.n) * {percent} / {100 + percent}D - 1e-9)"
     pairs = others.join(everyone.hint("merge"), F.expr("l.kind = r.kind and l.key = r.key and l.component <> r.component and (r.main or l.node < r.node)"))
@@ -169,6 +206,23 @@ def _links(prefixes: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     return links
 
 
+def _likely(texts: DataFrame, involved: DataFrame) -> DataFrame:
+    """The texts whose hash may be one of those involved, by a bitmap of eight bits for each: one in nine of the others is left."""
+    size = max(8 * involved.count(), 1 << 15)
+    bits = involved.select((F.pmod("_th", F.lit(size)) + 1).alias("at")).groupBy(F.bitmap_bucket_number("at").alias("bucket"))  # buckets and their positions begin at 1
+    whole = np.zeros(((size >> 15) + 1) * 4096, np.uint8)
+    for row in bits.agg(F.bitmap_construct_agg(F.bitmap_bit_position("at")).alias("bits")).collect():
+        whole[(row.bucket - 1) * 4096 :][:4096] = np.frombuffer(bytes(row.bits), np.uint8)
+    shared = texts.sparkSession.sparkContext.broadcast(whole)
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in batches:
+            at = part.column("th").to_numpy(zero_copy_only=False) % size
+            yield part.filter(pa.array(shared.value[at >> 3] >> (at & 7).astype(np.uint8) & 1 == 1))
+
+    return texts.mapInArrow(run, texts.schema)
+
+
 def similar_texts(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, percent: int = 80) -> DataFrame:
     """id, n_shingles (long) and component_id (the smallest id of the row's component), by row.
 
@@ -182,30 +236,33 @@ def similar_texts(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     texts = df.select(df[id_col].alias("i"), F.xxhash64(df[text_col]).alias("th"), df[text_col].alias("t"))
     signed = written(_signed(texts, shingle, percent), "signed")
     # a node is known by its least id, and its set is read from the least row: one with an id, if any has one
-    alike = signed.where("n > 0").groupBy("f1", "f2", "i", "th").agg(F.count("*").alias("copies"), F.any_value("n").alias("n"), F.any_value("head").alias("head"))
+    real = signed.where("n > 0")
+    alike = real.groupBy("f1", "f2", "i", "th").agg(F.count("*").alias("copies"))
     least = F.min(F.struct(F.col("i").isNull().alias("no"), "i", "th", "copies")).alias("row")
-    nodes = alike.groupBy("f1", "f2").agg(least, F.any_value("n").alias("n"), F.any_value("head").alias("head"))
+    heads = real.groupBy("f1", "f2").agg(F.any_value("n").alias("n"), F.any_value("head").alias("head"))
+    nodes = heads.join(alike.groupBy("f1", "f2").agg(least).hint("merge"), ["f1", "f2"])
     nodes = written(nodes.withColumn("node", F.monotonically_increasing_id()), "nodes")
 
+    one = Window.partitionBy("x")  # elements are shuffled once, for their counts and for the nodes that have them
     placed = nodes.select("node", F.explode("head").alias("x"))
-    shared = placed.groupBy("x").agg(F.count("*").alias("f")).where("f > 1").select("x")
-    enough = placed.join(shared.hint("merge"), "x").groupBy("node").agg(F.count("*").alias("met"))
+    enough = placed.withColumn("f", F.count("*").over(one)).where("f > 1").groupBy("node").agg(F.count("*").alias("met"))
     own = nodes.select("node", "f1", "n", F.size("head").alias("h"), F.col("row.i").alias("_i"), F.col("row.th").alias("_th"), "row.copies")
     involved = own.join(enough.hint("merge"), "node").where(f"met >= greatest(1, h - (n - {_need(percent)}))")
     involved = written(involved.select("node", "f1", "n", "_i", "_th", "copies"), "involved")
-    found = texts.join(involved.hint("merge"), F.col("i").eqNullSafe(F.col("_i")) & (F.col("th") == F.col("_th")))
+    found = _likely(texts, involved).join(involved.hint("merge"), F.col("i").eqNullSafe(F.col("_i")) & (F.col("th") == F.col("_th")))
     if not involved.where("copies > 1").isEmpty():  # rows alike in id and text: one of them
-        one = found.where("copies > 1").groupBy("node").agg(F.first("f1").alias("f1"), F.first("t").alias("t"))
-        found = found.where("copies = 1").select("node", "f1", "t").union(one)
+        first = found.where("copies > 1").groupBy("node").agg(F.first("f1").alias("f1"), F.first("t").alias("t"))
+        found = found.where("copies = 1").select("node", "f1", "t").union(first)
     sets = written(_sets(found.select("node", "f1", "t"), shingle), "sets")
 
-    each = sets.select("node", F.explode("s").alias("x"))
-    counted = each.groupBy("x").agg(F.count("*").alias("f")).where("f > 1")
-    common = each.join(counted.hint("merge"), "x").groupBy("node").agg(F.sort_array(F.collect_list(F.struct("f", "x"))).alias("common"))
+    counted = sets.select("node", F.explode("s").alias("x")).withColumn("f", F.count("*").over(one)).where("f > 1")
+    common = counted.groupBy("node").agg(F.sort_array(F.collect_list(F.struct("f", "x"))).alias("common"))
     close = common.join(involved.select("node", "n").hint("merge"), "node").withColumn("need", F.expr(_need(percent))).where("size(common) >= need")
     alone = close.withColumn("alone", F.col("n") - F.size("common"))
     early = F.expr(f"slice(common, 1, cast(n - need + {SUBSET} - alone as int))").alias("early")
-    prefixes = written(alone.select("node", "n", "need", "alone", early), "prefixes")
+    least = F.expr(f"transform(sequence(1, {HASHES}), k -> array_min(transform(common, e -> xxhash64(e.x, k))))").alias("mins")
+    rank = (F.expr("aggregate(common, 0L, (t, e) -> t + e.f)") / F.col("n")).alias("rank")
+    prefixes = written(alone.select("node", "n", "need", "alone", early, least, rank), "prefixes")
     near = written(sets.join(prefixes.select("node").hint("merge"), "node", "left_semi"), "near")
     dropped(spark, sets, involved)
     links = _links(prefixes, near, percent)

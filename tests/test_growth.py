@@ -3,6 +3,7 @@
 import os
 import random
 
+from strokeline.llm import heavylight, store
 from strokeline.operators import composites, control, integrity, lines, pixels
 from strokeline.plans import stages
 from strokeline.sources import shared
@@ -160,3 +161,13 @@ def test_components_are_found_over_tiles(spark, monkeypatch):
         whole.append(n)
     assert sorted(areas.values()) == sorted(whole)
     assert sum(r.junctions for r in made) == sum(len([q for q in around(*p) if q in ink]) >= 3 for p in ink)
+
+
+def test_near_copies_meet_in_few_rows(spark, monkeypatch):
+    """op12: a group of near copies, which min-hashes link, sends no subsets of its heads."""
+    rows = {}
+    monkeypatch.setattr(heavylight, "written", lambda df, name: (made := store.written(df, name), rows.update({name: made.count()}))[0])
+    texts = [(n, " ".join(f"w{k}" if k != n + 20 else f"own{n}" for k in range(150))) for n in range(40)]
+    made = heavylight.similar_texts(spark.createDataFrame(texts, "doc_id long, text string"), shingle=4, percent=85).collect()
+    assert {r.component_id for r in made} == {0} and len(made) == 40
+    assert rows["prefixes"] == 40 and rows["members"] <= 40
