@@ -15,16 +15,17 @@ elements among the first n - need + k of each. Sets go through five steps, all o
    the size at which subsets of all sets below it and lists of all sets from it on cost least together.
 5. What meets at a subset or in a list is a group. Its members are compared with one of them, links join nodes to
    components, and only members of different components are compared further, those outside a group's largest
-   component with all others. A large group of near copies takes as many comparisons as it has members.
+   component with all others. Components are followed from one round to the next by its new links alone. A large group of near copies takes as many comparisons as it has members.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterable, Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -83,10 +84,18 @@ def _sets(df: DataFrame, shingle: int) -> DataFrame:
 
 
 def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The pairs (a, b) whose full sets are similar enough; sizes have been compared before."""
+    """The pairs (a, b and more) whose full sets are similar enough; sizes have been compared before."""
     left, right = sets.select(F.col("node").alias("a"), F.col("s").alias("sa")), sets.select(F.col("node").alias("b"), F.col("s").alias("sb"))
-    both = pairs.join(left.hint("merge"), "a").join(right.hint("merge"), "b").select("a", "b", F.size("sa").alias("na"), F.size("sb").alias("nb"), F.size(F.array_intersect("sa", "sb")).alias("common"))
-    return both.where(f"100L * common >= {percent}L * (na + nb - common)").select("a", "b")
+    both = pairs.join(left.hint("merge"), "a").join(right.hint("merge"), "b").select(*pairs.columns, F.size("sa").alias("na"), F.size("sb").alias("nb"), F.size(F.array_intersect("sa", "sb")).alias("common"))
+    return both.where(f"100L * common >= {percent}L * (na + nb - common)").select(*pairs.columns)
+
+
+def _linked(met: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Links between the components (a, b) of rows (node, component, other, co) whose full sets are similar enough; each pair of nodes is compared once."""
+    first = F.col("node") < F.col("other")
+    ends = (F.least("node", "other").alias("a"), F.greatest("node", "other").alias("b"))
+    pairs = met.select(*ends, F.when(first, F.col("component")).otherwise(F.col("co")).alias("ca"), F.when(first, F.col("co")).otherwise(F.col("component")).alias("cb")).distinct()
+    return _confirmed(pairs, sets, percent).select(F.col("ca").alias("a"), F.col("cb").alias("b"))
 
 
 #: The elements of a set's head that stand in the inverted lists.
@@ -124,56 +133,37 @@ def _members(prefixes: DataFrame, percent: int, boundary: int) -> DataFrame:
     return subsets.union(lists).select("kind", "at.key", "node", "n", "at.rest", "large", "component")
 
 
-def _centred(groups: DataFrame, rank: Column) -> DataFrame:
-    """kind, key, centre, nc and cc (its component): the member of the highest rank of each group."""
-    top = groups.groupBy("kind", "key").agg(F.max(F.struct(rank.alias("rank"), "node", "n", "component")).alias("top"))
-    return top.select("kind", "key", F.col("top.node").alias("centre"), F.col("top.n").alias("nc"), F.col("top.component").alias("cc"))
-
+def _renamed(met: DataFrame, found: DataFrame) -> DataFrame:
+    """The members of groups, their components named as found since."""
+    now = found.select(F.col("node").alias("component"), F.col("component").alias("_now"))
+    placed = met.select("kind", "key", "node", "n", "rest", "large", "component").join(now.hint("merge"), "component", "left")
+    return placed.withColumn("component", F.coalesce("_now", "component")).drop("_now")
 
-def _open_groups(met: DataFrame, links: DataFrame) -> DataFrame:
-    """The members of groups in which several components meet; main is whether a member is of its group's largest one."""
-    found = connected_components(links)
-    placed = met.drop("component", "main", "m", "others", "rank").join(found.hint("merge"), "node", "left").withColumn("component", F.coalesce("component", "node"))
-    sizes = placed.groupBy("kind", "key", "component").agg(F.count("*").alias("k"))
-    top = sizes.groupBy("kind", "key").agg(F.max(F.struct("k", "component")).alias("top"), F.sum("k").alias("m"))
-    top = top.where("top.k < m").select("kind", "key", F.col("top.component").alias("_main"), "m", (F.col("m") - F.col("top.k")).alias("others"))
-    return placed.join(top.hint("merge"), ["kind", "key"]).select("kind", "key", "node", "n", "rest", "large", "component", (F.col("component") == F.col("_main")).alias("main"), "m", "others")
 
-
-def _starred(met: DataFrame, centres: DataFrame, links: DataFrame | None, sets: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
-    """Links between members of groups and the groups' centres, in rounds, and the groups in which several components are left; `met` is taken away."""
-    cost, turn = None, 0
-    while True:
-        star = met.select("kind", "key", "node", "n", "component").join(centres.hint("merge"), ["kind", "key"]).where(f"component <> cc and {_alike(percent, 'n', 'nc')}")
-        star = star.select(F.least("node", "centre").alias("a"), F.greatest("node", "centre").alias("b")).distinct()
-        made = written(_confirmed(star, sets, percent), "links")
-        links = made if links is None else links.union(made)
-        left = written(_open_groups(met, links), "open")
-        dropped(met.sparkSession, met)
-        met, turn = left, turn + 1
-        each = met.groupBy("kind", "key").agg(F.max("m").alias("m"), F.max("others").alias("others"))
-        rows, now = each.agg(F.coalesce(F.sum("m"), F.lit(0)), F.coalesce(F.sum(F.col("m") * F.col("others").cast("double")), F.lit(0.0))).first()
-        # further rounds while comparing all that is left would cost much more than another round, and rounds help
-        if now <= 8 * rows or (cost is not None and now > 0.9 * cost):
-            return links, met
-        cost = now
-        centres = _centred(met.where(F.col("main") == F.lit(turn % 2 == 1)), F.xxhash64("node", F.lit(turn)))
+def _open_groups(placed: DataFrame, turn: int) -> DataFrame:
+    """The members of groups in which several components meet. main is whether a member is of its group's largest one; the centre `other` is of that in even turns, and of the smallest in odd ones."""
+    any_one = F.max(F.struct(F.xxhash64("node", F.lit(turn)).alias("hash"), "node", "n")).alias("of")
+    sizes = placed.groupBy("kind", "key", "component").agg(F.count("*").alias("k"), any_one)
+    each = F.struct("k", "component", "of")
+    top = sizes.groupBy("kind", "key").agg(F.max(each).alias("top"), F.min(each).alias("low"), F.sum("k").alias("m")).where("top.k < m")
+    at = "low" if turn % 2 else "top"
+    centre = (F.col(f"{at}.of.node").alias("other"), F.col(f"{at}.of.n").alias("no"), F.col(f"{at}.component").alias("co"))
+    top = top.select("kind", "key", F.col("top.component").alias("_main"), (F.col("m") - F.col("top.k")).alias("others"), *centre)
+    return placed.join(top.hint("merge"), ["kind", "key"]).withColumn("main", F.col("component") == F.col("_main")).drop("_main")
 
 
 def _near_copies(prefixes: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Links of nodes that share a min-hash. The first centre of a group is a node whose elements are in most others, which is likely the one that they are copies of."""
-    each = prefixes.select("node", "n", F.lit(0).cast("bigint").alias("rest"), F.lit(False).alias("large"), "rank", F.posexplode("mins").alias("kind", "key")).withColumn("component", F.col("node"))
-    groups = each.groupBy("kind", "key").agg(F.count("*").alias("m")).where("m > 1")
-    met = written(each.join(groups.hint("merge").drop("m"), ["kind", "key"]), "met")
-    links, met = _starred(met, _centred(met, F.col("rank")), None, sets, percent)
-    dropped(met.sparkSession, met)
-    return links
+    """Components of nodes that share a min-hash. The centre of a group is a node whose elements are in most others, which is likely the one that they are copies of."""
+    each = prefixes.select("node", "n", "rank", F.posexplode("mins").alias("kind", "key"))
+    top = each.groupBy("kind", "key").agg(F.max(F.struct("rank", "node", "n")).alias("top"), F.count("*").alias("m")).where("m > 1")
+    top = top.select("kind", "key", F.col("top.node").alias("other"), F.col("top.n").alias("no"))
+    met = each.join(top.hint("merge"), ["kind", "key"]).where(f"node <> other and {_alike(percent, 'n', 'no')}")
+    return connected_components(_linked(met.withColumns({"component": F.col("node"), "co": F.col("other")}), sets, percent))
 
 
-def _shared_heads(prefixes: DataFrame, links: DataFrame) -> DataFrame:
+def _shared_heads(prefixes: DataFrame, found: DataFrame) -> DataFrame:
     """Prefixes with component, their heads without the elements that only heads of one component have; each element keeps its place `pos` in the head."""
-    found = connected_components(links)
-    placed = prefixes.drop("mins", "rank").join(found.hint("merge"), "node", "left").withColumn("component", F.coalesce("component", "node"))
+    placed = prefixes.drop("mins", "rank", "s").join(found.hint("merge"), "node", "left").withColumn("component", F.coalesce("component", "node"))
     # nodes of a component stand together, so that their elements combine before they are shuffled
     placed = written(placed.repartition("component"), "placed")
     each = placed.select("component", F.explode("early.x").alias("x"))
@@ -185,25 +175,44 @@ def _shared_heads(prefixes: DataFrame, links: DataFrame) -> DataFrame:
     return made
 
 
-def _links(prefixes: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Links (a, b) that connect all nodes that are connected by links of similar sets; not every such link is listed."""
-    links = _near_copies(prefixes, sets, percent)
-    heads = _shared_heads(prefixes, links)
+#: The members of open groups are compared with one another if that takes so many comparisons for each of them at most.
+ENOUGH = 8
+
+
+def _components(prefixes: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
+    """node and component of nodes linked by min-hashes, and of those components that other links connect; not every link within a component is looked for.
+
+    A component is named by its smallest node, so later links join components as first ones join nodes, and each round
+    follows only its own links.
+    """
+    spark, sets = prefixes.sparkSession, prefixes.select("node", "s")
+    first = _near_copies(prefixes, sets, percent)
+    heads = _shared_heads(prefixes, first)
     members = written(_members(heads, percent, _boundary(heads, percent)), "members")
-    groups = members.groupBy("kind", "key").agg(F.count("*").alias("m"), F.max("large").alias("any_large"), F.min("component").alias("low"), F.max("component").alias("high"))
-    groups = groups.where("low < high and (kind = 0 or any_large)").select("kind", "key", "m")
+    groups = members.groupBy("kind", "key").agg(F.max("large").alias("any_large"), F.min("component").alias("low"), F.max("component").alias("high"))
+    groups = groups.where("low < high and (kind = 0 or any_large)").select("kind", "key")
     met = written(members.join(groups.hint("merge"), ["kind", "key"]), "met")
-    dropped(members.sparkSession, members, heads)
-    meets = met.groupBy("node").agg(F.sum("m").alias("meets"))
-    links, met = _starred(met, _centred(met.join(meets.hint("merge"), "node"), F.col("meets")), links, sets, percent)
+    dropped(spark, members, heads)
+    steps, placed, cost, turn = [], met, None, 0
+    while True:
+        left = written(_open_groups(placed, turn), "open")
+        dropped(spark, met)
+        met = left
+        rows, now = met.agg(F.count("*"), F.coalesce(F.sum(F.col("others").cast("double")), F.lit(0.0))).first()
+        # rounds while comparing all that is left would cost much more than a round, and rounds help
+        if now <= ENOUGH * rows or (cost is not None and now > 0.9 * cost):
+            break
+        links = _linked(met.where(f"component <> co and {_alike(percent, 'n', 'no')}"), sets, percent)
+        steps.append(connected_components(links))
+        placed, cost, turn = _renamed(met, steps[-1]), now, turn + 1
     others, everyone = met.where("not main").alias("l"), met.alias("r")
     needed = f"ceil((l.n + r.n) * {percent} / {100 + percent}D - 1e-9)"
     pairs = others.join(everyone.hint("merge"), F.expr("l.kind = r.kind and l.key = r.key and l.component <> r.component and (r.main or l.node < r.node)"))
     pairs = pairs.where(f"(l.kind = 0 or l.large or r.large) and {_alike(percent, 'l.n', 'r.n')} and if(l.kind = 0, {SUBSET}, 1) + least(l.rest, r.rest) >= {needed}")
-    pairs = pairs.select(F.least("l.node", "r.node").alias("a"), F.greatest("l.node", "r.node").alias("b")).distinct()
-    links = links.union(written(_confirmed(pairs, sets, percent), "links"))
-    dropped(met.sparkSession, met)
-    return links
+    last = _linked(pairs.select("l.node", "l.component", F.col("r.node").alias("other"), F.col("r.component").alias("co")), sets, percent)
+    then = connected_components(reduce(DataFrame.union, steps, last))
+    dropped(spark, met, *steps)
+    return first, then
 
 
 def _likely(texts: DataFrame, involved: DataFrame) -> DataFrame:
@@ -257,23 +266,23 @@ def similar_texts(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
     counted = sets.select("node", F.explode("s").alias("x")).withColumn("f", F.count("*").over(one)).where("f > 1")
     common = counted.groupBy("node").agg(F.sort_array(F.collect_list(F.struct("f", "x"))).alias("common"))
-    close = common.join(involved.select("node", "n").hint("merge"), "node").withColumn("need", F.expr(_need(percent))).where("size(common) >= need")
+    close = common.join(sets.withColumn("n", F.size("s").cast("bigint")).hint("merge"), "node").withColumn("need", F.expr(_need(percent))).where("size(common) >= need")
     alone = close.withColumn("alone", F.col("n") - F.size("common"))
     early = F.expr(f"slice(common, 1, cast(n - need + {SUBSET} - alone as int))").alias("early")
     least = F.expr(f"transform(sequence(1, {HASHES}), k -> array_min(transform(common, e -> xxhash64(e.x, k))))").alias("mins")
     rank = (F.expr("aggregate(common, 0L, (t, e) -> t + e.f)") / F.col("n")).alias("rank")
-    prefixes = written(alone.select("node", "n", "need", "alone", early, least, rank), "prefixes")
-    near = written(sets.join(prefixes.select("node").hint("merge"), "node", "left_semi"), "near")
+    prefixes = written(alone.select("node", "n", "need", "alone", early, least, rank, "s"), "prefixes")
     dropped(spark, sets, involved)
-    links = _links(prefixes, near, percent)
 
-    final = connected_components(links)
-    named = nodes.select("f1", "f2", "node", F.col("row.i").alias("label")).join(final.hint("merge"), "node", "left")
-    least = named.where("component is not null").groupBy("component").agg(F.min("label").alias("least"))
-    named = named.withColumn("component", F.coalesce("component", "node"))  # a node without links is no component's name, and meets nothing
+    first, then = _components(prefixes, percent)
+    then = then.select(F.col("node").alias("component"), F.col("component").alias("_then"))
+    named = nodes.select("f1", "f2", "node", F.col("row.i").alias("label")).join(first.hint("merge"), "node", "left")
+    named = named.withColumns({"component": F.coalesce("component", "node"), "linked": F.col("component").isNotNull()}).join(then.hint("merge"), "component", "left")
+    named = named.withColumns({"component": F.coalesce("_then", "component"), "linked": F.col("linked") | F.col("_then").isNotNull()})
+    least = named.where("linked").groupBy("component").agg(F.min("label").alias("least"))  # a node without links is no component's name, and meets nothing
     named = named.join(least.hint("merge"), "component", "left").select("f1", "f2", F.coalesce("least", "label").alias("c"))
     out = signed.select("i", "n", F.when(F.col("n") > 0, F.col("f1")).alias("f1"), "f2").join(named.hint("merge"), ["f1", "f2"], "left")
     component = F.when(F.col("n") == 0, F.col("i")).otherwise(F.col("c"))
     out = written(out.select("i", "n", component.alias("c")), "similar-texts")
-    dropped(spark, signed, nodes, prefixes, near)
+    dropped(spark, signed, nodes, prefixes, first, then)
     return out.select(F.col("i").alias(id_col), F.col("n").alias("n_shingles"), F.col("c").alias("component_id"))

@@ -3,7 +3,7 @@
 import os
 import random
 
-from strokeline.llm import heavylight, store
+from strokeline.llm import components, heavylight, store
 from strokeline.operators import composites, control, integrity, lines, pixels
 from strokeline.plans import stages
 from strokeline.sources import shared
@@ -171,3 +171,39 @@ def test_near_copies_meet_in_few_rows(spark, monkeypatch):
     made = heavylight.similar_texts(spark.createDataFrame(texts, "doc_id long, text string"), shingle=4, percent=85).collect()
     assert {r.component_id for r in made} == {0} and len(made) == 40
     assert rows["prefixes"] == 40 and rows["members"] <= 40
+
+
+def test_components_end_without_another_round(spark, monkeypatch):
+    """op12: pairs need no round of stars and a star one, chains some, and components are those of the graph."""
+    made = []
+    monkeypatch.setattr(components, "written", lambda df, name: (made.append(name), store.written(df, name))[1])
+    dice = random.Random(8)
+    graphs = {
+        1: [(n, n + 1) for n in range(0, 80, 2)],
+        2: [(50, n) for n in range(90) if n != 50],
+        9: [(n, n + 1) for n in range(60)] + [(100 + dice.randrange(80), 100 + dice.randrange(80)) for _ in range(50)] + [(None, 1), (7, 7), (300, 300)],
+    }
+    for most, edges in graphs.items():
+        made.clear()
+        found = {r.node: r.component for r in components.connected_components(spark.createDataFrame(edges, "a long, b long")).collect()}
+        assert len(made) <= most
+        root = {n: n for e in edges if None not in e and e[0] != e[1] for n in e}
+        for _ in range(len(root)):
+            for a, b in edges:
+                if a in root and b in root:
+                    root[a] = root[b] = min(root[a], root[b])
+        assert found == root
+    assert components.connected_components(spark.createDataFrame([], "a long, b long")).count() == 0
+
+
+def test_similar_texts_take_few_tables(spark, monkeypatch):
+    """op12: each table is a shuffle over all partitions, whose tasks cost more than their rows in large groups of near copies."""
+    made = []
+    for module in (heavylight, components):
+        monkeypatch.setattr(module, "written", lambda df, name: (made.append(name), store.written(df, name))[1])
+    # near copies of two texts, and a chain of texts that only neighbours are similar to
+    texts = [(1000 * g + n, " ".join(f"g{g}w{k}" if k != n + 20 else f"own{g}x{n}" for k in range(150))) for g in (1, 2) for n in range(40)]
+    texts += [(n, " ".join(f"c{k}" for k in range(4 * n, 4 * n + 100))) for n in range(30)]
+    found = heavylight.similar_texts(spark.createDataFrame(texts, "doc_id long, text string"), shingle=4, percent=85).collect()
+    assert {(r.doc_id, r.component_id) for r in found} == {(n, n // 1000 * 1000) for n, _ in texts}
+    assert len(made) <= 24, made
