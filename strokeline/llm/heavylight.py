@@ -193,14 +193,14 @@ def _components(prefixes: DataFrame, percent: int) -> tuple[DataFrame, DataFrame
     groups = groups.where("low < high and (kind = 0 or any_large)").select("kind", "key")
     met = written(members.join(groups.hint("merge"), ["kind", "key"]), "met")
     dropped(spark, members, heads)
-    steps, placed, cost, turn = [], met, None, 0
+    steps, placed, cost, turn = [], met, 0.0, 0
     while True:
         left = written(_open_groups(placed, turn), "open")
         dropped(spark, met)
         met = left
         rows, now = met.agg(F.count("*"), F.coalesce(F.sum(F.col("others").cast("double")), F.lit(0.0))).first()
-        # rounds while comparing all that is left would cost much more than a round, and rounds help
-        if now <= ENOUGH * rows or (cost is not None and now > 0.9 * cost):
+        # rounds while comparing all that is left would cost much more than a round, and rounds help; the first is made at every size
+        if turn and (now <= ENOUGH * rows or now > 0.9 * cost):
             break
         links = _linked(met.where(f"component <> co and {_alike(percent, 'n', 'no')}"), sets, percent)
         steps.append(connected_components(links))
